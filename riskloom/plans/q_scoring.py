@@ -390,8 +390,8 @@ def application_input(t):
         F.lit(0).alias("idade"), F.lit(None).cast("string").alias("cidade"),
         F.col("client_score").alias("score_bureau"),
         F.col("meses_inadimplencia_recente").alias("atrasos_historico"),
-        F.round(F.col("amount") / 10, 2).alias("divida_total"),
-        F.round(F.col("amount"), 2).alias("valor_solicitado"),
+        (F.floor("amount").cast("double") / 10).alias("divida_total"),
+        F.floor("amount").cast("double").alias("valor_solicitado"),
         F.col("lista_coaf").alias("possui_imovel"))
 
 
@@ -401,8 +401,8 @@ SELECT case_key AS id_pedido, 0 AS id_cliente, round(GREATEST(income, 1.0), 6) A
   'Campinas' AS cidade, TIMESTAMP '2020-01-01 00:00:00' AS data_abertura,
   CASE WHEN client_score > 0 THEN client_score ELSE 600 END AS score_bureau,
   meses_inadimplencia_recente AS atrasos_hist, 0 AS consultas_ultimo_6m,
-  round(round(amount / 10, 2), 6) AS total_dividas, round(round(amount, 2), 6) AS total_financiado,
-  round(round(amount, 2) * 0.03, 6) AS valor_parcela, CAST(0 AS DOUBLE) AS saldo_medio_12m, CAST(0 AS DOUBLE) AS saldo_atual,
+  round(CAST(floor(amount) AS DOUBLE) / 10, 6) AS total_dividas, round(CAST(floor(amount) AS DOUBLE), 6) AS total_financiado,
+  round(CAST(floor(amount) AS DOUBLE) * 0.03, 6) AS valor_parcela, CAST(0 AS DOUBLE) AS saldo_medio_12m, CAST(0 AS DOUBLE) AS saldo_atual,
   0 AS numero_operacoes_credito, CASE WHEN lista_coaf THEN 1 ELSE 0 END AS possui_imovel, 0 AS possui_veiculo
 FROM fx_casos""")
 def q_application_row(t):
