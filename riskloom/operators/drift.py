@@ -220,6 +220,8 @@ def model_decay(base: DataFrame, cur: DataFrame, th: DriftThresholds = DEFAULT,
 
 
 # --- D9 -----------------------------------------------------------------------
+# Python formats with round-half-even on the exact binary value; bround
+# first, then print, so ties like 0.53125 read 0.5312 as in the reference.
 ALERT_LIMITS = {"auc_roc": ("AUC-ROC", 0.8), "precision": ("Precision", 0.7),
                 "recall": ("Recall", 0.6), "f1": ("F1", 0.65)}
 
@@ -232,7 +234,7 @@ def metric_alerts(metrics: DataFrame, limits: dict | None = None,
     names = names or {}
     arr = F.filter(F.array(*[
         F.when(F.col(names.get(k, k)) < lim,
-               F.format_string(f"{label} %.4f < {lim}", F.col(names.get(k, k))))
+               F.format_string(f"{label} %.4f < {lim}", F.bround(F.col(names.get(k, k)), 4)))
         for k, (label, lim) in limits.items()]), lambda x: x.isNotNull())
     return metrics.withColumn("alertas", arr).withColumn("alerta_ativo", F.size("alertas") > 0)
 
@@ -247,14 +249,14 @@ def alert_text(data_report: DataFrame, model_report: DataFrame, retrain: bool =
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
             (F.col("feature") != "__overall__") & F.col("drifted"),
             F.struct("feature", "drift_score")))),
-            lambda s: F.format_string("%s (%.2f)", s["feature"], s["drift_score"])), ", ").alias("df"))
+            lambda s: F.format_string("%s (%.2f)", s["feature"], F.bround(s["drift_score"], 2))), ", ").alias("df"))
     m = model_report.agg(
         F.max(F.when(F.col("metrica") == "__overall__", F.col("degradacao"))).alias("md"),
         F.max(F.when(F.col("metrica") == "__overall__", F.col("drifted").cast("int"))).alias("mdd"),
         F.array_join(F.transform(F.collect_list(F.when(
             (F.col("metrica") != "__overall__") & F.col("drifted"),
             F.struct("metrica", "degradacao"))),
-            lambda s: F.format_string("%s (%.2f)", s["metrica"], s["degradacao"])), ", ").alias("mf"))
+            lambda s: F.format_string("%s (%.2f)", s["metrica"], F.bround(s["degradacao"], 2))), ", ").alias("mf"))
     both = d.select("ds", "dd", "df", F.lit(None).cast("double").alias("md"),
                     F.lit(None).cast("int").alias("mdd"), F.lit(None).cast("string").alias("mf")) \
         .unionByName(m.select(F.lit(None).cast("double").alias("ds"), F.lit(None).cast("int").alias("dd"),
@@ -265,10 +267,10 @@ def alert_text(data_report: DataFrame, model_report: DataFrame, retrain: bool =
     lines = F.array(
         F.lit(":rotating_light: *Drift detectado nos modelos Aurix*"),
         F.when(data_on, F.format_string(f"- *Data drift*: score %.4f (threshold {data_threshold})",
-                                        F.col("ds"))),
+                                        F.bround("ds", 4))),
         F.when(data_on & (F.col("df") != ""), F.concat(F.lit("  - Features com drift: "), F.col("df"))),
         F.when(model_on, F.format_string(
-            f"- *Model drift*: degradação %.4f (threshold {model_threshold})", F.col("md"))),
+            f"- *Model drift*: degradação %.4f (threshold {model_threshold})", F.bround("md", 4))),
         F.when(model_on & (F.col("mf") != ""), F.concat(F.lit("  - Métricas degradadas: "), F.col("mf"))),
         F.when(F.lit(retrain), F.lit("- Retreino automático acionado.")))
     return both.filter(data_on | model_on).select(

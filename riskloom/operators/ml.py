@@ -484,10 +484,10 @@ def validate_gate(metrics) -> Column:
     n_amostras_teste."""
     v = F.filter(F.array(
         F.when(F.col("auc_roc") < GATE["auc_minimo"],
-               F.format_string(f"AUC-ROC %.4f < minimo {GATE['auc_minimo']}", F.col("auc_roc"))),
+               F.format_string(f"AUC-ROC %.4f < minimo {GATE['auc_minimo']}", F.bround("auc_roc", 4))),
         F.when(F.col("ks_statistic") < GATE["ks_minimo"],
                F.format_string(f"KS statistic %.4f < minimo {GATE['ks_minimo']}",
-                               F.col("ks_statistic"))),
+                               F.bround("ks_statistic", 4))),
         F.when(F.coalesce(F.col("n_amostras_teste"), F.lit(0)) < GATE["n_amostras_minimo"],
                F.format_string(f"Amostra teste %d < minimo {GATE['n_amostras_minimo']}",
                                F.coalesce(F.col("n_amostras_teste"), F.lit(0))))),
