@@ -175,8 +175,8 @@ def psi_raw(ref_long: DataFrame, cur_long: DataFrame, n_bins: int = 10) -> DataF
     bc = bin_counts(ref_long, cur_long, edges)
     tot = bc.groupBy("feature").agg(F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur"))
     b = bc.join(tot, "feature")
-    pe = F.greatest(F.col("n_ref") / F.col("t_ref"), F.lit(EPS))
-    pa = F.greatest(F.col("n_cur") / F.col("t_cur"), F.lit(EPS))
+    pe = F.greatest(F.try_divide(F.col("n_ref"), F.col("t_ref")), F.lit(EPS))
+    pa = F.greatest(F.try_divide(F.col("n_cur"), F.col("t_cur")), F.lit(EPS))
     psi = b.groupBy("feature").agg(
         F.sum((pa - pe) * F.log(pa / pe)).alias("psi_v"),
         F.first("t_cur").alias("t_cur"))
