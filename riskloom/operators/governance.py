@@ -194,22 +194,46 @@ def parse_candidate(raw="raw") -> Column:
     """Tolerant JSON parse: strip a code fence, drop trailing commas, parse;
     else the first ``{...}`` block; else empty.  Returns
     struct(nonempty, decision, rationale, pro_arguments, con_arguments,
-    confidence)."""
-    s = F.trim(F.coalesce(col(raw), F.lit("")))
-    s = F.regexp_replace(s, r"^```(?:json)?\s*\n?", "")
-    s = F.regexp_replace(s, r"\n?```\s*$", "")
-    s = F.regexp_replace(s, r",\s*([}\]])", "$1")
+    confidence).  (Column form; :func:`parse_candidates` computes the same
+    with every step materialised once per row.)"""
+    s = _clean(col(raw))
     k1 = F.json_object_keys(s)
     blk = F.regexp_extract(s, r"(?s)\{.*\}", 0)
     k2 = F.json_object_keys(blk)
     text = F.when(k1.isNotNull(), s).when((blk != "") & k2.isNotNull(), blk)
-    p = F.from_json(text, CANDIDATE_SCHEMA)
     nonempty = F.coalesce(F.size(F.when(k1.isNotNull(), k1).otherwise(k2)) > 0, F.lit(False))
+    return _parsed_struct(text, nonempty)
+
+
+def _clean(s: Column) -> Column:
+    s = F.trim(F.coalesce(s, F.lit("")))
+    s = F.regexp_replace(s, r"^```(?:json)?\s*\n?", "")
+    s = F.regexp_replace(s, r"\n?```\s*$", "")
+    return F.regexp_replace(s, r",\s*([}\]])", "$1")
+
+
+def _parsed_struct(text: Column, nonempty: Column) -> Column:
+    p = F.from_json(text, CANDIDATE_SCHEMA)
     return F.struct(nonempty.alias("nonempty"), p["decision"].alias("decision"),
                     p["rationale"].alias("rationale"), p["pro_arguments"].alias("pro_arguments"),
                     p["con_arguments"].alias("con_arguments"), p["confidence"].alias("confidence"))
 
 
+def parse_candidates(cands: DataFrame, raw: str = "raw", out: str = "p") -> DataFrame:
+    """DataFrame form of :func:`parse_candidate`: each intermediate is its own
+    projection (regex cleanup once, the first-block regex only when the whole
+    text is not an object, one JSON parse), so no step is re-evaluated."""
+    d = cands.withColumn("_s", _clean(F.col(raw)))
+    d = d.withColumn("_k1", F.json_object_keys("_s"))
+    d = d.withColumn("_blk", F.when(F.col("_k1").isNull(), F.regexp_extract("_s", r"(?s)\{.*\}", 0)))
+    d = d.withColumn("_k2", F.when(F.col("_blk") != "", F.json_object_keys("_blk")))
+    d = d.withColumn("_text", F.when(F.col("_k1").isNotNull(), F.col("_s"))
+                     .when(F.col("_k2").isNotNull(), F.col("_blk")))
+    nonempty = F.coalesce(F.size(F.coalesce("_k1", "_k2")) > 0, F.lit(False))
+    d = d.withColumn(out, _parsed_struct(F.col("_text"), nonempty))
+    return d.drop("_s", "_k1", "_blk", "_k2", "_text")
+
+
 def _all_words(arr: Column, n: int) -> Column:
     return F.forall(arr, lambda a: word_count(a) >= n)
 
@@ -237,7 +261,7 @@ def estimate_tokens(text) -> Column:
 
 def scored_candidates(cands: DataFrame) -> DataFrame:
     """(case_key, idx, raw) -> + parsed struct p, score, tokens."""
-    out = cands.withColumn("p", parse_candidate("raw"))
+    out = parse_candidates(cands)
     out = out.withColumn("score", score_candidate(F.col("p")))
     if "tokens" not in out.columns:
         out = out.withColumn("tokens", estimate_tokens("raw"))

@@ -18,9 +18,8 @@ from .q_features import _DERIVED_SQL, credit_features_df
 
 # ---- DuckDB expression helpers ------------------------------------------------
 def w(x: str) -> str:
-    """words of x (Python len(x.split()))."""
-    return (f"(CASE WHEN trim(COALESCE({x}, '')) = '' THEN 0 "
-            f"ELSE len(string_split_regex(trim({x}), '\\s+')) END)")
+    """words of x (Python len(x.split())): number of non-space runs."""
+    return f"len(regexp_extract_all(COALESCE({x}, ''), '\\S+'))"
 
 
 def money(x: str) -> str:

@@ -20,6 +20,11 @@ BASE_TABLES = (
 ).split()
 
 
+# Tables whose rows feed per-row heavy work; the small dimension tables are
+# never spread (they are broadcast or joined whole).
+SPREAD_TABLES = {"orders", "lineitem", "events", "documents", "pages", "conversations"}
+
+
 class Tables:
     """Lazy handle on the parquet tables of one folder plus the banking views
     of :mod:`riskloom.sources.fixtures`."""
@@ -29,7 +34,16 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """Parquet scan.  A table stored as one small file (one row group)
+        scans in a single task; such a scan is spread round-robin over the
+        default parallelism so the narrow work after it (JSON parsing, text
+        rules) is not single-threaded.  Multi-file tables, as on a cluster,
+        already have at least that many splits and are left untouched."""
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        target = self.spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < target and name in SPREAD_TABLES:
+            df = df.repartition(target)
+        return df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
