@@ -3,55 +3,103 @@
 KS statistics, exact AUC, exact quantiles and dense label codes all need a
 cumulative count over values sorted within a group.  A window over the whole
 group would put every row of a feature (or of the whole table) into one task,
-so this kernel does it in two levels:
-
-1. collapse to distinct ``(group, value)`` rows with summed weights (map-side
-   partial aggregation; a hot value becomes one row);
-2. range-partition by ``(group, value)`` and record the partition id; the
-   frame is checkpointed so the id cannot change between its two uses (the
-   range bounds come from sampling shuffle output, whose order is not fixed);
-3. per ``(group, partition)`` totals -> a tiny table whose running offsets are
-   a window over at most groups x partitions rows, broadcast back;
-4. a window inside each ``(group, partition)`` adds the local running sum.
-
-Every task holds one range slice, never a whole group.
+so this kernel works in value buckets:
+
+1. approximate bucket bounds per group (``percentile_approx``: one pass with
+   map-side sketches; at most groups x buckets numbers reach the driver);
+2. every value gets its bucket from those literal bounds through a balanced
+   binary search of ``CASE WHEN`` (deterministic, codegen'd, so both uses of
+   the bucket id agree and a lost executor recomputes the same ids - no
+   lineage cut is needed);
+3. distinct ``(group, value)`` rows with summed weights (map-side partial
+   aggregation; a hot value becomes one row);
+4. per ``(group, bucket)`` totals -> a tiny table whose running offsets are a
+   window over at most groups x buckets rows, broadcast back;
+5. a window inside each ``(group, bucket)`` adds the local running sum.
+
+Every task holds one value range of one group, never a whole group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+_BKT = "_rl_bucket"
+
+
+def _bucket_tree(v: Column, bounds: list[float], lo: int, hi: int) -> Column:
+    """Bucket k such that bounds[k-1] <= v < bounds[k] (binary search)."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi + 1) // 2
+    return F.when(v < F.lit(bounds[mid - 1]), _bucket_tree(v, bounds, lo, mid - 1)) \
+        .otherwise(_bucket_tree(v, bounds, mid, hi))
 
-_PID = "_rl_pid"
+
+def value_buckets(df: DataFrame, group_cols: list[str], value_col: str,
+                  n_buckets: int | None = None, accuracy: int = 10000) -> Column:
+    """Column giving each row its value bucket (per group).  Numeric values:
+    ``percentile_approx`` bounds; other ordered types (strings): bounds from
+    a seeded sample of at most ~50 values per bucket."""
+    spark = df.sparkSession
+    if n_buckets is None:
+        n_buckets = max(8, min(1024, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    numeric = dict(df.dtypes)[value_col] in ("double", "float", "int", "bigint", "smallint",
+                                             "tinyint") or dict(df.dtypes)[value_col].startswith("decimal")
+    v = F.col(value_col).cast("double") if numeric else F.col(value_col)
+    base = df.filter(F.col(value_col).isNotNull())
+    if numeric:
+        probs = [i / n_buckets for i in range(1, n_buckets)]
+        rows = (base.groupBy(*group_cols)
+                .agg(F.percentile_approx(v, probs, accuracy).alias("_b")).collect())
+        bounds_of = {tuple(r[g] for g in group_cols): sorted(float(x) for x in (r["_b"] or []))
+                     for r in rows}
+    else:
+        n = base.count()
+        frac = min(1.0, 50.0 * n_buckets / max(n, 1))
+        sample = base.select(*group_cols, F.col(value_col).alias("_v")).sample(False, frac, 17).collect()
+        per: dict = {}
+        for r in sample:
+            per.setdefault(tuple(r[g] for g in group_cols), []).append(r["_v"])
+        bounds_of = {}
+        for k, vals in per.items():
+            vals.sort()
+            step = max(1, len(vals) // n_buckets)
+            bounds_of[k] = sorted(set(vals[step::step]))
+    expr = None
+    for key, bounds in bounds_of.items():
+        tree = _bucket_tree(v, bounds, 0, len(bounds))
+        if not group_cols:
+            return tree
+        cond = None
+        for g, kv in zip(group_cols, key):
+            c = F.col(g) == F.lit(kv)
+            cond = c if cond is None else cond & c
+        expr = F.when(cond, tree) if expr is None else expr.when(cond, tree)
+    return expr.otherwise(F.lit(0)) if expr is not None else F.lit(0)
 
 
 def running_sums(df: DataFrame, group_cols: list[str], value_col: str,
-                 weight_cols: list[str], num_partitions: int | None = None) -> DataFrame:
+                 weight_cols: list[str], n_buckets: int | None = None) -> DataFrame:
     """Return distinct ``(group..., value)`` rows with, for each weight ``w``:
     ``w`` (sum at this value), ``cum_w`` (sum over values <= this one),
     ``tot_w`` (group total).  Null values are dropped."""
-    spark = df.sparkSession
-    if num_partitions is None:
-        num_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bucket = value_buckets(df, group_cols, value_col, n_buckets)
     d = (df.filter(F.col(value_col).isNotNull())
            .groupBy(*group_cols, value_col)
-           .agg(*[F.sum(w).alias(w) for w in weight_cols]))
-    ensure_checkpoint_dir(spark)
-    d = (d.repartitionByRange(num_partitions, *group_cols, value_col)
-          .withColumn(_PID, F.spark_partition_id())
-          .checkpoint(eager=True))
-    part_tot = d.groupBy(*group_cols, _PID).agg(*[F.sum(w).alias(f"_pt_{w}") for w in weight_cols])
+           .agg(*[F.sum(w).alias(w) for w in weight_cols])
+           .withColumn(_BKT, bucket))
+    part_tot = d.groupBy(*group_cols, _BKT).agg(*[F.sum(w).alias(f"_pt_{w}") for w in weight_cols])
     wg = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
-    wo = wg.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    wo = wg.orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)
     offsets = part_tot.select(
-        *group_cols, _PID,
+        *group_cols, _BKT,
         *[F.coalesce(F.sum(f"_pt_{w}").over(wo), F.lit(0)).alias(f"_off_{w}") for w in weight_cols],
         *[F.sum(f"_pt_{w}").over(wg).alias(f"tot_{w}") for w in weight_cols])
-    # offsets has at most (#groups x num_partitions) rows: a proven size bound.
-    d = d.join(F.broadcast(offsets), [*group_cols, _PID])
-    wl = (Window.partitionBy(*group_cols, _PID).orderBy(value_col)
+    # offsets has at most (#groups x n_buckets) rows: a proven size bound.
+    d = d.join(F.broadcast(offsets), [*group_cols, _BKT])
+    wl = (Window.partitionBy(*group_cols, _BKT).orderBy(value_col)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return d.select(
         *group_cols, value_col, *weight_cols,
@@ -60,36 +108,49 @@ def running_sums(df: DataFrame, group_cols: list[str], value_col: str,
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
-                    group_cols: list[str] | None = None) -> DataFrame:
+                    group_cols: list[str] | None = None, n_buckets: int | None = None) -> DataFrame:
     """numpy/pandas default (linear interpolation) quantiles, exact, without
-    gathering a group's values in one task.  Returns
-    ``(group..., prob, quantile)`` rows, one per requested probability."""
-    group_cols = group_cols or []
-    base = df.select(*group_cols, F.col(value_col).cast("double").alias("_v"),
-                     F.lit(1).cast("long").alias("n"))
-    rs = running_sums(base, group_cols, "_v", ["n"])
-    probs_arr = F.array(*[F.lit(float(p)) for p in probs])
-    # 0-based rank positions lo/hi of each prob; a row holds ranks
-    # [cum_n - n, cum_n - 1].
-    targets = F.transform(probs_arr, lambda p: F.struct(
-        p.alias("prob"),
-        (p * (F.col("tot_n") - 1)).alias("k")))
-    hits = rs.select(
-        *group_cols, "_v", "n", "cum_n", "tot_n",
-        F.explode(F.filter(F.transform(targets, lambda s: F.struct(
-            s["prob"].alias("prob"), s["k"].alias("k"),
-            F.floor(s["k"]).alias("lo"), F.ceil(s["k"]).alias("hi"))),
-            lambda s: ((s["lo"] >= F.col("cum_n") - F.col("n")) & (s["lo"] <= F.col("cum_n") - 1))
-            | ((s["hi"] >= F.col("cum_n") - F.col("n")) & (s["hi"] <= F.col("cum_n") - 1))))
-        .alias("t"))
-    lo_hit = (F.col("t.lo") >= F.col("cum_n") - F.col("n")) & (F.col("t.lo") <= F.col("cum_n") - 1)
-    hi_hit = (F.col("t.hi") >= F.col("cum_n") - F.col("n")) & (F.col("t.hi") <= F.col("cum_n") - 1)
-    per = hits.groupBy(*group_cols, F.col("t.prob").alias("prob")).agg(
-        F.max(F.when(lo_hit, F.col("_v"))).alias("v_lo"),
-        F.max(F.when(hi_hit, F.col("_v"))).alias("v_hi"),
-        F.first("t.k").alias("k"))
+    gathering a group's values in one task.  Only the value buckets that hold
+    a target rank are ordered (a semi join on the tiny bucket table), and the
+    target ranks meet their rows by an equi-join on (group, bucket) plus a
+    range filter - no per-row array work.  Returns
+    ``(group..., prob, quantile)``, one row per requested probability."""
+    g = list(group_cols or [])
+    single = not g
+    if single:  # one implicit group, so every join below is an equi-join
+        df, g = df.withColumn("_g", F.lit(0)), ["_g"]
+    base = df.select(*g, F.col(value_col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    bucket = value_buckets(base, g, "_v", n_buckets)
+    d = base.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("n")).withColumn(_BKT, bucket)
+    pt = d.groupBy(*g, _BKT).agg(F.sum("n").alias("pt"))
+    wg = Window.partitionBy(*g) if g else Window.partitionBy()
+    offs = pt.select(*g, _BKT, "pt",
+                     F.coalesce(F.sum("pt").over(wg.orderBy(_BKT).rowsBetween(
+                         Window.unboundedPreceding, -1)), F.lit(0)).alias("off"),
+                     F.sum("pt").over(wg).alias("tot"))
+    # target ranks (0-based) per group: lo = floor(p (N-1)), hi = ceil(...)
+    tg = (offs.select(*g, "tot").distinct()
+          .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+          .withColumn("k", F.col("prob") * (F.col("tot") - 1))
+          .withColumn("r", F.explode(F.array(F.floor("k"), F.ceil("k")))))
+    # at most groups x probs x 2 rows, each placed in its bucket
+    tb = tg.join(offs.drop("tot"), g, "inner")
+    tb = tb.filter((F.col("r") >= F.col("off")) & (F.col("r") < F.col("off") + F.col("pt")))
+    tb = tb.select(*g, _BKT, "off", "prob", "k", "r")
+    need = tb.select(*g, _BKT).distinct()
+    rows = d.join(F.broadcast(need), [*g, _BKT], "left_semi")
+    wl = (Window.partitionBy(*g, _BKT).orderBy("_v")
+          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("_c", F.sum("n").over(wl))
+    hit = rows.join(F.broadcast(tb), [*g, _BKT]).filter(
+        (F.col("r") >= F.col("off") + F.col("_c") - F.col("n"))
+        & (F.col("r") <= F.col("off") + F.col("_c") - 1))
+    per = hit.groupBy(*g, "prob").agg(
+        F.min(F.when(F.col("r") == F.floor("k"), F.col("_v"))).alias("v_lo"),
+        F.max(F.when(F.col("r") == F.ceil("k"), F.col("_v"))).alias("v_hi"),
+        F.first("k").alias("k"))
     return per.select(
-        *group_cols, "prob",
+        *([] if single else g), "prob",
         (F.col("v_lo") + (F.col("k") - F.floor("k")) * (F.col("v_hi") - F.col("v_lo")))
         .alias("quantile"))
 

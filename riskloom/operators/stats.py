@@ -78,40 +78,69 @@ def quantile_edges(long_ref: DataFrame, n_bins: int = 10) -> DataFrame:
 
 
 # --- A4 -----------------------------------------------------------------------
-def bin_index(value, edges) -> Column:
-    """numpy.histogram bin: [e_i, e_i+1), last bin closed, outside -> null."""
-    v, e = col(value), col(edges)
-    n = F.size(e)
-    inside = (v >= F.element_at(e, 1)) & (v <= F.element_at(e, -1))
-    idx = F.when(v == F.element_at(e, -1), n - 2).otherwise(
-        F.size(F.filter(e, lambda x: x <= v)) - 1)
-    return F.when(inside & (n >= 2), idx)
-
-
-def histogram(long: DataFrame, edges: DataFrame, clamp: bool = False) -> DataFrame:
+def edges_dict(edges) -> dict:
+    """Fitted bin edges as {feature: [edges]} (one short list per feature:
+    the only thing that reaches the driver)."""
+    if isinstance(edges, dict):
+        return edges
+    return {r["feature"]: list(r["edges"]) for r in edges.select("feature", "edges").collect()}
+
+
+def bin_index(value, edges: list) -> Column:
+    """numpy.histogram bin for literal ``edges``: [e_i, e_i+1), last bin
+    closed, outside -> null.  A balanced CASE WHEN search (codegen'd)."""
+    from .ordered import _bucket_tree
+    v = col(value)
+    n = len(edges)
+    if n < 2:
+        return F.lit(None).cast("int")
+    inner = _bucket_tree(v, [float(e) for e in edges[1:-1]], 0, n - 2)
+    return (F.when((v < F.lit(float(edges[0]))) | (v > F.lit(float(edges[-1]))), F.lit(None))
+            .when(v == F.lit(float(edges[-1])), F.lit(n - 2)).otherwise(inner)).cast("int")
+
+
+def bins_expr(edges: dict, value="value", feature="feature", clamp: bool = False) -> Column:
+    """Per-feature bin of ``value`` (null for unknown features / outside)."""
+    out = None
+    for f, e in edges.items():
+        v = col(value)
+        if clamp and len(e) >= 2:
+            v = F.least(F.greatest(v, F.lit(float(e[0]))), F.lit(float(e[-1])))
+        b = bin_index(v, e)
+        out = F.when(col(feature) == f, b) if out is None else out.when(col(feature) == f, b)
+    return out if out is not None else F.lit(None).cast("int")
+
+
+def histogram(long: DataFrame, edges, clamp: bool = False) -> DataFrame:
     """Counts per (feature, bin).  ``clamp`` first clips values to the edge
     range (baseline variant); otherwise outside values are dropped."""
-    j = long.join(F.broadcast(edges), "feature")
-    v = F.col("value")
-    if clamp:
-        v = F.least(F.greatest(v, F.element_at("edges", 1)), F.element_at("edges", -1))
-    return (j.select("feature", bin_index(v, "edges").alias("bin"))
-             .filter(F.col("bin").isNotNull())
-             .groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n")))
+    e = edges_dict(edges)
+    return (long.select("feature", bins_expr(e, clamp=clamp).alias("bin"))
+                .filter(F.col("bin").isNotNull())
+                .groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n")))
+
+
+def edges_frame(spark, edges: dict) -> DataFrame:
+    """The fitted edges as a small literal frame (features x 1 row)."""
+    return spark.createDataFrame([(f, [float(x) for x in e]) for f, e in edges.items()],
+                                 "feature string, edges array<double>")
 
 
-def _all_bins(edges: DataFrame) -> DataFrame:
-    return (edges.filter(F.size("edges") >= 2)
-            .select("feature", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin")))
+def _all_bins(spark, edges: dict) -> DataFrame:
+    """Every (feature, bin) of the fitted edges: a literal frame of at most
+    features x n_bins rows."""
+    return spark.createDataFrame([(f, i) for f, e in edges.items() if len(e) >= 2
+                                  for i in range(len(e) - 1)], "feature string, bin int")
 
 
-def bin_counts(ref_long: DataFrame, cur_long: DataFrame, edges: DataFrame,
+def bin_counts(ref_long: DataFrame, cur_long: DataFrame, edges,
                clamp_cur: bool = False) -> DataFrame:
     """Every bin of every feature with reference and current counts (0 when
     empty)."""
-    hr = histogram(ref_long, edges).withColumnRenamed("n", "n_ref")
-    hc = histogram(cur_long, edges, clamp=clamp_cur).withColumnRenamed("n", "n_cur")
-    return (_all_bins(edges).join(hr, ["feature", "bin"], "left")
+    e = edges_dict(edges)
+    hr = histogram(ref_long, e).withColumnRenamed("n", "n_ref")
+    hc = histogram(cur_long, e, clamp=clamp_cur).withColumnRenamed("n", "n_cur")
+    return (_all_bins(ref_long.sparkSession, e).join(hr, ["feature", "bin"], "left")
             .join(hc, ["feature", "bin"], "left")
             .fillna(0, ["n_ref", "n_cur"]))
 
@@ -128,9 +157,10 @@ def baseline_stats(ref: DataFrame, numeric: list[str], categorical: list[str],
         long = to_long(ref, numeric)
         cnt = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
                                           F.stddev_samp("value").alias("sd"))
-        edges = quantile_edges(long, n_bins).filter(F.size("edges") >= 2)
-        h = histogram(long, edges)
-        bins = _all_bins(edges).join(h, ["feature", "bin"], "left").fillna(0, ["n"])
+        e = {f: v for f, v in edges_dict(quantile_edges(long, n_bins)).items() if len(v) >= 2}
+        edges = edges_frame(ref.sparkSession, e)
+        h = histogram(long, e)
+        bins = _all_bins(ref.sparkSession, e).join(h, ["feature", "bin"], "left").fillna(0, ["n"])
         props = (bins.groupBy("feature")
                  .agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bn"))
                  .select("feature", F.transform("bn", lambda s: s["n"]).alias("cs")))
@@ -171,7 +201,7 @@ def psi_raw(ref_long: DataFrame, cur_long: DataFrame, n_bins: int = 10) -> DataF
     value falls inside the range (the reference returns NaN there)."""
     nref = ref_long.groupBy("feature").agg(F.count(F.lit(1)).alias("n_ref_total"))
     ncur = cur_long.groupBy("feature").agg(F.count(F.lit(1)).alias("n_cur_total"))
-    edges = quantile_edges(ref_long, n_bins)
+    edges = edges_dict(quantile_edges(ref_long, n_bins))
     bc = bin_counts(ref_long, cur_long, edges)
     tot = bc.groupBy("feature").agg(F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur"))
     b = bc.join(tot, "feature")
@@ -217,8 +247,9 @@ def psi_normalised(baseline: DataFrame, current: DataFrame, min_count: int = 10)
                              ("double", "float", "int", "bigint", "smallint")])
     long = long.join(F.broadcast(num_b.select("feature")), "feature")
     n = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-    h = histogram(long, num_b.select("feature", "edges"), clamp=True)
-    bins = _all_bins(num_b.select("feature", "edges")).join(h, ["feature", "bin"], "left").fillna(0, ["n"])
+    e = edges_dict(num_b.select("feature", "edges"))
+    h = histogram(long, e, clamp=True)
+    bins = _all_bins(current.sparkSession, e).join(h, ["feature", "bin"], "left").fillna(0, ["n"])
     cur_arr = (bins.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bn"))
                .select("feature", F.transform("bn", lambda s: s["n"]).alias("counts")))
     num = (num_b.join(cur_arr, "feature").join(n, "feature").filter(F.col("n") >= min_count)
