@@ -259,9 +259,12 @@ def estimate_tokens(text) -> Column:
     return F.greatest(F.lit(1), F.floor(word_count(text) * 4 / 3).cast("int"))
 
 
-def scored_candidates(cands: DataFrame) -> DataFrame:
-    """(case_key, idx, raw) -> + parsed struct p, score, tokens."""
-    out = parse_candidates(cands)
+def scored_candidates(cands: DataFrame, key: str = "case_key") -> DataFrame:
+    """(case_key, idx, raw) -> + parsed struct p, score, tokens.  The JSON
+    work is per row; a narrow input is hash-spread on the case key first,
+    which the per-case grouping after it reuses."""
+    from ..session import ensure_parallel
+    out = parse_candidates(ensure_parallel(cands, key if key in cands.columns else None))
     out = out.withColumn("score", score_candidate(F.col("p")))
     if "tokens" not in out.columns:
         out = out.withColumn("tokens", estimate_tokens("raw"))
@@ -315,7 +318,7 @@ def _empty_arr() -> Column:
 def candidate_lists(cands: DataFrame, key: str = "case_key") -> DataFrame:
     """One row per case with its candidates sorted by idx (a list of fixed,
     small length: n candidates)."""
-    s = scored_candidates(cands)
+    s = scored_candidates(cands, key)
     return s.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
         "idx", "raw", "p", "score", "tokens"))).alias("cands"))
 

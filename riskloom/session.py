@@ -63,3 +63,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="riskloom-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def ensure_parallel(df, key: str | None = None):
+    """Spread a frame that arrives in fewer partitions than the cluster's
+    default parallelism (a single small file scans as one task) before
+    heavy per-row work.  Inputs with enough splits - any multi-file table
+    on a cluster - are returned unchanged, so no shuffle is added there.
+    With ``key`` the spread is a hash partitioning a later group-by / join
+    on that key reuses."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)

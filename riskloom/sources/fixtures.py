@@ -57,9 +57,12 @@ def fx_clientes(t) -> DataFrame:
 def fx_contas(t) -> DataFrame:
     c = t.customer.select("c_custkey", "c_acctbal").alias("c")
     o = t.orders.select("o_custkey", "o_orderstatus", "o_totalprice").alias("o")
+    # grouped by the key alone (the balance is one value per client), so the
+    # joins on id_cliente downstream reuse this hash partitioning
     return (c.join(o, F.col("o.o_custkey") == F.col("c.c_custkey"))
-             .groupBy("c.c_custkey", "c.c_acctbal")
-             .agg(F.expr("AVG(o.o_totalprice) / CAST(50 AS DOUBLE)").alias("saldo_medio_12m"),
+             .groupBy("c.c_custkey")
+             .agg(F.first("c.c_acctbal").alias("c_acctbal"),
+                  F.expr("AVG(o.o_totalprice) / CAST(50 AS DOUBLE)").alias("saldo_medio_12m"),
                   F.expr("SUM(CASE WHEN o.o_orderstatus = 'O' THEN o.o_totalprice "
                          "ELSE CAST(0 AS DOUBLE) END) / CAST(100 AS DOUBLE)").alias("total_dividas"),
                   F.max("o.o_totalprice").alias("total_financiado"),
