@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,8 +62,11 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, numeric: list[str],
     """Per numeric feature with >= min_count values on both sides: psi (A6),
     ks statistic (A8), p-value and level."""
     rl, cl = st.to_long(ref, numeric), st.to_long(cur, numeric)
-    psi = st.psi_raw(rl, cl, th.n_bins)
-    ks = st.ks_two_sample(rl, cl)
+    # shared by bins, PSI, sizes and KS: one row per distinct value, kept
+    # (memory and disk) because four jobs read it
+    vc = st.value_counts(rl, cl).persist(StorageLevel.MEMORY_AND_DISK)
+    psi = st.psi_raw(rl, cl, th.n_bins, counts=vc)
+    ks = st.ks_two_sample(rl, cl, counts=vc)
     if with_p:
         ks = st.with_ks_pvalue(ks)
     out = (psi.filter((F.col("n_ref_total") >= th.min_count) & (F.col("n_cur_total") >= th.min_count))
@@ -125,8 +129,9 @@ def drift_summary(num_rows: DataFrame, th: DriftThresholds = DEFAULT) -> DataFra
 def _one_feature_drift(ref: DataFrame, cur: DataFrame, c: str, th: DriftThresholds,
                        with_p: bool = True) -> DataFrame:
     rl, cl = st.to_long(ref, [c]), st.to_long(cur, [c])
-    psi = st.psi_raw(rl, cl, th.n_bins)
-    ks = st.ks_two_sample(rl, cl)
+    vc = st.value_counts(rl, cl).persist(StorageLevel.MEMORY_AND_DISK)
+    psi = st.psi_raw(rl, cl, th.n_bins, counts=vc)
+    ks = st.ks_two_sample(rl, cl, counts=vc)
     if with_p:
         ks = st.with_ks_pvalue(ks)
     out = psi.join(ks.drop("n_ref", "n_cur", "_small"), "feature", "left") \

@@ -37,11 +37,29 @@ def _bucket_tree(v: Column, bounds: list[float], lo: int, hi: int) -> Column:
         .otherwise(_bucket_tree(v, bounds, mid, hi))
 
 
+_BOUNDS_MEMO: dict = {}
+
+
 def value_buckets(df: DataFrame, group_cols: list[str], value_col: str,
                   n_buckets: int | None = None, accuracy: int = 10000) -> Column:
     """Column giving each row its value bucket (per group).  Numeric values:
     ``percentile_approx`` bounds; other ordered types (strings): bounds from
-    a seeded sample of at most ~50 values per bucket."""
+    a seeded sample of at most ~50 values per bucket.  Bounds of the same
+    plan are fitted once per session (memo keyed by the plan's semantic
+    hash)."""
+    spark = df.sparkSession
+    memo_key = (id(spark), df.semanticHash(), tuple(group_cols), value_col, n_buckets)
+    if memo_key in _BOUNDS_MEMO:
+        return _BOUNDS_MEMO[memo_key]
+    col_ = _value_buckets(df, group_cols, value_col, n_buckets, accuracy)
+    if len(_BOUNDS_MEMO) > 256:
+        _BOUNDS_MEMO.clear()
+    _BOUNDS_MEMO[memo_key] = col_
+    return col_
+
+
+def _value_buckets(df: DataFrame, group_cols: list[str], value_col: str,
+                   n_buckets: int | None, accuracy: int) -> Column:
     spark = df.sparkSession
     if n_buckets is None:
         n_buckets = max(8, min(1024, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
@@ -108,20 +126,24 @@ def running_sums(df: DataFrame, group_cols: list[str], value_col: str,
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
-                    group_cols: list[str] | None = None, n_buckets: int | None = None) -> DataFrame:
+                    group_cols: list[str] | None = None, n_buckets: int | None = None,
+                    weight_col: str | None = None) -> DataFrame:
     """numpy/pandas default (linear interpolation) quantiles, exact, without
     gathering a group's values in one task.  Only the value buckets that hold
     a target rank are ordered (a semi join on the tiny bucket table), and the
     target ranks meet their rows by an equi-join on (group, bucket) plus a
-    range filter - no per-row array work.  Returns
-    ``(group..., prob, quantile)``, one row per requested probability."""
+    range filter - no per-row array work.  ``weight_col`` gives a count per
+    row (value-count input).  Returns ``(group..., prob, quantile)``, one row
+    per requested probability."""
     g = list(group_cols or [])
     single = not g
     if single:  # one implicit group, so every join below is an equi-join
         df, g = df.withColumn("_g", F.lit(0)), ["_g"]
-    base = df.select(*g, F.col(value_col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    w = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
+    base = (df.select(*g, F.col(value_col).cast("double").alias("_v"), w.alias("_w"))
+            .filter(F.col("_v").isNotNull() & (F.col("_w") > 0)))
     bucket = value_buckets(base, g, "_v", n_buckets)
-    d = base.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("n")).withColumn(_BKT, bucket)
+    d = base.groupBy(*g, "_v").agg(F.sum("_w").alias("n")).withColumn(_BKT, bucket)
     pt = d.groupBy(*g, _BKT).agg(F.sum("n").alias("pt"))
     wg = Window.partitionBy(*g) if g else Window.partitionBy()
     offs = pt.select(*g, _BKT, "pt",

@@ -68,12 +68,25 @@ def value_shares(long_cat: DataFrame) -> DataFrame:
         "feature", "category", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
+# --- value counts ---------------------------------------------------------------
+def value_counts(ref_long: DataFrame, cur_long: DataFrame) -> DataFrame:
+    """(feature, value, a, b): how often each value occurs in the reference
+    (a) and current (b) sample.  One shuffle; every two-sample statistic
+    below (bins, PSI, KS, sizes) reads this table, which holds one row per
+    distinct value however often it repeats."""
+    both = (ref_long.select("feature", "value", F.lit(1).cast("long").alias("a"),
+                            F.lit(0).cast("long").alias("b"))
+            .unionByName(cur_long.select("feature", "value", F.lit(0).cast("long").alias("a"),
+                                         F.lit(1).cast("long").alias("b"))))
+    return both.groupBy("feature", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
 # --- A3 -----------------------------------------------------------------------
-def quantile_edges(long_ref: DataFrame, n_bins: int = 10) -> DataFrame:
+def quantile_edges(long_ref: DataFrame, n_bins: int = 10, weight_col: str | None = None) -> DataFrame:
     """Per feature: the n+1 linear-interpolated quantiles, de-duplicated and
     sorted (numpy ``unique(quantile(x, linspace(0, 1, n+1)))``)."""
     probs = [i / n_bins for i in range(n_bins + 1)]
-    q = exact_quantiles(long_ref, "value", probs, ["feature"])
+    q = exact_quantiles(long_ref, "value", probs, ["feature"], weight_col=weight_col)
     return q.groupBy("feature").agg(F.array_sort(F.collect_set("quantile")).alias("edges"))
 
 
@@ -194,15 +207,23 @@ def baseline_stats(ref: DataFrame, numeric: list[str], categorical: list[str],
 
 
 # --- A6 -----------------------------------------------------------------------
-def psi_raw(ref_long: DataFrame, cur_long: DataFrame, n_bins: int = 10) -> DataFrame:
+def psi_raw(ref_long: DataFrame, cur_long: DataFrame, n_bins: int = 10,
+            counts: DataFrame | None = None) -> DataFrame:
     """PSI per feature with reference-quantile bins; shares clipped at 1e-6 but
     not renormalised; current values outside the reference range dropped.
     0.0 when a side has < n_bins values or < 2 edges; null when no current
-    value falls inside the range (the reference returns NaN there)."""
-    nref = ref_long.groupBy("feature").agg(F.count(F.lit(1)).alias("n_ref_total"))
-    ncur = cur_long.groupBy("feature").agg(F.count(F.lit(1)).alias("n_cur_total"))
-    edges = edges_dict(quantile_edges(ref_long, n_bins))
-    bc = bin_counts(ref_long, cur_long, edges)
+    value falls inside the range (the reference returns NaN there).
+    Computed from the value-count table (pass ``counts`` to share it)."""
+    vc = counts if counts is not None else value_counts(ref_long, cur_long)
+    sizes = vc.groupBy("feature").agg(F.sum("a").alias("n_ref_total"),
+                                      F.sum("b").alias("n_cur_total"))
+    edges = edges_dict(quantile_edges(vc, n_bins, weight_col="a"))
+    spark = vc.sparkSession
+    binned = (vc.select("feature", bins_expr(edges).alias("bin"), "a", "b")
+              .filter(F.col("bin").isNotNull())
+              .groupBy("feature", "bin").agg(F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur")))
+    bc = (_all_bins(spark, edges).join(binned, ["feature", "bin"], "left")
+          .fillna(0, ["n_ref", "n_cur"]))
     tot = bc.groupBy("feature").agg(F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur"))
     b = bc.join(tot, "feature")
     pe = F.greatest(F.try_divide(F.col("n_ref"), F.col("t_ref")), F.lit(EPS))
@@ -210,8 +231,7 @@ def psi_raw(ref_long: DataFrame, cur_long: DataFrame, n_bins: int = 10) -> DataF
     psi = b.groupBy("feature").agg(
         F.sum((pa - pe) * F.log(pa / pe)).alias("psi_v"),
         F.first("t_cur").alias("t_cur"))
-    feats = nref.join(ncur, "feature", "full").fillna(0, ["n_ref_total", "n_cur_total"])
-    out = feats.join(psi, "feature", "left")
+    out = sizes.join(psi, "feature", "left")
     return out.select(
         "feature",
         F.when((F.col("n_ref_total") < n_bins) | (F.col("n_cur_total") < n_bins), F.lit(0.0))
@@ -300,24 +320,23 @@ def category_align(ref_long_cat: DataFrame, cur_long_cat: DataFrame) -> DataFram
 
 
 # --- A8 -----------------------------------------------------------------------
-def ks_two_sample(ref_long: DataFrame, cur_long: DataFrame, min_count: int = 5) -> DataFrame:
+def ks_two_sample(ref_long: DataFrame, cur_long: DataFrame, min_count: int = 5,
+                  counts: DataFrame | None = None) -> DataFrame:
     """Two-sample KS statistic per feature (max |F_ref - F_cur| over all
     values, ties handled by grouping equal values) plus sizes; (0, p=1) when
     a side has < ``min_count`` values.  p-value: see :func:`with_ks_pvalue`."""
-    both = (ref_long.select("feature", "value", F.lit(1).cast("long").alias("a"),
-                            F.lit(0).cast("long").alias("b"))
-            .unionByName(cur_long.select("feature", "value", F.lit(0).cast("long").alias("a"),
-                                         F.lit(1).cast("long").alias("b"))))
-    rs = running_sums(both, ["feature"], "value", ["a", "b"])
-    st = rs.groupBy("feature").agg(
-        F.max(F.abs(F.col("cum_a") / F.col("tot_a") - F.col("cum_b") / F.col("tot_b"))).alias("d"),
+    vc = counts if counts is not None else value_counts(ref_long, cur_long)
+    rs = running_sums(vc, ["feature"], "value", ["a", "b"])
+    st_ = rs.groupBy("feature").agg(
+        F.max(F.abs(F.try_divide(F.col("cum_a"), F.col("tot_a"))
+                    - F.try_divide(F.col("cum_b"), F.col("tot_b")))).alias("d"),
         F.first("tot_a").alias("n_ref"), F.first("tot_b").alias("n_cur"))
     small = (F.col("n_ref") < min_count) | (F.col("n_cur") < min_count) \
         | F.col("n_ref").isNull() | F.col("n_cur").isNull()
-    return st.select("feature", F.when(small, F.lit(0.0)).otherwise(F.col("d")).alias("ks_statistic"),
-                     F.coalesce("n_ref", F.lit(0)).alias("n_ref"),
-                     F.coalesce("n_cur", F.lit(0)).alias("n_cur"),
-                     small.alias("_small"))
+    return st_.select("feature", F.when(small, F.lit(0.0)).otherwise(F.col("d")).alias("ks_statistic"),
+                      F.coalesce("n_ref", F.lit(0)).alias("n_ref"),
+                      F.coalesce("n_cur", F.lit(0)).alias("n_cur"),
+                      small.alias("_small"))
 
 
 def kolmogorov_sf(x: float) -> float:
