@@ -73,7 +73,8 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, numeric: list[str],
            .join(ks.drop("n_ref", "n_cur"), "feature"))
     if with_p:
         out = out.withColumn("nivel", drift_level("psi", "ks_p_value", th))
-    return out.drop("n_ref_total", "n_cur_total", "_small")
+    # one row per feature, used by the rows and the summary of the report
+    return out.drop("n_ref_total", "n_cur_total", "_small").persist()
 
 
 def categorical_drift(ref: DataFrame, cur: DataFrame, categorical: list[str],

@@ -203,7 +203,8 @@ def baseline_stats(ref: DataFrame, numeric: list[str], categorical: list[str],
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
-    return out
+    # one row per feature, read several times by the drift jobs: keep it
+    return out.persist()
 
 
 # --- A6 -----------------------------------------------------------------------
