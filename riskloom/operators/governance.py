@@ -478,9 +478,19 @@ def retry_prompt(details="i6q_details") -> Column:
 REGIMES = {"R1": r1_decide, "R2": r2_decide, "R3": r3_decide}
 
 
+def register_regime(name: str, fn) -> None:
+    """Add a regime with the same contract
+    ``fn(cases, candidate_lists, key, thresholds) -> decisions``."""
+    if not callable(fn):
+        raise TypeError("regime must be callable")
+    REGIMES[name] = fn
+
+
 def decide(regime: str, cases: DataFrame, cands: DataFrame, key: str = "case_key",
            th: GovernanceThresholds = DEFAULT) -> DataFrame:
     lists = candidate_lists(cands, key)
+    if regime not in REGIMES:
+        raise ValueError(f"unknown regime {regime}; known: {sorted(REGIMES)}")
     fn = REGIMES[regime]
     if regime == "R1":
         return fn(cases, lists, key)

@@ -86,6 +86,15 @@ def metric_decay(metrics: DataFrame, as_of: str, window_days: int, ts_col: str =
                     "degradacao"))
 
 
+# --- F5 -----------------------------------------------------------------------
+def window_filter(df: DataFrame, ts_col: str, as_of: str, hours: int = 0,
+                  days: int = 0) -> DataFrame:
+    """Rows with time >= as_of - window (a literal bound: pushed to the scan,
+    prunes date partitions)."""
+    cutoff = ts_lit(as_of) - F.make_dt_interval(F.lit(days), F.lit(hours))
+    return df.filter(F.col(ts_col).cast("timestamp_ntz") >= cutoff)
+
+
 # --- W4 ---------------------------------------------------------------------
 def last_n(df: DataFrame, ts_col: str, n: int = 24) -> DataFrame:
     """Newest ``n`` rows (TakeOrderedAndProject: per-partition top-n then one

@@ -549,3 +549,62 @@ def q_any_drift(t):
     rows = dr.numeric_drift(ref, cur, NUM, with_p=False).withColumn(
         "drift_detected", F.col("psi") > 0.2)
     return st.any_drift(rows)
+
+
+# ---- W4 / F5 / D11 -------------------------------------------------------------
+@register("last_metrics", """
+SELECT dia, n_amostras, round(auc_roc, 6) AS auc_roc, round(precisao, 6) AS precisao
+FROM fx_metricas ORDER BY dia DESC LIMIT 24""")
+def q_last_metrics(t):
+    """The newest 24 metric rows (top-k: per-partition top-n, one merge)."""
+    from ..operators.windows import last_n
+    m = t.fx_metricas.select("dia", "n_amostras", "auc_roc", "precisao")
+    return finish(last_n(m, "dia", 24))
+
+
+@register("window_filter", f"""
+SELECT event_id, id_cliente, momento FROM fx_predicoes
+WHERE momento >= TIMESTAMP '{AS_OF_FRAUDE}' - INTERVAL 72 HOUR""")
+def q_window_filter(t):
+    """prediction rows of the last 72 hours before as_of."""
+    from ..operators.windows import window_filter
+    return window_filter(t.fx_predicoes, "momento", AS_OF_FRAUDE, hours=72) \
+        .select("event_id", "id_cliente", "momento")
+
+
+@register("monitoring_report", f"""
+WITH d7 AS ({_DECAY_SQL.format(days=7, as_of=AS_OF_FRAUDE)}),
+d30 AS ({_DECAY_SQL.format(days=30, as_of=AS_OF_FRAUDE)}),
+p AS (SELECT count(*) AS n, round(avg(probabilidade), 4) AS m FROM fx_predicoes
+      WHERE momento >= TIMESTAMP '{AS_OF_FRAUDE}' - INTERVAL 24 HOUR)
+SELECT (SELECT count(*) FROM fx_metricas) AS total_metricas_registradas,
+       (SELECT count(*) FROM fx_predicoes) AS total_predicoes_registradas,
+       COALESCE((SELECT bool_or(degradacao) FROM d7), false) AS degradacao_7d,
+       COALESCE((SELECT bool_or(degradacao) FROM d30), false) AS degradacao_30d,
+       (SELECT n FROM p) AS n_predicoes_24h, (SELECT m FROM p) AS probabilidade_media_24h,
+       (SELECT max(dia) FROM fx_metricas) AS ultima_metrica""")
+def q_monitoring_report(t):
+    """Totals, 7 d / 30 d decay flags, 24 h distribution, last metric
+    (one row composed from W3, A15 and W4 aggregates, no join)."""
+    m = t.fx_metricas.withColumn("timestamp", F.col("dia").cast("timestamp_ntz"))
+    cols = ["auc_roc", "precisao", "recall", "f1"]
+    d7 = metric_decay(m, AS_OF_FRAUDE, 7, metric_cols=cols).agg(
+        F.coalesce(F.bool_or("degradacao"), F.lit(False)).alias("degradacao_7d"))
+    d30 = metric_decay(m, AS_OF_FRAUDE, 30, metric_cols=cols).agg(
+        F.coalesce(F.bool_or("degradacao"), F.lit(False)).alias("degradacao_30d"))
+    from ..operators.windows import window_filter
+    p24 = window_filter(t.fx_predicoes, "momento", AS_OF_FRAUDE, hours=24).agg(
+        F.count(F.lit(1)).alias("n_predicoes_24h"),
+        F.round(F.avg("probabilidade"), 4).alias("probabilidade_media_24h"))
+    tm = t.fx_metricas.agg(F.count(F.lit(1)).alias("total_metricas_registradas"),
+                           F.max("dia").alias("ultima_metrica"))
+    tp = t.fx_predicoes.agg(F.count(F.lit(1)).alias("total_predicoes_registradas"))
+    parts = [tm, tp, d7, d30, p24]
+    names = ["total_metricas_registradas", "total_predicoes_registradas", "degradacao_7d",
+             "degradacao_30d", "n_predicoes_24h", "probabilidade_media_24h", "ultima_metrica"]
+    # five one-row aggregates stacked and folded into one row
+    stacked = None
+    for df in parts:
+        full = df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in names])
+        stacked = full if stacked is None else stacked.unionByName(full, allowMissingColumns=True)
+    return finish(stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in names]))

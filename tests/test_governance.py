@@ -166,3 +166,15 @@ def test_govern_table_offline_provider(spark, tables_small):
     rows = out.collect()
     assert rows and {r["regime"] for r in rows} == {"R3"}
     assert {r["decisao"] for r in rows} <= {"APPROVE", "REJECT", "DEFER", "ESCALATE", "ERRO"}
+
+
+def test_register_regime(spark):
+    import pytest as _pt
+
+    def always_defer(cases, lists, key, th):
+        return cases.select("case_id", F.lit("DEFER").alias("decision"))
+    gv.register_regime("R_DEFER", always_defer)
+    out = gv.decide("R_DEFER", cases_df(spark, [case()]), _cands(spark, {1: [GOOD]})).first()
+    assert out["decision"] == "DEFER"
+    with _pt.raises(ValueError):
+        gv.decide("R_NONE", cases_df(spark, [case()]), _cands(spark, {1: [GOOD]}))

@@ -60,3 +60,23 @@ def test_validate_gate_texts(spark):
     g = df.select(ml.validate_gate(None).alias("g")).first()["g"]
     assert not g["aprovado"]
     assert g["violacoes"] == ["AUC-ROC 0.7500 < minimo 0.8", "Amostra teste 50 < minimo 100"]
+
+
+def test_save_load_model_roundtrip(spark, tmp_path):
+    df = prep.prepare_default(
+        __import__("riskloom.sources.synth", fromlist=["synth_default"]).synth_default(spark, 400),
+        keep=["id_cliente", "inadimplente"])
+    model = ml.train_default(df, prep.DEFAULT_FEATURES, "inadimplente", dict(ml.DEFAULT_GBT, maxIter=3))
+    path = str(tmp_path / "modelo")
+    ml.save_model(model, path, prep.DEFAULT_FEATURES, {"versao": "1"})
+    loaded, meta = ml.load_model(path)
+    assert meta["features"] == prep.DEFAULT_FEATURES and meta["versao"] == "1"
+    a = ml.positive_prob(model.transform(df)).select("p").collect()
+    b = ml.positive_prob(loaded.transform(df)).select("p").collect()
+    assert a == b
+
+
+def test_pick_feature_columns(spark):
+    from riskloom.operators.stats import pick_feature_columns
+    df = spark.createDataFrame([(1, 2.0, "x", 0)], "id_cliente long, v double, c string, inadimplente int")
+    assert pick_feature_columns(df) == (["v"], ["c"])
