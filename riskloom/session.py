@@ -20,6 +20,9 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # AQE keeps partitions of at least this size when coalescing; small
+    # but compute-heavy stages (JSON rules, trees) keep their parallelism
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256KB",
 }
 
 
