@@ -186,3 +186,27 @@ def dense_codes(df: DataFrame, col: str, code_col: str | None = None) -> DataFra
     rs = running_sums(distinct, [], "_k", ["_one"])
     dic = rs.select(F.col("_k").alias(col), (F.col("cum__one") - 1).cast("int").alias(code_col))
     return df.join(dic, col, "left")
+
+
+def dense_code_dictionary(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One dictionary ``(column, value, code)`` for several categorical
+    columns at once: unpivot, distinct, one running count per column (the
+    bucket bounds are fitted once for all columns)."""
+    long = (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+            .unpivot([], cols, "_col", "_k").filter(F.col("_k").isNotNull()).distinct()
+            .withColumn("_one", F.lit(1).cast("long")))
+    rs = running_sums(long, ["_col"], "_k", ["_one"])
+    return rs.select(F.col("_col").alias("column"), F.col("_k").alias("value"),
+                     (F.col("cum__one") - 1).cast("int").alias("code"))
+
+
+def dense_codes_many(df: DataFrame, cols: list[str], suffix: str = "_encoded") -> DataFrame:
+    """Label-encode several columns with one shared dictionary job; each
+    column joins its slice of the dictionary (AQE broadcasts small slices)."""
+    dic = dense_code_dictionary(df, cols)
+    out = df
+    for c in cols:
+        d = dic.filter(F.col("column") == c).select(F.col("value").alias(c),
+                                                     F.col("code").alias(f"{c}{suffix}"))
+        out = out.join(d, c, "left")
+    return out

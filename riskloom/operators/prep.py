@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import clip, col, nan_to_null, safe_div, ts_lit, whole_days_between
-from .ordered import dense_codes, exact_quantiles
+from .ordered import dense_codes_many, exact_quantiles
 from .windows import account_mean, trailing_counts
 
 # ---------------------------------------------------------------------------
@@ -221,14 +221,26 @@ def global_mode(df: DataFrame, c: str):
             .agg(F.min(c).alias("mode")))
 
 
+def global_modes(df: DataFrame, cols: list[str]) -> dict:
+    """Modes of several columns from one counting pass (unpivot, count per
+    value, then max count and smallest value at that count per column)."""
+    long = (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+            .unpivot([], cols, "_col", "_v").filter(F.col("_v").isNotNull()))
+    counts = long.groupBy("_col", "_v").count()
+    top = counts.groupBy("_col").agg(F.max("count").alias("m"))
+    res = (counts.join(F.broadcast(top), "_col").filter(F.col("count") == F.col("m"))
+           .groupBy("_col").agg(F.min("_v").alias("mode")).collect())
+    return {r["_col"]: r["mode"] for r in res}
+
+
 def fit_fraud(df: DataFrame) -> FraudFit:
     """Fit p95/p99 of valor (exact, linear interpolation), modal city/state,
     max score_risco and the label-code dictionaries.  Only one-row results
     reach the driver."""
     q = {r["prob"]: r["quantile"] for r in
          exact_quantiles(df, "valor", [0.95, 0.99]).collect()}
-    city = global_mode(df, "cidade").first()["mode"]
-    state = global_mode(df, "estado").first()["mode"]
+    modes = global_modes(df, ["cidade", "estado"])
+    city, state = modes.get("cidade"), modes.get("estado")
     mx = df.agg(F.max("score_risco").alias("m")).first()["m"]
     return FraudFit(p95=q[0.95], p99=q[0.99], city_mode=city, state_mode=state, max_risk=mx)
 
@@ -258,9 +270,10 @@ def prepare_fraud(df: DataFrame, fit: FraudFit | None = None, keep: list[str] |
     keep = keep or [id_col]
     base = account_mean(df, account_col, "valor", "avg_transaction_value")
     base = trailing_counts(base, account_col, ts_col, id_col)
-    for c in FRAUD_CATEGORICAL:
-        if c in base.columns:
-            base = dense_codes(base.withColumn(c, F.coalesce(F.col(c), F.lit("None"))), c)
+    cats = [c for c in FRAUD_CATEGORICAL if c in base.columns]
+    if cats:
+        base = dense_codes_many(
+            base.withColumns({c: F.coalesce(F.col(c), F.lit("None")) for c in cats}), cats)
     v = F.col("valor")
     e = dict(time_parts(ts_col))
     e.update({
