@@ -330,7 +330,17 @@ def q_head_cases(t):
     return finish(head_cases(t.fx_casos.select("case_id", "case_key", "amount"), "case_key", 200))
 
 
-@register("case_prompt")
+@register("case_prompt", f"""
+WITH {CASES_SQL.strip()}
+SELECT case_id, concat_ws(chr(10), 'CASO ID: ' || case_id, 'TIPO DE OPERAÇÃO: ' || operation_type,
+  'VALOR: R$ ' || {money('amount')}, 'SCORE DE CRÉDITO: ' || client_score || '/1000',
+  'RENDA MENSAL: R$ ' || {money('income')},
+  'COMPROMETIMENTO DE RENDA: ' || {fixed('debt_to_income', 1, 100)} || '%',
+  'SCORE DE RISCO INTERNO: ' || {fixed('risk_score', 2)} || '/1.00',
+  CASE WHEN COALESCE(description, '') <> '' THEN 'DESCRIÇÃO: ' || description END,
+  'CONTEXTO ADICIONAL:', '  - meses_inadimplencia_recente: ' || meses_inadimplencia_recente,
+  '  - lista_coaf: ' || CASE WHEN lista_coaf THEN 'True' ELSE 'False' END) AS prompt
+FROM cases""")
 def q_case_prompt(t):
     """Structured case text."""
     return gv.with_dti(t.fx_casos).select("case_id", gv.case_prompt().alias("prompt"))

@@ -502,7 +502,7 @@ d AS (SELECT metrica, base, atual, CASE WHEN base <= 0 THEN 0.0
 SELECT metrica, round(base, 4) AS baseline, round(atual, 4) AS atual, round(dg, 4) AS degradacao,
        dg >= 0.1 AS drifted FROM d
 UNION ALL
-SELECT '__overall__', NULL, NULL, round(avg(dg), 4), avg(dg) >= 0.1 FROM d""")
+SELECT '__overall__', NULL, NULL, round(avg(dg), 4), round(avg(dg), 4) >= 0.1 FROM d""")
 def q_model_decay(t):
     """D7 (with A10 + A12 per window): relative metric degradation."""
     b, c = _eval_sides(t)
@@ -517,7 +517,14 @@ def _reports(t):
     return data, model
 
 
-@register("retrain_decision")
+@register("retrain_decision", _with_long(f""",
+{_BASE_SQL.strip()},
+{_DECAY_MODEL_SQL.strip()[5:]},
+d6 AS (SELECT round(max(round(least(1.0, psi / 0.25), 4)), 4) >= 0.15 AS drift FROM psin),
+d7 AS (SELECT round(avg(dg), 4) >= 0.1 AS drift FROM d)
+SELECT (d6.drift OR d7.drift) AS retrain_triggered, 'fraud_detection' AS modelo,
+       CASE WHEN d6.drift OR d7.drift THEN 'drift' ELSE 'none' END AS motivo
+FROM d6, d7""".replace("WITH ,", "WITH ")))
 def q_retrain_decision(t):
     """D12 + A21: retrain when the data or model report drifted."""
     data, model = _reports(t)
