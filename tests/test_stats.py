@@ -80,6 +80,10 @@ def test_ks_with_ties_matches_brute_force(spark):
     tiny = st.ks_two_sample(_long(spark, [1.0]), _long(spark, b)).first()["ks_statistic"]
     assert tiny == 0.0
     assert st.ks_pvalue(0.0, 100, 100) == 1.0 and st.ks_pvalue(0.5, 100, 100) < 1e-4
+    pdf = spark.createDataFrame([(0.05, 500, 400), (0.2, 100, 80), (0.5, 50, 50)],
+                                "d double, n long, m long")
+    for r in pdf.select("d", "n", "m", st.ks_pvalue_col("d", "n", "m").alias("p")).collect():
+        assert abs(r["p"] - st.ks_pvalue(r["d"], r["n"], r["m"])) < 1e-12
 
 
 def test_chi2_yates_hand_value(spark):
