@@ -67,7 +67,9 @@ def q_stream_metrics_hourly(t):
     return _ntz(jobs.drain(jobs.metrics_hourly(s), ["hora"], "x4"), ["hora"])
 
 
-@register("stream_prediction_log")
+@register("stream_prediction_log", """
+SELECT CAST(momento AS DATE) AS date, count(*) AS n, round(avg(probabilidade), 6) AS media
+FROM fx_predicoes GROUP BY 1""")
 def q_stream_prediction_log(t):
     """The prediction stream appended to date-partitioned files; read
     back as rows per date."""
