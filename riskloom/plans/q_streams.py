@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import stats as st
 from ..sources import fixtures as fx
 from ..streaming import jobs
+from . import catalog
 from .catalog import finish, register
 from .q_stats import CAT, NUM, SPLIT
 
@@ -83,7 +84,8 @@ def q_stream_prediction_log(t):
             .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("probabilidade"), 6).alias("media")))
 
 
-@register("stream_baseline_drift")
+@register("stream_baseline_drift",
+          f"SELECT *, 0 AS batch_id FROM ({catalog._ORACLE['baseline_drift']}) b")
 def q_stream_baseline_drift(t):
     """D6 baseline drift per micro-batch of the current lineitem rows."""
     li = t.lineitem.select(*NUM, *CAT, "l_shipdate")
