@@ -76,6 +76,183 @@ def op9_benchmark_decontamination(spark, sf_dir):
         (F.size(r["spans"]) > 0).alias("contaminated"))
 
 
+@_register("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS b, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT page_id, strlen(b) AS payload_bytes, array_to_string(list_transform(range(0, 32),
+        i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+          (CAST('0x' || substr(h, 1 + 5 * CAST(i // 4 AS INTEGER), 5) AS BIGINT)
+           >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), '') AS payload_digest,
+        max(page_id) OVER (PARTITION BY h) AS head FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> head THEN head END AS refers_to
+FROM r
+""")
+def op1_warc_round_trip(spark, sf_dir):
+    """Every page archived as a WARC record and read back."""
+    from .frames import scratch_path
+    from .warc import read_archives, typed_pages, write_archives
+    path = scratch_path(spark, "warc")
+    write_archives(typed_pages(_table(spark, sf_dir, "pages")), path)
+    return read_archives(spark, path, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# a text's runs of non-white-space, unchanged or with A-Z lower-cased, in DuckDB
+_SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_SPACE_WORDS_LOWER = r"""regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
+
+
+@_register()
+def op2_quality_classifier(spark, sf_dir):
+    """Quality score of every document by the byte-level network."""
+    from .quality import held_out, quality_scores
+    scored, name = quality_scores(_table(spark, sf_dir, "documents"),
+                                  _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"),
+                         F.col(name).alias("score"),
+                         F.when(F.col(name) >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def _op4_sql() -> str:
+    from .licenses import BASE, NOTICES
+    rows = []
+    for i, t in enumerate((*BASE, *NOTICES)):
+        w, (at, n) = t.words(), t.key_at()
+        lit = "[" + ", ".join(f"'{x}'" for x in w) + "]"
+        rows.append(f"({i}, '{t.label}', {str(t.base).lower()}, {lit}, {at}, {n})")
+    return f"""
+WITH t(i, label, base, tw, k, kn) AS (VALUES {", ".join(rows)}),
+d AS (SELECT doc_id, {_ALNUM_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, label, base, s - 1 AS word, list_sum(list_transform(range(1, len(tw) + 1),
+        x -> CASE WHEN s - k - 1 + x BETWEEN 1 AND len(w) AND w[greatest(s - k - 1 + x, 1)] = tw[x]
+                  THEN 1 ELSE 0 END)) / len(tw) AS share
+      FROM (SELECT doc_id, w, i, label, base, tw, k, kn, unnest(range(1, len(w) - kn + 2)) AS s
+            FROM d, t WHERE list_contains(w, tw[k + 1]) AND len(w) >= kn) c
+      WHERE w[s:s + kn - 1] = tw[k + 1:k + kn]),
+g AS (SELECT doc_id, count(DISTINCT (label, word)) FILTER (base) AS n_base,
+        min(word) FILTER (base) AS first_word, max(word) FILTER (base) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+        string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+      FROM p GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word,
+       last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       round(coalesce(score, 0), 6) AS score
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+@_register(_op4_sql())
+def op4_license_scan(spark, sf_dir):
+    """Licence phrases and notices of every document."""
+    from .licenses import license_matches
+    m = F.col("matches")
+    base = F.filter(m, lambda x: x["base"])
+    labels = lambda a: F.array_join(F.array_sort(F.array_distinct(
+        F.transform(a, lambda x: x["label"]))), ",")
+    words = F.transform(base, lambda x: x["word"])
+    return license_matches(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+        F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"),
+        labels(base).alias("base_labels"), labels(m).alias("labels"),
+        F.round(F.coalesce(F.array_max(F.transform(m, lambda x: x["score"])), F.lit(0.0)),
+                6).alias("score"))
+
+
+@_register(f"""
+WITH d AS (SELECT doc_id, {_SPACE_WORDS} AS w FROM documents),
+f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS rn FROM (
+        SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS k FROM (
+          SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20) a) b),
+cov AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM f WHERE rn > 1),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM (
+           SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) a
+         ANTI JOIN cov USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+""")
+def op5_substring_dedup(spark, sf_dir):
+    """Every document without the words of 20-word windows that start earlier."""
+    from .substring import without_repeats
+    return without_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+#: fixed values of the URL query
+ALLOW = (("org", "/"), ("com", "/fr/"))
+BLOCK = (("example.org", "/es/"), ("example.org", "/en/1"), ("com", "/de/"))
+
+
+def _op6_sql() -> str:
+    from .url_cascade import LOWER, SPAM_WORDS, UPPER
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for v, rs in (("allow", ALLOW), ("block", BLOCK))
+                      for h, p in rs)
+    words = "[" + ", ".join(f"'{w}'" for w in SPAM_WORDS) + "]"
+    return f"""
+WITH r(rh, rp, v) AS (VALUES {rules}),
+u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0
+        THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1),
+        '{UPPER}', '{LOWER}'), '') AS host,
+        coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+m AS (SELECT h.*, rh || rp AS rule, v, row_number() OVER (
+        PARTITION BY page_id ORDER BY length(rh || rp) DESC NULLS LAST) AS n
+      FROM h LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN list_has_any(
+         regexp_split_to_array(host, '[^a-z0-9]+'), {words}) THEN 'block' ELSE 'allow' END)
+       AS verdict
+FROM m WHERE n = 1
+"""
+
+
+@_register(_op6_sql())
+def op6_url_filter(spark, sf_dir):
+    """Verdict on every page's url by rules and the Bloom filter cascade."""
+    from .url_cascade import judge
+    return judge(_table(spark, sf_dir, "pages"), ALLOW, BLOCK)
+
+
+@_register("""
+WITH e AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE))
+             AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding,
+             x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1),
+        i -> q.v[i] * e.v[i])) AS BIGINT) AS score
+      FROM e q JOIN e ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op7_exact_top_k(spark, sf_dir):
+    """The 5 best rows by inner product of every 50th vector."""
+    from .topk import top_k
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
+@_register(f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SPACE_WORDS_LOWER} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 2], ' ') AS k FROM (
+         SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS s
+         FROM d WHERE len(w) > 0) t),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b USING (k)
+      WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+      WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(b) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY ALL
+""")
+def op8_ngram_jaccard_join(spark, sf_dir):
+    """Components of documents whose 3-word shingle sets overlap by 0.9."""
+    from .jaccard import components_of_similar
+    return components_of_similar(_table(spark, sf_dir, "documents"), num=9, den=10,
+                                 shingle=3).select(F.col("id").alias("doc_id"), "n_shingles",
+                                                   "component_id")
+
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
