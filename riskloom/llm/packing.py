@@ -22,6 +22,7 @@ null ids are documents of their own; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import column, slices, staged
+from .tokens import word_hashes
 
 # ---------------------------------------------------------------- tokenising
 
@@ -41,92 +43,157 @@ from .frames import column, slices, staged
 _RUN = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
 #: cut between a letter and these marks: byte-level pre-tokens end there
 _MARKS = ".,!*%$&#"
-_CACHE_MAX = 400_000
-_STATE: dict[str, tuple] = {}
+#: segments whose ids a Python worker remembers
+_CACHE_MAX = 2_000_000
+_STATE: dict[str, "_State"] = {}
 
 
-def _tokenizer(path: str):
-    """(tokenizer, may texts be cut at spaces, cache of segment ids); once per
-    Python worker."""
-    if path not in _STATE:
+class _State:
+    """A tokenizer with what is known of it, once per Python worker: may texts
+    be cut at spaces, which ids open with a space, and the ids of the segments
+    met so far (flat, found by a sorted 64-bit hash)."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
-        plain = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel"
-                 and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-                 and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"]
-                             or t["single_word"] for t in spec.get("added_tokens", [])))
-        _STATE[path] = (Tokenizer.from_str(json.dumps(spec)), plain, {})
+        self.plain = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel"
+                      and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+                      and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"]
+                                  or t["single_word"] for t in spec.get("added_tokens", [])))
+        self.tok = Tokenizer.from_file(path)
+        vocab = self.tok.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.opens[[i for t, i in vocab.items() if t[:1] == "\u0120"]] = True
+        self.kind = np.uint16 if len(self.opens) < 1 << 16 else np.uint32
+        self.forget()
+
+    def forget(self):
+        self.keys = np.zeros(0, np.uint64)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, self.kind)
+
+    def words(self, segments: pa.Array):
+        """(start, size) in ``flat`` of the ids of " " + each distinct segment
+        (none empty)."""
+        if len(self.keys) > _CACHE_MAX:
+            self.forget()
+        h = word_hashes(segments)
+        j = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[j] != h) if len(self.keys) else np.arange(len(h))
+        if len(new):
+            ids, ends = self._encode_words(segments.take(pa.array(new)).to_pylist())
+            keys = np.concatenate([self.keys, h[new]])
+            order = np.argsort(keys, kind="stable")
+            self.keys = keys[order]
+            self.start = np.concatenate([self.start, len(self.flat) + ends[:-1]])[order]
+            self.size = np.concatenate([self.size, np.diff(ends).astype(np.int32)])[order]
+            self.flat = np.concatenate([self.flat, ids.astype(self.kind)])
+            j = np.searchsorted(self.keys, h)
+        return self.start[j], self.size[j]
+
+    def _encode_words(self, words: list[str]):
+        """(ids, offsets) of words that each start with their only space: one
+        call over the words in a row; a token that opens with a space starts
+        the next word."""
+        ids = np.asarray(self.tok.encode(" " + " ".join(words), add_special_tokens=False).ids,
+                         dtype=np.uint32)
+        at = np.flatnonzero(self.opens[ids])
+        if len(at) != len(words):  # not as expected of this tokenizer: word by word
+            return self.encode([" " + w for w in words])
+        return ids, np.append(at, len(ids))
+
+    def encode(self, texts: list[str]):
+        """(ids, offsets) of texts encoded one by one."""
+        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int64)
+        return np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(ends[-1])), ends
+
+
+def _tokenizer(path: str) -> _State:
+    if path not in _STATE:
+        _STATE[path] = _State(path)
     return _STATE[path]
 
 
-def _encode(tok, texts: list[str]) -> list[bytes]:
-    return [np.asarray(e.ids, dtype="<u4").tobytes()
-            for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-
-def _segment_ids(tok, cache: dict, segments: list[str]) -> list[bytes]:
-    """Ids of each segment, through the cache; a segment that ends in marks
-    after a letter is two."""
-    parts = []
-    for s in segments:
-        base = s.rstrip(_MARKS)
-        parts.append((base, s[len(base):]) if len(base) < len(s) and base and base[-1].isalpha()
-                     else (s,))
-    new = list({p for ps in parts for p in ps if p not in cache})
-    got = dict(zip(new, _encode(tok, new)))
-    for p in new:
-        if len(cache) >= _CACHE_MAX:
-            break
-        cache[p] = got[p]
-    get = lambda p: got[p] if p in got else cache[p]
-    return [get(ps[0]) if len(ps) == 1 else get(ps[0]) + get(ps[1]) for ps in parts]
-
-
-def encode_texts(texts: pa.Array, path: str) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text (null: none)."""
-    tok, plain, cache = _tokenizer(path)
+def encode_texts(texts: pa.Array, path: str):
+    """(ids of all texts, one after another, each followed by id 0; offsets)."""
+    state = _tokenizer(path)
     texts = texts.fill_null("")
-    if not plain:
-        return _encode(tok, texts.to_pylist())
-    whole = pc.match_substring_regex(texts, _RUN).to_numpy(zero_copy_only=False)
+    n = len(texts)
+    whole = (pc.match_substring_regex(texts, _RUN).to_numpy(zero_copy_only=False)
+             if state.plain else np.ones(n, dtype=bool))
     lists = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
     flat = lists.flatten().dictionary_encode()
     codes = flat.indices.to_numpy()
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
-    distinct = flat.dictionary.to_pylist()
     first = np.zeros(len(codes), dtype=bool)
     first[ends[:-1]] = True
-    rest = np.unique(codes[~first])
-    table: list[bytes] = [b""] * len(distinct)
-    for c, ids in zip(rest.tolist(), _segment_ids(tok, cache, [" " + distinct[c]
-                                                              for c in rest.tolist()])):
-        table[c] = ids
-    heads = _segment_ids(tok, cache, [distinct[c] for c in codes[first].tolist()])
-    out, codes = [], codes.tolist()
-    for d in range(len(texts)):
-        out.append(heads[d] + b"".join([table[c] for c in codes[ends[d] + 1:ends[d + 1]]]))
-    at = np.flatnonzero(whole).tolist()
-    for d, ids in zip(at, _encode(tok, texts.take(pa.array(at, pa.int64())).to_pylist())):
-        out[d] = ids
-    return out
+
+    # distinct segments after a space: words, marks cut off the end of words
+    seen = np.unique(codes[~first])
+    segments = flat.dictionary.take(pa.array(seen))
+    base = pc.utf8_rtrim(segments, _MARKS)
+    cut = (pc.match_substring_regex(base, r"\p{L}$").to_numpy(zero_copy_only=False)
+           & pc.not_equal(pc.binary_length(base), pc.binary_length(segments)).to_numpy(
+               zero_copy_only=False))
+    base = pc.if_else(pa.array(cut), base, segments).dictionary_encode()
+    full = pc.greater(pc.binary_length(base.dictionary), 0).to_numpy(zero_copy_only=False)
+    b_start = np.zeros(len(full), np.int64)
+    b_size = np.zeros(len(full), np.int64)
+    b_start[full], b_size[full] = state.words(base.dictionary.filter(pa.array(full)))
+
+    # the rest is few: marks, the space of an empty segment, first segments, whole texts, id 0
+    at = np.flatnonzero(cut)
+    wide = segments.take(pa.array(at)).to_pylist()
+    bases = base.dictionary.take(base.indices.take(pa.array(at))).to_pylist()
+    tails = [w[len(b):] for w, b in zip(wide, bases)]
+    own = {t: i for i, t in enumerate(dict.fromkeys([" ", *tails]))}
+    t_ids, t_ends = state.encode(list(own))
+    heads = flat.dictionary.take(pa.array(codes[first]))
+    h_ids, h_ends = state.encode(pc.if_else(pa.array(whole), texts, heads).to_pylist())
+    pool = np.concatenate([state.flat.astype(np.uint32), t_ids, h_ids, np.zeros(1, np.uint32)])
+    t_at, h_at = len(state.flat), len(state.flat) + len(t_ids)
+    b_start[~full], b_size[~full] = t_at, t_ends[1]
+
+    # every segment is two runs of the pool, base and marks; a text ends with id 0
+    of = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
+    of[seen] = np.arange(len(seen))
+    tail_of = np.full(len(seen), -1)
+    tail_of[at] = [own[t] for t in tails]
+    seg = of[codes]
+    start = np.zeros((len(codes), 2), np.int64)
+    size = np.zeros((len(codes), 2), np.int64)
+    if len(seen):
+        b = base.indices.to_numpy()[seg]
+        start[:, 0], size[:, 0] = b_start[b], b_size[b]
+        t = tail_of[seg]
+        start[:, 1], size[:, 1] = t_at + t_ends[t], np.where(t >= 0, np.diff(t_ends)[t], 0)
+    start[first, 0], size[first, 0] = h_at + h_ends[:-1], np.diff(h_ends)
+    size[first, 1] = 0
+    start = np.insert(start.reshape(-1), 2 * ends[1:], len(pool) - 1)
+    size = np.insert(size.reshape(-1), 2 * ends[1:], 1)
+    to = np.concatenate([[0], np.cumsum(size)])
+    ids = pool[np.repeat(start - to[:-1], size) + np.arange(int(to[-1]))]
+    return ids, to[2 * ends + np.arange(n + 1)]
 
 
 def _pieces(path: str, capacity: int, keep_ids: bool):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1, 16 << 20):
+            for part in slices(batch, 1, 12 << 20):
                 key, rows = column(part, 0), []
-                for d, ids in enumerate(encode_texts(column(part, 1), path)):
-                    ids += b"\0\0\0\0"
-                    n, start, piece = len(ids) // 4, 0, 0
+                ids, at = encode_texts(column(part, 1), path)
+                ids = memoryview(ids.astype("<u4").tobytes())
+                for d, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                    n, start, piece = hi - lo, 0, 0
                     size = n if n <= capacity else n % capacity or capacity
                     while start < n:
-                        cut = ids[4 * start:4 * (start + size)]
+                        cut = ids[4 * (lo + start):4 * (lo + start + size)]
                         rows.append((d, piece, start, size, zlib.crc32(cut),
-                                     cut if keep_ids else None))
+                                     bytes(cut) if keep_ids else None))
                         start, piece, size = start + size, piece + 1, capacity
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(

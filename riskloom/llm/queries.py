@@ -79,7 +79,7 @@ def op9_benchmark_decontamination(spark, sf_dir):
 @_register("""
 WITH p AS (SELECT page_id, coalesce(html, '') AS b, sha1(coalesce(html, '')) AS h FROM pages),
 r AS (SELECT page_id, strlen(b) AS payload_bytes, array_to_string(list_transform(range(0, 32),
-        i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+        lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
           (CAST('0x' || substr(h, 1 + 5 * CAST(i // 4 AS INTEGER), 5) AS BIGINT)
            >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), '') AS payload_digest,
         max(page_id) OVER (PARTITION BY h) AS head FROM p)
@@ -126,7 +126,7 @@ def _op4_sql() -> str:
 WITH t(i, label, base, tw, k, kn) AS (VALUES {", ".join(rows)}),
 d AS (SELECT doc_id, {_ALNUM_WORDS} AS w FROM documents),
 p AS (SELECT doc_id, label, base, s - 1 AS word, list_sum(list_transform(range(1, len(tw) + 1),
-        x -> CASE WHEN s - k - 1 + x BETWEEN 1 AND len(w) AND w[greatest(s - k - 1 + x, 1)] = tw[x]
+        lambda x: CASE WHEN s - k - 1 + x BETWEEN 1 AND len(w) AND w[greatest(s - k - 1 + x, 1)] = tw[x]
                   THEN 1 ELSE 0 END)) / len(tw) AS share
       FROM (SELECT doc_id, w, i, label, base, tw, k, kn, unnest(range(1, len(w) - kn + 2)) AS s
             FROM d, t WHERE list_contains(w, tw[k + 1]) AND len(w) >= kn) c
@@ -214,12 +214,12 @@ def op6_url_filter(spark, sf_dir):
 
 
 @_register("""
-WITH e AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE))
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE))
              AS BIGINT)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding,
-             x -> x IS NULL OR NOT isfinite(x))) = 0),
+             lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, e.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1),
-        i -> q.v[i] * e.v[i])) AS BIGINT) AS score
+        lambda i: q.v[i] * e.v[i])) AS BIGINT) AS score
       FROM e q JOIN e ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
         AS INTEGER) AS rank, vec_id, score FROM s)

@@ -91,7 +91,7 @@ def _filter(keys: DataFrame, n: int, hashes: int, seed: int, max_bytes: int) ->
     places = F.array(*[place(F.col("key"), bits, seed + i) for i in range(hashes)])
     rows = (keys.select(F.explode(places).alias("p"))
             .groupBy((F.col("p") / 8).cast("int").alias("byte"))
-            .agg(F.bit_or(F.shiftleft(F.lit(1), (F.col("p") % 8).cast("int"))).alias("v"))
+            .agg(F.bit_or(F.expr("shiftleft(1, int(p % 8))")).alias("v"))
             .collect())
     data = bytearray(bits // 8)
     for r in rows:
