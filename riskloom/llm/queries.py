@@ -115,6 +115,20 @@ def op2_quality_classifier(spark, sf_dir):
                          F.when(F.col(name) >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+#: the key of the registered runs; a deployment passes its own secret
+SURROGATE_KEY = b"riskloom registered query"
+
+
+@_register()
+def op3_pii_surrogates(spark, sf_dir):
+    """Every document with its personal data replaced by keyed surrogates."""
+    from .pii import pseudonymised
+    out, spans = pseudonymised(_table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    kinds = F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["kind"])))
+    return out.select("doc_id", F.size(spans).cast("long").alias("n_entities"),
+                      F.array_join(kinds, ",").alias("kinds"), "text")
+
+
 def _op4_sql() -> str:
     from .licenses import BASE, NOTICES
     rows = []
