@@ -45,18 +45,18 @@ def init_weights(seed: int = 7) -> dict[str, np.ndarray]:
 
 
 def laid_out(texts: pa.Array):
-    """(bytes of all texts, each padded with zeros to whole halves, at least
-    two; first half of every text)."""
+    """(bytes of all texts, each with zeros before and after to whole halves,
+    at least two, so that no filter sees two texts; first half of every text)."""
     offs = byte_offsets(texts)
     size = np.diff(offs)
-    halves = np.maximum(2, -(-(size + WIDTH) // HALF))
+    halves = np.maximum(2, -(-(size + 2 * WIDTH) // HALF))
     first = np.concatenate([[0], np.cumsum(halves)])
     out = np.zeros(int(first[-1]) * HALF + WIDTH, dtype=np.uint8)
     data = texts.buffers()[2]
     if data is not None and len(texts):
         raw = np.frombuffer(data, np.uint8)
         for a, b, h in zip(offs[:-1].tolist(), offs[1:].tolist(), first.tolist()):
-            out[h * HALF:h * HALF + b - a] = raw[a:b]
+            out[h * HALF + WIDTH:h * HALF + WIDTH + b - a] = raw[a:b]
     return out, first
 
 
@@ -130,9 +130,10 @@ def gradients(p, data, first, y, weight):
     return s, g
 
 
-def fit(texts: list[str], labels: list[int], *, epochs: int = 14, batch: int = 24,
+def fit(texts: list[str], labels: list[int], *, steps: int = 1800, batch: int = 24,
         rate: float = 4e-3, seed: int = 7) -> dict[str, np.ndarray] | None:
-    """Weights fitted to the labelled texts; None without both classes."""
+    """Weights fitted to the labelled texts in about ``steps`` batches; None
+    without both classes."""
     y = np.asarray(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return None
@@ -142,6 +143,7 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = 14, batch: int = 2
     v = {k: np.zeros_like(x) for k, x in p.items()}
     rng, step = np.random.default_rng(seed), 0
     arr = pa.array(texts, pa.string())
+    epochs = -(-steps // -(-len(y) // batch))
     total = epochs * -(-len(y) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(y))
