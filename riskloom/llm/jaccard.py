@@ -44,7 +44,11 @@ from .tokens import LOWER, mix, split_words, window_hashes, word_hashes
 
 U = np.uint64
 LAST = np.iinfo(np.int64).max
-FLUSH = 2_000_000
+FLUSH = 500_000
+#: bytes of text a kernel holds as arrays at a time
+SLICE = 4 << 20
+#: cells of a sketch, as a power of two
+SKETCH_BITS = 12
 
 
 # ------------------------------------------------------------ sets of shingles
@@ -194,7 +198,7 @@ def _sign(k: int, sim: Similarity, n_buckets: int):
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, SLICE):
                 key = column(part, 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 doc = column(part, 1).fill_null(LAST).to_numpy(
                     zero_copy_only=False).astype(np.int64)
@@ -259,15 +263,38 @@ def _sets(k: int):
     """Arrow kernel over (cid, s1, s2, text): the packed set of each class."""
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 3):
+            for part in slices(batch, 3, SLICE):
                 h, offsets = shingle_sets(column(part, 3), k)
                 s1, s2 = digests(h, offsets)
                 same = ((s1 == column(part, 1).to_numpy()) & (s2 == column(part, 2).to_numpy()))
                 rows = np.flatnonzero(same)
-                cells = [h[offsets[i]:offsets[i + 1]].tobytes() for i in rows.tolist()]
+                sets = [h[offsets[i]:offsets[i + 1]] for i in rows.tolist()]
                 yield pa.RecordBatch.from_arrays(
                     [column(part, 0).take(pa.array(rows)), pa.array(np.diff(offsets)[rows]),
-                     pa.array(cells, pa.binary())], ["cid", "n", "shingles"])
+                     pa.array([sketch(x) for x in sets], pa.binary()),
+                     pa.array([x.tobytes() for x in sets], pa.binary())],
+                    ["cid", "n", "sketch", "shingles"])
+    return run
+
+
+def sketch(x: np.ndarray) -> bytes:
+    """Parity of the elements in each of 2 ** SKETCH_BITS cells: two sets differ in
+    at least as many elements as their sketches do in bits."""
+    odd = np.bincount((x >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _rule_out(sim: Similarity):
+    """Arrow kernel over (u, v, sizes, sketches): without the pairs whose
+    sketches already differ in more places than linked sets can."""
+    def run(batches):
+        for batch in batches:
+            n_u, n_v = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(
+                len(n_u), -1) for i in (4, 5)]
+            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1)
+            most = (n_u + n_v) * (sim.den - sim.num) // (sim.den + sim.num)
+            yield batch.select([0, 1]).filter(pa.array(apart <= most))
     return run
 
 
@@ -302,13 +329,17 @@ class _Links:
             pairs = pairs.join(self.tested, ["u", "v"], "left_anti")
         pairs = staged(pairs, "pairs")
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        u = self.sets.select(F.col("cid").alias("u"), F.col("n").alias("n_u"),
-                             F.col("shingles").alias("set_u"))
-        v = self.sets.select(F.col("cid").alias("v"), F.col("n").alias("n_v"),
-                             F.col("shingles").alias("set_v"))
+        # sizes and sketches (a few hundred bytes) rule out most pairs that are
+        # not linked before whole sets are joined
+        small = [self.sets.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"),
+                                  F.col("sketch").alias(f"sketch_{c}")) for c in ("u", "v")]
         sizes = (F.least("n_u", "n_v") * self.sim.den >= F.greatest("n_u", "n_v") * self.sim.num)
-        got = staged(pairs.join(u, "u").join(v, "v").where(sizes)
-                     .select("u", "v", "set_u", "set_v")
+        near = staged(pairs.join(small[0], "u").join(small[1], "v").where(sizes)
+                      .select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v")
+                      .mapInArrow(_rule_out(self.sim), "u long, v long"), "near")
+        whole = [self.sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"set_{c}"))
+                 for c in ("u", "v")]
+        got = staged(near.join(whole[0], "u").join(whole[1], "v").select("u", "v", "set_u", "set_v")
                      .mapInArrow(_verify(self.sim), "u long, v long"), "linked")
         if not got.head(1):
             return False
@@ -329,6 +360,18 @@ class _Links:
         return out.join(open_, "sig", "left_semi")
 
 
+def distinct_groups(members: DataFrame) -> DataFrame:
+    """(sig, cid) without signatures whose members another signature has as
+    well: near copies share many signatures, one of them says it all.  Groups
+    are told apart by size, least, largest and two sums of hashed members."""
+    group = members.groupBy("sig").agg(
+        F.count(F.lit(1)).alias("m"), F.min("cid").alias("lo"), F.max("cid").alias("hi"),
+        F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("h1"),
+        F.sum(F.xxhash64(F.lit(1), F.col("cid")).cast("decimal(38,0)")).alias("h2"))
+    one = group.where("lo < hi").groupBy("m", "lo", "hi", "h1", "h2").agg(F.min("sig").alias("sig"))
+    return members.join(one.select("sig"), "sig", "left_semi")
+
+
 def components_of_similar(docs: DataFrame, *, num: int, den: int, shingle: int,
                           id_col: str = "doc_id", text_col: str = "text",
                           bucket_bytes: int = 16 << 20) -> DataFrame:
@@ -357,7 +400,7 @@ def components_of_similar(docs: DataFrame, *, num: int, den: int, shingle: int,
         near = staged(classes.join(some, "s1", "left_semi"), "classes")
         text = rows.join(near.select(F.col("cid").alias("key"), "s1", "s2"), "key")
         sets = staged(text.select("key", "s1", "s2", "text").mapInArrow(
-            _sets(shingle), "cid long, n long, shingles binary"), "sets")
+            _sets(shingle), "cid long, n long, sketch binary, shingles binary"), "sets")
         members = staged(
             members.join(near.select("s1", "cid"), "s1")
             .join(near.select(F.col("s1").alias("lead"), F.col("cid").alias("lead_cid")), "lead")
@@ -365,7 +408,7 @@ def components_of_similar(docs: DataFrame, *, num: int, den: int, shingle: int,
         links = _Links(sets, sim)
         links.test(members.where("cid != lead_cid").groupBy("cid")
                    .agg(F.min("lead_cid").alias("u")).select("u", F.col("cid").alias("v")))
-        members = members.select("sig", "cid").distinct()
+        members = staged(distinct_groups(members.select("sig", "cid").distinct()), "groups")
         moved = True
         while moved:  # one representative per component of a signature against its least one
             open_ = staged(links.label(members), "open")

@@ -6,21 +6,25 @@ taken only where a word's place modulo v is in D, each over window - v + 1
 words: two equal windows, wherever they start, share at least one such anchor
 at the same distance from their starts.
 
-1. Anchors of all documents are dealt by hash and those that occur twice are
-   kept (a task settles what repeats within itself and sends one
+1. Of documents with equal texts all but the first are covered whole (every
+   window of theirs starts earlier in the first); they take no further part.
+2. Anchors of all other documents are dealt by hash and those that occur twice
+   are kept (a task settles what repeats within itself and sends one
    representative of it, so no anchor, however common, gathers in one task).
-2. A match extends from its anchor: every window around a repeated anchor is
-   hashed (128 bits) and dealt by that hash; the least (document, start) of
-   each window stays, every other occurrence is covered.  Again a task sends
-   one representative per window.  No pairs of occurrences are made.
-3. Covered words are removed from the text.
+   Hashes are cut to 32 bits within their bucket: a chance meeting only adds a
+   candidate.
+3. A match extends from its anchor: every window around a repeated anchor is
+   hashed (96 bits and its bucket) and dealt by that hash; the least
+   (document, start) of each window stays, every other occurrence is covered.
+   Again a task sends one representative per window.  No pairs are made.
+4. Covered words are removed from the text.
 
-The texts are shuffled once, by row key; steps 2 and 3 read the same exchange.
+The texts are shuffled once, by row key; steps 2 to 4 read the same exchange.
 
 Defined cases: a null or empty text has no words; documents shorter than the
 window keep all; rows that repeat an id and text are both kept (neither is
-earlier) unless an earlier document covers them; null ids come last; other
-columns are ignored.
+earlier) unless an earlier document covers them; rows without an id come last,
+in the order of a hash of their text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,15 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import column, slices
+from .frames import slices
 from .packed import bucket_count, groups, packed_rows, text_bytes, unpacked
 from .tokens import row_of, split_words, window_hashes, word_hashes
 
 #: perfect difference sets: every residue is a difference of two members
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18)}
-LAST = np.iinfo(np.int64).max
-#: anchors a task gathers before it settles and sends them
-FLUSH = 2_000_000
+#: row keys are that many bits of a hash of id and text
+KEY_BITS = 48
+#: documents without an id are ordered behind this
+NO_ID = 1 << 62
 
 
 def cover_for(window: int) -> tuple[int, np.ndarray, int]:
@@ -51,103 +56,139 @@ def cover_for(window: int) -> tuple[int, np.ndarray, int]:
     return period, inside, window - period + 1
 
 
-def _places(offsets, rows):
-    return np.arange(len(rows)) - offsets[rows]
-
-
 def _anchors(h, offsets, window):
     """(hash, row, place) of the anchors of every text."""
     period, inside, length = cover_for(window)
     rows = row_of(offsets)
-    place = _places(offsets, rows)
+    place = np.arange(len(rows)) - offsets[rows]
     at = np.flatnonzero(inside[place % period] & (place + length <= np.diff(offsets)[rows]))
     return window_hashes(h, length)[at], rows[at], place[at].astype(np.int32)
 
 
-_ANCHOR_ROW = "bucket long, h binary, key binary, pos binary, rep binary"
+def _narrow_key(key: np.ndarray) -> dict:
+    return {"klo": (key & 0xFFFFFFFF).astype(np.uint32), "khi": (key >> 32).astype(np.uint16)}
 
 
-def _settle_anchors(h, key, pos, n_buckets):
-    """Rows for the deal by hash: single anchors, one representative of each
-    repeated one, and (dealt by document) the places already known to repeat."""
-    order, first, run = groups(h)
-    size = np.diff(np.append(first, len(order)))
-    single = order[first[size == 1]]
-    rep = order[first[size > 1]]
-    known = order[(size > 1)[run]]
-    pick = np.concatenate([single, rep, known])
-    kind = np.repeat(np.array([0, 1, 2], dtype=np.uint8), [len(single), len(rep), len(known)])
-    deal = np.where(kind == 2, key[pick].view(np.uint64), h[pick]) % np.uint64(n_buckets)
-    return packed_rows(deal, {"h": h[pick], "key": key[pick], "pos": pos[pick], "rep": kind})
+def _wide_key(table, prefix: str = "") -> np.ndarray:
+    lo = unpacked(table, prefix + "klo", np.uint32).astype(np.int64)
+    return lo | (unpacked(table, prefix + "khi", np.uint16).astype(np.int64) << 32)
 
 
-def _emit_anchors(window: int, n_buckets: int):
-    def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            for part in slices(batch, 1):
-                key = column(part, 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                words, offsets = split_words(column(part, 1))
-                h, rows, pos = _anchors(word_hashes(words), offsets, window)
-                held.append((h, key[rows], pos))
-                n += len(h)
-                if n >= FLUSH:
-                    yield _settle_anchors(*map(np.concatenate, zip(*held)), n_buckets)
-                    held, n = [], 0
-        if n:
-            yield _settle_anchors(*map(np.concatenate, zip(*held)), n_buckets)
-    return run
+def _rows(schema: str, batches) -> pa.Table:
+    """Packed rows of several kinds as one table; a kind's absent columns are
+    null."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    out = []
+    for b in batches:
+        have = dict(zip(b.schema.names, b.columns))
+        out.append(pa.RecordBatch.from_arrays(
+            [have.get(c, pa.nulls(b.num_rows, pa.binary())) for c in names], names))
+    return pa.Table.from_batches(out, pa.schema(
+        [pa.field(c, pa.int64() if c == "bucket" else pa.binary()) for c in names]))
 
 
-_PLACE_ROW = "bucket long, key binary, pos binary"
-
-
-def _repeated_anchors(n_docs: int):
-    """The places of a hash bucket's repeated anchors, dealt by document."""
-    def run(table: pa.Table) -> pa.Table:
-        h, key = unpacked(table, "h", np.uint64), unpacked(table, "key", np.int64)
-        pos, kind = unpacked(table, "pos", np.int32), unpacked(table, "rep", np.uint8)
-        at = np.flatnonzero(kind < 2)
-        order, first, run_of = groups(h[at])
-        size = np.diff(np.append(first, len(order)))
-        again = size > 1
-        again[run_of[kind[at][order] == 1]] = True
-        hit = np.zeros(len(h), dtype=bool)
-        hit[at[order]] = again[run_of]
-        hit = (hit & (kind == 0)) | (kind == 2)
-        return pa.Table.from_batches([packed_rows(
-            key[hit].view(np.uint64) % np.uint64(n_docs), {"key": key[hit], "pos": pos[hit]})])
-    return run
-
+# --------------------------------------------------------------- documents
 
-def _by_key(table: pa.Table, name: str):
-    """{row key: places} of a document bucket."""
-    key, pos = unpacked(table, "key", np.int64), unpacked(table, name, np.int32)
+def _by_key(table: pa.Table):
+    """{row key: places} of a document bucket; whole documents have -1."""
+    key, pos = _wide_key(table), unpacked(table, "pos", np.int32)
     order, first, _ = groups(key)
     ends = np.append(first, len(order))
     return {int(key[order[a]]): pos[order[a:b]] for a, b in zip(ends[:-1], ends[1:])}
 
 
 def _doc_parts(docs: pa.Table):
-    """Slices of a document bucket: (id, key, words, offsets)."""
+    """Slices of a document bucket: (id, order, key, words, offsets)."""
     for batch in docs.combine_chunks().to_batches():
-        for part in slices(batch, 3):
-            ids, key = part.column(1), part.column(2)
-            order = ids.fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
-            words, offsets = split_words(part.column(3))
-            yield ids, order, key.to_numpy(zero_copy_only=False).astype(np.int64), words, offsets
+        for part in slices(batch, 4):
+            words, offsets = split_words(part.column(4))
+            yield (part.column(1), part.column(2).to_numpy(zero_copy_only=False),
+                   part.column(3).to_numpy(zero_copy_only=False), words, offsets)
 
 
-def _marks(found: dict, key, offsets, n: int) -> np.ndarray:
-    out = np.zeros(n, dtype=bool)
+def _marks(found: dict, key, offsets, n: int):
+    """(marked words, is the document covered whole)."""
+    out, whole = np.zeros(n, dtype=bool), np.zeros(len(key), dtype=bool)
     for d, k in enumerate(key.tolist()):
         if k in found:
             pos = found[k]
-            out[offsets[d] + pos[pos < offsets[d + 1] - offsets[d]]] = True
-    return out
+            whole[d] = pos.min() < 0
+            out[offsets[d] + pos[(pos >= 0) & (pos < offsets[d + 1] - offsets[d])]] = True
+    return out, whole
+
+
+_PLACE_ROW = "bucket long, klo binary, khi binary, pos binary"
+
+
+def _places(key, pos, n_docs: int):
+    return packed_rows(key % n_docs, {**_narrow_key(key), "pos": pos.astype(np.int32)})
+
+
+def _whole(n_docs: int):
+    """Arrow kernel: the keys of documents covered whole, dealt by document."""
+    def run(batches):
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield _places(key, np.full(len(key), -1), n_docs)
+    return run
+
+
+# ------------------------------------------------------------------ anchors
+
+_ANCHOR_ROW = ("bucket long, h binary, klo binary, khi binary, pos binary, rep binary, "
+               "kklo binary, kkhi binary, kpos binary")
+
+
+def _emit_anchors(window: int, n_buckets: int):
+    """Anchors of a document bucket, settled within it: single anchors, one
+    representative of each repeated one, and (dealt by document) the places
+    already known to repeat."""
+    def run(docs: pa.Table, covered: pa.Table) -> pa.Table:
+        found, held = _by_key(covered), []
+        for _, _, key, words, offsets in _doc_parts(docs):
+            h, rows, pos = _anchors(word_hashes(words), offsets, window)
+            live = ~_marks(found, key, offsets, len(words))[1][rows]
+            held.append((h[live], key[rows[live]], pos[live]))
+        if not held:
+            return _rows(_ANCHOR_ROW, [])
+        h, key, pos = map(np.concatenate, zip(*held))
+        order, first, run_of = groups(h)
+        size = np.diff(np.append(first, len(order)))
+        single, rep = order[first[size == 1]], order[first[size > 1]]
+        known = order[(size > 1)[run_of]]
+        pick = np.concatenate([single, rep])
+        kind = np.repeat(np.array([0, 1], dtype=np.uint8), [len(single), len(rep)])
+        n = np.uint64(n_buckets)
+        deal = key[known] % n_buckets
+        return _rows(_ANCHOR_ROW, [
+            packed_rows(h[pick] % n, {"h": (h[pick] // n).astype(np.uint32),
+                                      **_narrow_key(key[pick]), "pos": pos[pick], "rep": kind}),
+            packed_rows(deal, {"k" + c: v for c, v in
+                               {**_narrow_key(key[known]), "pos": pos[known]}.items()})])
+    return run
 
 
-_WINDOW_ROW = "bucket long, h1 binary, h2 binary, doc binary, key binary, pos binary, known binary"
+def _repeated_anchors(n_docs: int):
+    """The places of a hash bucket's repeated anchors, dealt by document."""
+    def run(table: pa.Table) -> pa.Table:
+        h, key = unpacked(table, "h", np.uint32), _wide_key(table)
+        pos, rep = unpacked(table, "pos", np.int32), unpacked(table, "rep", np.uint8)
+        order, first, run_of = groups(h)
+        again = np.diff(np.append(first, len(order))) > 1
+        again[run_of[rep[order] == 1]] = True
+        hit = np.zeros(len(h), dtype=bool)
+        hit[order] = again[run_of]
+        hit &= rep == 0
+        key = np.concatenate([key[hit], _wide_key(table, "k")])
+        pos = np.concatenate([pos[hit], unpacked(table, "kpos", np.int32)])
+        return pa.Table.from_batches([_places(key, pos, n_docs)])
+    return run
+
+
+# ------------------------------------------------------------------ windows
+
+_WINDOW_ROW = ("bucket long, h1 binary, h2 binary, doc binary, klo binary, khi binary, "
+               "pos binary, kklo binary, kkhi binary, kpos binary")
 
 
 def _windows(window: int, n_windows: int):
@@ -156,76 +197,70 @@ def _windows(window: int, n_windows: int):
     period, _, _ = cover_for(window)
 
     def run(docs: pa.Table, places: pa.Table) -> pa.Table:
-        found, held = _by_key(places, "pos"), []
-        for _, order_id, key, words, offsets in _doc_parts(docs):
+        found, held = _by_key(places), []
+        for _, doc, key, words, offsets in _doc_parts(docs):
             n, rows = len(words), row_of(offsets)
-            mark = _marks(found, key, offsets, n)
+            mark, whole = _marks(found, key, offsets, n)
             if n < window or not mark.any():
                 continue
             near = np.concatenate([[0], np.cumsum(mark)])
             m = n - window + 1
             at = np.flatnonzero((near[period:period + m] > near[:m])
-                                & (rows[:m] == rows[window - 1:]))
+                                & (rows[:m] == rows[window - 1:]) & ~whole[rows[:m]])
             h = word_hashes(words)
-            held.append((window_hashes(h, window, 1)[at], window_hashes(h, window, 2)[at],
-                         order_id[rows[at]], key[rows[at]],
-                         (at - offsets[rows[at]]).astype(np.int32)))
+            held.append((window_hashes(h, window, 1)[at],
+                         window_hashes(h, window, 2)[at].astype(np.uint32), doc[rows[at]],
+                         key[rows[at]], (at - offsets[rows[at]]).astype(np.int32)))
         if not held:
-            return pa.Table.from_batches([packed_rows(np.zeros(0, np.int64), {
-                c: np.zeros(0, np.uint8) for c in ("h1", "h2", "doc", "key", "pos", "known")})])
+            return _rows(_WINDOW_ROW, [])
         h1, h2, doc, key, pos = map(np.concatenate, zip(*held))
-        order, first, run_of = groups(h1, h2, doc, pos)
-        # rank within the window: the least (document, start) represents it
-        _, wfirst, wrun = _runs(h1[order], h2[order])
-        lead = order[wfirst]
-        later = ((doc[order] != doc[lead][wrun]) | (pos[order] != pos[lead][wrun]))
-        tie = ~later
-        tie[wfirst] = False
-        known = order[later]
-        pick = np.concatenate([lead, order[tie], known])
-        kind = np.repeat(np.array([0, 0, 1], np.uint8), [len(lead), int(tie.sum()), len(known)])
-        deal = np.where(kind == 1, key[pick].view(np.uint64), h1[pick]) % np.uint64(n_windows)
-        return pa.Table.from_batches([packed_rows(deal, {
-            "h1": h1[pick], "h2": h2[pick], "doc": doc[pick], "key": key[pick],
-            "pos": pos[pick], "known": kind})])
+        order = np.lexsort((pos, doc, h2, h1))
+        lead, later = _lead(h1, h2, doc, pos, order)
+        pick, known = order[~later], order[later]
+        n = np.uint64(n_windows)
+        return _rows(_WINDOW_ROW, [
+            packed_rows(h1[pick] % n, {"h1": h1[pick], "h2": h2[pick], "doc": doc[pick],
+                                       **_narrow_key(key[pick]), "pos": pos[pick]}),
+            packed_rows(key[known] % n_windows, {"k" + c: v for c, v in {
+                **_narrow_key(key[known]), "pos": pos[known]}.items()})])
     return run
 
 
-def _runs(*sorted_keys):
-    new = np.zeros(len(sorted_keys[0]), dtype=bool)
+def _lead(h1, h2, doc, pos, order):
+    """(first occurrence of each row's window, is the row later than that)
+    along ``order``; rows that tie with the first are not later."""
+    new = np.zeros(len(order), dtype=bool)
     new[:1] = True
-    for k in sorted_keys:
-        new[1:] |= k[1:] != k[:-1]
-    return new, np.flatnonzero(new), np.cumsum(new) - 1
+    for k in (h1, h2):
+        new[1:] |= k[order][1:] != k[order][:-1]
+    lead = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
+    return lead, (doc[order] != doc[lead]) | (pos[order] != pos[lead])
 
 
 def _covered(n_docs: int):
     """Starts of a window bucket that are not the window's first occurrence."""
     def run(table: pa.Table) -> pa.Table:
-        h1, h2 = unpacked(table, "h1", np.uint64), unpacked(table, "h2", np.uint64)
-        doc, key = unpacked(table, "doc", np.int64), unpacked(table, "key", np.int64)
-        pos, known = unpacked(table, "pos", np.int32), unpacked(table, "known", np.uint8)
-        hit = known == 1
-        at = np.flatnonzero(~hit)
-        if len(at):
-            order = at[np.lexsort((pos[at], doc[at], h2[at], h1[at]))]
-            _, first, run_of = _runs(h1[order], h2[order])
-            lead = order[first][run_of]
-            hit[order] = (doc[order] != doc[lead]) | (pos[order] != pos[lead])
-        return pa.Table.from_batches([packed_rows(
-            key[hit].view(np.uint64) % np.uint64(n_docs), {"key": key[hit], "pos": pos[hit]})])
+        h1, h2 = unpacked(table, "h1", np.uint64), unpacked(table, "h2", np.uint32)
+        doc, key = unpacked(table, "doc", np.int64), _wide_key(table)
+        pos = unpacked(table, "pos", np.int32)
+        order = np.lexsort((pos, doc, h2, h1))
+        hit = order[_lead(h1, h2, doc, pos, order)[1]]
+        return pa.Table.from_batches([_places(
+            np.concatenate([key[hit], _wide_key(table, "k")]),
+            np.concatenate([pos[hit], unpacked(table, "kpos", np.int32)]), n_docs)])
     return run
 
 
 def _strip(window: int, id_col: str, with_text: bool):
     def run(docs: pa.Table, places: pa.Table) -> pa.Table:
-        found, out = _by_key(places, "pos"), []
+        found, out = _by_key(places), []
         for ids, _, key, words, offsets in _doc_parts(docs):
-            n = len(words)
-            start = _marks(found, key, offsets, n)
+            n, rows = len(words), row_of(offsets)
+            start, whole = _marks(found, key, offsets, n)
             ends = np.concatenate([[0], np.cumsum(start)])
-            lo = np.maximum(np.arange(n) - window + 1, offsets[row_of(offsets)])
+            lo = np.maximum(np.arange(n) - window + 1, offsets[rows])
             gone = ends[1:] > ends[lo]
+            gone |= (whole & (np.diff(offsets) >= window))[rows]
             kept = words.filter(pa.array(~gone)) if gone.any() else words
             left = np.concatenate([[0], np.cumsum(~gone)])[offsets]
             texts = kept.to_pylist()
@@ -240,6 +275,17 @@ def _strip(window: int, id_col: str, with_text: bool):
     return run
 
 
+def later_copies(docs: DataFrame) -> DataFrame:
+    """(key) of the rows whose text an earlier document has: only digests are
+    grouped and joined."""
+    narrow = docs.select("ord", "key", F.xxhash64("text").alias("t1"),
+                         F.xxhash64(F.lit(1), F.col("text")).alias("t2"))
+    first = (narrow.groupBy("t1", "t2").agg(F.min("ord").alias("first"),
+                                            F.count(F.lit(1)).alias("n"))
+             .where("n > 1").select("t1", "t2", "first"))
+    return narrow.join(first, ["t1", "t2"]).where("ord > first").select("key")
+
+
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     window: int = 20, with_text: bool = True,
                     bucket_bytes: int = 8 << 20) -> DataFrame:
@@ -248,19 +294,25 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     first is removed.  ``kept_text`` joins them by one space."""
     spark = docs.sparkSession
     field = docs.schema[id_col]
-    key = F.xxhash64(id_col, text_col).bitwiseAND(F.lit(LAST))
-    docs = docs.select(F.col(id_col), key.alias("__key"), F.col(text_col).alias("__text"))
-    total = text_bytes(docs, "__text")
+    hashed = F.xxhash64(id_col, text_col)
+    order = F.coalesce(F.col(id_col).cast("long"),
+                       F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text_col), 3))
+    base = docs.select(F.col(id_col).alias("id"), order.alias("ord"),
+                       hashed.bitwiseAND(F.lit((1 << KEY_BITS) - 1)).alias("key"),
+                       F.col(text_col).alias("text"))
+    total = text_bytes(base, "text")
     n_docs = bucket_count(spark, total, bucket_bytes)
     n_hash = bucket_count(spark, total, bucket_bytes * 2)
-    anchors = docs.select("__key", "__text").mapInArrow(_emit_anchors(window, n_hash), _ANCHOR_ROW)
+    whole = later_copies(base).mapInArrow(_whole(n_docs), _PLACE_ROW)
+    dealt = base.select((F.col("key") % F.lit(n_docs)).alias("bucket"), "id", "ord", "key",
+                        "text").groupBy("bucket")
+    anchors = dealt.cogroup(whole.groupBy("bucket")).applyInArrow(
+        _emit_anchors(window, n_hash), _ANCHOR_ROW)
     places = anchors.groupBy("bucket").applyInArrow(_repeated_anchors(n_docs), _PLACE_ROW)
-    dealt = docs.select((F.col("__key") % F.lit(n_docs)).alias("bucket"), id_col, "__key",
-                        "__text").groupBy("bucket")
-    windows = dealt.cogroup(places.groupBy("bucket")).applyInArrow(
+    windows = dealt.cogroup(places.unionByName(whole).groupBy("bucket")).applyInArrow(
         _windows(window, n_hash), _WINDOW_ROW)
     covered = windows.groupBy("bucket").applyInArrow(_covered(n_docs), _PLACE_ROW)
     schema = (f"`{id_col}` {field.dataType.simpleString()}, n_words long, n_removed long, "
               "kept_sha256 string" + (", kept_text string" if with_text else ""))
-    return dealt.cogroup(covered.groupBy("bucket")).applyInArrow(
+    return dealt.cogroup(covered.unionByName(whole).groupBy("bucket")).applyInArrow(
         _strip(window, id_col, with_text), schema)
