@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import col
+from ..session import scratch_table
 from . import stats as st
 
 
@@ -61,20 +61,12 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, numeric: list[str],
                   th: DriftThresholds = DEFAULT, with_p: bool = True) -> DataFrame:
     """Per numeric feature with >= min_count values on both sides: psi (A6),
     ks statistic (A8), p-value and level."""
-    rl, cl = st.to_long(ref, numeric), st.to_long(cur, numeric)
-    # shared by bins, PSI, sizes and KS: one row per distinct value, kept
-    # (memory and disk) because four jobs read it
-    vc = st.value_counts(rl, cl).persist(StorageLevel.MEMORY_AND_DISK)
-    psi = st.psi_raw(rl, cl, th.n_bins, counts=vc)
-    ks = st.ks_two_sample(rl, cl, counts=vc)
+    prof = st.value_profile(st.to_long(ref, numeric), st.to_long(cur, numeric))
+    out = st.ks_of(st.two_sample(prof, th.n_bins)).filter(
+        (F.col("n_ref") >= th.min_count) & (F.col("n_cur") >= th.min_count))
     if with_p:
-        ks = st.with_ks_pvalue(ks)
-    out = (psi.filter((F.col("n_ref_total") >= th.min_count) & (F.col("n_cur_total") >= th.min_count))
-           .join(ks.drop("n_ref", "n_cur"), "feature"))
-    if with_p:
-        out = out.withColumn("nivel", drift_level("psi", "ks_p_value", th))
-    # one row per feature, used by the rows and the summary of the report
-    return out.drop("n_ref_total", "n_cur_total", "_small").persist()
+        out = st.with_ks_pvalue(out).withColumn("nivel", drift_level("psi", "ks_p_value", th))
+    return out.drop("n_ref", "n_cur", "_small")
 
 
 def categorical_drift(ref: DataFrame, cur: DataFrame, categorical: list[str],
@@ -88,13 +80,15 @@ def feature_drift(ref: DataFrame, cur: DataFrame, numeric: list[str], categorica
                   th: DriftThresholds = DEFAULT) -> DataFrame:
     """D1 report rows: one per feature (tipo numerica / categorica) plus a
     summary row (feature = '__resumo__') with psi_geral (A18), drift flag and
-    the worst level among numeric features (atencao does not count, Q12)."""
+    the worst level among numeric features (atencao does not count, Q12).  The
+    handful of numeric rows is stored once: the rows and the summary read it."""
     num = numeric_drift(ref, cur, numeric, th).select(
         "feature", F.lit("numerica").alias("tipo"), F.round("psi", 6).alias("psi"),
         F.round("ks_statistic", 6).alias("ks_statistic"), F.round("ks_p_value", 6).alias("ks_p_value"),
         F.lit(None).cast("double").alias("chi2_statistic"),
         F.lit(None).cast("double").alias("chi2_p_value"),
         F.lit(None).cast("boolean").alias("drift_detectado"), "nivel")
+    num = scratch_table(num, "numeric-drift")
     rows = num
     if categorical:
         cat = categorical_drift(ref, cur, categorical, th).select(
@@ -129,17 +123,11 @@ def drift_summary(num_rows: DataFrame, th: DriftThresholds = DEFAULT) -> DataFra
 # --- D3 / D4 ------------------------------------------------------------------
 def _one_feature_drift(ref: DataFrame, cur: DataFrame, c: str, th: DriftThresholds,
                        with_p: bool = True) -> DataFrame:
-    rl, cl = st.to_long(ref, [c]), st.to_long(cur, [c])
-    vc = st.value_counts(rl, cl).persist(StorageLevel.MEMORY_AND_DISK)
-    psi = st.psi_raw(rl, cl, th.n_bins, counts=vc)
-    ks = st.ks_two_sample(rl, cl, counts=vc)
-    if with_p:
-        ks = st.with_ks_pvalue(ks)
-    out = psi.join(ks.drop("n_ref", "n_cur", "_small"), "feature", "left") \
-        .fillna({"ks_statistic": 0.0})
+    prof = st.value_profile(st.to_long(ref, [c]), st.to_long(cur, [c]))
+    out = st.ks_of(st.two_sample(prof, th.n_bins))
     sel = [F.round("psi", 6).alias("psi"), F.round("ks_statistic", 6).alias("ks_statistic")]
     if with_p:
-        out = out.fillna({"ks_p_value": 1.0})
+        out = st.with_ks_pvalue(out)
         sel += [F.round("ks_p_value", 6).alias("ks_p_value"),
                 drift_level("psi", "ks_p_value", th).alias("nivel")]
     sel.append(F.coalesce(F.col("psi") > th.psi_alerta, F.lit(False)).alias("drift_detectado"))
@@ -185,7 +173,8 @@ def baseline_drift(baseline: DataFrame, current: DataFrame,
     psi = st.psi_normalised(baseline, current, th.min_count)
     rows = psi.select("feature", F.round(F.least(F.lit(1.0), F.col("psi") / 0.25), 4).alias("drift_score"),
                       F.round("psi", 4).alias("psi"))
-    rows = rows.withColumn("drifted", F.col("drift_score") >= th.baseline_threshold)
+    rows = scratch_table(rows.withColumn(
+        "drifted", F.col("drift_score") >= th.baseline_threshold), "baseline-drift")
     over = rows.agg(F.round(F.coalesce(F.max("drift_score"), F.lit(0.0)), 4).alias("s")).select(
         F.lit("__overall__").alias("feature"), F.col("s").alias("drift_score"),
         F.lit(None).cast("double").alias("psi"), (F.col("s") >= th.baseline_threshold).alias("drifted"))
@@ -246,8 +235,19 @@ def metric_alerts(metrics: DataFrame, limits: dict | None = None,
 
 
 # --- D10 ----------------------------------------------------------------------
+# Fixed values that must equal the reference's (texts); the title is a
+# parameter, because the reference puts a product's name there.
+ALERT_TITLE = ":rotating_light: *Drift detectado nos modelos*"
+TXT_DATA_DRIFT = "- *Data drift*: score %%.4f (threshold %s)"
+TXT_MODEL_DRIFT = "- *Model drift*: degradação %%.4f (threshold %s)"
+TXT_FEATURES = "  - Features com drift: "
+TXT_METRICS = "  - Métricas degradadas: "
+TXT_RETRAIN = "- Retreino automático acionado."
+
+
 def alert_text(data_report: DataFrame, model_report: DataFrame, retrain: bool = False,
-               data_threshold: float = 0.15, model_threshold: float = 0.1) -> DataFrame:
+               data_threshold: float = 0.15, model_threshold: float = 0.1,
+               title: str = ALERT_TITLE) -> DataFrame:
     """One-row text of the alert (no row when neither report drifted)."""
     d = data_report.agg(
         F.max(F.when(F.col("feature") == "__overall__", F.col("drift_score"))).alias("ds"),
@@ -259,9 +259,9 @@ def alert_text(data_report: DataFrame, model_report: DataFrame, retrain: bool =
     m = model_report.agg(
         F.max(F.when(F.col("metrica") == "__overall__", F.col("degradacao"))).alias("md"),
         F.max(F.when(F.col("metrica") == "__overall__", F.col("drifted").cast("int"))).alias("mdd"),
-        F.array_join(F.transform(F.collect_list(F.when(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
             (F.col("metrica") != "__overall__") & F.col("drifted"),
-            F.struct("metrica", "degradacao"))),
+            F.struct("metrica", "degradacao")))),
             lambda s: F.format_string("%s (%.2f)", s["metrica"], F.bround(s["degradacao"], 2))), ", ").alias("mf"))
     both = d.select("ds", "dd", "df", F.lit(None).cast("double").alias("md"),
                     F.lit(None).cast("int").alias("mdd"), F.lit(None).cast("string").alias("mf")) \
@@ -271,14 +271,12 @@ def alert_text(data_report: DataFrame, model_report: DataFrame, retrain: bool =
     data_on = F.coalesce(F.col("dd"), F.lit(0)) == 1
     model_on = F.coalesce(F.col("mdd"), F.lit(0)) == 1
     lines = F.array(
-        F.lit(":rotating_light: *Drift detectado nos modelos Aurix*"),
-        F.when(data_on, F.format_string(f"- *Data drift*: score %.4f (threshold {data_threshold})",
-                                        F.bround("ds", 4))),
-        F.when(data_on & (F.col("df") != ""), F.concat(F.lit("  - Features com drift: "), F.col("df"))),
-        F.when(model_on, F.format_string(
-            f"- *Model drift*: degradação %.4f (threshold {model_threshold})", F.bround("md", 4))),
-        F.when(model_on & (F.col("mf") != ""), F.concat(F.lit("  - Métricas degradadas: "), F.col("mf"))),
-        F.when(F.lit(retrain), F.lit("- Retreino automático acionado.")))
+        F.lit(title),
+        F.when(data_on, F.format_string(TXT_DATA_DRIFT % data_threshold, F.bround("ds", 4))),
+        F.when(data_on & (F.col("df") != ""), F.concat(F.lit(TXT_FEATURES), F.col("df"))),
+        F.when(model_on, F.format_string(TXT_MODEL_DRIFT % model_threshold, F.bround("md", 4))),
+        F.when(model_on & (F.col("mf") != ""), F.concat(F.lit(TXT_METRICS), F.col("mf"))),
+        F.when(F.lit(retrain), F.lit(TXT_RETRAIN)))
     return both.filter(data_on | model_on).select(
         F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n").alias("texto"))
 
@@ -296,28 +294,29 @@ def retrain_decision(reports: DataFrame, model: str = "fraud_detection", force:
 
 
 # --- S9 -----------------------------------------------------------------------
-def prometheus_lines(data_report: DataFrame, model_report: DataFrame) -> DataFrame:
+def prometheus_lines(data_report: DataFrame, model_report: DataFrame,
+                     prefix: str = "ml") -> DataFrame:
     """Gauge lines ``name{label="x"} value`` of the textfile exporter: four
-    unlabelled gauges and two labelled families (one row per line)."""
+    unlabelled gauges and two labelled families (one row per line), named
+    ``<prefix>_...``."""
     d = data_report.select(
-        F.when(F.col("feature") == "__overall__", F.lit("aurix_ml_data_drift_score"))
-        .otherwise(F.concat(F.lit('aurix_ml_feature_drift_score{feature="'), F.col("feature"),
+        F.when(F.col("feature") == "__overall__", F.lit(f"{prefix}_data_drift_score"))
+        .otherwise(F.concat(F.lit(prefix + '_feature_drift_score{feature="'), F.col("feature"),
                             F.lit('"}'))).alias("metric"),
         F.col("drift_score").cast("double").alias("value"))
     dd = data_report.filter(F.col("feature") == "__overall__").select(
-        F.lit("aurix_ml_data_drift_detected").alias("metric"),
+        F.lit(f"{prefix}_data_drift_detected").alias("metric"),
         F.col("drifted").cast("double").alias("value"))
     m = model_report.select(
-        F.when(F.col("metrica") == "__overall__", F.lit("aurix_ml_model_degradation"))
-        .otherwise(F.concat(F.lit('aurix_ml_metric_degradation{metrica="'), F.col("metrica"),
+        F.when(F.col("metrica") == "__overall__", F.lit(f"{prefix}_model_degradation"))
+        .otherwise(F.concat(F.lit(prefix + '_metric_degradation{metrica="'), F.col("metrica"),
                             F.lit('"}'))).alias("metric"),
         F.col("degradacao").cast("double").alias("value"))
     md = model_report.filter(F.col("metrica") == "__overall__").select(
-        F.lit("aurix_ml_model_drift_detected").alias("metric"),
+        F.lit(f"{prefix}_model_drift_detected").alias("metric"),
         F.col("drifted").cast("double").alias("value"))
     out = d.unionByName(dd).unionByName(m).unionByName(md)
     return out.select("metric", "value",
-                      F.concat_ws(" ", "metric", F.col("value").cast("string")).alias("line"))
-
+                      F.concat_ws(" ", "metric", F.col("value").cast("decimal(18,4)").cast("string"))
+                      .alias("line"))
 
-__all__ = ["Window"]

@@ -3,195 +3,110 @@
 KS statistics, exact AUC, exact quantiles and dense label codes all need a
 cumulative count over values sorted within a group.  A window over the whole
 group would put every row of a feature (or of the whole table) into one task,
-so this kernel works in value buckets:
-
-1. approximate bucket bounds per group (``percentile_approx``: one pass with
-   map-side sketches; at most groups x buckets numbers reach the driver);
-2. every value gets its bucket from those literal bounds through a balanced
-   binary search of ``CASE WHEN`` (deterministic, codegen'd, so both uses of
-   the bucket id agree and a lost executor recomputes the same ids - no
-   lineage cut is needed);
-3. distinct ``(group, value)`` rows with summed weights (map-side partial
-   aggregation; a hot value becomes one row);
-4. per ``(group, bucket)`` totals -> a tiny table whose running offsets are a
-   window over at most groups x buckets rows, broadcast back;
-5. a window inside each ``(group, bucket)`` adds the local running sum.
+so this kernel works in value ranges:
 
-Every task holds one value range of one group, never a whole group.
+1. distinct ``(group, value)`` rows with summed weights (map-side partial
+   aggregation; a hot value becomes one row);
+2. those rows are range-partitioned by (group, value) with Spark's own sampled
+   range partitioner and written, with the number of their range, to the
+   shared folder: as many ranges as the data and the session's partition sizes
+   call for, nothing about them on the driver, and a lost executor re-reads
+   the written ranges instead of drawing new ones;
+3. per (group, range) totals give each range its offset: a window over at most
+   groups x ranges rows;
+4. a window inside each (group, range) adds the local running sum.
+
+Every task holds one value range, never a whole group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_BKT = "_rl_bucket"
-
-
-def _bucket_tree(v: Column, bounds: list[float], lo: int, hi: int) -> Column:
-    """Bucket k such that bounds[k-1] <= v < bounds[k] (binary search)."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi + 1) // 2
-    return F.when(v < F.lit(bounds[mid - 1]), _bucket_tree(v, bounds, lo, mid - 1)) \
-        .otherwise(_bucket_tree(v, bounds, mid, hi))
-
-
-_BOUNDS_MEMO: dict = {}
-
-
-def value_buckets(df: DataFrame, group_cols: list[str], value_col: str,
-                  n_buckets: int | None = None, accuracy: int = 10000) -> Column:
-    """Column giving each row its value bucket (per group).  Numeric values:
-    ``percentile_approx`` bounds; other ordered types (strings): bounds from
-    a seeded sample of at most ~50 values per bucket.  Bounds of the same
-    plan are fitted once per session (memo keyed by the plan's semantic
-    hash)."""
-    spark = df.sparkSession
-    memo_key = (id(spark), df.semanticHash(), tuple(group_cols), value_col, n_buckets)
-    if memo_key in _BOUNDS_MEMO:
-        return _BOUNDS_MEMO[memo_key]
-    col_ = _value_buckets(df, group_cols, value_col, n_buckets, accuracy)
-    if len(_BOUNDS_MEMO) > 256:
-        _BOUNDS_MEMO.clear()
-    _BOUNDS_MEMO[memo_key] = col_
-    return col_
-
-
-def _value_buckets(df: DataFrame, group_cols: list[str], value_col: str,
-                   n_buckets: int | None, accuracy: int) -> Column:
-    spark = df.sparkSession
-    if n_buckets is None:
-        n_buckets = max(8, min(1024, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    numeric = dict(df.dtypes)[value_col] in ("double", "float", "int", "bigint", "smallint",
-                                             "tinyint") or dict(df.dtypes)[value_col].startswith("decimal")
-    v = F.col(value_col).cast("double") if numeric else F.col(value_col)
-    base = df.filter(F.col(value_col).isNotNull())
-    if numeric:
-        probs = [i / n_buckets for i in range(1, n_buckets)]
-        rows = (base.groupBy(*group_cols)
-                .agg(F.percentile_approx(v, probs, accuracy).alias("_b")).collect())
-        bounds_of = {tuple(r[g] for g in group_cols): sorted(float(x) for x in (r["_b"] or []))
-                     for r in rows}
-    else:
-        n = base.count()
-        frac = min(1.0, 50.0 * n_buckets / max(n, 1))
-        sample = base.select(*group_cols, F.col(value_col).alias("_v")).sample(False, frac, 17).collect()
-        per: dict = {}
-        for r in sample:
-            per.setdefault(tuple(r[g] for g in group_cols), []).append(r["_v"])
-        bounds_of = {}
-        for k, vals in per.items():
-            vals.sort()
-            step = max(1, len(vals) // n_buckets)
-            bounds_of[k] = sorted(set(vals[step::step]))
-    expr = None
-    for key, bounds in bounds_of.items():
-        tree = _bucket_tree(v, bounds, 0, len(bounds))
-        if not group_cols:
-            return tree
-        cond = None
-        for g, kv in zip(group_cols, key):
-            c = F.col(g) == F.lit(kv)
-            cond = c if cond is None else cond & c
-        expr = F.when(cond, tree) if expr is None else expr.when(cond, tree)
-    return expr.otherwise(F.lit(0)) if expr is not None else F.lit(0)
+from ..session import scratch_table
+
+_BKT = "_rl_range"
+
+
+def ranged(distinct: DataFrame, group_cols: list[str], value_col: str) -> DataFrame:
+    """``distinct`` (one row per group and value) with the number of the value
+    range each row is in, from a table in the shared folder."""
+    cut = distinct.repartitionByRange(*group_cols, value_col) \
+        .withColumn(_BKT, F.spark_partition_id())
+    return scratch_table(cut, "ranges")
 
 
 def running_sums(df: DataFrame, group_cols: list[str], value_col: str,
-                 weight_cols: list[str], n_buckets: int | None = None) -> DataFrame:
+                 weight_cols: list[str]) -> DataFrame:
     """Return distinct ``(group..., value)`` rows with, for each weight ``w``:
     ``w`` (sum at this value), ``cum_w`` (sum over values <= this one),
     ``tot_w`` (group total).  Null values are dropped."""
-    bucket = value_buckets(df, group_cols, value_col, n_buckets)
     d = (df.filter(F.col(value_col).isNotNull())
            .groupBy(*group_cols, value_col)
-           .agg(*[F.sum(w).alias(w) for w in weight_cols])
-           .withColumn(_BKT, bucket))
+           .agg(*[F.sum(w).alias(w) for w in weight_cols]))
+    d = ranged(d, group_cols, value_col)
     part_tot = d.groupBy(*group_cols, _BKT).agg(*[F.sum(w).alias(f"_pt_{w}") for w in weight_cols])
     wg = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
     wo = wg.orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per (group, range): small, joined as the optimizer sees fit
     offsets = part_tot.select(
         *group_cols, _BKT,
         *[F.coalesce(F.sum(f"_pt_{w}").over(wo), F.lit(0)).alias(f"_off_{w}") for w in weight_cols],
         *[F.sum(f"_pt_{w}").over(wg).alias(f"tot_{w}") for w in weight_cols])
-    # offsets has at most (#groups x n_buckets) rows: a proven size bound.
-    d = d.join(F.broadcast(offsets), [*group_cols, _BKT])
     wl = (Window.partitionBy(*group_cols, _BKT).orderBy(value_col)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return d.select(
+    local = d.select("*", *[F.sum(w).over(wl).alias(f"_loc_{w}") for w in weight_cols])
+    return local.join(offsets, [*group_cols, _BKT]).select(
         *group_cols, value_col, *weight_cols,
-        *[(F.col(f"_off_{w}") + F.sum(w).over(wl)).alias(f"cum_{w}") for w in weight_cols],
+        *[(F.col(f"_off_{w}") + F.col(f"_loc_{w}")).alias(f"cum_{w}") for w in weight_cols],
         *[F.col(f"tot_{w}") for w in weight_cols])
 
 
+def rank_values(value: str, weight: str, probs: list[float], prefix: str = "_q") -> list:
+    """Aggregates over :func:`running_sums` rows that give, for every
+    probability, the values at the floor and the ceiling of rank p (N - 1) of
+    the sample weighted by ``weight``."""
+    out = []
+    for i, p in enumerate(probs):
+        k = F.lit(float(p)) * (F.col(f"tot_{weight}") - 1)
+        for name, r in (("lo", F.floor(k)), ("hi", F.ceil(k))):
+            out.append(F.min(F.when((F.col(weight) > 0) & (F.col(f"cum_{weight}") > r),
+                                    F.col(value))).alias(f"{prefix}{name}{i}"))
+    return out
+
+
+def rank_quantile(i: int, p: float, total, prefix: str = "_q"):
+    """The linear-interpolated quantile from the columns of :func:`rank_values`."""
+    k = F.lit(float(p)) * (total - 1)
+    lo, hi = F.col(f"{prefix}lo{i}"), F.col(f"{prefix}hi{i}")
+    return lo + (k - F.floor(k)) * (hi - lo)
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
-                    group_cols: list[str] | None = None, n_buckets: int | None = None,
+                    group_cols: list[str] | None = None,
                     weight_col: str | None = None) -> DataFrame:
     """numpy/pandas default (linear interpolation) quantiles, exact, without
-    gathering a group's values in one task.  Only the value buckets that hold
-    a target rank are ordered (a semi join on the tiny bucket table), and the
-    target ranks meet their rows by an equi-join on (group, bucket) plus a
-    range filter - no per-row array work.  ``weight_col`` gives a count per
-    row (value-count input).  Returns ``(group..., prob, quantile)``, one row
-    per requested probability."""
+    gathering a group's values in one task: one aggregate over the running
+    sums.  ``weight_col`` gives a count per row (value-count input).  Returns
+    ``(group..., prob, quantile)``, one row per requested probability."""
     g = list(group_cols or [])
-    single = not g
-    if single:  # one implicit group, so every join below is an equi-join
-        df, g = df.withColumn("_g", F.lit(0)), ["_g"]
     w = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
     base = (df.select(*g, F.col(value_col).cast("double").alias("_v"), w.alias("_w"))
             .filter(F.col("_v").isNotNull() & (F.col("_w") > 0)))
-    bucket = value_buckets(base, g, "_v", n_buckets)
-    d = base.groupBy(*g, "_v").agg(F.sum("_w").alias("n")).withColumn(_BKT, bucket)
-    pt = d.groupBy(*g, _BKT).agg(F.sum("n").alias("pt"))
-    wg = Window.partitionBy(*g) if g else Window.partitionBy()
-    offs = pt.select(*g, _BKT, "pt",
-                     F.coalesce(F.sum("pt").over(wg.orderBy(_BKT).rowsBetween(
-                         Window.unboundedPreceding, -1)), F.lit(0)).alias("off"),
-                     F.sum("pt").over(wg).alias("tot"))
-    # target ranks (0-based) per group: lo = floor(p (N-1)), hi = ceil(...)
-    tg = (offs.select(*g, "tot").distinct()
-          .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-          .withColumn("k", F.col("prob") * (F.col("tot") - 1))
-          .withColumn("r", F.explode(F.array(F.floor("k"), F.ceil("k")))))
-    # at most groups x probs x 2 rows, each placed in its bucket
-    tb = tg.join(offs.drop("tot"), g, "inner")
-    tb = tb.filter((F.col("r") >= F.col("off")) & (F.col("r") < F.col("off") + F.col("pt")))
-    tb = tb.select(*g, _BKT, "off", "prob", "k", "r")
-    need = tb.select(*g, _BKT).distinct()
-    rows = d.join(F.broadcast(need), [*g, _BKT], "left_semi")
-    wl = (Window.partitionBy(*g, _BKT).orderBy("_v")
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("_c", F.sum("n").over(wl))
-    hit = rows.join(F.broadcast(tb), [*g, _BKT]).filter(
-        (F.col("r") >= F.col("off") + F.col("_c") - F.col("n"))
-        & (F.col("r") <= F.col("off") + F.col("_c") - 1))
-    per = hit.groupBy(*g, "prob").agg(
-        F.min(F.when(F.col("r") == F.floor("k"), F.col("_v"))).alias("v_lo"),
-        F.max(F.when(F.col("r") == F.ceil("k"), F.col("_v"))).alias("v_hi"),
-        F.first("k").alias("k"))
-    return per.select(
-        *([] if single else g), "prob",
-        (F.col("v_lo") + (F.col("k") - F.floor("k")) * (F.col("v_hi") - F.col("v_lo")))
-        .alias("quantile"))
-
-
-def dense_codes(df: DataFrame, col: str, code_col: str | None = None) -> DataFrame:
-    """0-based code of each value by sorted distinct value (label encoding),
-    joined back onto ``df``.  The dictionary is built with the distributed
-    running sum, not a global window."""
-    code_col = code_col or f"{col}_encoded"
-    distinct = df.select(F.col(col).alias("_k")).distinct().withColumn("_one", F.lit(1).cast("long"))
-    rs = running_sums(distinct, [], "_k", ["_one"])
-    dic = rs.select(F.col("_k").alias(col), (F.col("cum__one") - 1).cast("int").alias(code_col))
-    return df.join(dic, col, "left")
+    rs = running_sums(base, g, "_v", ["_w"])
+    per = rs.groupBy(*g).agg(F.max("tot__w").alias("_n"), *rank_values("_v", "_w", probs))
+    rows = F.array(*[F.struct(F.lit(float(p)).alias("prob"),
+                              rank_quantile(i, p, F.col("_n")).alias("quantile"))
+                     for i, p in enumerate(probs)])
+    return (per.filter(F.col("_n") > 0).select(*g, F.explode(rows).alias("_r"))
+            .select(*g, "_r.prob", "_r.quantile"))
 
 
-def dense_code_dictionary(df: DataFrame, cols: list[str]) -> DataFrame:
+def code_dictionary(df: DataFrame, cols: list[str]) -> DataFrame:
     """One dictionary ``(column, value, code)`` for several categorical
-    columns at once: unpivot, distinct, one running count per column (the
-    bucket bounds are fitted once for all columns)."""
+    columns at once: 0-based codes by sorted distinct value (label encoding),
+    from one unpivot, one distinct and one running count per column."""
     long = (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
             .unpivot([], cols, "_col", "_k").filter(F.col("_k").isNotNull()).distinct()
             .withColumn("_one", F.lit(1).cast("long")))
@@ -200,13 +115,23 @@ def dense_code_dictionary(df: DataFrame, cols: list[str]) -> DataFrame:
                      (F.col("cum__one") - 1).cast("int").alias("code"))
 
 
-def dense_codes_many(df: DataFrame, cols: list[str], suffix: str = "_encoded") -> DataFrame:
-    """Label-encode several columns with one shared dictionary job; each
-    column joins its slice of the dictionary (AQE broadcasts small slices)."""
-    dic = dense_code_dictionary(df, cols)
+def apply_codes(df: DataFrame, dictionary: DataFrame, cols: list[str],
+                suffix: str = "_encoded") -> DataFrame:
+    """Each column's codes from a fitted dictionary; a value the dictionary
+    does not hold gets -1, null stays null.  A slice of the dictionary has one
+    row per distinct value: the optimizer broadcasts small ones and AQE splits
+    the hot values of large ones."""
     out = df
     for c in cols:
-        d = dic.filter(F.col("column") == c).select(F.col("value").alias(c),
-                                                     F.col("code").alias(f"{c}{suffix}"))
-        out = out.join(d, c, "left")
+        d = dictionary.filter(F.col("column") == c).select(
+            F.col("value").alias("_value"), F.col("code").alias("_code"))
+        out = out.join(d, F.col(c).cast("string") == F.col("_value"), "left").withColumn(
+            f"{c}{suffix}", F.when(F.col(c).isNotNull(), F.coalesce("_code", F.lit(-1)))
+        ).drop("_value", "_code")
     return out
+
+
+def dense_codes(df: DataFrame, col: str, code_col: str | None = None) -> DataFrame:
+    """0-based code of each value of one column by sorted distinct value."""
+    out = apply_codes(df, code_dictionary(df, [col]), [col], "_rl_code")
+    return out.withColumnRenamed(f"{col}_rl_code", code_col or f"{col}_encoded")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.core import col
-from .ordered import exact_quantiles, running_sums
+from .ordered import exact_quantiles, rank_quantile, rank_values, running_sums
 
 EPS = 1e-6
 
@@ -81,6 +81,13 @@ def value_counts(ref_long: DataFrame, cur_long: DataFrame) -> DataFrame:
     return both.groupBy("feature", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
+def value_profile(ref_long: DataFrame, cur_long: DataFrame) -> DataFrame:
+    """The value counts in order: (feature, value, a, b) with running and total
+    counts of both samples.  One ordering serves sizes, quantiles, bins, PSI
+    and KS."""
+    return running_sums(value_counts(ref_long, cur_long), ["feature"], "value", ["a", "b"])
+
+
 # --- A3 -----------------------------------------------------------------------
 def quantile_edges(long_ref: DataFrame, n_bins: int = 10, weight_col: str | None = None) -> DataFrame:
     """Per feature: the n+1 linear-interpolated quantiles, de-duplicated and
@@ -91,224 +98,194 @@ def quantile_edges(long_ref: DataFrame, n_bins: int = 10, weight_col: str | None
 
 
 # --- A4 -----------------------------------------------------------------------
-def edges_dict(edges) -> dict:
-    """Fitted bin edges as {feature: [edges]} (one short list per feature:
-    the only thing that reaches the driver)."""
-    if isinstance(edges, dict):
-        return edges
-    return {r["feature"]: list(r["edges"]) for r in edges.select("feature", "edges").collect()}
-
-
-def bin_index(value, edges: list) -> Column:
-    """numpy.histogram bin for literal ``edges``: [e_i, e_i+1), last bin
-    closed, outside -> null.  A balanced CASE WHEN search (codegen'd)."""
-    from .ordered import _bucket_tree
-    v = col(value)
-    n = len(edges)
-    if n < 2:
-        return F.lit(None).cast("int")
-    inner = _bucket_tree(v, [float(e) for e in edges[1:-1]], 0, n - 2)
-    return (F.when((v < F.lit(float(edges[0]))) | (v > F.lit(float(edges[-1]))), F.lit(None))
-            .when(v == F.lit(float(edges[-1])), F.lit(n - 2)).otherwise(inner)).cast("int")
-
-
-def bins_expr(edges: dict, value="value", feature="feature", clamp: bool = False) -> Column:
-    """Per-feature bin of ``value`` (null for unknown features / outside)."""
-    out = None
-    for f, e in edges.items():
-        v = col(value)
-        if clamp and len(e) >= 2:
-            v = F.least(F.greatest(v, F.lit(float(e[0]))), F.lit(float(e[-1])))
-        b = bin_index(v, e)
-        out = F.when(col(feature) == f, b) if out is None else out.when(col(feature) == f, b)
-    return out if out is not None else F.lit(None).cast("int")
-
-
-def histogram(long: DataFrame, edges, clamp: bool = False) -> DataFrame:
-    """Counts per (feature, bin).  ``clamp`` first clips values to the edge
-    range (baseline variant); otherwise outside values are dropped."""
-    e = edges_dict(edges)
-    return (long.select("feature", bins_expr(e, clamp=clamp).alias("bin"))
-                .filter(F.col("bin").isNotNull())
-                .groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n")))
-
-
-def edges_frame(spark, edges: dict) -> DataFrame:
-    """The fitted edges as a small literal frame (features x 1 row)."""
-    return spark.createDataFrame([(f, [float(x) for x in e]) for f, e in edges.items()],
-                                 "feature string, edges array<double>")
-
-
-def _all_bins(spark, edges: dict) -> DataFrame:
-    """Every (feature, bin) of the fitted edges: a literal frame of at most
-    features x n_bins rows."""
-    return spark.createDataFrame([(f, i) for f, e in edges.items() if len(e) >= 2
-                                  for i in range(len(e) - 1)], "feature string, bin int")
-
-
-def bin_counts(ref_long: DataFrame, cur_long: DataFrame, edges,
-               clamp_cur: bool = False) -> DataFrame:
-    """Every bin of every feature with reference and current counts (0 when
-    empty)."""
-    e = edges_dict(edges)
-    hr = histogram(ref_long, e).withColumnRenamed("n", "n_ref")
-    hc = histogram(cur_long, e, clamp=clamp_cur).withColumnRenamed("n", "n_cur")
-    return (_all_bins(ref_long.sparkSession, e).join(hr, ["feature", "bin"], "left")
-            .join(hc, ["feature", "bin"], "left")
-            .fillna(0, ["n_ref", "n_cur"]))
+def bin_of(value, edges) -> Column:
+    """numpy.histogram bin of ``value`` in the array column ``edges``:
+    [e_i, e_i+1), last bin closed, outside or fewer than two edges -> null."""
+    v, e = col(value), col(edges)
+    n = F.size(e)
+    at = F.aggregate(e, F.lit(0), lambda acc, x: acc + F.when(x <= v, 1).otherwise(0)) - 1
+    last = F.try_element_at(e, n)
+    return (F.when((n < 2) | (v < F.try_element_at(e, F.lit(1))) | (v > last), F.lit(None))
+            .when(v == last, n - 2).otherwise(at)).cast("int")
+
+
+def histogram(long: DataFrame, edges: DataFrame, clamp: bool = False) -> DataFrame:
+    """Counts per (feature, bin) for ``edges`` (one row per feature).
+    ``clamp`` first clips values to the edge range (baseline variant);
+    otherwise outside values are dropped.  Values are counted before they are
+    binned, so the search runs once per distinct value."""
+    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    j = counts.join(edges.select("feature", "edges"), "feature")
+    v = F.col("value")
+    if clamp:
+        v = F.least(F.greatest(v, F.try_element_at("edges", F.lit(1))),
+                    F.try_element_at("edges", F.size("edges")))
+    return (j.select("feature", bin_of(v, "edges").alias("bin"), "n")
+            .filter(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(F.sum("n").alias("n")))
+
+
+def all_bins(edges: DataFrame) -> DataFrame:
+    """Every (feature, bin, lo, hi) of the edges: features x bins rows."""
+    two = edges.filter(F.size("edges") >= 2)
+    return two.select("feature", F.posexplode(F.arrays_zip(
+        F.slice("edges", F.lit(1), F.size("edges") - 1).alias("lo"),
+        F.slice("edges", F.lit(2), F.size("edges") - 1).alias("hi"))).alias("bin", "e")).select(
+        "feature", "bin", F.col("e.lo").alias("lo"), F.col("e.hi").alias("hi"))
 
 
 # --- A5 -----------------------------------------------------------------------
+BASELINE_SCHEMA = ("feature string, tipo string, pos int, lo double, hi double, categoria string, "
+                   "proporcao double, mean double, std double")
+
+
 def baseline_stats(ref: DataFrame, numeric: list[str], categorical: list[str],
                    n_bins: int = 10) -> DataFrame:
-    """Reference statistics, one row per feature:
-    (feature, tipo, bins, proporcoes, mean, std, categorias).  Numeric:
-    quantile edges, bin shares, mean, sample std (0 -> 1e-6), needs >= n_bins
-    values and >= 2 edges.  Categorical: shares by descending count."""
+    """Reference statistics in long form, one row per bin or category:
+    (feature, tipo, pos, lo, hi, categoria, proporcao, mean, std).  Numeric:
+    quantile bins with their shares, mean, sample std (0 -> 1e-6), needs
+    >= n_bins values and >= 2 edges.  Categorical: a row per category and its
+    share; ``pos`` is null there, because ranking all categories of a feature
+    would be one task."""
     rows = []
     if numeric:
         long = to_long(ref, numeric)
-        cnt = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
-                                          F.stddev_samp("value").alias("sd"))
-        e = {f: v for f, v in edges_dict(quantile_edges(long, n_bins)).items() if len(v) >= 2}
-        edges = edges_frame(ref.sparkSession, e)
-        h = histogram(long, e)
-        bins = _all_bins(ref.sparkSession, e).join(h, ["feature", "bin"], "left").fillna(0, ["n"])
-        props = (bins.groupBy("feature")
-                 .agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bn"))
-                 .select("feature", F.transform("bn", lambda s: s["n"]).alias("cs")))
-        num = (edges.join(props, "feature").join(cnt, "feature")
-               .filter(F.col("n") >= n_bins)
-               .select("feature", F.lit("numerica").alias("tipo"),
-                       F.col("edges").alias("bins"),
-                       F.transform("cs", lambda c: c / F.aggregate("cs", F.lit(0).cast("long"),
-                                                                     lambda a, b: a + b))
-                       .alias("proporcoes"),
-                       F.col("mean"),
-                       F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(EPS)).alias("std"),
-                       F.lit(None).cast("array<string>").alias("categorias")))
-        rows.append(num)
+        probs = [i / n_bins for i in range(n_bins + 1)]
+        one = long.withColumn("n", F.lit(1).cast("long"))
+        # the running sums' distinct values also give the moments
+        rs = running_sums(one, ["feature"], "value", ["n"])
+        per = rs.groupBy("feature").agg(F.max("tot_n").alias("_n"), *rank_values("value", "n", probs))
+        edges = per.select("feature", "_n", F.array_sort(F.array_distinct(F.array(
+            *[rank_quantile(i, p, F.col("_n")) for i, p in enumerate(probs)]))).alias("edges"))
+        edges = edges.filter(F.col("_n") >= n_bins)
+        moments = long.groupBy("feature").agg(F.avg("value").alias("mean"),
+                                              F.stddev_samp("value").alias("sd"))
+        h = (rs.join(edges.select("feature", "edges"), "feature")
+             .select("feature", bin_of("value", "edges").alias("bin"), "n")
+             .groupBy("feature", "bin").agg(F.sum("n").alias("c")))
+        bins = all_bins(edges).join(h, ["feature", "bin"], "left").fillna(0, ["c"])
+        tot = bins.groupBy("feature").agg(F.sum("c").alias("t"))
+        rows.append(bins.join(tot, "feature").join(moments, "feature").select(
+            "feature", F.lit("numerica").alias("tipo"), F.col("bin").alias("pos"), "lo", "hi",
+            F.lit(None).cast("string").alias("categoria"), (F.col("c") / F.col("t")).alias("proporcao"),
+            "mean", F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(EPS)).alias("std")))
     if categorical:
-        sh = value_shares(to_long_cat(ref, categorical))
-        cat = (sh.groupBy("feature")
-               .agg(F.array_sort(F.collect_list(F.struct(
-                   (-F.col("n")).alias("o"), F.col("category"), F.col("share")))).alias("s"))
-               .select("feature", F.lit("categorica").alias("tipo"),
-                       F.lit(None).cast("array<double>").alias("bins"),
-                       F.transform("s", lambda x: x["share"]).alias("proporcoes"),
-                       F.lit(None).cast("double").alias("mean"),
-                       F.lit(None).cast("double").alias("std"),
-                       F.transform("s", lambda x: x["category"]).alias("categorias")))
-        rows.append(cat)
+        null = F.lit(None).cast("double")
+        rows.append(value_shares(to_long_cat(ref, categorical)).select(
+            "feature", F.lit("categorica").alias("tipo"), F.lit(None).cast("int").alias("pos"),
+            null.alias("lo"), null.alias("hi"), F.col("category").alias("categoria"),
+            F.col("share").alias("proporcao"), null.alias("mean"), null.alias("std")))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
-    # one row per feature, read several times by the drift jobs: keep it
-    return out.persist()
+    return out
 
 
 # --- A6 -----------------------------------------------------------------------
-def psi_raw(ref_long: DataFrame, cur_long: DataFrame, n_bins: int = 10,
-            counts: DataFrame | None = None) -> DataFrame:
-    """PSI per feature with reference-quantile bins; shares clipped at 1e-6 but
-    not renormalised; current values outside the reference range dropped.
+def two_sample(profile: DataFrame, n_bins: int = 10) -> DataFrame:
+    """One row per feature: sizes, KS statistic and raw PSI from an ordered
+    value profile.  PSI uses reference-quantile bins; shares clipped at 1e-6
+    but not renormalised; current values outside the reference range dropped.
     0.0 when a side has < n_bins values or < 2 edges; null when no current
-    value falls inside the range (the reference returns NaN there).
-    Computed from the value-count table (pass ``counts`` to share it)."""
-    vc = counts if counts is not None else value_counts(ref_long, cur_long)
-    sizes = vc.groupBy("feature").agg(F.sum("a").alias("n_ref_total"),
-                                      F.sum("b").alias("n_cur_total"))
-    edges = edges_dict(quantile_edges(vc, n_bins, weight_col="a"))
-    spark = vc.sparkSession
-    binned = (vc.select("feature", bins_expr(edges).alias("bin"), "a", "b")
+    value falls inside the range (the reference returns NaN there)."""
+    probs = [i / n_bins for i in range(n_bins + 1)]
+    gap = F.abs(F.try_divide(F.col("cum_a"), F.col("tot_a"))
+                - F.try_divide(F.col("cum_b"), F.col("tot_b")))
+    per = profile.groupBy("feature").agg(
+        F.max("tot_a").alias("n_ref"), F.max("tot_b").alias("n_cur"), F.max(gap).alias("d"),
+        *rank_values("value", "a", probs))
+    edges = F.array_sort(F.array_distinct(F.filter(F.array(
+        *[rank_quantile(i, p, F.col("n_ref")) for i, p in enumerate(probs)]),
+        lambda x: x.isNotNull())))
+    per = per.select("feature", "n_ref", "n_cur", "d", edges.alias("edges"))
+    counts = (profile.join(per.select("feature", "edges"), "feature")
+              .select("feature", bin_of("value", "edges").alias("bin"), "a", "b")
               .filter(F.col("bin").isNotNull())
-              .groupBy("feature", "bin").agg(F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur")))
-    bc = (_all_bins(spark, edges).join(binned, ["feature", "bin"], "left")
-          .fillna(0, ["n_ref", "n_cur"]))
-    tot = bc.groupBy("feature").agg(F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur"))
-    b = bc.join(tot, "feature")
-    pe = F.greatest(F.try_divide(F.col("n_ref"), F.col("t_ref")), F.lit(EPS))
-    pa = F.greatest(F.try_divide(F.col("n_cur"), F.col("t_cur")), F.lit(EPS))
-    psi = b.groupBy("feature").agg(
-        F.sum((pa - pe) * F.log(pa / pe)).alias("psi_v"),
-        F.first("t_cur").alias("t_cur"))
-    out = sizes.join(psi, "feature", "left")
-    return out.select(
-        "feature",
-        F.when((F.col("n_ref_total") < n_bins) | (F.col("n_cur_total") < n_bins), F.lit(0.0))
-         .when(F.col("psi_v").isNull(), F.lit(0.0))
-         .when(F.col("t_cur") == 0, F.lit(None).cast("double"))
-         .otherwise(F.col("psi_v")).alias("psi"),
-        "n_ref_total", "n_cur_total")
+              .groupBy("feature", "bin").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    bc = all_bins(per).join(counts, ["feature", "bin"], "left").fillna(0, ["a", "b"])
+    tot = bc.groupBy("feature").agg(F.sum("a").alias("t_a"), F.sum("b").alias("t_b"))
+    pe = F.greatest(F.try_divide(F.col("a"), F.col("t_a")), F.lit(EPS))
+    pa = F.greatest(F.try_divide(F.col("b"), F.col("t_b")), F.lit(EPS))
+    psi = bc.join(tot, "feature").groupBy("feature").agg(
+        F.sum((pa - pe) * F.log(pa / pe)).alias("psi_v"), F.max("t_b").alias("t_b"))
+    small = (F.col("n_ref") < n_bins) | (F.col("n_cur") < n_bins)
+    return per.join(psi, "feature", "left").select(
+        "feature", F.coalesce("n_ref", F.lit(0)).alias("n_ref"),
+        F.coalesce("n_cur", F.lit(0)).alias("n_cur"), "d",
+        F.when(small | F.col("psi_v").isNull(), F.lit(0.0))
+        .when(F.col("t_b") == 0, F.lit(None).cast("double"))
+        .otherwise(F.col("psi_v")).alias("psi"))
+
+
+def psi_raw(ref_long: DataFrame, cur_long: DataFrame, n_bins: int = 10) -> DataFrame:
+    """Raw PSI per feature (see :func:`two_sample`) with both sizes."""
+    return two_sample(value_profile(ref_long, cur_long), n_bins).select(
+        "feature", "psi", F.col("n_ref").alias("n_ref_total"), F.col("n_cur").alias("n_cur_total"))
 
 
 # --- A7 -----------------------------------------------------------------------
-def psi_from_counts(expected: Column, actual: Column) -> Column:
-    """Normalised PSI of two count/share arrays: clip at 1e-6, renormalise
-    both, sum (a - e) ln(a / e)."""
-    def norm(arr):
-        c = F.transform(arr, lambda x: F.greatest(x.cast("double"), F.lit(EPS)))
-        s = F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
-        return F.transform(c, lambda x: x / s)
-    e, a = norm(expected), norm(actual)
-    return F.aggregate(F.zip_with(e, a, lambda x, y: (y - x) * F.log(y / x)),
-                       F.lit(0.0), lambda acc, v: acc + v)
+def psi_of_parts(parts: DataFrame) -> DataFrame:
+    """Normalised PSI per feature of long (feature, expected, actual) rows:
+    clip both at 1e-6, renormalise, sum (a - e) ln(a / e)."""
+    e = F.greatest(F.col("expected").cast("double"), F.lit(EPS))
+    a = F.greatest(F.col("actual").cast("double"), F.lit(EPS))
+    p = parts.select("feature", e.alias("e"), a.alias("a"))
+    tot = p.groupBy("feature").agg(F.sum("e").alias("te"), F.sum("a").alias("ta"))
+    en, an = F.col("e") / F.col("te"), F.col("a") / F.col("ta")
+    return p.join(tot, "feature").groupBy("feature").agg(
+        F.sum((an - en) * F.log(an / en)).alias("psi"))
 
 
 def psi_normalised(baseline: DataFrame, current: DataFrame, min_count: int = 10) -> DataFrame:
     """Current frame against stored baseline rows (A5 output): numeric values
-    clamped to the edge range then binned; categorical counts in baseline
-    order plus one bin of unseen categories (expected 0).  One row per
-    feature: (feature, psi)."""
-    out = []
-    num_b = baseline.filter(F.col("tipo") == "numerica").select("feature", F.col("bins").alias("edges"),
-                                                                "proporcoes")
-    num_feats = [r for r in current.columns]
-    long = to_long(current, [c for c in num_feats if dict(current.dtypes)[c] in
-                             ("double", "float", "int", "bigint", "smallint")])
-    long = long.join(F.broadcast(num_b.select("feature")), "feature")
-    n = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-    e = edges_dict(num_b.select("feature", "edges"))
-    h = histogram(long, e, clamp=True)
-    bins = _all_bins(current.sparkSession, e).join(h, ["feature", "bin"], "left").fillna(0, ["n"])
-    cur_arr = (bins.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bn"))
-               .select("feature", F.transform("bn", lambda s: s["n"]).alias("counts")))
-    num = (num_b.join(cur_arr, "feature").join(n, "feature").filter(F.col("n") >= min_count)
-           .select("feature", psi_from_counts(F.col("proporcoes"), F.col("counts")).alias("psi")))
-    out.append(num)
-    cat_b = baseline.filter(F.col("tipo") == "categorica")
-    cat_cols = [c for c in current.columns if dict(current.dtypes)[c] == "string"]
+    clamped to the edge range then binned; categorical counts beside their
+    baseline shares plus one part of unseen categories (expected 0).  One row
+    per feature: (feature, psi)."""
+    kinds = dict(current.dtypes)
+    parts = []
+    num_cols = [c for c in current.columns
+                if kinds[c] in ("double", "float", "int", "bigint", "smallint")]
+    if num_cols:
+        num_b = baseline.filter(F.col("tipo") == "numerica")
+        # a feature has at most n_bins rows here
+        edges = num_b.groupBy("feature").agg(F.array_sort(F.array_distinct(F.concat(
+            F.collect_list("lo"), F.collect_list("hi")))).alias("edges"))
+        h = histogram(to_long(current, num_cols), edges, clamp=True)
+        n = h.groupBy("feature").agg(F.sum("n").alias("n_feature"))
+        num = (num_b.join(h.withColumnRenamed("bin", "pos"), ["feature", "pos"], "left")
+               .join(n, "feature").filter(F.col("n_feature") >= min_count)
+               .select("feature", F.col("proporcao").alias("expected"),
+                       F.coalesce("n", F.lit(0)).alias("actual")))
+        parts.append(num)
+    cat_cols = [c for c in current.columns if kinds[c] == "string"]
     if cat_cols:
-        lc = to_long_cat(current, cat_cols)
-        out.append(category_vs_baseline(cat_b, lc).select("feature", "psi"))
-    res = out[0]
-    for r in out[1:]:
-        res = res.unionByName(r)
-    return res
+        parts.append(category_vs_baseline(baseline.filter(F.col("tipo") == "categorica"),
+                                          to_long_cat(current, cat_cols))
+                     .select("feature", "expected", "actual"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return psi_of_parts(out)
 
 
 # --- J5 -----------------------------------------------------------------------
 def category_vs_baseline(cat_baseline: DataFrame, cur_long_cat: DataFrame) -> DataFrame:
-    """Baseline categories left-joined to current counts (missing -> 0); every
-    current category absent from the baseline is summed into one extra bin
-    whose expected share is 0 (anti join)."""
-    exp = cat_baseline.select("feature", F.posexplode(F.arrays_zip(
-        F.col("categorias").alias("category"), F.col("proporcoes").alias("share"))).alias("pos", "c"))
-    exp = exp.select("feature", "pos", F.col("c.category").alias("category"),
-                     F.col("c.share").alias("share"))
-    counts = cur_long_cat.groupBy("feature", "category").agg(F.count(F.lit(1)).alias("n"))
-    seen = exp.join(counts, ["feature", "category"], "left").fillna(0, ["n"])
-    extra = (counts.join(exp.select("feature", "category"), ["feature", "category"], "left_anti")
-             .groupBy("feature").agg(F.sum("n").alias("extra")))
-    arr = (seen.groupBy("feature")
-           .agg(F.array_sort(F.collect_list(F.struct("pos", "share", "n"))).alias("s"))
-           .join(extra, "feature", "left").fillna(0, ["extra"])
-           .join(F.broadcast(cat_baseline.select("feature")), "feature"))
-    e = F.concat(F.transform("s", lambda x: x["share"]), F.array(F.lit(0.0)))
-    a = F.concat(F.transform("s", lambda x: x["n"].cast("double")),
-                 F.array(F.col("extra").cast("double")))
-    return arr.select("feature", e.alias("esperado"), a.alias("atual"),
-                      psi_from_counts(e, a).alias("psi"))
+    """Long (feature, category, expected, actual): baseline categories with
+    their current counts (missing -> 0), and for every baseline feature one
+    part (category null) that sums the current categories absent from the
+    baseline, whose expected share is 0."""
+    exp = cat_baseline.select("feature", F.col("categoria").alias("category"),
+                              F.col("proporcao").alias("expected"))
+    counts = cur_long_cat.groupBy("feature", "category").agg(F.count(F.lit(1)).alias("actual"))
+    both = (exp.join(counts, ["feature", "category"], "full")
+            .select("feature", F.when(F.col("expected").isNotNull(), F.col("category")).alias("category"),
+                    F.coalesce("expected", F.lit(0.0)).alias("expected"),
+                    F.coalesce("actual", F.lit(0)).alias("actual"))
+            .join(exp.select("feature").distinct(), "feature", "left_semi"))
+    unseen = exp.select("feature").distinct().select(
+        "feature", F.lit(None).cast("string").alias("category"), F.lit(0.0).alias("expected"),
+        F.lit(0).cast("long").alias("actual"))
+    return both.unionByName(unseen).groupBy("feature", "category").agg(
+        F.max("expected").alias("expected"), F.sum("actual").alias("actual"))
 
 
 # --- J4 -----------------------------------------------------------------------
@@ -321,65 +298,40 @@ def category_align(ref_long_cat: DataFrame, cur_long_cat: DataFrame) -> DataFram
 
 
 # --- A8 -----------------------------------------------------------------------
-def ks_two_sample(ref_long: DataFrame, cur_long: DataFrame, min_count: int = 5,
-                  counts: DataFrame | None = None) -> DataFrame:
-    """Two-sample KS statistic per feature (max |F_ref - F_cur| over all
-    values, ties handled by grouping equal values) plus sizes; (0, p=1) when
-    a side has < ``min_count`` values.  p-value: see :func:`with_ks_pvalue`."""
-    vc = counts if counts is not None else value_counts(ref_long, cur_long)
-    rs = running_sums(vc, ["feature"], "value", ["a", "b"])
-    st_ = rs.groupBy("feature").agg(
-        F.max(F.abs(F.try_divide(F.col("cum_a"), F.col("tot_a"))
-                    - F.try_divide(F.col("cum_b"), F.col("tot_b")))).alias("d"),
-        F.first("tot_a").alias("n_ref"), F.first("tot_b").alias("n_cur"))
-    small = (F.col("n_ref") < min_count) | (F.col("n_cur") < min_count) \
-        | F.col("n_ref").isNull() | F.col("n_cur").isNull()
-    return st_.select("feature", F.when(small, F.lit(0.0)).otherwise(F.col("d")).alias("ks_statistic"),
-                      F.coalesce("n_ref", F.lit(0)).alias("n_ref"),
-                      F.coalesce("n_cur", F.lit(0)).alias("n_cur"),
-                      small.alias("_small"))
-
-
-def kolmogorov_sf(x: float) -> float:
-    """Survival function of the limiting Kolmogorov distribution."""
-    if x <= 0:
-        return 1.0
-    if x < 0.27:
-        return 1.0
-    s = 0.0
-    for k in range(1, 101):
-        term = 2 * (-1) ** (k - 1) * math.exp(-2 * k * k * x * x)
-        s += term
-        if abs(term) < 1e-16:
-            break
-    return min(max(s, 0.0), 1.0)
-
-
-def ks_pvalue(d: float, n: int, m: int) -> float:
-    """Asymptotic two-sided p-value with Stephens' small-sample factor."""
-    if not n or not m:
-        return 1.0
-    en = math.sqrt(n * m / (n + m))
-    return kolmogorov_sf((en + 0.12 + 0.11 / en) * d)
+def ks_of(profile_row: DataFrame, min_count: int = 5) -> DataFrame:
+    """KS columns of :func:`two_sample` rows: the statistic is 0 (and later
+    p = 1) when a side has < ``min_count`` values."""
+    small = (F.col("n_ref") < min_count) | (F.col("n_cur") < min_count)
+    return profile_row.withColumns({
+        "_small": small, "ks_statistic": F.when(small, F.lit(0.0)).otherwise(F.col("d"))}).drop("d")
 
 
-@F.pandas_udf(T.DoubleType())
-def _ks_p_udf(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    return pd.Series([ks_pvalue(a, int(b), int(c)) for a, b, c in zip(d, n, m)])
-
-
-def ks_pvalue_col(d, n, m) -> Column:
-    """Same series as :func:`ks_pvalue`, as a Catalyst expression (100 terms
-    over the one-row-per-feature result; no Python worker)."""
+def ks_two_sample(ref_long: DataFrame, cur_long: DataFrame, min_count: int = 5) -> DataFrame:
+    """Two-sample KS statistic per feature (max |F_ref - F_cur| over all
+    values, ties handled by grouping equal values) plus sizes.  p-value: see
+    :func:`with_ks_pvalue`."""
+    return ks_of(two_sample(value_profile(ref_long, cur_long)), min_count).select(
+        "feature", "ks_statistic", "n_ref", "n_cur", "_small")
+
+
+def ks_pvalue_col(d, n, m, tol: float = 1e-17) -> Column:
+    """Asymptotic two-sided p-value (limiting Kolmogorov distribution with
+    Stephens' small-sample factor) as a Catalyst expression over the
+    one-row-per-feature result.  Below x = 1.18 the theta-function form
+    sqrt(2 pi) / x * sum exp(-(2k-1)^2 pi^2 / (8 x^2)) converges in a few
+    terms, above it the alternating series does: 20 terms of either leave less
+    than the rounding of a double."""
     n, m, d = col(n).cast("double"), col(m).cast("double"), col(d)
     en = F.sqrt(n * m / (n + m))
     x = (en + 0.12 + 0.11 / en) * d
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0),
-                         lambda acc, k: acc + 2 * F.pow(F.lit(-1.0), k - 1)
-                         * F.exp(-2.0 * k * k * x * x))
-    p = F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0))
-    return (F.when((n <= 0) | (m <= 0) | n.isNull() | m.isNull(), F.lit(1.0))
-            .when(x <= 0.27, F.lit(1.0)).otherwise(p))
+    ks = F.sequence(F.lit(1), F.lit(20))
+    low = F.aggregate(ks, F.lit(0.0), lambda acc, k: acc + F.exp(
+        -((2 * k - 1) * (2 * k - 1)) * (math.pi ** 2) / (8 * x * x)))
+    high = F.aggregate(ks, F.lit(0.0), lambda acc, k: acc + F.when(k % 2 == 1, 2.0).otherwise(-2.0)
+                       * F.exp(-2.0 * k * k * x * x))
+    p = F.when(x < 1.18, 1.0 - F.sqrt(F.lit(2 * math.pi)) / x * low).otherwise(high)
+    return (F.when((n <= 0) | (m <= 0) | n.isNull() | m.isNull() | (x <= tol), F.lit(1.0))
+            .otherwise(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))))
 
 
 def with_ks_pvalue(ks: DataFrame) -> DataFrame:
@@ -440,11 +392,11 @@ def chi2_two_sample(ref_long_cat: DataFrame, cur_long_cat: DataFrame,
     al = category_align(ref_long_cat, cur_long_cat)
     tot = al.groupBy("feature").agg(F.sum("n_ref").alias("r0"), F.sum("n_cur").alias("r1"),
                                     F.count(F.lit(1)).alias("k"))
-    j = al.join(F.broadcast(tot), "feature")
-    N = F.col("r0") + F.col("r1")
+    j = al.join(F.broadcast(tot), "feature")  # one row per feature of the column list
+    r0, r1 = F.col("r0").cast("double"), F.col("r1").cast("double")
     colsum = F.col("n_ref") + F.col("n_cur")
-    e0 = F.col("r0") * colsum / N
-    e1 = F.col("r1") * colsum / N
+    e0 = r0 * colsum / (r0 + r1)
+    e1 = r1 * colsum / (r0 + r1)
 
     def term(o, e):
         o = o.cast("double")
@@ -519,21 +471,24 @@ def _class_sums(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
 def auc_exact(df: DataFrame, y: str = "y", p: str = "y_prob",
               by: list[str] | None = None) -> DataFrame:
     """ROC AUC with ties at half weight (Mann-Whitney), from distributed
-    running sums of negatives below each score."""
+    running sums of negatives below each score; null with one class only."""
     by = by or []
     rs = _class_sums(df, y, p, by)
-    contrib = F.col("pos") * (F.col("cum_neg") - F.col("neg") + 0.5 * F.col("neg"))
-    return rs.groupBy(*by).agg(
-        (F.sum(contrib) / (F.first("tot_pos") * F.first("tot_neg"))).alias("auc"))
+    # doubles: the product of two counts leaves the longs long before 10^12 rows
+    contrib = F.col("pos").cast("double") * (F.col("cum_neg") - 0.5 * F.col("neg"))
+    return rs.groupBy(*by).agg(F.try_divide(
+        F.sum(contrib), F.max("tot_pos").cast("double") * F.max("tot_neg")).alias("auc"))
 
 
 def ks_separation(df: DataFrame, y: str = "y", p: str = "y_prob",
                   by: list[str] | None = None) -> DataFrame:
-    """KS statistic between the score distributions of the two classes."""
+    """KS statistic between the score distributions of the two classes; null
+    with one class only."""
     by = by or []
     rs = _class_sums(df, y, p, by)
-    return rs.groupBy(*by).agg(F.max(F.abs(F.col("cum_pos") / F.col("tot_pos")
-                                           - F.col("cum_neg") / F.col("tot_neg"))).alias("ks"))
+    return rs.groupBy(*by).agg(F.max(F.abs(
+        F.try_divide(F.col("cum_pos"), F.col("tot_pos"))
+        - F.try_divide(F.col("cum_neg"), F.col("tot_neg")))).alias("ks"))
 
 
 # --- A15 ----------------------------------------------------------------------

@@ -30,7 +30,7 @@ def sides(t):
 # ---- shared DuckDB text ------------------------------------------------------
 _PROBS = "[" + ", ".join(f"{i / 10}" for i in range(11)) + "]"
 _LONG = f"""
-src AS (SELECT l_shipdate < TIMESTAMP '{SPLIT}' AS is_ref, l_extendedprice, l_quantity, l_discount,
+src AS (SELECT @IS_REF@ AS is_ref, l_extendedprice, l_quantity, l_discount,
                l_returnflag, l_linestatus FROM lineitem),
 lng AS (SELECT is_ref, feature, value FROM (UNPIVOT (SELECT is_ref, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice,
           CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_discount AS DOUBLE) AS l_discount FROM src)
@@ -75,8 +75,59 @@ chi AS (SELECT feature,
         GROUP BY feature)"""
 
 
-def _with_long(body: str) -> str:
-    return f"WITH {_LONG.strip()}\n{body}"
+BY_DATE = f"l_shipdate < TIMESTAMP '{SPLIT}'"
+BY_QUANTITY = "l_quantity <= 30"
+
+
+def _with_long(body: str, is_ref: str = BY_DATE) -> str:
+    return f"WITH {_LONG.strip()}\n{body}".replace("@IS_REF@", is_ref)
+
+
+# KS p-value (limiting distribution, Stephens' factor) of d, n, m in SQL
+def _ks_p(d: str, n: str, m: str) -> str:
+    en = f"sqrt(CAST({n} AS DOUBLE) * {m} / ({n} + {m}))"
+    x = f"(({en} + 0.12 + 0.11 / {en}) * {d})"
+    low = (f"1.0 - sqrt(2 * pi()) / {x} * list_sum(list_transform(range(1, 21), lambda k: "
+           f"exp(-((2 * k - 1) * (2 * k - 1)) * pi() * pi() / (8 * {x} * {x}))))")
+    high = (f"list_sum(list_transform(range(1, 21), lambda k: (CASE WHEN k % 2 = 1 THEN 2.0 "
+            f"ELSE -2.0 END) * exp(-2.0 * k * k * {x} * {x})))")
+    return (f"CASE WHEN {x} <= 1e-17 THEN 1.0 WHEN {x} < 1.18 THEN greatest({low}, 0.0) "
+            f"ELSE least(greatest({high}, 0.0), 1.0) END")
+
+
+def _level(psi: str, p: str) -> str:
+    return (f"CASE WHEN {psi} IS NULL OR {psi} > 0.5 THEN 'critico' WHEN {psi} > 0.2 THEN 'alerta' "
+            f"WHEN {p} < 0.05 THEN 'atencao' ELSE 'ok' END")
+
+
+# chi-square p with 1 degree of freedom: the series of the incomplete gamma
+_CHI2_P1 = ("1 - sqrt(chi2_statistic / 2) * exp(-chi2_statistic / 2) * list_sum(list_transform("
+            "range(0, 150), lambda i: exp(i * ln(chi2_statistic / 2) - lgamma(i + 1.5))))")
+
+# the report rows of D1: psi and ks from above, chi-square p for 2 degrees of
+# freedom (closed form) and 1 degree (series)
+_REPORT_SQL = f"""
+sz AS (SELECT feature, count(*) FILTER (is_ref) AS n, count(*) FILTER (NOT is_ref) AS m FROM lng GROUP BY feature),
+nrep AS (SELECT feature, round(psi, 6) AS psi, round(ks_statistic, 6) AS ks_statistic,
+           round({_ks_p('ks_statistic', 'n', 'm')}, 6) AS ks_p_value, psi AS psi_exact,
+           {_ks_p('ks_statistic', 'n', 'm')} AS p_exact
+         FROM psi JOIN ks USING (feature) JOIN sz USING (feature)),
+nlev AS (SELECT *, {_level('psi_exact', 'p_exact')} AS nivel FROM nrep),
+crep AS (SELECT feature, chi2_statistic AS x,
+           CASE WHEN k = 3 THEN exp(-chi2_statistic / 2) WHEN chi2_statistic > 60 THEN 0.0
+                WHEN chi2_statistic <= 0 THEN 1.0 ELSE {_CHI2_P1} END AS p
+         FROM chi JOIN (SELECT feature, count(*) AS k FROM cc GROUP BY feature) kk USING (feature)),
+summ AS (SELECT round(avg(psi), 6) AS psi, round(avg(psi), 6) > 0.2 AS drift_detectado,
+           CASE max(CASE nivel WHEN 'critico' THEN 3 WHEN 'alerta' THEN 2 ELSE 0 END)
+             WHEN 3 THEN 'critico' WHEN 2 THEN 'alerta' ELSE 'ok' END AS nivel FROM nlev),
+report AS (
+SELECT feature, 'numerica' AS tipo, psi, ks_statistic, ks_p_value, CAST(NULL AS DOUBLE) AS chi2_statistic,
+       CAST(NULL AS DOUBLE) AS chi2_p_value, CAST(NULL AS BOOLEAN) AS drift_detectado, nivel FROM nlev
+UNION ALL
+SELECT feature, 'categorica', NULL, NULL, NULL, round(x, 6), round(p, 6), p < 0.05,
+       CASE WHEN p < 0.05 THEN 'critico' ELSE 'ok' END FROM crep
+UNION ALL
+SELECT '__resumo__', 'resumo', psi, NULL, NULL, NULL, NULL, drift_detectado, nivel FROM summ)"""
 
 
 # ---- A2 / A3 / A4 / A5 -------------------------------------------------------
@@ -107,26 +158,21 @@ def q_histogram(t):
 
 
 @register("baseline_stats", _with_long("""
-SELECT feature, 'numerica' AS tipo, list_transform(e, lambda x: round(x, 6)) AS bins,
-       list_transform(p, lambda x: round(x, 6)) AS proporcoes, round(mean, 6) AS mean,
-       round(CASE WHEN sd > 0 THEN sd ELSE 1e-6 END, 6) AS std, CAST(NULL AS VARCHAR[]) AS categorias
-FROM edges
-JOIN (SELECT feature, list(CAST(n_ref AS DOUBLE) / t ORDER BY bin) AS p
-      FROM bc JOIN (SELECT feature, sum(n_ref) AS t FROM bc GROUP BY feature) tt USING (feature)
-      GROUP BY feature) pp USING (feature)
+SELECT feature, 'numerica' AS tipo, bin AS pos, round(e[bin + 1], 6) AS lo, round(e[bin + 2], 6) AS hi,
+       CAST(NULL AS VARCHAR) AS categoria, round(n_ref / t, 6) AS proporcao, round(mean, 6) AS mean,
+       round(CASE WHEN sd > 0 THEN sd ELSE 1e-6 END, 6) AS std
+FROM edges JOIN bc USING (feature)
+JOIN (SELECT feature, sum(n_ref) AS t FROM bc GROUP BY feature) tt USING (feature)
 JOIN (SELECT feature, avg(value) AS mean, stddev_samp(value) AS sd, count(*) AS n FROM lng WHERE is_ref
       GROUP BY feature) m USING (feature)
 WHERE len(e) >= 2 AND n >= 10
 UNION ALL
-SELECT feature, 'categorica' AS tipo, CAST(NULL AS DOUBLE[]) AS bins,
-       list(round(share, 6) ORDER BY n DESC, category) AS proporcoes, CAST(NULL AS DOUBLE) AS mean,
-       CAST(NULL AS DOUBLE) AS std, list(category ORDER BY n DESC, category) AS categorias
-FROM (SELECT feature, category, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY feature) AS share
-      FROM lcat WHERE is_ref GROUP BY feature, category) s
-GROUP BY feature"""))
+SELECT feature, 'categorica', NULL, NULL, NULL, category,
+       round(count(*) / sum(count(*)) OVER (PARTITION BY feature), 6), NULL, NULL
+FROM lcat WHERE is_ref GROUP BY feature, category"""))
 def q_baseline_stats(t):
-    """A5: reference statistics per feature (bins, shares, mean, std;
-    category shares)."""
+    """A5: reference statistics in long form (bins with shares, mean, std;
+    categories with shares)."""
     ref, _ = sides(t)
     return finish(st.baseline_stats(ref, NUM, CAT))
 
@@ -174,21 +220,20 @@ def q_feature_drift(t):
                                                                       "ks_statistic"))
 
 
-@register("feature_drift_report")
+@register("feature_drift_report", _with_long(f",{_REPORT_SQL}\nSELECT * FROM report".lstrip("\n")))
 def q_feature_drift_report(t):
     """D1 + D2 + A18: full feature drift report with p-values and levels."""
     ref, cur = sides(t)
     return dr.feature_drift(ref, cur, NUM, CAT)
 
 
-@register("drift_summary", _with_long("""
-SELECT round(avg(psi), 6) AS psi_geral, round(avg(psi), 6) > 0.2 AS drift_detectado FROM psi"""))
+@register("drift_summary", _with_long(f""",{_REPORT_SQL}
+SELECT feature, psi, drift_detectado, nivel FROM report WHERE feature = '__resumo__'"""))
 def q_drift_summary(t):
-    """Mean PSI over numeric features and the drift flag."""
+    """A18 + D2: mean PSI over numeric features, drift flag, worst level."""
     ref, cur = sides(t)
-    rows = dr.numeric_drift(ref, cur, NUM, with_p=False)
-    g = rows.agg(F.round(F.avg("psi"), 6).alias("psi_geral"))
-    return g.select("psi_geral", (F.col("psi_geral") > 0.2).alias("drift_detectado"))
+    rows = dr.numeric_drift(ref, cur, NUM).withColumn("psi", F.round("psi", 6))
+    return dr.drift_summary(rows).select("feature", "psi", "drift_detectado", "nivel")
 
 
 # ---- D6 / A7 / J5 ------------------------------------------------------------
@@ -239,10 +284,14 @@ def q_baseline_drift(t):
 
 @register("category_vs_baseline", _with_long(f""",
 {_BASE_SQL.strip()}
-SELECT feature, list_transform(p, lambda x: round(x, 6)) AS esperado, a AS atual,
-       round((SELECT psi FROM psin WHERE psin.feature = cat_arr.feature), 6) AS psi FROM cat_arr"""))
+SELECT feature, category, round(share, 6) AS expected, CAST(COALESCE(c.n, 0) AS BIGINT) AS actual
+FROM base_cat LEFT JOIN cur_cat c USING (feature, category)
+UNION ALL
+SELECT b.feature, NULL, 0.0, CAST(COALESCE((SELECT sum(n) FROM cur_cat x WHERE x.feature = b.feature
+         AND x.category NOT IN (SELECT category FROM base_cat y WHERE y.feature = b.feature)), 0) AS BIGINT)
+FROM (SELECT DISTINCT feature FROM base_cat) b"""))
 def q_category_vs_baseline(t):
-    """Baseline categories vs current counts plus the unseen bin."""
+    """Baseline categories vs current counts plus the unseen part."""
     ref, cur = sides(t)
     base = st.baseline_stats(ref, [], CAT)
     return finish(st.category_vs_baseline(base, st.to_long_cat(cur, CAT)))
@@ -427,28 +476,53 @@ g AS (SELECT value, sum(CASE WHEN is_ref THEN 1 ELSE 0 END) AS a, sum(CASE WHEN
 ks AS (SELECT max(abs(ca / ta - cb / tb)) AS ks FROM (
          SELECT sum(a) OVER w AS ca, sum(a) OVER () AS ta, sum(b) OVER w AS cb, sum(b) OVER () AS tb
          FROM g WINDOW w AS (ORDER BY value ROWS UNBOUNDED PRECEDING)) x)
-SELECT round(psi, 6) AS psi, round(ks, 6) AS ks_statistic, psi > 0.2 AS drift_detectado FROM psi, ks"""
+SELECT round(psi, 6) AS psi, round(ks, 6) AS ks_statistic, psi > 0.2 AS drift_detectado,
+       psi AS psi_exact, ks AS ks_exact FROM psi, ks"""
+
 
+def _shown(sql: str) -> str:
+    return f"SELECT psi, ks_statistic, drift_detectado FROM ({sql}) s"
 
-@register("prediction_drift", _one_feature_sql(
+
+@register("prediction_drift", _shown(_one_feature_sql(
     "SELECT probabilidade AS v FROM fx_predicoes WHERE momento < TIMESTAMP '2024-01-16 00:00:00'",
-    "SELECT probabilidade AS v FROM fx_predicoes WHERE momento >= TIMESTAMP '2024-01-16 00:00:00'"))
+    "SELECT probabilidade AS v FROM fx_predicoes WHERE momento >= TIMESTAMP '2024-01-16 00:00:00'")))
 def q_prediction_drift(t):
     """D3: PSI + KS between first-half and second-half predictions."""
     r, c = _pred_sides(t)
     return finish(dr.prediction_drift(r, c, with_p=False))
 
 
-@register("concept_drift", _one_feature_sql(
+@register("concept_drift", _shown(_one_feature_sql(
     "SELECT abs(y - y_prob) AS v FROM fx_avaliacao WHERE doc_id % 2 = 0",
-    "SELECT abs(y - y_prob) AS v FROM fx_avaliacao WHERE doc_id % 2 = 1"))
+    "SELECT abs(y - y_prob) AS v FROM fx_avaliacao WHERE doc_id % 2 = 1")))
 def q_concept_drift(t):
     """PSI + KS of absolute errors between two label samples."""
     r, c = _eval_sides(t)
     return finish(dr.concept_drift(r, c, with_p=False))
 
 
-@register("full_drift_report")
+_PRED = [f"SELECT probabilidade AS v FROM fx_predicoes WHERE momento {op} TIMESTAMP '2024-01-16 00:00:00'"
+         for op in ("<", ">=")]
+_EVAL = [f"SELECT abs(y - y_prob) AS v FROM fx_avaliacao WHERE doc_id % 2 = {r}" for r in (0, 1)]
+
+
+def _part_sql(name: str, ref: str, cur: str) -> str:
+    """Level and flag of a one-feature drift."""
+    n, m = f"(SELECT count(v) FROM ({ref}) a)", f"(SELECT count(v) FROM ({cur}) b)"
+    p = _ks_p("ks_exact", "n", "m")
+    return f"""
+SELECT '{name}' AS parte, {_level('psi_exact', p)} AS nivel, psi_exact > 0.2 AS drift_detectado
+FROM (SELECT *, {n} AS n, {m} AS m FROM ({_one_feature_sql(ref, cur)}) o) z"""
+
+
+@register("full_drift_report", _with_long(f""",{_REPORT_SQL},
+parts AS (SELECT 'feature_drift' AS parte, nivel, drift_detectado FROM summ
+  UNION ALL {_part_sql('prediction_drift', *_PRED)}
+  UNION ALL {_part_sql('concept_drift', *_EVAL)}),
+r AS (SELECT max(CASE nivel WHEN 'critico' THEN 3 WHEN 'alerta' THEN 2 WHEN 'atencao' THEN 1 ELSE 0 END) AS r FROM parts)
+SELECT parte, nivel, drift_detectado FROM parts
+UNION ALL SELECT 'geral', ['ok', 'atencao', 'alerta', 'critico'][r + 1], r >= 2 FROM r"""))
 def q_full_drift_report(t):
     """Feature + prediction + concept drift and the overall level."""
     ref, cur = sides(t)
@@ -533,18 +607,55 @@ def q_retrain_decision(t):
     return dr.retrain_decision(flags, key="k")
 
 
-@register("prometheus_lines")
+# data and model report rows in SQL: (name, score, psi, drifted)
+def _report_rows(is_ref: str = BY_DATE) -> str:
+    return _with_long(f""",
+{_BASE_SQL.strip()},
+{_DECAY_MODEL_SQL.strip()[5:]},
+dd AS (SELECT feature AS name, round(least(1.0, psi / 0.25), 4) AS s FROM psin),
+dall AS (SELECT name, s, s >= 0.15 AS drifted FROM dd
+         UNION ALL SELECT '__overall__', round(max(s), 4), round(max(s), 4) >= 0.15 FROM dd),
+mm AS (SELECT metrica AS name, round(dg, 4) AS s, dg >= 0.1 AS drifted FROM d
+       UNION ALL SELECT '__overall__', round(avg(dg), 4), round(avg(dg), 4) >= 0.1 FROM d)
+""", is_ref)
+
+
+@register("prometheus_lines", _report_rows() + """,
+lin AS (SELECT CASE WHEN name = '__overall__' THEN 'ml_data_drift_score'
+               ELSE 'ml_feature_drift_score{feature="' || name || '"}' END AS metric, s AS value FROM dall
+      UNION ALL SELECT 'ml_data_drift_detected', CAST(drifted AS DOUBLE) FROM dall WHERE name = '__overall__'
+      UNION ALL SELECT CASE WHEN name = '__overall__' THEN 'ml_model_degradation'
+               ELSE 'ml_metric_degradation{metrica="' || name || '"}' END, s FROM mm
+      UNION ALL SELECT 'ml_model_drift_detected', CAST(drifted AS DOUBLE) FROM mm WHERE name = '__overall__')
+SELECT metric, value, metric || ' ' || CAST(CAST(value AS DECIMAL(18, 4)) AS VARCHAR) AS line FROM lin""")
 def q_prometheus_lines(t):
     """Textfile gauge lines of the data and model drift reports."""
     data, model = _reports(t)
-    return dr.prometheus_lines(data, model)
-
-
-@register("alert_text")
+    return finish(dr.prometheus_lines(data, model))
+
+
+@register("alert_text", _report_rows(BY_QUANTITY) + """,
+af AS (SELECT string_agg(printf('%s (%.2f)', name, round_even(s, 2)), ', ' ORDER BY name) AS t
+      FROM dall WHERE name <> '__overall__' AND drifted),
+ag AS (SELECT string_agg(printf('%s (%.2f)', name, round_even(s, 2)), ', ' ORDER BY name) AS t
+      FROM mm WHERE name <> '__overall__' AND drifted),
+ao AS (SELECT (SELECT s FROM dall WHERE name = '__overall__') AS ds, (SELECT drifted FROM dall WHERE name = '__overall__') AS dd,
+             (SELECT s FROM mm WHERE name = '__overall__') AS ms, (SELECT drifted FROM mm WHERE name = '__overall__') AS md)
+SELECT concat_ws(chr(10), ':rotating_light: *Drift detectado nos modelos*',
+  CASE WHEN dd THEN printf('- *Data drift*: score %.4f (threshold 0.15)', ds) END,
+  CASE WHEN dd AND af.t <> '' THEN '  - Features com drift: ' || af.t END,
+  CASE WHEN md THEN printf('- *Model drift*: degradação %.4f (threshold 0.1)', ms) END,
+  CASE WHEN md AND ag.t <> '' THEN '  - Métricas degradadas: ' || ag.t END,
+  '- Retreino automático acionado.') AS texto
+FROM ao, af, ag WHERE dd OR md""")
 def q_alert_text(t):
-    """Alert message text (no row when nothing drifted)."""
-    data, model = _reports(t)
-    return dr.alert_text(data, model, retrain=True)
+    """Alert message text; the sides are low and high quantities, which
+    drift."""
+    li = t.lineitem.select(*NUM, *CAT)
+    data = dr.baseline_drift(st.baseline_stats(li.filter(BY_QUANTITY), NUM, CAT),
+                             li.filter(f"NOT ({BY_QUANTITY})"))
+    b, c = _eval_sides(t)
+    return dr.alert_text(data, dr.model_decay(_window_metrics(b), _window_metrics(c)), retrain=True)
 
 
 @register("any_drift", _with_long(""",

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job of this library relies on.  AQE re-plans joins and
 # coalesces shuffle partitions at run time; skew-join splits hot keys.
@@ -46,17 +47,17 @@ def build_session(master: str | None = None, app: str = "riskloom",
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
-    """Apply the time zone the timestamp rules assume (UTC) and make sure a
-    checkpoint folder exists.  Cluster settings win: nothing already set is
-    overridden except the session time zone, which the rules depend on."""
+    """Apply the time zone the timestamp rules assume (UTC).  Cluster settings
+    win: nothing else that is set is overridden."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder named by the cluster; set a local one only
-    where none is configured (tests on one machine)."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
+    A temporary folder stands in only on a single-machine ``local[..]`` master
+    (tests); on a cluster an unset folder is an error, because each executor
+    would write to a disk of its own."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -64,11 +65,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="riskloom-ckpt-", dir="/tmp")
+        master = sc.master or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="riskloom-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new folder below the shared one."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskloom-{tag}-{uuid.uuid4().hex}"
+
+
+def scratch_table(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back: its
+    plan ends there, later readers and lost executors re-read the table."""
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -88,16 +106,3 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.join("riskloom", os.path.relpath(full, root)))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
-
-
-def ensure_parallel(df, key: str | None = None):
-    """Spread a frame that arrives in fewer partitions than the cluster's
-    default parallelism (a single small file scans as one task) before
-    heavy per-row work.  Inputs with enough splits - any multi-file table
-    on a cluster - are returned unchanged, so no shuffle is added there.
-    With ``key`` the spread is a hash partitioning a later group-by / join
-    on that key reuses."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)
