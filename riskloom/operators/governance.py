@@ -1,11 +1,10 @@
 """Governed decisions (G1-G17, W6) as column expressions.
 
-Candidate responses are a *table* ``(case_key, idx, raw)``: the provider hop
-(G18, :mod:`riskloom.operators.prompts`) fills it once, everything after is
-Catalyst expressions.  Per case, the fixed-size candidate list (n candidates,
-n retries: a constant bound, not data-dependent) is gathered with one
-``groupBy`` and joined 1:1 to the cases; the R2 retry loop is unrolled over
-that bounded list.
+Provider answers are a *table* ``(case_key, idx, raw)``; per case a plain
+aggregate keeps the first answer, the best of the first round and the answer
+to each retry.  When a provider is asked (:func:`govern_cases`), gates and
+routes come first, every call's answer is stored before it is used, and
+retries are a second hop over the failing cases alone.
 """
 
 from __future__ import annotations
@@ -16,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import col, word_count
+from ..session import scratch_table
+from .prompts import ask, generate_candidates, message, messages
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's (decisions, gate ids, texts).
@@ -127,6 +128,11 @@ def build_cases(credit: DataFrame, prefix: str = "TRAIN-CRED-") -> DataFrame:
 
 
 def with_dti(cases: DataFrame) -> DataFrame:
+    """The cases with debt_to_income and both regulatory list flags (absent:
+    not listed)."""
+    for flag in ("lista_coaf", "lista_bacen_impedidos"):
+        if flag not in cases.columns:
+            cases = cases.withColumn(flag, F.lit(False))
     if "debt_to_income" in cases.columns:
         return cases
     return cases.withColumn("debt_to_income", debt_to_income())
@@ -164,7 +170,9 @@ def hard_gates() -> Column:
                         text.alias("rationale"))
     score, dti, amount = F.col("client_score"), F.col("debt_to_income"), F.col("amount")
     risk, late = F.col("risk_score"), F.coalesce(F.col("meses_inadimplencia_recente"), F.lit(0))
-    listed = F.coalesce(F.col("lista_coaf"), F.lit(False))
+    # either regulatory list; the view decides in its plan which columns exist
+    listed = F.coalesce(F.col("lista_coaf"), F.lit(False)) \
+        | F.coalesce(F.col("lista_bacen_impedidos"), F.lit(False))
     return (F.when(score < 300, gate(GATE_SCORE, "REJECT",
                                      F.format_string(TXT_SCORE, score.cast("string"))))
             .when(dti > 0.80, gate(GATE_DTI, "REJECT",
@@ -260,11 +268,8 @@ def estimate_tokens(text) -> Column:
 
 
 def scored_candidates(cands: DataFrame, key: str = "case_key") -> DataFrame:
-    """(case_key, idx, raw) -> + parsed struct p, score, tokens.  The JSON
-    work is per row; a narrow input is hash-spread on the case key first,
-    which the per-case grouping after it reuses."""
-    from ..session import ensure_parallel
-    out = parse_candidates(ensure_parallel(cands, key if key in cands.columns else None))
+    """(case_key, idx, raw) -> + parsed struct p, score, tokens (per row)."""
+    out = parse_candidates(cands)
     out = out.withColumn("score", score_candidate(F.col("p")))
     if "tokens" not in out.columns:
         out = out.withColumn("tokens", estimate_tokens("raw"))
@@ -314,31 +319,37 @@ def _empty_arr() -> Column:
     return F.array().cast("array<string>")
 
 
-# --- per-case candidate lists -------------------------------------------------
-def candidate_lists(cands: DataFrame, key: str = "case_key") -> DataFrame:
-    """One row per case with its candidates sorted by idx (a list of fixed,
-    small length: n candidates)."""
+# --- one row of answers per case -----------------------------------------------
+def answers_per_case(cands: DataFrame, key: str = "case_key",
+                     th: GovernanceThresholds = DEFAULT) -> DataFrame:
+    """One row per case: ``c0`` (the first answer), ``best`` of the first
+    round (W6), ``tok`` (its tokens) and ``a1``, ``a2``.. (the answers to the
+    retries, idx n_candidates and on).  Plain aggregates with map-side
+    combine; no list of answers is gathered."""
     s = scored_candidates(cands, key)
-    return s.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
-        "idx", "raw", "p", "score", "tokens"))).alias("cands"))
-
+    failed = F.coalesce(F.col("provider_failed"), F.lit(False)) \
+        if "provider_failed" in s.columns else F.lit(False)
+    s = s.withColumn("_c", F.struct("idx", "raw", "p", "score", "tokens", failed.alias("failed")))
+    first = F.col("idx") < th.n_candidates
 
-# --- W6 -----------------------------------------------------------------------
-def best_of(cands: Column) -> Column:
-    """Highest score > 0 (first index on ties), else the first candidate."""
-    good = F.filter(cands, lambda c: c["score"] > 0)
-    top = F.array_max(F.transform(good, lambda c: F.struct(c["score"].alias("s"),
-                                                           (-c["idx"]).alias("n"))))
-    best_idx = F.coalesce(-top["n"], F.try_element_at(cands, F.lit(1))["idx"])
-    return F.try_element_at(F.filter(cands, lambda c: c["idx"] == best_idx), F.lit(1))
+    def pick(cond, order):
+        return F.max_by(F.when(cond, F.col("_c")), F.when(cond, order))
+    # The highest score above 0 (first index on ties), else the first answer
+    rank = F.struct(F.greatest(F.col("score"), F.lit(0.0)).alias("s"), (-F.col("idx")).alias("n"))
+    retries = [pick(F.col("idx") == th.n_candidates - 1 + r, F.col("idx")).alias(f"a{r}")
+               for r in range(1, th.max_i6q_retries + 1)]
+    return s.groupBy(key).agg(
+        pick(F.col("idx") == 0, F.col("idx")).alias("c0"), pick(first, rank).alias("best"),
+        F.sum(F.when(first, F.col("tokens"))).cast("long").alias("tok"), *retries)
 
 
 # --- G10 ----------------------------------------------------------------------
-def r1_decide(cases: DataFrame, lists: DataFrame, key: str = "case_key") -> DataFrame:
-    """One response (the first candidate); decision upper-cased, invalid
-    -> DEFER; rationale falls back to the raw text."""
-    j = with_dti(cases).join(lists, key, "left")
-    c0 = F.try_element_at(F.col("cands"), F.lit(1))
+def r1_decide(cases: DataFrame, answers: DataFrame, key: str = "case_key") -> DataFrame:
+    """One response (the first answer); decision upper-cased, invalid
+    -> DEFER; rationale falls back to the raw text.  ``provider_failed`` marks
+    the cases whose call raised."""
+    j = with_dti(cases).join(answers.select(key, "c0"), key, "left")
+    c0 = F.col("c0")
     p = c0["p"]
     return j.select(
         "*",
@@ -352,53 +363,59 @@ def r1_decide(cases: DataFrame, lists: DataFrame, key: str = "case_key") -> Data
         F.lit(None).cast("string").alias("entropy_nonce"),
         F.coalesce(c0["tokens"], F.lit(0)).cast("long").alias("tokens_used"),
         F.lit(0).alias("i6q_retries"),
-        F.lit(False).alias("hard_gate_override")).drop("cands")
+        F.lit(False).alias("hard_gate_override"),
+        F.coalesce(c0["failed"], F.lit(False)).alias("provider_failed")).drop("c0")
 
 
 # --- G11 / G12 ----------------------------------------------------------------
-def r2_decide(cases: DataFrame, lists: DataFrame, key: str = "case_key",
-              th: GovernanceThresholds = DEFAULT) -> DataFrame:
-    """R2: hard gates short-circuit; else best candidate (W6), I6Q with
-    retries (attempt r uses candidate idx r), failure forces ESCALATE,
-    ambiguity gate override, prefixes on the rationale, seeded nonce."""
-    j = with_dti(cases).join(lists, key, "left").withColumn("_gate", hard_gates())
-    b = best_of(F.col("cands"))
-    j = j.withColumn("_b", b)
-    p = F.col("_b.p")
+def _r2_fold(cases: DataFrame, answers: DataFrame, key: str, th: GovernanceThresholds,
+             attempts: int) -> DataFrame:
+    """Best first-round answer and the fold over the first ``attempts``
+    retries: ``_dec``, ``_rat``, ``_pro``, ``_con``, ``_tok``, ``_retries``,
+    ``_passed``, ``_details`` and the last answer's text ``_raw``."""
+    j = with_dti(cases).join(answers, key, "left")
+    p = F.col("best.p")
     j = j.withColumns({
         "_dec": _valid_decision(p["decision"]),
         "_rat": F.coalesce(p["rationale"], F.lit(TXT_NO_RATIONALE)),
         "_pro": F.coalesce(p["pro_arguments"], _empty_arr()),
         "_con": F.coalesce(p["con_arguments"], _empty_arr()),
-        "_conf": p["confidence"],
-        "_tok": F.aggregate(F.col("cands"), F.lit(0).cast("long"),
-                            lambda acc, c: acc + c["tokens"].cast("long")),
+        "_tok": F.coalesce("tok", F.lit(0).cast("long")),
+        "_raw": F.coalesce(F.col("best.raw"), F.lit("")),
         "_retries": F.lit(0)})
     j = j.withColumn("_i6q", i6q_check("_pro", "_con", th))
     j = j.withColumns({"_passed": F.col("_i6q.passed"), "_details": F.col("_i6q.details")})
-    # Fold over the attempts in order (unrolled, max_i6q_retries steps)
-    for r in range(1, th.max_i6q_retries + 1):
-        a = F.try_element_at(F.filter(F.col("cands"), lambda c: c["idx"] == r), F.lit(1))
+    for r in range(1, attempts + 1):
+        a = F.col(f"a{r}")
         ap = a["p"]
         go = ~F.col("_passed")
         has = go & F.coalesce(ap["nonempty"], F.lit(False))
         apro = F.coalesce(ap["pro_arguments"], _empty_arr())
         acon = F.coalesce(ap["con_arguments"], _empty_arr())
-        chk = i6q_check(apro, acon, th)
-        j = j.withColumn("_chk", chk)
+        j = j.withColumn("_chk", i6q_check(apro, acon, th))
         adopt = has & (F.col("_chk.passed") | (F.coalesce(ap["decision"], F.lit("")) != ""))
+        answered = go & F.coalesce(~a["failed"], F.lit(False))
         j = j.withColumns({
             "_dec": F.when(adopt, _valid_decision(ap["decision"])).otherwise(F.col("_dec")),
             "_rat": F.when(adopt, F.coalesce(ap["rationale"], F.col("_rat"))).otherwise(F.col("_rat")),
             "_pro": F.when(adopt, apro).otherwise(F.col("_pro")),
             "_con": F.when(adopt, acon).otherwise(F.col("_con")),
-            "_conf": F.when(adopt, F.coalesce(ap["confidence"], F.col("_conf")))
-            .otherwise(F.col("_conf")),
             "_tok": F.col("_tok") + F.when(go, F.coalesce(a["tokens"], F.lit(0))).otherwise(0),
+            "_raw": F.when(answered, a["raw"]).otherwise(F.col("_raw")),
             "_retries": F.col("_retries") + F.when(go, 1).otherwise(0),
             "_passed": F.when(has, F.col("_chk.passed")).otherwise(F.col("_passed")),
             "_details": F.when(has, F.col("_chk.details")).otherwise(F.col("_details")),
         }).drop("_chk")
+    return j
+
+
+def r2_decide(cases: DataFrame, answers: DataFrame, key: str = "case_key",
+              th: GovernanceThresholds = DEFAULT) -> DataFrame:
+    """R2: hard gates short-circuit; else best candidate (W6), I6Q with
+    retries (attempt r is the answer idx n_candidates - 1 + r), failure forces
+    ESCALATE, ambiguity gate override, prefixes on the rationale, seeded
+    nonce.  A failed call is an empty answer."""
+    j = _r2_fold(cases, answers, key, th, th.max_i6q_retries).withColumn("_gate", hard_gates())
     failed_dec = F.when(F.col("_passed"), F.col("_dec")).otherwise(F.lit("ESCALATE"))
     failed_rat = F.when(F.col("_passed"), F.col("_rat")).otherwise(
         F.concat(F.lit(PREFIX_I6Q), F.col("_rat")))
@@ -407,8 +424,9 @@ def r2_decide(cases: DataFrame, lists: DataFrame, key: str = "case_key",
     rat = F.when(amb.isNotNull(), F.concat(F.format_string(PREFIX_AMBIGUITY, amb), failed_rat)) \
         .otherwise(failed_rat)
     gated = F.col("_gate").isNotNull()
-    out = j.select(
-        *[c for c in j.columns if not c.startswith("_") and c != "cands"],
+    drop = {"c0", "best", "tok", *(f"a{r}" for r in range(1, th.max_i6q_retries + 1))}
+    return j.select(
+        *[c for c in j.columns if not c.startswith("_") and c not in drop],
         F.lit("R2").alias("regime"),
         F.when(gated, F.col("_gate.forced_decision")).otherwise(dec).alias("decision"),
         F.when(gated, F.col("_gate.rationale")).otherwise(rat).alias("rationale"),
@@ -423,8 +441,8 @@ def r2_decide(cases: DataFrame, lists: DataFrame, key: str = "case_key",
         F.when(gated, F.lit(0).cast("long")).otherwise(F.col("_tok")).alias("tokens_used"),
         F.when(gated, F.lit(0)).otherwise(F.col("_retries")).alias("i6q_retries"),
         gated.alias("hard_gate_override"),
-        F.when(gated, F.lit(None).cast("string")).otherwise(F.col("_details")).alias("i6q_details"))
-    return out
+        F.when(gated, F.lit(None).cast("string")).otherwise(F.col("_details")).alias("i6q_details"),
+        F.lit(False).alias("provider_failed"))
 
 
 # --- G14 ----------------------------------------------------------------------
@@ -440,20 +458,29 @@ def r3_reasons(th: GovernanceThresholds = DEFAULT) -> Column:
         lambda x: x.isNotNull())
 
 
-def r3_decide(cases: DataFrame, lists: DataFrame, key: str = "case_key",
-              th: GovernanceThresholds = DEFAULT) -> DataFrame:
-    """R2 when amount >= 50k, risk >= 0.5 or 0 < score < 500, else R1;
-    the result is relabelled R3 with the routing reasons.  Both branches are
-    one plan each over their own subset (no row leaves Spark)."""
+def r3_split(cases: DataFrame, th: GovernanceThresholds = DEFAULT):
+    """(cases for R2, cases for R1) with their routing reasons: R2 when
+    amount >= 50k, risk >= 0.5 or 0 < score < 500."""
     c = with_dti(cases).withColumn("adaptive_reasons", r3_reasons(th))
-    to_r2 = c.filter(F.size("adaptive_reasons") > 0)
-    to_r1 = c.filter(F.size("adaptive_reasons") == 0)
-    r2 = r2_decide(to_r2, lists, key, th).withColumn("adaptive_routed_to", F.lit("R2"))
-    r1 = (r1_decide(to_r1, lists, key).withColumn("adaptive_routed_to", F.lit("R1"))
+    return c.filter(F.size("adaptive_reasons") > 0), c.filter(F.size("adaptive_reasons") == 0)
+
+
+def r3_merge(r2: DataFrame, r1: DataFrame) -> DataFrame:
+    """Both branches' results, relabelled R3."""
+    r2 = r2.withColumn("adaptive_routed_to", F.lit("R2"))
+    r1 = (r1.withColumn("adaptive_routed_to", F.lit("R1"))
           .withColumn("i6q_details", F.lit(None).cast("string")))
     return r2.unionByName(r1).withColumn("regime", F.lit("R3"))
 
 
+def r3_decide(cases: DataFrame, answers: DataFrame, key: str = "case_key",
+              th: GovernanceThresholds = DEFAULT) -> DataFrame:
+    """Each case goes through R2 or R1, one plan each over its own
+    subset; the result is relabelled R3 with the routing reasons."""
+    to_r2, to_r1 = r3_split(cases, th)
+    return r3_merge(r2_decide(to_r2, answers, key, th), r1_decide(to_r1, answers, key))
+
+
 # --- G15 / G16 ----------------------------------------------------------------
 def audit_hash(case_id="case_id", nonce="entropy_nonce", decision="decision") -> Column:
     """First 32 hex of sha256('case_id:nonce:decision')."""
@@ -480,7 +507,7 @@ REGIMES = {"R1": r1_decide, "R2": r2_decide, "R3": r3_decide}
 
 def register_regime(name: str, fn) -> None:
     """Add a regime with the same contract
-    ``fn(cases, candidate_lists, key, thresholds) -> decisions``."""
+    ``fn(cases, answers_per_case, key, thresholds) -> decisions``."""
     if not callable(fn):
         raise TypeError("regime must be callable")
     REGIMES[name] = fn
@@ -488,28 +515,69 @@ def register_regime(name: str, fn) -> None:
 
 def decide(regime: str, cases: DataFrame, cands: DataFrame, key: str = "case_key",
            th: GovernanceThresholds = DEFAULT) -> DataFrame:
-    lists = candidate_lists(cands, key)
+    """A regime over a given table of answers (key, idx, raw)."""
     if regime not in REGIMES:
         raise ValueError(f"unknown regime {regime}; known: {sorted(REGIMES)}")
-    fn = REGIMES[regime]
+    answers, fn = answers_per_case(cands, key, th), REGIMES[regime]
+    if regime == "R1":
+        return fn(cases, answers, key)
+    return fn(cases, answers, key, th)
+
+
+def _ask_r1(cases, responder, th, systems, key):
+    """One call per case; the answers are stored, so no call is made twice."""
+    cands = generate_candidates(cases, responder, 1, key, systems.get("R1"), prefix="")
+    return r1_decide(cases, answers_per_case(scratch_table(cands, "answers"), key, th), key)
+
+
+def _ask_r2(cases, responder, th, systems, key):
+    """Only cases no gate decides are asked: ``n_candidates`` answers, then,
+    once per retry, another call for the cases that still fail the argument
+    check, with their last answer and the feedback on it."""
+    cases = with_dti(cases)
+    free = cases.filter(hard_gates().isNull())
+    asked = scratch_table(generate_candidates(free, responder, th.n_candidates, key,
+                                              systems.get("R2")), "answers")
+    for r in range(1, th.max_i6q_retries + 1):
+        fold = _r2_fold(free, answers_per_case(asked, key, th), key, th, r - 1)
+        again = fold.filter(~F.col("_passed")).select(
+            key, F.lit(th.n_candidates - 1 + r).alias("idx"), messages(
+                message("system", F.lit(systems.get("R2")).cast("string")),
+                message("user", "prompt"), message("assistant", "_raw"),
+                message("user", retry_prompt("_details"))).alias("messages"))
+        more = scratch_table(ask(again, responder, key), "answers")
+        if not more.head(1):
+            break
+        asked = asked.unionByName(more)
+    return r2_decide(cases, answers_per_case(asked, key, th), key, th)
+
+
+def govern_cases(cases: DataFrame, regime: str, responder=None, th: GovernanceThresholds = DEFAULT,
+                 systems: dict | None = None, key: str = "case_key") -> DataFrame:
+    """Cases with a ``prompt`` through a regime and a pluggable provider.
+    ``systems`` holds the system prompt of each regime (absent: none)."""
+    systems = systems or {}
     if regime == "R1":
-        return fn(cases, lists, key)
-    return fn(cases, lists, key, th)
+        return _ask_r1(with_dti(cases), responder, th, systems, key)
+    if regime == "R2":
+        return _ask_r2(cases, responder, th, systems, key)
+    if regime == "R3":
+        to_r2, to_r1 = r3_split(cases, th)
+        return r3_merge(_ask_r2(to_r2, responder, th, systems, key),
+                        _ask_r1(to_r1, responder, th, systems, key))
+    cands = scratch_table(generate_candidates(cases, responder, th.n_candidates, key,
+                                              systems.get(regime)), "answers")
+    return decide(regime, cases, cands, key, th)
 
 
 def govern_table(credit: DataFrame, regime: str, responder=None,
-                 th: GovernanceThresholds = DEFAULT) -> DataFrame:
-    """Credit rows -> cases (G1) -> candidates from the pluggable responder
-    (G18, default offline echo) -> regime -> (id_cliente, regime, decisao,
-    audit_nonce, score_bureau, inadimplente).  A case whose responder failed
-    gets decision ERRO."""
-    from .prompts import generate_candidates
-    cases = build_cases(credit)
-    cands = generate_candidates(cases.withColumn("prompt", case_prompt()), responder,
-                                n=max(th.n_candidates, th.max_i6q_retries + 1))
-    res = decide(regime, cases, cands, th=th)
-    failed = F.coalesce(F.col("provider_failed"), F.lit(False)) \
-        if "provider_failed" in res.columns else F.lit(False)
+                 th: GovernanceThresholds = DEFAULT, systems: dict | None = None) -> DataFrame:
+    """Credit rows -> cases (G1) -> regime with the provider's answers
+    -> (id_cliente, regime, decisao, audit_nonce, score_bureau, inadimplente).
+    A case whose single R1 call raised gets decision ERRO."""
+    cases = scratch_table(with_dti(build_cases(credit)).withColumn("prompt", case_prompt()), "cases")
+    res = govern_cases(cases, regime, responder, th, systems)
+    failed = F.col("provider_failed") if "provider_failed" in res.columns else F.lit(False)
     return res.select(
         F.col("case_key").alias("id_cliente"), "regime",
         F.when(failed, F.lit("ERRO")).otherwise(F.col("decision")).alias("decisao"),

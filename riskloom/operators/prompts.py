@@ -146,30 +146,28 @@ def token_cost(df: DataFrame, model: str = "model", prompt_tokens: str = "prompt
 
 
 # --- G18 ------------------------------------------------------------------------
-def _messages_for(system: str | None, user: str) -> list:
-    msgs = []
-    if system:
-        msgs.append({"role": "system", "content": system})
-    msgs.append({"role": "user", "content": user})
-    return msgs
+def message(role: str, content) -> Column:
+    return F.struct(F.lit(role).alias("role"), col(content).alias("content"))
 
 
-def generate_candidates(cases: DataFrame, responder: Responder | None = None, n: int = 3,
-                        key: str = "case_key", system: str | None = None) -> DataFrame:
-    """n responses per case from the pluggable responder (``prompt`` column
-    holds the case text).  A failing call gives an empty candidate
-    (raw '', tokens 0) and ``provider_failed``.  Request rows are a bounded
-    expansion (explode of 0..n-1), not a cross join."""
+def messages(*parts: Column) -> Column:
+    """The given messages without those whose content is null or empty."""
+    return F.filter(F.array(*parts), lambda m: F.coalesce(m["content"], F.lit("")) != "")
+
+
+def ask(requests: DataFrame, responder: Responder | None = None,
+        key: str = "case_key") -> DataFrame:
+    """One provider call per (key, idx, messages) row, partition-parallel.  A
+    failing call gives an empty answer (raw '', tokens 0) and
+    ``provider_failed``."""
     responder = responder or mock_responder()
-    req = (cases.select(key, "prompt")
-           .withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))))
-    key_type = dict(req.dtypes)[key]
+    key_type = dict(requests.dtypes)[key]
 
     def call(batches):
         for pdf in batches:
             raws, toks, failed = [], [], []
-            for prompt in pdf["prompt"]:
-                msgs = _messages_for(system, CEFL_USER_PREFIX + (prompt or ""))
+            for parts in pdf["messages"]:
+                msgs = [{"role": m["role"], "content": m["content"]} for m in parts]
                 try:
                     content = responder(msgs)
                     prompt_text = " ".join(m["content"] for m in msgs)
@@ -182,8 +180,20 @@ def generate_candidates(cases: DataFrame, responder: Responder | None = None, n:
                     failed.append(True)
             yield pd.DataFrame({key: pdf[key], "idx": pdf["idx"], "raw": raws,
                                 "tokens": toks, "provider_failed": failed})
-    return req.mapInPandas(call, f"{key} {key_type}, idx int, raw string, tokens long, "
-                                 f"provider_failed boolean")
+    return requests.select(key, "idx", "messages").mapInPandas(
+        call, f"{key} {key_type}, idx int, raw string, tokens long, provider_failed boolean")
+
+
+def generate_candidates(cases: DataFrame, responder: Responder | None = None, n: int = 3,
+                        key: str = "case_key", system: str | None = None,
+                        prefix: str = CEFL_USER_PREFIX) -> DataFrame:
+    """n answers per case (``prompt`` holds the case text) with an optional
+    system prompt; request rows are a bounded expansion of 0..n-1."""
+    user = F.concat(F.lit(prefix), F.coalesce("prompt", F.lit("")))
+    req = cases.select(key, messages(message("system", F.lit(system).cast("string")),
+                                     message("user", user)).alias("messages"),
+                       F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("idx"))
+    return ask(req, responder, key)
 
 
 # --- L6 -------------------------------------------------------------------------

@@ -1,8 +1,8 @@
 """Registered queries: governance (G1-G17, W6, A14) and prompt tables.
 
-Cases: ``fx_casos``; candidate responses: ``fx_candidatos`` (three per case;
-retry attempt r reuses idx r).  The oracle side spells the same rules in
-DuckDB SQL.
+Cases: ``fx_casos``; candidate responses: ``fx_candidatos`` (three per case) or
+``fx_respostas`` (the same three and two answers to retries).  The oracle side
+spells the same rules in DuckDB SQL.
 """
 
 from __future__ import annotations
@@ -53,15 +53,17 @@ CASES_SQL = """
 cases AS (SELECT *, CASE WHEN income > 0 AND amount > 0 THEN round(amount / income, 4) ELSE 0.0 END AS debt_to_income
           FROM fx_casos)"""
 
-PARSED_SQL = f"""
-cl AS (SELECT case_key, idx, raw,
+def parsed_sql(src: str, keys: str = "case_key, idx") -> str:
+    """Parsed and scored answers ``cs`` of ``src`` (keys, raw)."""
+    return f"""
+cl AS (SELECT {keys}, raw,
          regexp_replace(regexp_replace(regexp_replace(trim(COALESCE(raw, '')), '^```(?:json)?\\s*\\n?', ''),
-           '\\n?```\\s*$', ''), ',\\s*([}}\\]])', '\\1', 'g') AS s FROM fx_candidatos),
+           '\\n?```\\s*$', ''), ',\\s*([}}\\]])', '\\1', 'g') AS s FROM {src}),
 cb AS (SELECT *, regexp_extract(s, '(?s)\\{{.*\\}}', 0) AS blk FROM cl),
-cj AS (SELECT case_key, idx, raw,
+cj AS (SELECT {keys}, raw,
          CASE WHEN json_valid(s) AND json_type(s) = 'OBJECT' THEN s
               WHEN blk <> '' AND json_valid(blk) AND json_type(blk) = 'OBJECT' THEN blk END AS j FROM cb),
-cp AS (SELECT case_key, idx, raw, COALESCE(len(json_keys(j)) > 0, false) AS nonempty,
+cp AS (SELECT {keys}, raw, COALESCE(len(json_keys(j)) > 0, false) AS nonempty,
          json_extract_string(j, '$.decision') AS decision, json_extract_string(j, '$.rationale') AS rationale,
          CAST(json_extract(j, '$.pro_arguments') AS VARCHAR[]) AS pro,
          CAST(json_extract(j, '$.con_arguments') AS VARCHAR[]) AS con,
@@ -73,6 +75,10 @@ cs AS (SELECT *, least((CASE WHEN upper(decision) IN ('APPROVE','REJECT','DEFER'
           + CASE WHEN len(con) >= 2 AND list_bool_and(list_transform(con, lambda a: {w('a')} >= 5)) THEN 20 ELSE 0 END
           + CASE WHEN confidence IS NOT NULL THEN 5 ELSE 0 END) / 100.0, 1.0) AS score FROM cp)"""
 
+
+PARSED_SQL = parsed_sql("fx_candidatos")
+ANSWERS_SQL = parsed_sql("fx_respostas")
+
 GATE_SQL = f"""(CASE WHEN client_score < 300 THEN {{'gate_id': 'G1_SCORE_MINIMO', 'forced_decision': 'REJECT',
     'rationale': 'Score de crédito ' || client_score || ' abaixo do mínimo operacional (300). Operação rejeitada automaticamente conforme política de crédito.'}}
   WHEN debt_to_income > 0.80 THEN {{'gate_id': 'G2_COMPROMETIMENTO_RENDA', 'forced_decision': 'REJECT',
@@ -95,9 +101,11 @@ AMB_SQL = """(CASE WHEN ((CASE WHEN amount > 0 THEN 1 ELSE 0 END) + (CASE WHEN c
 NONCE_SQL = "substr(sha256('riskloom:' || case_id), 1, 32)"
 
 
-def _step(prev: str, r: int) -> str:
-    """One unrolled retry step over candidate idx r."""
+def _step(prev: str, r: int, src: str | None = None, on: str = "USING (case_key)") -> str:
+    """One unrolled retry step over the answer to retry r (idx 2 + r, or the
+    row of ``src`` that ``on`` picks)."""
     a = f"a{r}"
+    src = src or f"(SELECT * FROM cs WHERE idx = {2 + r}) ans"
     chk = i6q_sql(f"COALESCE({a}.pro, [])", f"COALESCE({a}.con, [])")
     return f"""
 s{r} AS (SELECT p.* EXCLUDE ({a}, has, chk, adopt) REPLACE (
@@ -111,14 +119,15 @@ s{r} AS (SELECT p.* EXCLUDE ({a}, has, chk, adopt) REPLACE (
     CASE WHEN has THEN chk ELSE p.details END AS details)
   FROM (SELECT q.*, has AND (chk = 'Qualidade de argumentos OK.' OR COALESCE({a}.decision, '') <> '') AS adopt
         FROM (SELECT s.*, {a}, NOT s.passed AND COALESCE({a}.nonempty, false) AS has, {chk} AS chk
-              FROM {prev} s LEFT JOIN (SELECT case_key, struct_pack(decision, rationale, pro, con, nonempty, tokens) AS {a}
-                                       FROM cs WHERE idx = {r}) USING (case_key)) q) p)"""
+              FROM (SELECT s.*, struct_pack(decision := ans.decision, rationale := ans.rationale,
+                      pro := ans.pro, con := ans.con, nonempty := ans.nonempty, tokens := ans.tokens) AS {a}
+                    FROM {prev} s LEFT JOIN {src} {on}) s) q) p)"""
 
 
 R2_SQL = f"""
 best AS (SELECT * FROM (SELECT cs.*, row_number() OVER (PARTITION BY case_key ORDER BY score > 0 DESC, score DESC, idx) AS rn
-                         FROM cs) WHERE rn = 1),
-tot AS (SELECT case_key, sum(tokens) AS tok FROM cs GROUP BY case_key),
+                         FROM cs WHERE idx < 3) WHERE rn = 1),
+tot AS (SELECT case_key, sum(tokens) AS tok FROM cs WHERE idx < 3 GROUP BY case_key),
 s0 AS (SELECT c.*, {valid_dec('b.decision')} AS dec,
          COALESCE(b.rationale, 'Nenhuma justificativa válida produzida.') AS rat,
          COALESCE(b.pro, []) AS pro, COALESCE(b.con, []) AS con, CAST(t.tok AS BIGINT) AS tok, 0 AS retries,
@@ -156,14 +165,26 @@ AUDIT_COLS = ("case_id, regime, decision, substr(sha256(case_id || ':' || COALES
 ROUTE_SQL = f"""(amount >= 50000 OR risk_score >= 0.5 OR (client_score > 0 AND client_score < 500))"""
 
 
+_PROMPT_SQL = f"""
+SELECT case_key, case_id, concat_ws(chr(10), 'CASO ID: ' || case_id, 'TIPO DE OPERAÇÃO: ' || operation_type,
+  'VALOR: R$ ' || {money('amount')}, 'SCORE DE CRÉDITO: ' || client_score || '/1000',
+  'RENDA MENSAL: R$ ' || {money('income')},
+  'COMPROMETIMENTO DE RENDA: ' || {fixed('debt_to_income', 1, 100)} || '%',
+  'SCORE DE RISCO INTERNO: ' || {fixed('risk_score', 2)} || '/1.00',
+  CASE WHEN COALESCE(description, '') <> '' THEN 'DESCRIÇÃO: ' || description END,
+  'CONTEXTO ADICIONAL:', '  - meses_inadimplencia_recente: ' || meses_inadimplencia_recente,
+  '  - lista_coaf: ' || CASE WHEN lista_coaf THEN 'True' ELSE 'False' END) AS prompt
+FROM cases"""
+
+
 def _spark_audit(df, *extra):
     return df.select("case_id", "regime", "decision", gv.audit_hash().alias("audit_nonce"),
                      "gates_triggered", "i6q_passed", F.col("tokens_used").cast("long"),
                      "i6q_retries", *extra)
 
 
-def _lists(t):
-    return gv.candidate_lists(t.fx_candidatos)
+def _answers(t):
+    return gv.answers_per_case(t.fx_respostas)
 
 
 # ---- G1 / G2 ------------------------------------------------------------------------
@@ -254,26 +275,26 @@ def q_ambiguity_gate(t):
 
 # ---- G10 / G11 / G14 / G15 / G16 ------------------------------------------------------
 @register("r1_decide", f"""
-WITH {CASES_SQL.strip()}, {PARSED_SQL.strip()}, r1cases AS (SELECT * FROM cases), {R1_SQL.strip()}
+WITH {CASES_SQL.strip()}, {ANSWERS_SQL.strip()}, r1cases AS (SELECT * FROM cases), {R1_SQL.strip()}
 SELECT {AUDIT_COLS}, rationale FROM r1out""")
 def q_r1_decide(t):
     """Text-only regime over every case."""
-    r = gv.r1_decide(t.fx_casos, _lists(t))
+    r = gv.r1_decide(t.fx_casos, _answers(t))
     return _spark_audit(r, "rationale")
 
 
 @register("r2_decide", f"""
-WITH {CASES_SQL.strip()}, {PARSED_SQL.strip()}, r2cases AS (SELECT * FROM cases), {R2_SQL.strip()}
+WITH {CASES_SQL.strip()}, {ANSWERS_SQL.strip()}, r2cases AS (SELECT * FROM cases), {R2_SQL.strip()}
 SELECT {AUDIT_COLS}, rationale, hard_gate_override FROM r2out""")
 def q_r2_decide(t):
     """G11 + G12 + W6 + G15: mechanical regime with gates, candidates,
     I6Q retries and the ambiguity override."""
-    r = gv.r2_decide(t.fx_casos, _lists(t))
+    r = gv.r2_decide(t.fx_casos, _answers(t))
     return _spark_audit(r, "rationale", "hard_gate_override")
 
 
 _R3_SQL = f"""
-WITH {CASES_SQL.strip()}, {PARSED_SQL.strip()},
+WITH {CASES_SQL.strip()}, {ANSWERS_SQL.strip()},
 r2cases AS (SELECT * FROM cases WHERE {ROUTE_SQL}),
 r1cases AS (SELECT * FROM cases WHERE NOT {ROUTE_SQL}),
 {R2_SQL.strip()}, {R1_SQL.strip()},
@@ -282,7 +303,7 @@ r3 AS (SELECT * REPLACE ('R3' AS regime), 'R2' AS routed FROM r2out
 
 
 def _r3(t):
-    return gv.r3_decide(t.fx_casos, _lists(t))
+    return gv.r3_decide(t.fx_casos, _answers(t))
 
 
 @register("r3_route", _R3_SQL + f"""
@@ -332,33 +353,98 @@ def q_head_cases(t):
 
 @register("case_prompt", f"""
 WITH {CASES_SQL.strip()}
-SELECT case_id, concat_ws(chr(10), 'CASO ID: ' || case_id, 'TIPO DE OPERAÇÃO: ' || operation_type,
-  'VALOR: R$ ' || {money('amount')}, 'SCORE DE CRÉDITO: ' || client_score || '/1000',
-  'RENDA MENSAL: R$ ' || {money('income')},
-  'COMPROMETIMENTO DE RENDA: ' || {fixed('debt_to_income', 1, 100)} || '%',
-  'SCORE DE RISCO INTERNO: ' || {fixed('risk_score', 2)} || '/1.00',
-  CASE WHEN COALESCE(description, '') <> '' THEN 'DESCRIÇÃO: ' || description END,
-  'CONTEXTO ADICIONAL:', '  - meses_inadimplencia_recente: ' || meses_inadimplencia_recente,
-  '  - lista_coaf: ' || CASE WHEN lista_coaf THEN 'True' ELSE 'False' END) AS prompt
-FROM cases""")
+SELECT case_id, prompt FROM ({_PROMPT_SQL}) p""")
 def q_case_prompt(t):
     """Structured case text."""
     return gv.with_dti(t.fx_casos).select("case_id", gv.case_prompt().alias("prompt"))
 
 
-@register("retry_prompt")
+def _feedback(details: str) -> str:
+    head, tail = gv.TXT_RETRY.split("%s")
+    q = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return f"({q(head)} || {details} || {q(tail)})"
+
+
+@register("retry_prompt", f"""
+WITH {CASES_SQL.strip()}, {ANSWERS_SQL.strip()}, r2cases AS (SELECT * FROM cases), {R2_SQL.strip()}
+SELECT case_id, {_feedback('details')} AS feedback FROM r2 WHERE gate IS NULL AND retries > 0""")
 def q_retry_prompt(t):
     """I6Q feedback message for R2 cases that needed a retry."""
-    r = gv.r2_decide(t.fx_casos, _lists(t))
+    r = gv.r2_decide(t.fx_casos, _answers(t))
     return r.filter(F.col("i6q_retries") > 0).select(
         "case_id", gv.retry_prompt("i6q_details").alias("feedback"))
 
 
-@register("govern_table")
+# a credit input whose cases reach every gate and route: most amounts and
+# commitments are scaled down, by client
+_GOVERNED = {
+    "total_financiado": "total_financiado * CASE id_cliente % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.3 ELSE 0.02 END",
+    "comprometimento_renda": "comprometimento_renda * CASE id_cliente % 3 WHEN 0 THEN 0.2 ELSE 0.05 END",
+    "renda_mensal": "renda_mensal * CASE WHEN id_cliente % 5 < 2 THEN 40.0 ELSE 1.0 END",
+}
+
+
+def governed_input(t):
+    return credit_features_df(t).withColumns({c: F.expr(e) for c, e in _GOVERNED.items()})
+
+
+def canned_responder(texts: list[str]):
+    """A deterministic provider: the answer depends on how long the last
+    message is."""
+    return lambda messages: texts[len(messages[-1]["content"]) % len(texts)]
+
+
+def _shape(text: str) -> str:
+    return f"length({text}) % 6"
+
+
+def _govern_sql() -> str:
+    from ..operators.prompts import CEFL_USER_PREFIX
+    from ..sources.fixtures import answer_texts
+    shapes = ", ".join("({}, '{}')".format(i, x.replace("'", "''"))
+                       for i, x in enumerate(answer_texts()))
+    prefix = "'" + CEFL_USER_PREFIX.replace("\n", "' || chr(10) || '") + "'"
+    rep = ", ".join(f"{e} AS {c}" for c, e in _GOVERNED.items())
+    retry = {r: (f"csh ans", f"ON ans.sh = {_shape(_feedback('s.details'))}") for r in (1, 2)}
+    r2 = R2_SQL.replace(_step("s0b", 1).strip().rstrip(","), _step("s0b", 1, *retry[1]).strip()) \
+        .replace(_step("s1", 2).strip(), _step("s1", 2, *retry[2]).strip())
+    return f"""
+WITH cred AS (SELECT * REPLACE ({rep}) FROM ({_DERIVED_SQL}) c),
+base AS (SELECT 'TRAIN-CRED-' || CAST(id_cliente AS VARCHAR) AS case_id, id_cliente AS case_key,
+  'credit_approval' AS operation_type, CAST(COALESCE(total_financiado, 0) AS DOUBLE) AS amount,
+  CAST(least(greatest(CASE WHEN COALESCE(score_bureau, 0) = 0 THEN 600 ELSE score_bureau END, 0), 1000) AS INTEGER) AS client_score,
+  CAST(COALESCE(renda_mensal, 0) AS DOUBLE) AS income,
+  least(1.0, COALESCE(comprometimento_renda, 0) / 2.0 + CAST(COALESCE(atrasos_hist, 0) AS INTEGER) / 30.0) AS risk_score,
+  CAST(COALESCE(atrasos_hist, 0) AS INTEGER) AS meses_inadimplencia_recente, false AS lista_coaf,
+  CAST(NULL AS VARCHAR) AS description, CAST(COALESCE(score_bureau, 600) AS INTEGER) AS score_bureau FROM cred),
+cases AS (SELECT *, CASE WHEN income > 0 AND amount > 0 THEN round(amount / income, 4) ELSE 0.0 END AS debt_to_income
+          FROM base),
+prompts AS ({_PROMPT_SQL.strip()}),
+shapes(sh, raw) AS (VALUES {shapes}),
+{parsed_sql('shapes', 'sh').strip().replace('cs AS (', 'csh AS (')},
+r1cases AS (SELECT * FROM cases WHERE NOT {ROUTE_SQL}),
+r2cases AS (SELECT * FROM cases WHERE {ROUTE_SQL}),
+cs AS (SELECT case_key, CAST(i AS INTEGER) AS idx, csh.* FROM (
+         SELECT case_key, i, CASE WHEN {ROUTE_SQL} THEN {_shape(prefix + ' || prompt')}
+                             ELSE {_shape('prompt')} END AS k
+         FROM cases JOIN prompts USING (case_key), (SELECT unnest(range(0, 3)) AS i) n) q
+       JOIN csh ON csh.sh = q.k),
+{r2.strip()}, {R1_SQL.strip()},
+r3 AS (SELECT case_key, decision, entropy_nonce, case_id FROM r2out
+       UNION ALL SELECT case_key, decision, entropy_nonce, case_id FROM r1out)
+SELECT case_key AS id_cliente, 'R3' AS regime, decision AS decisao,
+       substr(sha256(case_id || ':' || COALESCE(entropy_nonce, '') || ':' || decision), 1, 32) AS audit_nonce,
+       score_bureau, 0 AS inadimplente
+FROM r3 JOIN (SELECT case_key, score_bureau FROM base) b USING (case_key)"""
+
+
+@register("govern_table", _govern_sql())
 def q_govern_table(t):
-    """G17 + G18 + G1: the credit table governed by R3 with the offline
-    provider (responses generated through the mapInPandas hop)."""
-    return gv.govern_table(credit_features_df(t), "R3")
+    """G17 + G18 + G1 + G13: the credit table governed by R3 with a canned
+    provider; gated cases are not asked, failing ones are asked again with
+    the feedback."""
+    from ..sources.fixtures import answer_texts
+    return gv.govern_table(governed_input(t), "R3", canned_responder(answer_texts()))
 
 
 # ---- L1 - L6 -----------------------------------------------------------------------
@@ -465,7 +551,20 @@ def task_table(t):
     return pr.build_messages(tasks)
 
 
-@register("run_prompts")
+@register("run_prompts", f"""
+WITH s AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS system
+           FROM conversations WHERE role = 'system' AND COALESCE(text, '') <> '' GROUP BY conv_id),
+u AS (SELECT conv_id, arg_max(text, turn) FILTER (WHERE role = 'user') AS prompt,
+             CASE WHEN count(*) FILTER (WHERE role = 'user') > 1 THEN arg_min(text, turn) FILTER (WHERE role = 'user') END AS context
+      FROM conversations WHERE role = 'user' GROUP BY conv_id),
+m AS (SELECT 'conv-' || CAST(conv_id AS VARCHAR) AS name, COALESCE(system, '') AS system,
+        CASE WHEN COALESCE(context, '') <> ''
+             THEN '## Contexto' || chr(10) || context || chr(10) || chr(10) || '## Tarefa' || chr(10) || prompt
+             ELSE prompt END AS usr FROM u LEFT JOIN s USING (conv_id))
+SELECT name, '[mock] ' || usr AS content, true AS success,
+  CAST({_TOK.format(x='(' + w('system') + ' + ' + w('usr') + ')')}
+       + {_TOK.format(x='(1 + ' + w('usr') + ')')} AS BIGINT) AS total_tokens,
+  0 AS retries, CAST(NULL AS VARCHAR) AS error, ['conversations'] AS tags FROM m""")
 def q_run_prompts(t):
     """L6 + U1: every task through the registered offline provider with
     retries (partition-parallel mapInPandas)."""

@@ -148,7 +148,8 @@ _LONGO = ("um dois tres quatro cinco seis sete oito nove dez "
 _ARG = "um dois tres quatro cinco seis sete oito"
 
 
-def fx_candidatos(t) -> DataFrame:
+def answer_texts() -> list[str]:
+    """The six answer shapes of the candidate view, by ``(key + idx) % 6``."""
     longo, arg = _LONGO, _ARG
     shapes = {
         0: ('{"decision":"APPROVE","rationale":"' + longo + '","pro_arguments":["' + arg
@@ -164,15 +165,27 @@ def fx_candidatos(t) -> DataFrame:
         4: ('Resposta: {"decision":"APROVADO","rationale":"curta","pro_arguments":[],'
             '"con_arguments":[],"confidence":0.2} fim'),
     }
-    shape = (F.col("case_key") + F.col("idx")) % 6
-    raw = F.lit("sem resposta")
-    for k in sorted(shapes, reverse=True):
-        raw = F.when(shape == k, F.lit(shapes[k])).otherwise(raw)
+    return [*(shapes[k] for k in sorted(shapes)), "sem resposta"]
+
+
+def _answers(t, n: int) -> DataFrame:
+    """(case_key, case_id, idx, raw) with ``n`` answers per case."""
+    texts = F.array(*[F.lit(x) for x in answer_texts()])
+    raw = F.element_at(texts, ((F.col("case_key") + F.col("idx")) % 6 + 1).cast("int"))
     return (t.fx_casos.select("case_key", "case_id")
-            .withColumn("idx", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+            .withColumn("idx", F.explode(F.array(*[F.lit(i) for i in range(n)])))
             .select("case_key", "case_id", "idx", raw.alias("raw")))
 
 
+def fx_candidatos(t) -> DataFrame:
+    return _answers(t, 3)
+
+
+def fx_respostas(t) -> DataFrame:
+    """Three first-round answers and two answers to retries per case."""
+    return _answers(t, 5)
+
+
 def fx_entidades(t) -> DataFrame:
     return (t.events.filter("event_type = 'purchase'")
             .selectExpr("event_id AS linha", "user_id AS id_cliente", "ts AS event_timestamp"))
@@ -289,8 +302,12 @@ SELECT dia, COUNT(*) AS n_amostras,
 FROM (SELECT CAST(ts AS DATE) AS dia, event_type, value FROM events) e GROUP BY dia""",
 }
 
+FIXTURE_SQL["fx_respostas"] = FIXTURE_SQL["fx_candidatos"].replace(
+    "(SELECT 0 AS idx UNION ALL SELECT 1 UNION ALL SELECT 2)",
+    "(SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS idx)")
+
 _FX_ORDER = list(FIXTURE_SQL)
-_FX_DEPS = {"fx_candidatos": ["fx_casos"]}
+_FX_DEPS = {"fx_candidatos": ["fx_casos"], "fx_respostas": ["fx_casos"]}
 
 
 def with_fixtures(sql: str) -> str:

@@ -74,6 +74,11 @@ class Tables:
         from .fixtures import fx_casos
         return fx_casos(self)
 
+    @cached_property
+    def fx_respostas(self) -> DataFrame:
+        from .fixtures import fx_respostas
+        return fx_respostas(self)
+
     @cached_property
     def fx_candidatos(self) -> DataFrame:
         from .fixtures import fx_candidatos

@@ -128,17 +128,22 @@ def test_r2_success_gate_failure(spark):
                       _cands(spark, {1: [GOOD] * 3})).first()
     assert gated["decision"] == "REJECT" and gated["gates_triggered"] == ["G1_SCORE_MINIMO"]
     assert gated["hard_gate_override"] and gated["tokens_used"] == 0
-    bad = gv.decide("R2", cases_df(spark, [case()]), _cands(spark, {1: [SHORT] * 3})).first()
+    bad = gv.decide("R2", cases_df(spark, [case()]), _cands(spark, {1: [SHORT] * 5})).first()
     assert bad["decision"] == "ESCALATE" and not bad["i6q_passed"]
     assert bad["rationale"].startswith("[FORÇADO ESCALATE — FALHA I6Q]")
     assert bad["i6q_retries"] == 2
     # a retry that passes is adopted
     # best = MID (first of the 1.0 scores) fails I6Q; retry 1 (SHORT) carries a
     # decision so it is adopted; retry 2 (GOOD) passes and is adopted
-    fixed = gv.decide("R2", cases_df(spark, [case()]), _cands(spark, {1: [MID, SHORT, GOOD]})).first()
+    def run(*answers):
+        return gv.decide("R2", cases_df(spark, [case()]), _cands(spark, {1: list(answers)})).first()
+    fixed = run(MID, SHORT, SHORT, SHORT, GOOD)
     assert fixed["decision"] == "APPROVE" and fixed["i6q_passed"] and fixed["i6q_retries"] == 2
-    stuck = gv.decide("R2", cases_df(spark, [case()]), _cands(spark, {1: [MID, SHORT, "lixo"]})).first()
+    stuck = run(MID, SHORT, SHORT, SHORT, "lixo")
     assert stuck["decision"] == "ESCALATE" and "curta" in stuck["rationale"]
+    # a later first-round candidate is no retry
+    alone = run(MID, SHORT, "lixo")
+    assert alone["decision"] == "ESCALATE" and alone["i6q_retries"] == 2
 
 
 def test_r3_routing(spark):
@@ -160,6 +165,73 @@ def test_audit_hash_matches_hashlib(spark):
     assert got == exp
 
 
+def _prompted(spark, rows):
+    return gv.with_dti(cases_df(spark, rows)).withColumn("prompt", gv.case_prompt())
+
+
+def _logged(tmp_path, answer):
+    """A provider that notes every call in a file of its own."""
+    import os
+    import uuid
+
+    def respond(messages):
+        with open(os.path.join(str(tmp_path), uuid.uuid4().hex), "w") as f:
+            json.dump(messages, f)
+        return answer(messages)
+    return respond
+
+
+def _calls(tmp_path):
+    return [json.loads(f.read_text()) for f in tmp_path.iterdir()]
+
+
+def test_provider_calls(spark, tmp_path):
+    """No call for gated cases, one in R1, retries only where the check fails,
+    with the last answer and the feedback."""
+    gated = [case(case_id="g", case_key=1, client_score=100)]
+    gv.govern_cases(_prompted(spark, gated), "R2", _logged(tmp_path, lambda m: GOOD)).collect()
+    assert _calls(tmp_path) == []
+    r1 = gv.govern_cases(_prompted(spark, [case()]), "R1", _logged(tmp_path, lambda m: GOOD),
+                         systems={"R1": "be brief"}).first()
+    assert r1["decision"] == "APPROVE"
+    (call,) = _calls(tmp_path)
+    assert [m["role"] for m in call] == ["system", "user"] and call[0]["content"] == "be brief"
+
+
+def test_retries_carry_feedback(spark, tmp_path):
+    def answer(messages):
+        return GOOD if messages[-1]["content"].startswith("Sua resposta anterior") else SHORT
+    rows = [case(case_id="a", case_key=1), case(case_id="b", case_key=2, client_score=100)]
+    out = {r["case_id"]: r for r in gv.govern_cases(
+        _prompted(spark, rows), "R2", _logged(tmp_path, answer)).collect()}
+    assert out["a"]["decision"] == "APPROVE" and out["a"]["i6q_retries"] == 1
+    assert out["b"]["decision"] == "REJECT" and out["b"]["tokens_used"] == 0
+    calls = _calls(tmp_path)
+    again = [c for c in calls if len(c) > 1]
+    assert len(calls) == 4 and len(again) == 1
+    assert [m["role"] for m in again[0]] == ["user", "assistant", "user"]
+    assert again[0][1]["content"] == SHORT and "Mínimo 2 argumentos" in again[0][2]["content"]
+
+
+def test_failed_provider(spark, tables_small):
+    def down(messages):
+        raise RuntimeError("down")
+    rows = [case(case_id="low", case_key=1, amount=5000.0),
+            case(case_id="high", case_key=2, amount=100000.0, income=1e6)]
+    out = {r["case_id"]: r for r in gv.govern_cases(_prompted(spark, rows), "R3", down).collect()}
+    assert out["low"]["provider_failed"] and out["low"]["adaptive_routed_to"] == "R1"
+    assert out["high"]["decision"] == "ESCALATE" and not out["high"]["provider_failed"]
+    from riskloom.plans.q_governance import governed_input
+    table = gv.govern_table(governed_input(tables_small), "R1", down).collect()
+    assert table and {(r["decisao"], r["audit_nonce"]) for r in table} == {("ERRO", "")}
+
+
+def test_second_regulatory_list(spark):
+    c = cases_df(spark, [case()]).withColumn("lista_bacen_impedidos", F.lit(True))
+    g = gv.with_dti(c).select(gv.hard_gates().alias("g")).first()["g"]
+    assert (g["gate_id"], g["forced_decision"]) == ("G6_LISTA_RESTRICAO_REGULATORIA", "ESCALATE")
+
+
 def test_govern_table_offline_provider(spark, tables_small):
     from riskloom.plans.q_features import credit_features_df
     out = gv.govern_table(credit_features_df(tables_small), "R3")
