@@ -23,10 +23,11 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import risk_band, to_score
+from ..session import ensure_checkpoint_dir
 from . import stats as st
 from .ordered import exact_quantiles
 
@@ -50,22 +51,36 @@ TUNE_SPACE = {"maxIter": (100, 500), "maxDepth": (3, 10), "stepSize": (0.01, 0.2
 
 # --- M1 -----------------------------------------------------------------------
 def hash_uniform(key, seed: int, salt: str = "") -> Column:
-    """Deterministic U[0,1) from (key, seed, salt)."""
+    """Deterministic U[0,1) from (key, seed, salt), 53 bits."""
     h = F.xxhash64(F.col(key) if isinstance(key, str) else key, F.lit(seed), F.lit(salt))
-    return (F.pmod(h, F.lit(1 << 30)).cast("double") / float(1 << 30))
+    return F.pmod(h, F.lit(1 << 53)).cast("double") / float(1 << 53)
+
+
+def _share_by_label(df: DataFrame, u: str, label: str, share: float) -> Column:
+    """Is the row within the lowest ``share`` of its class's hash values?  The
+    cut per class is the exact quantile (distributed); classes are few."""
+    cuts = exact_quantiles(df.select(label, u), u, [share], [label]).collect()
+    out = F.lit(False)
+    for r in cuts:
+        out = F.when(F.col(label) == F.lit(r[label]), F.col(u) <= F.lit(r["quantile"])) \
+            .otherwise(out)
+    return out
 
 
 def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42,
                      test: float = 0.2, val: float | None = 0.15) -> DataFrame:
-    """Adds ``split`` in {train, val, test}: test share ``test``, then
-    ``val`` of the rest (80/20 then 85/15).  The hash uniform is independent
-    of the label, so every class is split in the same proportions in
-    expectation; shares per class are reported by :func:`split_shares`."""
-    u = hash_uniform(key, seed, "split")
-    u2 = hash_uniform(key, seed, "val")
-    s = F.when(u < test, "test")
-    s = s.when(u2 < val, "val") if val else s
-    return df.withColumn("split", s.otherwise("train"))
+    """Adds ``split`` in {train, val, test}: of every class the share ``test``
+    with the lowest hash, then the share ``val`` of what is left, exact to one
+    row per class.  Rows without a label train."""
+    base = df.withColumns({"_u": hash_uniform(key, seed, "split"),
+                           "_v": hash_uniform(key, seed, "val")})
+    base = base.withColumn("_test", _share_by_label(base, "_u", label, test))
+    if val:
+        is_val = _share_by_label(base.filter(~F.col("_test")), "_v", label, val)
+    else:
+        is_val = F.lit(False)
+    return base.withColumn("split", F.when(F.col("_test"), "test").when(is_val, "val")
+                           .otherwise("train")).drop("_u", "_v", "_test")
 
 
 def split_shares(df: DataFrame, label: str) -> DataFrame:
@@ -106,10 +121,13 @@ def positive_prob(pred: DataFrame, col_name: str = "probability", out: str = "p"
 
 
 def evaluate(pred: DataFrame, y: str = "label", p: str = "p") -> dict:
-    """AUC (exact), KS separation, precision/recall/F1/accuracy at 0.5, n."""
-    m = st.binary_metrics(pred, y, p).first().asDict()
-    auc = st.auc_exact(pred, y, p).first()["auc"]
-    ks = st.ks_separation(pred, y, p).first()["ks"]
+    """AUC (exact), KS separation, precision/recall/F1/accuracy at 0.5, n.
+    The scored pairs are kept while the three statistics read them."""
+    pred = pred.select(F.col(y).alias("y"), F.col(p).alias("y_prob")).persist()
+    m = st.binary_metrics(pred).first().asDict()
+    auc = st.auc_exact(pred).first()["auc"]
+    ks = st.ks_separation(pred).first()["ks"]
+    pred.unpersist()
     return {"auc_roc": float(auc or 0.0), "ks_statistic": float(ks or 0.0),
             "precision": m["precision"], "recall": m["recall"], "f1": m["f1"],
             "accuracy": m["accuracy"], "n_amostras_teste": int(m["n"])}
@@ -118,9 +136,16 @@ def evaluate(pred: DataFrame, y: str = "label", p: str = "p") -> dict:
 # --- M3 / M4 / M8 ---------------------------------------------------------------
 def train_gbt(train: DataFrame, feature_cols: list[str], label: str = "label",
               params: dict | None = None, seed: int = 42) -> PipelineModel:
+    """One boosted fit.  The training rows are assembled once and kept for all
+    rounds; lineage is cut every 10 rounds in the shared checkpoint folder."""
     params = dict(params or CREDIT_GBT)
+    ensure_checkpoint_dir(train.sparkSession)
+    rows = train.select(label, *feature_cols).persist()
     gbt = GBTClassifier(featuresCol="features", labelCol=label, seed=seed, **params)
-    return Pipeline(stages=[assemble(feature_cols), gbt]).fit(train)
+    try:
+        return Pipeline(stages=[assemble(feature_cols), gbt]).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def train_credit(train: DataFrame, feature_cols: list[str], label: str = "inadimplente",
@@ -131,12 +156,9 @@ def train_credit(train: DataFrame, feature_cols: list[str], label: str = "inadim
 
 def train_credit_alt(train: DataFrame, feature_cols: list[str], label: str = "inadimplente",
                      params: dict | None = None, seed: int = 42) -> PipelineModel:
-    """M4: the second booster (finer histogram binning); falls back to M3
-    when it cannot be fitted."""
-    try:
-        return train_gbt(train, feature_cols, label, params or CREDIT_GBT_ALT, seed)
-    except Exception:  # noqa: BLE001
-        return train_credit(train, feature_cols, label, None, seed)
+    """M4: the second booster (finer histogram binning).  It is always at
+    hand here, so nothing falls back to M3: a failed fit is an error."""
+    return train_gbt(train, feature_cols, label, params or CREDIT_GBT_ALT, seed)
 
 
 def train_default(train: DataFrame, feature_cols: list[str], label: str = "inadimplente",
@@ -264,36 +286,46 @@ class IsolationForestModel:
 def isolation_forest(df: DataFrame, cols: list[str], key: str, n_trees: int = ISO_TREES,
                      sample: int = ISO_SAMPLE, contamination: float = ISO_CONTAMINATION,
                      seed: int = 42) -> IsolationForestModel:
-    """M6: each tree is grown on ``sample`` rows chosen by hash rank
-    (a bounded group per tree, built in ``applyInPandas``); the threshold is
-    the exact ``contamination`` quantile of the training scores."""
-    n = df.count()
-    frac = min(1.0, 4.0 * sample / max(n, 1))
-    tree_ids = F.sequence(F.lit(0), F.lit(n_trees - 1))
-    cand = (df.select(key, *cols)
-            .filter(hash_uniform(key, seed, "iso") < frac)
-            .withColumn("tree", F.explode(tree_ids))
-            .withColumn("r", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed))))
-    from pyspark.sql import Window
-    w = Window.partitionBy("tree").orderBy("r")
-    picked = cand.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= sample)
+    """M6: each tree is grown on its own ``sample`` rows of the whole table:
+    a row goes to the trees whose 64-bit hash of (key, tree) falls under the
+    sampling share, and the lowest ``sample`` hashes of each tree grow it (a
+    bounded group, built in ``applyInPandas``).  The threshold is the exact
+    ``contamination`` quantile of the training scores."""
+    picked = tree_samples(df, cols, key, n_trees, sample, seed)
     limit = int(math.ceil(math.log2(max(sample, 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])
         rng = np.random.default_rng(seed + t)
         nodes: list = []
-        _grow(np.nan_to_num(pdf[cols].to_numpy(dtype=float)), rng, 0, limit, nodes)
-        return pd.DataFrame({"tree": [t], "nodes": [json.dumps(nodes)]})
-    built = picked.groupBy("tree").applyInPandas(build, "tree int, nodes string").collect()
+        x = pdf.sort_values("r")[cols].to_numpy(dtype=float)
+        _grow(np.nan_to_num(x), rng, 0, limit, nodes)
+        return pd.DataFrame({"tree": [t], "nodes": [json.dumps(nodes)], "n": [len(pdf)]})
+    built = picked.groupBy("tree").applyInPandas(build, "tree int, nodes string, n long").collect()
     trees = [json.loads(r["nodes"]) for r in sorted(built, key=lambda r: r["tree"])]
-    model = IsolationForestModel(cols, trees, min(sample, n))
+    model = IsolationForestModel(cols, trees, max([r["n"] for r in built], default=1))
     scored = model.score(df.select(key, *cols), [key])
     q = exact_quantiles(scored, "iso_score", [contamination]).first()
     model.offset = float(q["quantile"])
     return model
 
 
+def tree_samples(df: DataFrame, cols: list[str], key: str, n_trees: int, sample: int,
+                 seed: int = 42) -> DataFrame:
+    """(key, cols, tree, r): the rows each tree is grown on.  The share leaves
+    ``sample`` rows per tree in all but hopeless draws (mean ``sample`` + 6
+    standard deviations), whatever the size of the table."""
+    n = df.count()
+    share = min(1.0, (sample + 6 * math.sqrt(sample)) / max(n, 1))
+    bound = min(int(share * float(1 << 64)) - (1 << 63), (1 << 63) - 1)
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(
+        t.alias("tree"), F.xxhash64(F.col(key), t, F.lit(seed)).alias("r")))
+    cand = (df.select(key, *cols, F.explode(F.filter(drawn, lambda d: d["r"] <= F.lit(bound)))
+                      .alias("d")).select(key, *cols, "d.tree", "d.r"))
+    w = Window.partitionBy("tree").orderBy("r", key)
+    return cand.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= sample).drop("rk")
+
+
 # --- M7 -------------------------------------------------------------------------
 def fraud_combine(iso_score, iso_pred, rf_prob, rf_pred, normalised: bool = False):
     """score = (iso + rf) / 2 (iso negated when ``normalised``); flag =
@@ -305,27 +337,57 @@ def fraud_combine(iso_score, iso_pred, rf_prob, rf_pred, normalised: bool = Fals
 
 
 # --- M11 ------------------------------------------------------------------------
-def tune(train: DataFrame, val: DataFrame, feature_cols: list[str], label: str,
-         n_trials: int = 20, seed: int = 42, max_iter_cap: int | None = None) -> dict:
-    """Seeded random search over the six ranges; maximise validation AUC
-    (exact).  Each trial is a distributed fit."""
+def trial_params(n_trials: int, seed: int) -> list[dict]:
+    """The seeded random draws over the six ranges."""
     rnd = random.Random(seed)
-    best, best_auc = {}, -1.0
+    out = []
     for _ in range(n_trials):
         lo, hi = TUNE_SPACE["stepSize"]
-        p = {"maxIter": rnd.randint(*TUNE_SPACE["maxIter"]),
-             "maxDepth": rnd.randint(*TUNE_SPACE["maxDepth"]),
-             "stepSize": math.exp(rnd.uniform(math.log(lo), math.log(hi))),
-             "subsamplingRate": rnd.uniform(*TUNE_SPACE["subsamplingRate"]),
-             "featureSubsetStrategy": str(round(rnd.uniform(*TUNE_SPACE["featureSubsetStrategy"]), 3)),
-             "minInstancesPerNode": rnd.randint(*TUNE_SPACE["minInstancesPerNode"])}
-        if max_iter_cap:
-            p["maxIter"] = min(p["maxIter"], max_iter_cap)
-        m = train_gbt(train, feature_cols, label, p, seed)
-        auc = st.auc_exact(positive_prob(m.transform(val)), label, "p").first()["auc"] or 0.0
-        if auc > best_auc:
-            best, best_auc = p, auc
-    return {"params": best, "auc": best_auc}
+        out.append({
+            "maxIter": rnd.randint(*TUNE_SPACE["maxIter"]),
+            "maxDepth": rnd.randint(*TUNE_SPACE["maxDepth"]),
+            "stepSize": math.exp(rnd.uniform(math.log(lo), math.log(hi))),
+            "subsamplingRate": rnd.uniform(*TUNE_SPACE["subsamplingRate"]),
+            "featureSubsetStrategy": str(round(rnd.uniform(*TUNE_SPACE["featureSubsetStrategy"]), 3)),
+            "minInstancesPerNode": rnd.randint(*TUNE_SPACE["minInstancesPerNode"])})
+    return out
+
+
+def tune(train: DataFrame, val: DataFrame, feature_cols: list[str], label: str,
+         n_trials: int = 20, seed: int = 42, max_rows: int = 20_000) -> dict:
+    """Seeded random search over the six ranges; maximise validation AUC
+    (exact, ties at half weight).  Trials run in parallel, one per task, each
+    fitting the boosted trees of :mod:`riskloom.operators.boosting` with its
+    full number of rounds on the same bounded sample: at most ``max_rows``
+    labelled rows of each side in hash order (the only rows sent)."""
+    spark = train.sparkSession
+
+    def side(df):
+        pdf = (df.filter(F.col(label).isNotNull())
+               .select(label, *[F.col(c).cast("double").alias(c) for c in feature_cols])
+               .orderBy(F.xxhash64(*feature_cols, F.lit(seed))).limit(max_rows).toPandas())
+        return (np.nan_to_num(pdf[feature_cols].to_numpy(dtype=float)),
+                pdf[label].to_numpy(dtype=float))
+    sent = spark.sparkContext.broadcast((side(train), side(val)))
+    trials = trial_params(n_trials, seed)
+
+    def run(batches):
+        from .boosting import auc, fit_booster, margins
+        (x, y), (xv, yv) = sent.value
+        for pdf in batches:
+            for i, text in zip(pdf["trial"], pdf["params"]):
+                p = json.loads(text)
+                model = fit_booster(x, y, rounds=p["maxIter"], depth=p["maxDepth"],
+                                    rate=p["stepSize"], rows=p["subsamplingRate"],
+                                    features=float(p["featureSubsetStrategy"]),
+                                    min_rows=p["minInstancesPerNode"], seed=seed)
+                yield pd.DataFrame({"trial": [i], "params": [text],
+                                    "auc": [auc(yv, margins(model, xv))]})
+    rows = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(trials)],
+                                 "trial int, params string").repartition(n_trials, "trial")
+    got = rows.mapInPandas(run, "trial int, params string, auc double").collect()
+    best = min(got, key=lambda r: (-r["auc"], r["trial"]))
+    return {"params": json.loads(best["params"]), "auc": float(best["auc"])}
 
 
 # --- M12 ------------------------------------------------------------------------
@@ -380,48 +442,76 @@ def ensemble_from(model: PipelineModel) -> TreeEnsemble:
     return TreeEnsemble(trees, weights, gbt.numFeatures, base)
 
 
+def _flat_trees(ens: TreeEnsemble) -> list:
+    """Per tree: (feature, threshold, left, right, value) arrays and the
+    categorical left sets by node (empty for continuous splits)."""
+    out = []
+    for w, t in zip(ens.weights, ens.trees):
+        cols = [np.array([r[i] for r in t], dtype=float) for i in range(5)]
+        cats = {i: np.array(r[5]) for i, r in enumerate(t) if r[5] is not None}
+        out.append((w, cols[0].astype(np.int64), cols[1], cols[2].astype(np.int64),
+                    cols[3].astype(np.int64), cols[4], cats))
+    return out
+
+
+def _step(x, rows, node, tree):
+    """The next node of every row; rows at a leaf stay."""
+    _, feat, thr, left, right, _, cats = tree
+    f = feat[node]
+    xv = x[rows, np.maximum(f, 0)]
+    go = xv <= thr[node]
+    for i, allowed in cats.items():  # categorical splits, by node
+        here = node == i
+        go[here] = np.isin(xv[here], allowed)
+    return np.where(f < 0, node, np.where(go, left[node], right[node])), f
+
+
+def ensemble_margin(x: np.ndarray, trees: list) -> np.ndarray:
+    """Margin of every row: all rows descend a tree together."""
+    rows, out = np.arange(len(x)), np.zeros(len(x))
+    for tree in trees:
+        node = np.zeros(len(x), dtype=np.int64)
+        while (tree[1][node] >= 0).any():
+            node, _ = _step(x, rows, node, tree)
+        out += tree[0] * tree[5][node]
+    return out
+
+
 def attribute_batch(ens: TreeEnsemble, df: DataFrame, feature_cols: list[str],
-                    key: str) -> DataFrame:
-    """Per-row path attributions in margin space (each split credits its
-    feature with the change of node value along the row's path):
-    base + sum(contributions) = margin.  Long output (key, feature, valor)
-    feeds A16 / K1.  Runs as an Arrow ``mapInPandas`` over partitions."""
-    trees = [t for t in ens.trees]
-    weights = list(ens.weights)
+                    key: str, batch_rows: int = 4096) -> DataFrame:
+    """Per-row path attributions in margin space, not Shapley values: each
+    split credits its feature with the change of node value along the row's
+    path, so base + sum(contributions) = margin.  Long output (key, feature,
+    valor) feeds A16 / K1.  An Arrow ``mapInPandas`` over partitions in
+    batches of ``batch_rows``."""
+    trees = _flat_trees(ens)
     cols = list(feature_cols)
 
     def run(batches):
         for pdf in batches:
-            x = np.nan_to_num(pdf[cols].to_numpy(dtype=float))
-            n = len(x)
-            contrib = np.zeros((n, len(cols)))
-            margin = np.zeros(n)
-            for w, t in zip(weights, trees):
-                node = np.zeros(n, dtype=np.int64)
-                arr = np.array([[r[0], r[1], r[2], r[3], r[4]] for r in t], dtype=float)
-                cats = {i: set(r[5]) for i, r in enumerate(t) if r[5] is not None}
-                margin += w * arr[0, 4]
-                while True:
-                    feat = arr[node, 0].astype(np.int64)
-                    active = feat >= 0
-                    if not active.any():
-                        break
-                    xv = x[np.arange(n), np.where(active, feat, 0)]
-                    go_left = xv <= arr[node, 1]
-                    for i in np.flatnonzero(active):
-                        if int(node[i]) in cats:
-                            go_left[i] = xv[i] in cats[int(node[i])]
-                    nxt = np.where(go_left, arr[node, 2], arr[node, 3]).astype(np.int64)
-                    nxt = np.where(active, nxt, node)
-                    delta = w * (arr[nxt, 4] - arr[node, 4])
-                    np.add.at(contrib, (np.flatnonzero(active), feat[active]), delta[active])
-                    margin += np.where(active, delta, 0.0)
-                    node = nxt
-            rows = pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), len(cols)),
-                                 "feature": np.tile(cols, n),
-                                 "valor": contrib.reshape(-1),
-                                 "margin": np.repeat(margin, len(cols))})
-            yield rows
+            for lo in range(0, len(pdf), batch_rows):
+                yield one(pdf.iloc[lo:lo + batch_rows])
+
+    def one(pdf):
+        x = np.nan_to_num(pdf[cols].to_numpy(dtype=float))
+        n = len(x)
+        rows, contrib, margin = np.arange(n), np.zeros((n, len(cols))), np.zeros(n)
+        for tree in trees:
+            w, value = tree[0], tree[5]
+            node = np.zeros(n, dtype=np.int64)
+            margin += w * value[0]
+            while True:
+                nxt, f = _step(x, rows, node, tree)
+                moved = f >= 0
+                if not moved.any():
+                    break
+                delta = w * (value[nxt] - value[node])
+                contrib[rows[moved], f[moved]] += delta[moved]
+                margin += delta
+                node = nxt
+        return pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), len(cols)),
+                             "feature": np.tile(cols, n), "valor": contrib.reshape(-1),
+                             "margin": np.repeat(margin, len(cols))})
     ktype = dict(df.dtypes)[key]
     return df.select(key, *cols).mapInPandas(
         run, f"{key} {ktype}, feature string, valor double, margin double")
@@ -432,50 +522,69 @@ def local_surrogate_batch(model: PipelineModel, df: DataFrame, feature_cols: lis
                           key: str, n_samples: int = 5000, top: int = 10, seed: int = 42,
                           kernel_width: float | None = None) -> DataFrame:
     """Perturb each row ``n_samples`` times around its value (normal noise
-    scaled by the column std), score all perturbations in one batch
-    transform, weight by an exponential kernel and fit a weighted linear
-    model per row (a bounded group of n_samples rows, solved in
-    ``applyInPandas``).  Returns the top ``top`` |weights| per row; a row whose
-    solve fails is kept with its error text."""
+    scaled by the column std), score the perturbations with the ensemble's
+    tree arrays, weight by an exponential kernel and fit a weighted linear
+    model.  All of it happens where the row is: nothing is shuffled, and a
+    task holds one row's perturbations at a time.  One row per kept weight
+    (``top`` by magnitude) with the surrogate's intercept, its prediction at
+    the row, the model's probability of either class and the weighted R2; a
+    row whose solve fails is kept with its error text."""
     scaler = fit_scaler(df, feature_cols)
     width = kernel_width or math.sqrt(len(feature_cols)) * 0.75
-    rows = df.select(key, *feature_cols).withColumn(
-        "s", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
-    pert = []
-    for i, c in enumerate(feature_cols):
-        h1 = F.xxhash64(F.col(key), F.col("s"), F.lit(seed), F.lit(2 * i))
-        h2 = F.xxhash64(F.col(key), F.col("s"), F.lit(seed), F.lit(2 * i + 1))
-        u1 = F.greatest(F.pmod(h1, F.lit(1 << 30)).cast("double") / float(1 << 30), F.lit(1e-12))
-        u2 = F.pmod(h2, F.lit(1 << 30)).cast("double") / float(1 << 30)
-        z = F.sqrt(-2 * F.log(u1)) * F.cos(2 * math.pi * u2)
-        z = F.when(F.col("s") == 0, F.lit(0.0)).otherwise(z)
-        sd = scaler.std[i] if scaler.std[i] > 0 else 1.0
-        pert.append((F.col(c) + z * sd).alias(c))
-        pert.append(z.alias(f"z_{i}"))
-    p = rows.select(key, "s", *pert)
-    scored = positive_prob(model.transform(p)).drop("features", "rawPrediction", "probability",
-                                                     "prediction")
-    cols = list(feature_cols)
-    zc = [f"z_{i}" for i in range(len(cols))]
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = pdf[key].iloc[0]
-        try:
-            z = pdf[zc].to_numpy(dtype=float)
-            y = pdf["p"].to_numpy(dtype=float)
-            d = np.sqrt((z ** 2).sum(axis=1))
-            wts = np.sqrt(np.exp(-(d ** 2) / width ** 2))
-            a = np.hstack([np.ones((len(z), 1)), z]) * wts[:, None]
-            coef, *_ = np.linalg.lstsq(a, y * wts, rcond=None)
-            order = np.argsort(-np.abs(coef[1:]), kind="stable")[:top]
-            return pd.DataFrame({key: [k] * len(order), "feature": [cols[j] for j in order],
-                                 "peso": [float(round(coef[1 + j], 6)) for j in order],
-                                 "erro": [None] * len(order)})
-        except Exception as exc:  # noqa: BLE001 - failures are kept as rows
-            return pd.DataFrame({key: [k], "feature": [None], "peso": [None], "erro": [str(exc)]})
+    trees, cols = _flat_trees(ensemble_from(model)), list(feature_cols)
+    std = np.array([s if s > 0 else 1.0 for s in scaler.std])
+
+    def explain(key_hash, x0):
+        z = np.random.default_rng([seed, key_hash % (1 << 64)]).standard_normal(
+            (n_samples, len(cols)))
+        z[0] = 0.0
+        p = 1.0 / (1.0 + np.exp(-2.0 * ensemble_margin(x0 + z * std, trees)))
+        w = np.exp(-(z ** 2).sum(axis=1) / width ** 2)
+        a = np.hstack([np.ones((n_samples, 1)), z])
+        root = np.sqrt(w)
+        coef, *_ = np.linalg.lstsq(a * root[:, None], p * root, rcond=None)
+        mean = np.average(p, weights=w)
+        rest, all_ = (w * (p - a @ coef) ** 2).sum(), (w * (p - mean) ** 2).sum()
+        return coef, p[0], 1.0 - rest / all_ if all_ > 1e-12 else 0.0
+
+    def run(batches):
+        for pdf in batches:
+            xs = np.nan_to_num(pdf[cols].to_numpy(dtype=float))
+            for k, h, x0 in zip(pdf[key], pdf["_h"], xs):
+                try:
+                    coef, p, r2 = explain(int(h), x0)
+                    order = np.argsort(-np.abs(coef[1:]), kind="stable")[:top]
+                    yield pd.DataFrame({
+                        key: k, "feature": [cols[j] for j in order],
+                        "peso": [float(round(coef[1 + j], 6)) for j in order],
+                        "intercepto": float(coef[0]), "predicao_local": float(coef[0]),
+                        "prob_negativa": float(1 - p), "prob_positiva": float(p),
+                        "r2_local": float(r2), "erro": None})
+                except Exception as exc:  # noqa: BLE001 - failures are kept as rows
+                    yield pd.DataFrame({key: [k], "feature": None, "peso": None,
+                                        "intercepto": None, "predicao_local": None,
+                                        "prob_negativa": None, "prob_positiva": None,
+                                        "r2_local": None, "erro": [str(exc)]})
     ktype = dict(df.dtypes)[key]
-    return scored.groupBy(key).applyInPandas(
-        solve, f"{key} {ktype}, feature string, peso double, erro string")
+    rows = df.select(key, F.xxhash64(key).alias("_h"),
+                     *[F.col(c).cast("double").alias(c) for c in cols])
+    return rows.mapInPandas(run, f"{key} {ktype}, feature string, peso double, intercepto double, "
+                                 "predicao_local double, prob_negativa double, "
+                                 "prob_positiva double, r2_local double, erro string")
+
+
+# --- J6 -------------------------------------------------------------------------
+def merge_attributions(path: DataFrame, local: DataFrame, feature_cols: list[str]) -> DataFrame:
+    """Full outer merge per feature of mean |path attribution| (``feature,
+    importancia``), mean surrogate weight (``feature, peso``) and the model's
+    column list; the weight is the larger of both magnitudes."""
+    shap = path.select("feature", F.col("importancia").alias("shap_value"))
+    lime = (local.filter(F.col("feature").isNotNull())
+            .groupBy("feature").agg(F.avg("peso").alias("lime_value")))
+    cols = path.sparkSession.createDataFrame([(c,) for c in feature_cols], "feature string")
+    m = cols.join(shap, "feature", "full").join(lime, "feature", "full")
+    return m.withColumn("peso_absoluto", F.greatest(
+        F.abs(F.coalesce("shap_value", F.lit(0.0))), F.abs(F.coalesce("lime_value", F.lit(0.0)))))
 
 
 # --- M15 ------------------------------------------------------------------------
@@ -535,25 +644,24 @@ class TrainingResult:
 
 def training_run(df: DataFrame, feature_cols: list[str], key: str, label: str,
                  params: dict | None = None, tune_trials: int = 0, seed: int = 42,
-                 attribution_rows: int | None = None, model_path: str | None = None):
+                 model_path: str | None = None):
     """M1 split -> M11 tune (optional) -> M3 fit -> A10/A12/A13 on held-out
-    rows -> M15 gate -> A16 mean |attribution| -> S11 save."""
+    rows -> M15 gate -> A16 mean |attribution| over all held-out rows -> S11
+    save."""
     sp = stratified_split(df, key, label, seed).cache()
     train = sp.filter(F.col("split") == "train")
     val = sp.filter(F.col("split") == "val")
     test = sp.filter(F.col("split") == "test")
     p = dict(params or CREDIT_GBT)
     if tune_trials:
-        best = tune(train, val, feature_cols, label, tune_trials, seed,
-                    max_iter_cap=p.get("maxIter"))
+        best = tune(train, val, feature_cols, label, tune_trials, seed)
         p.update(best["params"] or {})
     model = train_credit(train, feature_cols, label, p, seed)
     pred = positive_prob(model.transform(test)).withColumn("label_", F.col(label))
     metrics = evaluate(pred, "label_", "p")
     gate_row = df.sparkSession.createDataFrame([metrics]).select(validate_gate(None).alias("g")).first()
     ens = ensemble_from(model)
-    src = test if attribution_rows is None else test.orderBy(key).limit(attribution_rows)
-    attrs = st.mean_abs_attribution(attribute_batch(ens, src, feature_cols, key)).collect()
+    attrs = st.mean_abs_attribution(attribute_batch(ens, test, feature_cols, key)).collect()
     if model_path:
         save_model(model, model_path, feature_cols, {"metrics": metrics, "params": p})
     counts = {r["split"]: r["n"] for r in sp.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}

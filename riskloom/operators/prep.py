@@ -8,13 +8,14 @@ driver, only its one-row result.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import clip, col, nan_to_null, safe_div, ts_lit, whole_days_between
-from .ordered import dense_codes_many, exact_quantiles
+from ..session import scratch_table
+from .ordered import apply_codes, code_dictionary, exact_quantiles
 from .windows import account_mean, trailing_counts
 
 # ---------------------------------------------------------------------------
@@ -209,7 +210,7 @@ class FraudFit:
     city_mode: str | None
     state_mode: str | None
     max_risk: float
-    codes: dict = field(default_factory=dict)  # categorical -> DataFrame(value, code)
+    codes: DataFrame | None = None  # (column, value, code) of the training rows
 
 
 def global_mode(df: DataFrame, c: str):
@@ -235,14 +236,22 @@ def global_modes(df: DataFrame, cols: list[str]) -> dict:
 
 def fit_fraud(df: DataFrame) -> FraudFit:
     """Fit p95/p99 of valor (exact, linear interpolation), modal city/state,
-    max score_risco and the label-code dictionaries.  Only one-row results
-    reach the driver."""
+    max score_risco and the label-code dictionary of the categorical columns.
+    Only one-row results reach the driver; the dictionary is a stored table."""
     q = {r["prob"]: r["quantile"] for r in
          exact_quantiles(df, "valor", [0.95, 0.99]).collect()}
     modes = global_modes(df, ["cidade", "estado"])
     city, state = modes.get("cidade"), modes.get("estado")
     mx = df.agg(F.max("score_risco").alias("m")).first()["m"]
-    return FraudFit(p95=q[0.95], p99=q[0.99], city_mode=city, state_mode=state, max_risk=mx)
+    cats = [c for c in FRAUD_CATEGORICAL if c in df.columns]
+    codes = scratch_table(code_dictionary(_text_categories(df, cats), cats), "codes")
+    return FraudFit(p95=q[0.95], p99=q[0.99], city_mode=city, state_mode=state, max_risk=mx,
+                    codes=codes)
+
+
+def _text_categories(df: DataFrame, cats: list[str]) -> DataFrame:
+    """The label-coded columns as text, null as the word None."""
+    return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in cats})
 
 
 def time_parts(ts) -> dict[str, Column]:
@@ -265,15 +274,16 @@ def prepare_fraud(df: DataFrame, fit: FraudFit | None = None, keep: list[str] |
                   id_col: str = "id", account_col: str = "conta_id",
                   ts_col: str = "data_transacao") -> DataFrame:
     """P5 umbrella: 29 numeric + 4 label-coded columns, null -> 0.
-    ``transactions_last_hour/day`` are real trailing counts (W2), not random."""
+    ``transactions_last_hour/day`` are real trailing counts (W2), not random.
+    Codes, modes and quantiles are those of ``fit``, so a batch is encoded as
+    the training rows were; a category the fit has not seen is -1."""
     fit = fit or fit_fraud(df)
     keep = keep or [id_col]
     base = account_mean(df, account_col, "valor", "avg_transaction_value")
     base = trailing_counts(base, account_col, ts_col, id_col)
     cats = [c for c in FRAUD_CATEGORICAL if c in base.columns]
     if cats:
-        base = dense_codes_many(
-            base.withColumns({c: F.coalesce(F.col(c), F.lit("None")) for c in cats}), cats)
+        base = apply_codes(_text_categories(base, cats), fit.codes, cats)
     v = F.col("valor")
     e = dict(time_parts(ts_col))
     e.update({

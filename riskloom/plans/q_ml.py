@@ -1,13 +1,14 @@
 """Registered queries: machine-learning jobs.
 
-Inputs: the credit feature table (label stand-in: ``inadimplente`` = negative
-account balance of the client) and the fraud transactions (label from the
-P29 rule).  The library defaults keep the reference's hyper-parameters
-(300 boosting rounds, 100 / 200 trees, 10 k-means restarts, 20 tuning
-trials, 5000 perturbations); the registered runs below use smaller
-``REGISTERED_*`` settings so the whole catalog stays quick at the check
-scale.  These are rows-only checks (no SQL oracle can train a model), except
-the scaler and the release gate.
+Inputs: the credit feature table with a stand-in label, and the fraud
+transactions (label from the P29 rule).  Every run uses the library's defaults
+(300 boosting rounds, 100 / 200 trees, 10 k-means restarts, 20 tuning trials,
+5000 perturbations).  A fitted model is kept per session and table folder, so
+that the queries that read it do not fit it again.
+
+The stand-in label ``inadimplente`` mixes bureau score, balance, debt burden
+and a per-client term that no feature holds: a model can learn part of it and
+no single feature gives it away.
 """
 
 from __future__ import annotations
@@ -19,40 +20,39 @@ from ..operators import ml, prep
 from ..operators import stats as st
 from ..operators.windows import importance_ranking, top_attributions
 from .catalog import finish, register
-from .q_features import credit_features_df
-
-REGISTERED_GBT = dict(ml.CREDIT_GBT, maxIter=20)
-REGISTERED_DEFAULT_GBT = dict(ml.DEFAULT_GBT, maxIter=20)
-REGISTERED_FOREST = dict(ml.FRAUD_FOREST, numTrees=20)
-REGISTERED_LEGACY = dict(ml.LEGACY_FOREST, numTrees=20, maxDepth=10)
-REGISTERED_RESTARTS = 3
-REGISTERED_TRIALS = 3
-REGISTERED_PERTURBATIONS = 200
+from .q_features import _JOINED_SQL, credit_features_df
 
 _CACHE: dict = {}
 
+#: the stand-in label, as text both engines read alike
+LABEL_SQL = ("CAST(CASE WHEN (500 - score_bureau) / CAST(250 AS DOUBLE)"
+             " + CASE WHEN saldo_atual < 2000 THEN 1 ELSE 0 END"
+             " + least(total_dividas / (renda_mensal * 6), CAST(1.5 AS DOUBLE))"
+             " + (((id_cliente * 104729) % 1009) / CAST(1009 AS DOUBLE) - 0.5) * 3 > 1.6"
+             " THEN 1 ELSE 0 END AS INT)")
+
 
 def credit_training_table(t):
     """Credit table in the v2 feature layout plus the stand-in label."""
-    c = credit_features_df(t).join(
-        t.customer.select(F.col("c_custkey").alias("id_cliente"),
-                          (F.col("c_acctbal") < 0).cast("int").alias("inadimplente")), "id_cliente")
+    c = credit_features_df(t).withColumn("inadimplente", F.expr(LABEL_SQL))
     return prep.prepare_credit_v2(c, keep=["id_cliente", "inadimplente"])
 
 
+def _credit_split(t):
+    return ml.stratified_split(credit_training_table(t), "id_cliente", "inadimplente")
+
+
 def _credit_model(t):
-    k = ("credit", t.sf_dir, id(t.spark))
+    k = ("credit", t.sf_dir, t.spark.sparkContext.applicationId)
     if k not in _CACHE:
-        x = credit_training_table(t)
-        sp = ml.stratified_split(x, "id_cliente", "inadimplente")
-        _CACHE[k] = ml.train_credit(sp.filter(F.col("split") == "train"), prep.V2_FEATURES,
-                                    "inadimplente", REGISTERED_GBT)
+        _CACHE[k] = ml.train_credit(_credit_split(t).filter(F.col("split") == "train"),
+                                    prep.V2_FEATURES, "inadimplente")
     return _CACHE[k]
 
 
-def fraud_table(t):
+def fraud_table(t, fit):
+    """The fraud features under a given fit, the P29 label and the P31 score."""
     f = t.fx_fraude
-    fit = prep.fit_fraud(f)
     feats = prep.prepare_fraud(f, fit, keep=["id"])
     lab = f.select("id", label_fraud_rule("valor", F.lit(fit.p99), F.hour("data_transacao"),
                                           F.weekday("data_transacao"), "score_risco")
@@ -66,11 +66,17 @@ def _fraud_cols(df):
 
 
 # --- M1 -------------------------------------------------------------------------
-@register("stratified_split")
+@register("stratified_split", f"""
+WITH c AS (SELECT {LABEL_SQL} AS inadimplente, count(*) AS tot FROM ({_JOINED_SQL}) j GROUP BY 1),
+s AS (SELECT *, CAST(floor(0.2 * (tot - 1)) + 1 AS BIGINT) AS te FROM c),
+v AS (SELECT *, CAST(floor(0.15 * (tot - te - 1)) + 1 AS BIGINT) AS va FROM s),
+u AS (SELECT inadimplente, 'test' AS split, te AS n, tot FROM v
+      UNION ALL SELECT inadimplente, 'val', va, tot FROM v
+      UNION ALL SELECT inadimplente, 'train', tot - te - va, tot FROM v)
+SELECT inadimplente, split, n, tot, round(n / tot, 6) AS share FROM u""")
 def q_stratified_split(t):
-    """M1: hash-seeded 80/20 then 85/15 split and the share per class."""
-    sp = ml.stratified_split(credit_training_table(t), "id_cliente", "inadimplente")
-    return finish(ml.split_shares(sp, "inadimplente"))
+    """M1: hash-seeded 80/20 then 85/15 split, exact to one row per class."""
+    return finish(ml.split_shares(_credit_split(t), "inadimplente"))
 
 
 # --- M2 -------------------------------------------------------------------------
@@ -92,10 +98,8 @@ def q_scale(t):
 @register("train_credit")
 def q_train_credit(t):
     """M3 + A10/A12/A13: held-out metrics of the credit booster."""
-    x = credit_training_table(t)
-    sp = ml.stratified_split(x, "id_cliente", "inadimplente")
-    m = _credit_model(t)
-    pred = ml.positive_prob(m.transform(sp.filter(F.col("split") == "test")))
+    pred = ml.positive_prob(_credit_model(t).transform(
+        _credit_split(t).filter(F.col("split") == "test")))
     metrics = ml.evaluate(pred, "inadimplente", "p")
     return t.spark.createDataFrame([metrics]).select(
         "*", ml.validate_gate(None).alias("gate"))
@@ -104,10 +108,8 @@ def q_train_credit(t):
 @register("train_credit_alt")
 def q_train_credit_alt(t):
     """M4: the second booster's held-out metrics."""
-    x = credit_training_table(t)
-    sp = ml.stratified_split(x, "id_cliente", "inadimplente")
-    m = ml.train_credit_alt(sp.filter(F.col("split") == "train"), prep.V2_FEATURES, "inadimplente",
-                            dict(ml.CREDIT_GBT_ALT, maxIter=REGISTERED_GBT["maxIter"]))
+    sp = _credit_split(t)
+    m = ml.train_credit_alt(sp.filter(F.col("split") == "train"), prep.V2_FEATURES, "inadimplente")
     pred = ml.positive_prob(m.transform(sp.filter(F.col("split") == "test")))
     return t.spark.createDataFrame([ml.evaluate(pred, "inadimplente", "p")])
 
@@ -137,45 +139,73 @@ def q_attribute_batch(t):
     return finish(a.withColumn("base", F.lit(ens.base)))
 
 
-@register("mean_abs_attribution")
+# the three below read a given attribution table: scaled features as the
+# attribution of a linear score, so that SQL can say the same
+_ATTR_COLS = ["renda_mensal", "idade", "score_bureau", "possui_imovel", "possui_veiculo",
+              "pessoas_residencia"]
+_ATTR_SQL = "WITH a AS (" + " UNION ALL ".join(
+    f"SELECT id_cliente, '{c}' AS feature, CAST({c} AS DOUBLE) / 100 - "
+    f"((id_cliente * {i + 3}) % 7) AS valor FROM fx_clientes"
+    for i, c in enumerate(_ATTR_COLS)) + ")"
+
+
+def attribution_table(t):
+    """Given (id_cliente, feature, valor) rows."""
+    vals = [(F.col(c).cast("double") / 100 - (F.col("id_cliente") * (i + 3)) % 7).alias(c)
+            for i, c in enumerate(_ATTR_COLS)]
+    return t.fx_clientes.select("id_cliente", *vals).unpivot(
+        ["id_cliente"], _ATTR_COLS, "feature", "valor")
+
+
+@register("mean_abs_attribution", _ATTR_SQL + """
+SELECT feature, round(avg(abs(valor)), 6) AS importancia FROM a GROUP BY feature""")
 def q_mean_abs_attribution(t):
-    """Mean |attribution| per feature, ranked."""
+    """Mean |attribution| per feature, ranked, of a given table."""
+    return finish(st.mean_abs_attribution(attribution_table(t)))
+
+
+@register("model_attribution")
+def q_model_attribution(t):
+    """M13 + A16: mean |path attribution| per feature of the credit model."""
     a, _ = _attributions(t)
     return finish(st.mean_abs_attribution(a))
 
 
-@register("top_attributions")
+@register("top_attributions", _ATTR_SQL + """
+SELECT id_cliente, CAST(row_number() OVER (PARTITION BY id_cliente
+         ORDER BY abs(valor) DESC, feature) AS INTEGER) AS pos, feature, round(abs(valor), 6) AS valor
+FROM a QUALIFY pos <= 3""")
 def q_top_attributions(t):
-    """K1: per row, the 10 largest attributions by magnitude."""
-    a, _ = _attributions(t)
-    per_row = a.groupBy("id_cliente").agg(F.collect_list(F.struct("feature", "valor")).alias("a"))
-    # a row holds one entry per model feature (30): a fixed bound
-    return top_attributions(per_row, "a", 10).select("id_cliente", "top")
+    """K1: per row, the 3 largest attributions by magnitude of a given table."""
+    per_row = attribution_table(t).groupBy("id_cliente").agg(
+        F.collect_list(F.struct("feature", "valor")).alias("a"))
+    # a row holds one entry per feature: a fixed bound
+    top = top_attributions(per_row, "a", 3).select("id_cliente", F.posexplode("top").alias("p", "x"))
+    return finish(top.select("id_cliente", (F.col("p") + 1).alias("pos"),
+                             F.col("x.feature").alias("feature"), F.col("x.valor").alias("valor")))
 
 
 @register("local_surrogate_batch")
 def q_local_surrogate(t):
     """Local weighted linear surrogates (top 10 weights) per client."""
-    x = credit_training_table(t)
-    return finish(ml.local_surrogate_batch(_credit_model(t), x, prep.V2_FEATURES, "id_cliente",
-                                           n_samples=REGISTERED_PERTURBATIONS))
+    return finish(ml.local_surrogate_batch(_credit_model(t), credit_training_table(t),
+                                           prep.V2_FEATURES, "id_cliente"))
 
 
-@register("merge_attributions")
+@register("merge_attributions", _ATTR_SQL + """,
+p AS (SELECT feature, avg(abs(valor)) AS shap_value FROM a WHERE feature <> 'idade' GROUP BY feature),
+l AS (SELECT feature, avg(valor) AS lime_value FROM a WHERE feature <> 'renda_mensal' GROUP BY feature),
+c AS (SELECT unnest(['idade', 'renda_mensal', 'sem_valor']) AS feature)
+SELECT feature, round(shap_value, 6) AS shap_value, round(lime_value, 6) AS lime_value,
+       round(greatest(abs(coalesce(shap_value, 0.0)), abs(coalesce(lime_value, 0.0))), 6) AS peso_absoluto
+FROM c FULL JOIN p USING (feature) FULL JOIN l USING (feature)""")
 def q_merge_attributions(t):
-    """Full outer merge of path attributions and surrogate weights (mean
-    |value| per feature) and the model column list; weight = max of both."""
-    a, _ = _attributions(t)
-    shap = st.mean_abs_attribution(a).select("feature", F.col("importancia").alias("shap_value"))
-    lime = (ml.local_surrogate_batch(_credit_model(t), credit_training_table(t), prep.V2_FEATURES,
-                                     "id_cliente", n_samples=REGISTERED_PERTURBATIONS)
-            .filter(F.col("feature").isNotNull())
-            .groupBy("feature").agg(F.avg("peso").alias("lime_value")))
-    cols = t.spark.createDataFrame([(c,) for c in prep.V2_FEATURES], "feature string")
-    m = cols.join(shap, "feature", "full").join(lime, "feature", "full")
-    m = m.withColumn("peso_absoluto", F.greatest(F.abs(F.coalesce("shap_value", F.lit(0.0))),
-                                                 F.abs(F.coalesce("lime_value", F.lit(0.0)))))
-    return finish(m.orderBy(F.col("peso_absoluto").desc(), "feature"))
+    """Full outer merge of mean path attributions, mean surrogate weights
+    and a column list (given tables); weight = the larger magnitude."""
+    a = attribution_table(t)
+    path = st.mean_abs_attribution(a.filter("feature <> 'idade'"))
+    local = a.filter("feature <> 'renda_mensal'").withColumnRenamed("valor", "peso")
+    return finish(ml.merge_attributions(path, local, ["idade", "renda_mensal", "sem_valor"]))
 
 
 @register("validate_gate", """
@@ -217,52 +247,76 @@ def q_validate_gate(t):
 
 # --- M5 / M6 / M7 ------------------------------------------------------------------
 def _fraud_models(t):
-    k = ("fraud", t.sf_dir, id(t.spark))
+    """Split first, then fit: constants, dictionaries, scaler and both models
+    see the training rows only; every row is prepared under that fit."""
+    k = ("fraud", t.sf_dir, t.spark.sparkContext.applicationId)
     if k not in _CACHE:
-        df = fraud_table(t)
+        f = t.fx_fraude
+        risky = f.withColumn("_risk", (F.col("score_risco") > 0.9).cast("int"))
+        sp = ml.stratified_split(risky, "id", "_risk", val=None).select("id", "split")
+        fit = prep.fit_fraud(f.join(sp.filter("split = 'train'"), "id", "left_semi"))
+        df = fraud_table(t, fit).join(sp, "id")
         cols = _fraud_cols(df)
-        scaler, rf = ml.train_fraud(df, cols, "is_fraud", REGISTERED_FOREST)
-        iso = ml.isolation_forest(scaler.transform(df, keep=["id"]), cols, "id")
-        _CACHE[k] = (cols, scaler, rf, iso)
+        train = df.filter("split = 'train'")
+        scaler, rf = ml.train_fraud(train, cols, "is_fraud")
+        iso = ml.isolation_forest(scaler.transform(train, keep=["id"]), cols, "id")
+        _CACHE[k] = (cols, fit, sp, scaler, rf, iso)
     return _CACHE[k]
 
 
 @register("isolation_forest")
 def q_isolation_forest(t):
     """M6: isolation-forest score and -1/1 flag (contamination 0.1)."""
-    cols, scaler, _, iso = _fraud_models(t)
-    x = scaler.transform(fraud_table(t), keep=["id"])
+    _, fit, _, scaler, _, iso = _fraud_models(t)
+    x = scaler.transform(fraud_table(t, fit), keep=["id"])
     return finish(iso.score(x, ["id"]))
 
 
 @register("fraud_scores")
 def q_fraud_scores(t):
-    """M5 + M6 + M7: forest probability, anomaly score, combined score/flag."""
-    cols, scaler, rf, iso = _fraud_models(t)
-    x = scaler.transform(fraud_table(t), keep=["id", "is_fraud"])
-    p = ml.positive_prob(rf.transform(x)).select("id", "is_fraud", "features", F.col("p").alias("rf_prob"),
+    """M5 + M6 + M7: forest probability, anomaly score, combined score/flag
+    of every row, with the side of the split it is on."""
+    cols, fit, sp, scaler, rf, iso = _fraud_models(t)
+    x = scaler.transform(fraud_table(t, fit), keep=["id", "is_fraud"])
+    p = ml.positive_prob(rf.transform(x)).select("id", "is_fraud", F.col("p").alias("rf_prob"),
                                                  F.col("prediction").cast("int").alias("rf_pred"))
-    s = iso.score(x.select("id", *cols), ["id"])
-    j = p.drop("features").join(s, "id")
+    j = p.join(iso.score(x.select("id", *cols), ["id"]), "id").join(sp, "id")
     comb = ml.fraud_combine("iso_score", "iso_pred", "rf_prob", "rf_pred")
     norm = ml.fraud_combine("iso_score", "iso_pred", "rf_prob", "rf_pred", normalised=True)
-    return finish(j.select("id", "is_fraud", "rf_prob", "rf_pred", "iso_score", "iso_pred",
+    return finish(j.select("id", "split", "is_fraud", "rf_prob", "rf_pred", "iso_score", "iso_pred",
                            comb["combined_score"].alias("combined_score"),
                            comb["combined_pred"].alias("combined_pred"),
                            norm["combined_score"].alias("combined_score_normalised")))
 
 
+@register("fraud_combine", """
+WITH g AS (SELECT id, -score_risco AS iso_score, CASE WHEN score_risco > 0.9 THEN -1 ELSE 1 END AS iso_pred,
+             least(valor / 1000, 1.0) AS rf_prob, CAST(valor > 800 AS INTEGER) AS rf_pred FROM fx_fraude)
+SELECT id, round((iso_score + rf_prob) / 2, 6) AS combined_score,
+       CAST(iso_pred = -1 OR rf_pred = 1 AS INTEGER) AS combined_pred,
+       round((rf_prob - iso_score) / 2, 6) AS combined_score_normalised FROM g""")
+def q_fraud_combine(t):
+    """M7 on given scores: mean of both, flag if either fires."""
+    g = t.fx_fraude.select(
+        "id", (-F.col("score_risco")).alias("iso_score"),
+        F.when(F.col("score_risco") > 0.9, -1).otherwise(1).alias("iso_pred"),
+        F.least(F.col("valor") / 1000, F.lit(1.0)).alias("rf_prob"),
+        (F.col("valor") > 800).cast("int").alias("rf_pred"))
+    comb = ml.fraud_combine("iso_score", "iso_pred", "rf_prob", "rf_pred")
+    norm = ml.fraud_combine("iso_score", "iso_pred", "rf_prob", "rf_pred", normalised=True)
+    return finish(g.select("id", comb["combined_score"].alias("combined_score"),
+                           comb["combined_pred"].alias("combined_pred"),
+                           norm["combined_score"].alias("combined_score_normalised")))
+
+
 @register("window_metrics")
 def q_window_metrics(t):
-    """Metrics of the fraud forest on the current window, rule label
-    valor > p99 (A10 + A12 on M12-style scores)."""
-    cols, scaler, rf, _ = _fraud_models(t)
-    f = t.fx_fraude
-    p99 = prep.fit_fraud(f).p99
-    x = scaler.transform(fraud_table(t), keep=["id"]).join(
-        f.select("id", (F.col("valor") > F.lit(p99)).cast("int").alias("y")), "id")
-    pred = ml.positive_prob(rf.transform(x))
-    return t.spark.createDataFrame([ml.evaluate(pred, "y", "p")])
+    """Metrics of the fraud forest on the held-out rows (A10 + A12 on
+    M12-style scores) against the label it was trained for."""
+    _, fit, sp, scaler, rf, _ = _fraud_models(t)
+    held = fraud_table(t, fit).join(sp.filter("split = 'test'"), "id", "left_semi")
+    pred = ml.positive_prob(rf.transform(scaler.transform(held, keep=["id", "is_fraud"])))
+    return t.spark.createDataFrame([ml.evaluate(pred, "is_fraud", "p")])
 
 
 # --- M8 -------------------------------------------------------------------------
@@ -276,8 +330,7 @@ def q_train_default(t):
         d.select("id_cliente", label_default_rule("dias_atraso_medio", "pct_pagamentos_atraso")
                  .alias("inadimplente")), "id_cliente")
     sp = ml.stratified_split(x, "id_cliente", "inadimplente")
-    m = ml.train_default(sp.filter(F.col("split") != "test"), prep.DEFAULT_FEATURES, "inadimplente",
-                         REGISTERED_DEFAULT_GBT)
+    m = ml.train_default(sp.filter(F.col("split") != "test"), prep.DEFAULT_FEATURES, "inadimplente")
     pred = ml.positive_prob(m.transform(sp.filter(F.col("split") == "test")))
     return t.spark.createDataFrame([ml.evaluate(pred, "inadimplente", "p")])
 
@@ -290,7 +343,7 @@ def q_train_segments(t):
         "id_cliente", "renda_mensal", "idade", "saldo_atual", "valor_total_transacoes",
         F.col("total_transacoes_90d").alias("transacoes_ultimo_mes"))
     x = prep.prepare_segmentation(c, keep=["id_cliente"])
-    scaler, model, sil = ml.train_segments(x, prep.SEGMENT_FEATURES, restarts=REGISTERED_RESTARTS)
+    scaler, model, sil = ml.train_segments(x, prep.SEGMENT_FEATURES)
     pred = model.transform(ml.assemble(prep.SEGMENT_FEATURES).transform(
         scaler.transform(x, keep=["id_cliente"])))
     return finish(pred.select("id_cliente", F.col("prediction").alias("cluster"),
@@ -302,7 +355,8 @@ def q_train_segments(t):
 # --- M10 ------------------------------------------------------------------------
 @register("train_legacy_score")
 def q_train_legacy_score(t):
-    """M10 + P4 + P31: regression forest on the legacy integer score."""
+    """M10 + P4 + P31: regression forest on the legacy integer score; the
+    forest and its scaler see the training rows, the held-out rows are scored."""
     from .q_scoring import legacy_input
     from ..sources.fixtures import AS_OF_TRANSACOES
     li = legacy_input(t)
@@ -310,9 +364,12 @@ def q_train_legacy_score(t):
     y = li.select("id_cliente", F.least(F.greatest(
         (300 + 400 * (1 - F.col("risk_score"))).cast("int"), F.lit(300)), F.lit(850))
         .alias("score_credito"))
-    x = x.join(y, "id_cliente")
-    scaler, m = ml.train_legacy_score(x, prep.LEGACY_FEATURES, "score_credito", REGISTERED_LEGACY)
-    pred = m.transform(scaler.transform(x, keep=["id_cliente", "score_credito"]))
+    x = x.join(y, "id_cliente").withColumn("_all", F.lit(1))
+    sp = ml.stratified_split(x, "id_cliente", "_all", val=None)
+    scaler, m = ml.train_legacy_score(sp.filter("split = 'train'"), prep.LEGACY_FEATURES,
+                                      "score_credito")
+    pred = m.transform(scaler.transform(sp.filter("split = 'test'"),
+                                        keep=["id_cliente", "score_credito"]))
     return pred.select("id_cliente", "score_credito",
                        F.round("prediction").cast("int").alias("score_previsto"))
 
@@ -320,13 +377,12 @@ def q_train_legacy_score(t):
 # --- M11 / M16 ------------------------------------------------------------------
 @register("tune")
 def q_tune(t):
-    """Seeded random search maximising validation AUC."""
-    x = credit_training_table(t)
-    sp = ml.stratified_split(x, "id_cliente", "inadimplente")
-    res = ml.tune(sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "val"),
-                  prep.V2_FEATURES, "inadimplente", REGISTERED_TRIALS,
-                  max_iter_cap=REGISTERED_GBT["maxIter"])
+    """Seeded random search (20 trials in parallel) maximising
+    validation AUC."""
     import json
+    sp = _credit_split(t)
+    res = ml.tune(sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "val"),
+                  prep.V2_FEATURES, "inadimplente")
     return t.spark.createDataFrame([(json.dumps(res["params"]), float(res["auc"]))],
                                    "params string, auc double")
 
@@ -335,7 +391,7 @@ def q_tune(t):
 def q_training_run(t):
     """Split -> fit -> held-out metrics -> gate -> attributions."""
     _, res = ml.training_run(credit_training_table(t), prep.V2_FEATURES, "id_cliente",
-                             "inadimplente", REGISTERED_GBT)
+                             "inadimplente")
     r = ml.result_row(res)
     return t.spark.createDataFrame([tuple(r[k] for k in ("metrics", "aprovado", "violacoes", "params",
                                                           "top_importancia"))], ml.RESULT_SCHEMA)
