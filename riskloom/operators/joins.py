@@ -11,7 +11,12 @@ J3 never runs an inequality join and never puts a whole key into one task:
   per-(key, bucket) table of last features.
 
 With a TTL no older bucket can qualify, so phase B is skipped.  A hot key is
-spread over its buckets; only one bucket of one key ever meets in a task.
+spread over its buckets; only one bucket of one key ever meets in a task, and
+``bucket_seconds`` below the TTL makes the buckets as narrow as a hot key
+needs (a feature is then copied into every bucket its TTL reaches).
+
+Feature rows of one key and time are ordered by their values, the largest
+wins: the answer does not depend on how the rows are partitioned.
 """
 
 from __future__ import annotations
@@ -32,20 +37,21 @@ def point_in_time(entities: DataFrame, view: DataFrame, key: str, entity_ts: str
     """Left as-of join: every entity row with the newest view row of the same
     key whose time is <= the entity time (and, with a TTL, not older than
     ``ttl_seconds``).  Adds ``values`` (prefixed) and ``feature_timestamp``."""
-    width = int((ttl_seconds or bucket_seconds or 86400) * _US)
+    width = int((bucket_seconds or ttl_seconds or 86400) * _US)
     fcols = [F.col(v).alias(v) for v in values]
     feat = view.select(F.col(key), _micros(view_ts).alias("_t"),
                        F.struct(_micros(view_ts).alias("_ft"), F.col(view_ts).alias("_fts"), *fcols)
                        .alias("_f"))
     feat = feat.withColumn("_b", F.floor(F.col("_t") / F.lit(width)))
     if ttl_seconds is not None:
-        # a feature can serve its own bucket and the next one only
-        feat = feat.withColumn("_b", F.explode(F.array(F.col("_b"), F.col("_b") + 1)))
+        # a feature can serve its own bucket and those its TTL reaches into
+        reach = -(-int(ttl_seconds * _US) // width)
+        feat = feat.withColumn("_b", F.explode(F.sequence(F.col("_b"), F.col("_b") + reach)))
     ent = (entities.withColumn("_t", _micros(entity_ts))
            .withColumn("_b", F.floor(F.col("_t") / F.lit(width))))
     u = (ent.withColumn("_side", F.lit(1))
          .unionByName(feat.withColumn("_side", F.lit(0)), allowMissingColumns=True))
-    w = (Window.partitionBy(key, "_b").orderBy("_t", "_side")
+    w = (Window.partitionBy(key, "_b").orderBy("_t", "_side", "_f")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     a = u.withColumn("_a", F.last("_f", ignorenulls=True).over(w)).filter(F.col("_side") == 1)
     if ttl_seconds is None:
@@ -53,7 +59,7 @@ def point_in_time(entities: DataFrame, view: DataFrame, key: str, entity_ts: str
                            F.struct(_micros(view_ts).alias("_ft"), F.col(view_ts).alias("_fts"),
                                     *fcols).alias("_f")) \
             .withColumn("_b", F.floor(F.col("_t") / F.lit(width))) \
-            .groupBy(key, "_b").agg(F.max_by("_f", "_t").alias("_last"))
+            .groupBy(key, "_b").agg(F.max("_f").alias("_last"))  # time, then values
         eb = ent.select(key, "_b").distinct()
         c = eb.join(last, [key, "_b"], "full")
         wb = (Window.partitionBy(key).orderBy("_b")
@@ -70,8 +76,10 @@ def point_in_time(entities: DataFrame, view: DataFrame, key: str, entity_ts: str
 
 
 def latest_per_entity(view: DataFrame, key: str, ts: str) -> DataFrame:
-    """Online view: the newest row per entity (``max_by`` with map-side
-    partial aggregation; a hot entity is one partial row per task)."""
-    cols = [c for c in view.columns if c != key]
-    return (view.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(ts)).alias("_r"))
-            .select(key, *[F.col(f"_r.{c}").alias(c) for c in cols]))
+    """Online view: the newest row per entity, of rows at the same time the
+    one with the largest values (a ``max`` with map-side partial aggregation;
+    a hot entity is one partial row per task)."""
+    cols = [ts, *(c for c in view.columns if c not in (key, ts))]
+    newest = view.groupBy(key).agg(F.max(F.struct(*cols)).alias("_r"))  # null times are least
+    return newest.select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c)
+                         for c in view.columns])

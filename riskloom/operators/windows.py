@@ -37,19 +37,34 @@ def trailing_counts(df: DataFrame, key: str = "conta_id", ts: str = "data_transa
                     row_id: str = "id", hour_col: str = "transactions_last_hour",
                     day_col: str = "transactions_last_day") -> DataFrame:
     """Rows of the same key with time in [t - 1 h, t] and [t - 24 h, t]
-    (peers at t included).  Every row is copied into its own day bucket and the
-    next one; windows run per (key, day bucket) and only own-bucket copies are
-    kept, so both frames see exactly the rows they need."""
+    (peers at t included).  Windows run per (key, hour): a row also stands, as
+    a bare time, in the hour 1 h and 24 h later, where it tells how many rows
+    of that older hour the frame still reaches.  The whole hours between come
+    from a table of counts per (key, hour).  No task holds more than three
+    hours of one key."""
     us = _micros(ts)
-    with_b = df.withColumn("_us", us).withColumn("_b", F.floor(F.col("_us") / F.lit(DAY_US)))
-    copies = with_b.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
-    copies = copies.withColumn("_b", F.when(F.col("_own"), F.col("_b")).otherwise(F.col("_b") + 1))
-    w = Window.partitionBy(key, "_b").orderBy("_us")
-    counted = copies.select(
-        "*",
-        F.count(F.lit(1)).over(w.rangeBetween(-HOUR_US, 0)).alias(hour_col),
-        F.count(F.lit(1)).over(w.rangeBetween(-DAY_US, 0)).alias(day_col))
-    return counted.filter(F.col("_own")).drop("_us", "_b", "_own")
+    own = df.withColumns({"_us": us, "_b": F.floor(us / F.lit(HOUR_US)), "_kind": F.lit(0)})
+    bare = own.select(key, "_us", "_b")
+    older = [bare.select(key, (F.col("_us") + F.lit(h * HOUR_US)).alias("_us"),
+                         (F.col("_b") + F.lit(h)).alias("_b"), F.lit(k).alias("_kind"))
+             for k, h in ((1, 1), (2, 24))]
+    rows = own
+    for o in older:
+        rows = rows.unionByName(o, allowMissingColumns=True)
+    part = Window.partitionBy(key, "_b")
+    until = part.orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
+    before = part.orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
+    of = lambda k, w: F.count(F.when(F.col("_kind") == k, 1)).over(w)
+    reached = lambda k: of(k, part) - of(k, before)  # noqa: E731  at or after t - h
+    counted = rows.withColumns({"_n": of(0, until), "_h1": reached(1), "_h24": reached(2)}) \
+        .filter(F.col("_kind") == 0)
+    # whole hours between: at most one row per key and hour
+    hours = bare.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    span = Window.partitionBy(key).orderBy("_b").rangeBetween(-23, -1)
+    mid = hours.select(key, "_b", F.coalesce(F.sum("_c").over(span), F.lit(0)).alias("_mid"))
+    out = counted.join(mid, [key, "_b"], "left")
+    return out.select(*df.columns, (F.col("_n") + F.col("_h1")).alias(hour_col),
+                      (F.col("_n") + F.col("_h24") + F.coalesce("_mid", F.lit(0))).alias(day_col))
 
 
 # --- W3 ---------------------------------------------------------------------

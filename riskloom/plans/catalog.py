@@ -77,4 +77,5 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all():
     # importing the query modules fills the registry
-    from . import q_features, q_governance, q_joins, q_ml, q_scoring, q_stats, q_streams  # noqa: F401,E501
+    from . import (q_features, q_governance, q_io, q_joins, q_ml, q_scoring,  # noqa: F401
+                   q_stats, q_streams)

@@ -82,10 +82,11 @@ def q_credit_features(t):
     return finish(credit_features_df(t), overrides=_MONEY)
 
 
-@register("read_table", "SELECT * FROM fx_clientes")
+@register("read_table", "SELECT * FROM customer")
 def q_read_table(t):
-    """Read the clients table (typed columns, lazy scan)."""
-    return finish(t.fx_clientes)
+    """A core table by name from a table folder."""
+    from ..sources import io
+    return io.read_table(t.spark, "customer", t.sf_dir)
 
 
 @register("active_accounts", rounded(

@@ -14,6 +14,10 @@ from .catalog import finish, register
 from .q_stats import CAT, NUM, SPLIT
 
 
+#: the event table is not in the order of time: lateness that covers its days
+LATENESS = "60 days"
+
+
 class _StreamTables:
     """Just enough of :class:`Tables` for the fixture builders over a stream."""
 
@@ -43,7 +47,7 @@ FROM w GROUP BY inicio""")
 def q_stream_prediction_distribution(t):
     """24 h sliding prediction distribution over the event stream."""
     s = fx.fx_predicoes(_StreamTables(t))
-    agg = jobs.prediction_distribution(s)
+    agg = jobs.prediction_distribution(s, watermark=LATENESS)
     return finish(_ntz(jobs.drain(agg, ["inicio", "fim"], "x2"), ["inicio", "fim"]))
 
 
@@ -54,7 +58,7 @@ FROM fx_fraude GROUP BY ALL""")
 def q_stream_velocity(t):
     """Transactions per account per hour over the event stream."""
     s = fx.fx_fraude(_StreamTables(t))
-    return _ntz(jobs.drain(jobs.velocity(s), ["conta_id", "inicio", "fim"], "x3"), ["inicio", "fim"])
+    return _ntz(jobs.drain(jobs.velocity(s, watermark=LATENESS), ["conta_id", "inicio", "fim"], "x3"), ["inicio", "fim"])
 
 
 @register("stream_metrics_hourly", """
@@ -65,7 +69,7 @@ FROM events GROUP BY 1""")
 def q_stream_metrics_hourly(t):
     """Hourly predictions / errors / error rate over the event stream."""
     s = _StreamTables(t).events
-    return _ntz(jobs.drain(jobs.metrics_hourly(s), ["hora"], "x4"), ["hora"])
+    return _ntz(jobs.drain(jobs.metrics_hourly(s, watermark=LATENESS), ["hora"], "x4"), ["hora"])
 
 
 @register("stream_prediction_log", """
@@ -76,10 +80,7 @@ def q_stream_prediction_log(t):
     back as rows per date."""
     s = fx.fx_predicoes(_StreamTables(t))
     base = jobs.scratch_dir(t.spark, "x1")
-    q = (s.withColumn("date", F.to_date("momento")).writeStream.format("parquet")
-         .partitionBy("date").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
-    q.awaitTermination()
+    jobs.prediction_log_sink(s, f"{base}/out", f"{base}/ck", drain=True).awaitTermination()
     return (t.spark.read.parquet(f"{base}/out").groupBy("date")
             .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("probabilidade"), 6).alias("media")))
 
@@ -87,14 +88,13 @@ def q_stream_prediction_log(t):
 @register("stream_baseline_drift",
           f"SELECT *, 0 AS batch_id FROM ({catalog._ORACLE['baseline_drift']}) b")
 def q_stream_baseline_drift(t):
-    """D6 baseline drift per micro-batch of the current lineitem rows."""
+    """D6 baseline drift per micro-batch of the current lineitem rows (no
+    limit of files a trigger: whatever is there is one batch, number 0)."""
     li = t.lineitem.select(*NUM, *CAT, "l_shipdate")
     cut = F.lit(SPLIT).cast("timestamp_ntz")
     base = st.baseline_stats(li.filter(F.col("l_shipdate") < cut), NUM, CAT)
     stream = (jobs.table_stream(t.spark, t.sf_dir, "lineitem")
               .filter(F.col("l_shipdate") >= cut).select(*NUM, *CAT))
     d = jobs.scratch_dir(t.spark, "x5")
-    q = jobs.baseline_drift_stream(stream, base, f"{d}/out", f"{d}/ck")
-    q.processAllAvailable()
-    q.stop()
+    jobs.baseline_drift_stream(stream, base, f"{d}/out", f"{d}/ck", drain=True).awaitTermination()
     return finish(t.spark.read.parquet(f"{d}/out"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import logging
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,20 +93,30 @@ def read_transactions_json(spark: SparkSession, path: str,
 
 
 # --- S4 -----------------------------------------------------------------------
-def read_metric_log(spark: SparkSession, path: str, schema: T.StructType = METRIC_LOG_SCHEMA,
-                    report_bad: bool = True) -> DataFrame:
-    """JSON-lines log, bad lines skipped (PERMISSIVE + corrupt column); the
-    count of skipped lines is logged.  Rows come back ordered by time."""
-    s = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-    df = (spark.read.schema(s).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", CORRUPT).json(path)).cache()
-    if report_bad:
-        bad = df.filter(F.col(CORRUPT).isNotNull()).count()
-        if bad:
-            log.warning("read_metric_log: skipped %d malformed line(s) in %s", bad, path)
+def read_metric_log(spark: SparkSession, path: str, schema: T.StructType = METRIC_LOG_SCHEMA) \
+        -> DataFrame:
+    """JSON-lines log without its malformed lines (lazy; see
+    :func:`bad_lines`), ordered by time."""
+    df = _permissive(spark, path, schema)
     return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT).orderBy("timestamp")
 
 
+def bad_lines(spark: SparkSession, path: str, schema: T.StructType = METRIC_LOG_SCHEMA) \
+        -> DataFrame:
+    """The malformed lines of a log, for a report on what a reader skips."""
+    # a query on the corrupt column alone is refused: keep a data column beside it
+    df = _permissive(spark, path, schema)
+    none = F.substring(F.coalesce(F.col(schema.fields[0].name).cast("string"), F.lit("")), 1, 0)
+    return df.filter(F.col(CORRUPT).isNotNull()).select(
+        F.concat(F.col(CORRUPT), none).alias("line"))
+
+
+def _permissive(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    s = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
+    return (spark.read.schema(s).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT).json(path))
+
+
 def append_log(df: DataFrame, path: str, ts_col: str = "timestamp", unit: str = "day") -> None:
     """Append rows to a JSON log partitioned by day (or day and hour)."""
     ts = F.col(ts_col).cast("timestamp")
@@ -155,10 +166,13 @@ def load_baseline(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_or_build_baseline(spark: SparkSession, path: str, build) -> DataFrame:
-    """Reuse a stored baseline, else build it with ``build()`` and store it."""
+    """Reuse a stored baseline; only if there is none at ``path``, build it
+    with ``build()`` and store it.  Any other read error is raised and leaves
+    the stored baseline alone."""
     try:
         return load_baseline(spark, path)
-    except Exception:  # noqa: BLE001 - absent baseline
-        df = build()
-        save_baseline(df, path)
-        return load_baseline(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    save_baseline(build(), path)
+    return load_baseline(spark, path)

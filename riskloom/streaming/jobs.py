@@ -1,34 +1,32 @@
 """Structured Streaming re-aims of the append-only logs.
 
 Sources are file streams with an explicit schema.  Aggregations are
-event-time windows with a watermark, so state is bounded (windows older than
-the watermark are dropped with their state) and late rows beyond it are
-ignored.  Sinks are partitioned files with a checkpoint in the shared folder
-the cluster names in ``spark.checkpoint.dir``: a restarted or re-scheduled
-query resumes from its offsets.
+event-time windows over a watermarked column, so windows older than the
+watermark leave the state, append mode is possible, and rows later than the
+given lateness are dropped.  Sinks are partitioned files with a checkpoint in
+the shared folder the cluster names in ``spark.checkpoint.dir``: a restarted or
+re-scheduled query resumes from its offsets.
 
 ``drain`` runs a query with ``trigger(availableNow=True)`` and keeps, per
-result key, the last version written (an upsert log in ``foreachBatch``): the
-drained result equals the batch computation over the same rows.
+result key, the last version written (an upsert log in ``foreachBatch``).  The
+drained result equals the batch computation over the same rows if the lateness
+covers the disorder of the input across its micro-batches.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scoring import risk_band
 from ..operators import drift as dr
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path, scratch_table
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/riskloom-streams/{name}-{uuid.uuid4().hex[:12]}"
+    return scratch_path(spark, f"stream-{name}")
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
@@ -55,12 +53,14 @@ def _event_time(events: DataFrame, ts: str, watermark: str) -> DataFrame:
 
 # --- X1 -----------------------------------------------------------------------
 def prediction_log_sink(stream: DataFrame, out_path: str, checkpoint: str,
-                        ts_col: str = "momento") -> StreamingQuery:
-    """Append the prediction stream to files partitioned by date."""
+                        ts_col: str = "momento", drain: bool = False) -> StreamingQuery:
+    """Append the prediction stream to files partitioned by date; ``drain``
+    ends the query when the input that is there now has been read."""
     out = stream.withColumn("date", F.to_date(F.col(ts_col)))
-    return (out.writeStream.format("parquet").partitionBy("date")
-            .option("path", out_path).option("checkpointLocation", checkpoint)
-            .outputMode("append").start())
+    w = (out.writeStream.format("parquet").partitionBy("date")
+         .option("path", out_path).option("checkpointLocation", checkpoint)
+         .outputMode("append"))
+    return (w.trigger(availableNow=True) if drain else w).start()
 
 
 # --- X2 -----------------------------------------------------------------------
@@ -72,7 +72,7 @@ def prediction_distribution(events: DataFrame, ts: str = "momento", prob: str =
     frames; on a stream the watermark bounds the state."""
     events = _event_time(events, ts, watermark)
     lv = risk_band(prob)
-    agg = events.groupBy(F.window(F.col(ts).cast("timestamp"), window, slide).alias("w")).agg(
+    agg = events.groupBy(F.window(F.col(ts), window, slide).alias("w")).agg(
         F.count(F.lit(1)).alias("n_predicoes"), F.sum(prob).alias("s1"),
         F.sum(F.col(prob) * F.col(prob)).alias("s2"), F.min(prob).alias("mn"),
         F.max(prob).alias("mx"),
@@ -92,7 +92,7 @@ def velocity(events: DataFrame, key: str = "conta_id", ts: str = "data_transacao
              window: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
     """Transactions per account per tumbling window."""
     events = _event_time(events, ts, watermark)
-    return (events.groupBy(F.window(F.col(ts).cast("timestamp"), window).alias("w"), key)
+    return (events.groupBy(F.window(F.col(ts), window).alias("w"), key)
             .agg(F.count(F.lit(1)).alias("n"))
             .select(key, F.col("w.start").alias("inicio"), F.col("w.end").alias("fim"), "n"))
 
@@ -103,7 +103,7 @@ def metrics_hourly(events: DataFrame, ts: str = "ts", is_error=None,
     """Hourly predictions, errors and error rate (4 decimals)."""
     events = _event_time(events, ts, watermark)
     err = is_error if is_error is not None else (F.col("event_type") == "error")
-    g = (events.groupBy(F.window(F.col(ts).cast("timestamp"), "1 hour").alias("w"))
+    g = (events.groupBy(F.window(F.col(ts), "1 hour").alias("w"))
          .agg(F.count(F.lit(1)).alias("predictions_count"),
               F.count(F.when(err, 1)).alias("error_count")))
     return g.select(F.col("w.start").alias("hora"), "predictions_count", "error_count",
@@ -112,18 +112,20 @@ def metrics_hourly(events: DataFrame, ts: str = "ts", is_error=None,
 
 # --- X5 -----------------------------------------------------------------------
 def baseline_drift_stream(stream: DataFrame, baseline: DataFrame, out_path: str,
-                          checkpoint: str) -> StreamingQuery:
-    """Per micro-batch, D6 against the stored baseline (a one-row-per-feature
-    table, broadcast by the join inside D6); rows appended with batch id."""
-    base = baseline.cache()
+                          checkpoint: str, drain: bool = False) -> StreamingQuery:
+    """Per micro-batch, D6 against the stored baseline (one row per bin or
+    category); rows appended with the batch id.  The batch is kept while the
+    report reads it."""
+    base = scratch_table(baseline, "baseline")
 
     def per_batch(batch: DataFrame, batch_id: int):
-        if batch.isEmpty():
-            return
-        rep = dr.baseline_drift(base, batch).withColumn("batch_id", F.lit(batch_id))
-        rep.write.mode("append").parquet(out_path)
-    return (stream.writeStream.foreachBatch(per_batch)
-            .option("checkpointLocation", checkpoint).start())
+        batch = batch.persist()
+        if not batch.isEmpty():
+            rep = dr.baseline_drift(base, batch).withColumn("batch_id", F.lit(batch_id))
+            rep.write.mode("append").parquet(out_path)
+        batch.unpersist()
+    w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if drain else w).start()
 
 
 # --- drain helper ---------------------------------------------------------------

@@ -38,6 +38,7 @@ def test_metric_log_skips_bad_lines_and_appends(spark, tmp):
         f.write(json.dumps({"timestamp": "2024-01-01T01:00:00", "auc_roc": 0.8}) + "\n")
     df = io.read_metric_log(spark, path)
     assert [r["auc_roc"] for r in df.collect()] == [0.9, 0.8]
+    assert [r["line"] for r in io.bad_lines(spark, path).collect()] == ["{not json"]
     io.append_log(df, f"{tmp}/log", unit="hour")
     back = spark.read.json(f"{tmp}/log")
     assert back.count() == 2 and {"date", "hour"} <= set(back.columns)
@@ -57,6 +58,13 @@ def test_feature_view_and_sinks(spark, tmp, tables_small):
     base = spark.createDataFrame([("x", [1.0, 2.0])], "feature string, bins array<double>")
     b2 = io.load_or_build_baseline(spark, f"{tmp}/base", lambda: base)
     assert b2.first()["bins"] == [1.0, 2.0]
+    # an unreadable baseline is an error, not a reason to overwrite it
+    os.makedirs(f"{tmp}/broken")
+    with open(f"{tmp}/broken/part-0.parquet", "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception):
+        io.load_or_build_baseline(spark, f"{tmp}/broken", lambda: base).collect()
+    assert os.listdir(f"{tmp}/broken") == ["part-0.parquet"]
     assert io.read_by_suffix(spark, "/root/testdata/sf0.001/region.parquet").count() == 5
 
 
@@ -114,3 +122,37 @@ def test_stream_equals_batch(spark, tables_small):
     s = fx.fx_fraude(t)
     v = jobs.drain(jobs.velocity(s), ["conta_id", "inicio", "fim"], "test-x3")
     assert v.agg(F.sum("n")).first()[0] == tables_small.events.count()
+
+
+def test_stream_over_shuffled_files(spark, tables_small, tmp):
+    """Several files in no order of time, one a batch: with a lateness that
+    covers the disorder the drained stream equals the batch."""
+    ev = tables_small.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    ev.repartition(6, "event_id").write.parquet(f"{tmp}/ev")
+    src = jobs.file_stream(spark, f"{tmp}/ev", ev.schema, max_files_per_trigger=1)
+    got = jobs.drain(jobs.metrics_hourly(src, watermark="60 days"), ["hora"], "test-files")
+    cols = ["hora", "predictions_count", "error_count"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(
+        map(tuple, jobs.metrics_hourly(ev).select(*cols).collect()))
+
+
+def test_watermark_bounds_the_state(spark, tables_small, tmp):
+    """In order of time, one file a batch: append mode is accepted and old
+    windows leave the state."""
+    ev = tables_small.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    for i, lo in enumerate(range(0, 30, 5)):
+        day = F.datediff(F.col("ts"), F.lit("2024-01-01"))
+        ev.filter((day >= lo) & (day < lo + 5)).coalesce(1).write.parquet(f"{tmp}/in/b{i}")
+        for name in os.listdir(f"{tmp}/in/b{i}"):
+            if name.startswith("part-"):
+                os.makedirs(f"{tmp}/src", exist_ok=True)
+                os.link(f"{tmp}/in/b{i}/{name}", f"{tmp}/src/{i}-{name}")
+    src = jobs.file_stream(spark, f"{tmp}/src", ev.schema, max_files_per_trigger=1)
+    q = (jobs.metrics_hourly(src, watermark="1 hour").writeStream.outputMode("append")
+         .format("parquet").option("path", f"{tmp}/out").option("checkpointLocation", f"{tmp}/ck")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    hours = jobs.metrics_hourly(ev).count()
+    assert rows and rows[-1] < hours / 3
+    assert spark.read.parquet(f"{tmp}/out").count() > hours / 2
