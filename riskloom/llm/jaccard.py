@@ -409,17 +409,15 @@ def components_of_similar(docs: DataFrame, *, num: int, den: int, shingle: int,
         links.test(members.where("cid != lead_cid").groupBy("cid")
                    .agg(F.min("lead_cid").alias("u")).select("u", F.col("cid").alias("v")))
         members = staged(distinct_groups(members.select("sig", "cid").distinct()), "groups")
-        moved = True
-        while moved:  # one representative per component of a signature against its least one
-            open_ = staged(links.label(members), "open")
-            if not open_.head(1):
-                break
+        # one representative per component of a signature against its least one
+        open_ = staged(links.label(members), "open")
+        if open_.head(1):
             reps = open_.groupBy("sig", "comp").agg(F.min("cid").alias("cid"))
             lead = reps.groupBy("sig").agg(F.min(F.struct("comp", "cid")).alias("l"))
-            moved = links.test(reps.join(lead, "sig").where("comp != l.comp")
-                               .select(F.col("l.cid").alias("u"), F.col("cid").alias("v")))
-            members = open_.select("sig", "cid")
-        else:
+            if links.test(reps.join(lead, "sig").where("comp != l.comp")
+                          .select(F.col("l.cid").alias("u"), F.col("cid").alias("v"))):
+                open_ = staged(links.label(open_.select("sig", "cid")), "open")
+        if open_.head(1):
             # what is left: every member outside a signature's largest component
             # against the members of other components
             size = open_.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("m"))

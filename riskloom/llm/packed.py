@@ -55,6 +55,7 @@ def text_bytes(docs: DataFrame, text_col: str) -> int:
 
 
 def bucket_count(spark, total: int, each: int) -> int:
-    """Enough buckets of at most about ``each`` and, for an even deal over the
-    shuffle partitions, a few for every one of those."""
-    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // each))
+    """Enough buckets of at most about ``each``, and one for every shuffle
+    partition.  Stages hand their rows on by bucket of the next stage, so their
+    number can reach the square of this one."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // each))
