@@ -284,17 +284,20 @@ def sketch(x: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _rule_out(sim: Similarity):
-    """Arrow kernel over (u, v, sizes, sketches): without the pairs whose
-    sketches already differ in more places than linked sets can."""
+def _apart(sim: Similarity, only_near: bool):
+    """Arrow kernel over (u, v, sizes, sketches): in how many places the
+    sketches differ; with ``only_near`` without the pairs that differ in more
+    than linked sets can."""
     def run(batches):
         for batch in batches:
             n_u, n_v = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(
                 len(n_u), -1) for i in (4, 5)]
-            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1)
+            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1).astype(np.int64)
             most = (n_u + n_v) * (sim.den - sim.num) // (sim.den + sim.num)
-            yield batch.select([0, 1]).filter(pa.array(apart <= most))
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart)],
+                                             ["u", "v", "apart"])
+            yield out.filter(pa.array(apart <= most)) if only_near else out
     return run
 
 
@@ -322,30 +325,36 @@ class _Links:
         self.sets, self.sim, self.tested, self.links = sets, sim, None, None
         self.comp = None
 
-    def test(self, pairs: DataFrame) -> bool:
-        """Verify the pairs (u, v) not compared yet; is any linked?"""
+    def sketched(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) with sizes and sketches, a few hundred bytes each."""
+        for c in ("u", "v"):
+            pairs = pairs.join(self.sets.select(
+                F.col("cid").alias(c), F.col("n").alias(f"n_{c}"),
+                F.col("sketch").alias(f"sketch_{c}")), c)
+        return pairs.select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v")
+
+    def test(self, pairs: DataFrame) -> None:
+        """Verify the pairs (u, v) not compared yet.  Sizes and sketches rule
+        out most that are not linked before whole sets are joined."""
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["u", "v"], "left_anti")
         pairs = staged(pairs, "pairs")
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        # sizes and sketches (a few hundred bytes) rule out most pairs that are
-        # not linked before whole sets are joined
-        small = [self.sets.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"),
-                                  F.col("sketch").alias(f"sketch_{c}")) for c in ("u", "v")]
         sizes = (F.least("n_u", "n_v") * self.sim.den >= F.greatest("n_u", "n_v") * self.sim.num)
-        near = staged(pairs.join(small[0], "u").join(small[1], "v").where(sizes)
-                      .select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v")
-                      .mapInArrow(_rule_out(self.sim), "u long, v long"), "near")
+        near = staged(self.sketched(pairs).where(sizes).mapInArrow(
+            _apart(self.sim, True), "u long, v long, apart long"), "near")
         whole = [self.sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"set_{c}"))
                  for c in ("u", "v")]
         got = staged(near.join(whole[0], "u").join(whole[1], "v").select("u", "v", "set_u", "set_v")
                      .mapInArrow(_verify(self.sim), "u long, v long"), "linked")
-        if not got.head(1):
-            return False
-        self.links = got if self.links is None else self.links.unionByName(got)
-        self.comp = components(self.links)
-        return True
+        if got.head(1):
+            self.links = got if self.links is None else self.links.unionByName(got)
+
+    def settle(self) -> None:
+        """The components of the links so far."""
+        if self.links is not None:
+            self.comp = components(self.links)
 
     def label(self, members: DataFrame) -> DataFrame:
         """(signature, cid, comp) of the signatures that still hold more than
@@ -372,6 +381,92 @@ def distinct_groups(members: DataFrame) -> DataFrame:
     return members.join(one.select("sig"), "sig", "left_semi")
 
 
+#: families up to that size are compared in full
+SMALL_FAMILY = 8
+#: members of a larger family that tell which changes are common in it
+SAMPLE = 16
+
+
+def _changes(sim: Similarity, prefix: bool):
+    """Arrow kernel over (cid, root, set, set of the root, common elements):
+    the elements in which the set differs from its root's.  With ``prefix``
+    only the first, elements that are not common before common ones, each by
+    hash: as many as linked sets can differ in, and one more."""
+    def run(batches):
+        for batch in batches:
+            cid, root, out = [], [], []
+            for i in range(batch.num_rows):
+                x, y, c = (np.frombuffer(batch.column(j)[i].as_buffer(), dtype=U)
+                           if batch.column(j)[i].is_valid else np.zeros(0, U) for j in (2, 3, 4))
+                d = np.setxor1d(x, y, assume_unique=True)
+                if prefix:
+                    n = len(x)
+                    most = (n + n * sim.den // sim.num) * (sim.den - sim.num) // (sim.den + sim.num)
+                    d = d[np.argsort(np.isin(d, c), kind="stable")][:most + 1]
+                cid.append(np.full(len(d), batch.column(0)[i].as_py()))
+                root.append(np.full(len(d), batch.column(1)[i].as_py()))
+                out.append(d.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64())
+                 for c in (cid, root, out)], ["cid", "root", "e"])
+    return run
+
+
+def cross_pairs(open_: DataFrame, family: DataFrame, sets: DataFrame,
+                sim: Similarity) -> DataFrame:
+    """(u, v) that may still be linked: members of one family in different
+    components.  Small families pair up in full.  In a larger one all members
+    have been compared with the root, so of two that are linked but in
+    different components at least one differs from the root in more elements
+    than linked sets do; their changes against the root then share an element
+    among the first of each (the prefix filter on sets a bounded Hamming
+    distance apart, in any order common to the family).  Changes that a sample
+    of the family shares come last in that order, which leaves each member's
+    own: copies of one text with different changes do not meet."""
+    rows = open_.join(family, F.col("cid") == F.col("node")).select(
+        "cid", open_["comp"], family["comp"].alias("root"))
+    rows = staged(rows, "family")
+    size = rows.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+    rows = rows.join(size, "root")
+    small = rows.where(F.col("m") <= SMALL_FAMILY)
+    pairs = (small.select("root", F.col("cid").alias("u"), F.col("comp").alias("cu"))
+             .join(small.select("root", F.col("cid").alias("v"), F.col("comp").alias("cv")), "root")
+             .where("u < v and cu != cv").select("u", "v"))
+    large = staged(rows.where((F.col("m") > SMALL_FAMILY) & (F.col("cid") != F.col("root"))), "large")
+    if not large.head(1):
+        return pairs
+    own = sets.select("cid", "shingles")
+    roots = sets.select(F.col("cid").alias("root"), F.col("shingles").alias("root_set"))
+    drawn = (F.xxhash64(F.lit(5), F.col("cid")) / float(1 << 63) + 1) / 2 * F.col("m") < SAMPLE
+    sample = (large.where(drawn).join(own, "cid").join(roots, "root")
+              .select("cid", "root", "shingles", "root_set", F.lit(None).cast("binary").alias("c"))
+              .mapInArrow(_changes(sim, False), "cid long, root long, e long"))
+    # at most SAMPLE members' changes per family
+    common = (sample.groupBy("root", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+              .groupBy("root").agg(F.collect_list("e").alias("e"))
+              .select("root", _packed("e").alias("common")))
+    first = staged(
+        large.join(own, "cid").join(roots, "root").join(common, "root", "left")
+        .select("cid", "root", "shingles", "root_set", "common")
+        .mapInArrow(_changes(sim, True), "cid long, root long, e long"), "changes")
+    shared = first.groupBy("root", "e").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")) \
+        .where("lo < hi").select("root", "e")
+    met = first.join(shared, ["root", "e"], "left_semi").join(large.select("cid", "comp"), "cid")
+    return pairs.union(
+        met.select("root", "e", F.col("cid").alias("u"), F.col("comp").alias("cu"))
+        .join(met.select("root", "e", F.col("cid").alias("v"), F.col("comp").alias("cv")),
+              ["root", "e"]).where("u < v and cu != cv").select("u", "v"))
+
+
+def _packed(longs: str):
+    """An array of longs as little-endian bytes."""
+    def word(x):
+        return F.reverse(F.lpad(F.hex(x), 16, "0"))
+    # hex digits reversed give the bytes reversed with swapped halves: swap them back
+    swap = F.regexp_replace(F.array_join(F.transform(longs, word), ""), "(.)(.)", "$2$1")
+    return F.unhex(swap)
+
+
 def components_of_similar(docs: DataFrame, *, num: int, den: int, shingle: int,
                           id_col: str = "doc_id", text_col: str = "text",
                           bucket_bytes: int = 16 << 20) -> DataFrame:
@@ -406,28 +501,25 @@ def components_of_similar(docs: DataFrame, *, num: int, den: int, shingle: int,
             .join(near.select(F.col("s1").alias("lead"), F.col("cid").alias("lead_cid")), "lead")
             .select("sig", "cid", "lead_cid").distinct(), "members")
         links = _Links(sets, sim)
-        links.test(members.where("cid != lead_cid").groupBy("cid")
-                   .agg(F.min("lead_cid").alias("u")).select("u", F.col("cid").alias("v")))
+        # classes that signatures connect are a family; all are compared with
+        # its root, then with the member closest to the root, which for copies
+        # of one text is that text or a copy with few changes
+        family = components(members.where("cid != lead_cid").select(
+            F.col("lead_cid").alias("u"), F.col("cid").alias("v")))
+        star = family.where("node != comp").select(F.col("comp").alias("u"), F.col("node").alias("v"))
+        links.test(star)
+        far = links.sketched(star).mapInArrow(_apart(sim, False), "u long, v long, apart long")
+        centre = staged(far.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("x"),
+                                             F.count(F.lit(1)).alias("m"))
+                        .where("m > 1").select("u", F.col("x.v").alias("centre")), "centres")
+        links.test(star.join(centre, "u").where("v != centre")
+                   .select(F.col("centre").alias("u"), "v"))
+        links.settle()
         members = staged(distinct_groups(members.select("sig", "cid").distinct()), "groups")
-        # one representative per component of a signature against its least one
-        open_ = staged(links.label(members), "open")
-        if open_.head(1):
-            reps = open_.groupBy("sig", "comp").agg(F.min("cid").alias("cid"))
-            lead = reps.groupBy("sig").agg(F.min(F.struct("comp", "cid")).alias("l"))
-            if links.test(reps.join(lead, "sig").where("comp != l.comp")
-                          .select(F.col("l.cid").alias("u"), F.col("cid").alias("v"))):
-                open_ = staged(links.label(open_.select("sig", "cid")), "open")
+        open_ = staged(links.label(members).select("cid", "comp").distinct(), "open")
         if open_.head(1):
-            # what is left: every member outside a signature's largest component
-            # against the members of other components
-            size = open_.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("m"))
-            main = size.groupBy("sig").agg(F.max(F.struct("m", "comp")).alias("x")).select(
-                "sig", F.col("x.comp").alias("main"))
-            small = open_.join(main, "sig").where("comp != main").select(
-                "sig", F.col("cid").alias("u"), F.col("comp").alias("cu"))
-            links.test(small.join(open_.select("sig", F.col("cid").alias("v"),
-                                               F.col("comp").alias("cv")), "sig")
-                       .where("cu != cv").select("u", "v"))
+            links.test(cross_pairs(open_, family, sets, sim))
+            links.settle()
     if links is None or links.comp is None:
         joined = classes.withColumn("component", F.col("low"))
     else:

@@ -474,3 +474,29 @@ def test_surrogates_stay_distinct(spark):
         for r in out.collect():
             x = want[ips[r["doc_id"]]]
             assert r["text"] == f"at {x} and {x} end"
+
+
+def test_large_families_with_several_components(spark):
+    """Copies of one text with different changes, most of them too different
+    from each other, some linked in small groups."""
+    from riskloom.llm.jaccard import _packed, components_of_similar
+    r = random.Random(11)
+    base = [f"b{r.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for i in range(90):
+        t = list(base)
+        for _ in range(r.choice([2, 6, 7, 8])):
+            t[r.randrange(len(t))] = f"c{r.randrange(10 ** 6)}"
+        rows.append((1000 - i, " ".join(t)))
+        if i % 7 == 0:
+            t[r.randrange(len(t))] = "again"
+            rows.append((2000 - i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for num, den, k in ((9, 10, 3), (4, 5, 5)):
+        got = components_of_similar(df, num=num, den=den, shingle=k)
+        want = brute_components(rows, num, den, k)
+        assert sorted(map(tuple, got.select("id", "n_shingles", "component_id").collect())) == want
+        assert 1 < len({c for _, _, c in want}) < len(rows)
+    x = np.array([1, -2, 2 ** 62, -2 ** 63, 255], dtype=np.int64)
+    got = spark.createDataFrame([(x.tolist(),)], "e array<long>").select(_packed("e")).first()[0]
+    assert bytes(got) == x.tobytes()
