@@ -384,14 +384,15 @@ def distinct_groups(members: DataFrame) -> DataFrame:
 #: families up to that size are compared in full
 SMALL_FAMILY = 8
 #: members of a larger family that tell which changes are common in it
-SAMPLE = 16
+SAMPLE = 128
 
 
 def _changes(sim: Similarity, prefix: bool):
     """Arrow kernel over (cid, root, set, set of the root, common elements):
     the elements in which the set differs from its root's.  With ``prefix``
-    only the first, elements that are not common before common ones, each by
-    hash: as many as linked sets can differ in, and one more."""
+    only the first, as many as linked sets can differ in and one more: what is
+    new against the root, then what is gone from it, each by hash, then the
+    common elements in their given order."""
     def run(batches):
         for batch in batches:
             cid, root, out = [], [], []
@@ -402,7 +403,13 @@ def _changes(sim: Similarity, prefix: bool):
                 if prefix:
                     n = len(x)
                     most = (n + n * sim.den // sim.num) * (sim.den - sim.num) // (sim.den + sim.num)
-                    d = d[np.argsort(np.isin(d, c), kind="stable")][:most + 1]
+                    late = np.isin(d, y, assume_unique=True).astype(np.int64)
+                    if len(c):
+                        by = np.argsort(c)
+                        j = np.minimum(np.searchsorted(c, d, sorter=by), len(c) - 1)
+                        known = c[by[j]] == d
+                        late[known] = 2 + by[j[known]]
+                    d = d[np.argsort(late, kind="stable")][:most + 1]
                 cid.append(np.full(len(d), batch.column(0)[i].as_py()))
                 root.append(np.full(len(d), batch.column(1)[i].as_py()))
                 out.append(d.view(np.int64))
@@ -420,9 +427,10 @@ def cross_pairs(open_: DataFrame, family: DataFrame, sets: DataFrame,
     different components at least one differs from the root in more elements
     than linked sets do; their changes against the root then share an element
     among the first of each (the prefix filter on sets a bounded Hamming
-    distance apart, in any order common to the family).  Changes that a sample
-    of the family shares come last in that order, which leaves each member's
-    own: copies of one text with different changes do not meet."""
+    distance apart, in any order common to the family).  What a member has new
+    comes first in that order and changes that a sample of the family shares
+    last, the most frequent at the end, so copies of one text with different
+    changes do not meet."""
     rows = open_.join(family, F.col("cid") == F.col("node")).select(
         "cid", open_["comp"], family["comp"].alias("root"))
     rows = staged(rows, "family")
@@ -443,8 +451,8 @@ def cross_pairs(open_: DataFrame, family: DataFrame, sets: DataFrame,
               .mapInArrow(_changes(sim, False), "cid long, root long, e long"))
     # at most SAMPLE members' changes per family
     common = (sample.groupBy("root", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-              .groupBy("root").agg(F.collect_list("e").alias("e"))
-              .select("root", _packed("e").alias("common")))
+              .groupBy("root").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("e"))
+              .select("root", _packed(F.transform("e", lambda x: x["e"])).alias("common")))
     first = staged(
         large.join(own, "cid").join(roots, "root").join(common, "root", "left")
         .select("cid", "root", "shingles", "root_set", "common")
@@ -458,7 +466,7 @@ def cross_pairs(open_: DataFrame, family: DataFrame, sets: DataFrame,
               ["root", "e"]).where("u < v and cu != cv").select("u", "v"))
 
 
-def _packed(longs: str):
+def _packed(longs):
     """An array of longs as little-endian bytes."""
     def word(x):
         return F.reverse(F.lpad(F.hex(x), 16, "0"))
