@@ -162,28 +162,30 @@ def signatures(h: np.ndarray, offsets: np.ndarray, sim: Similarity):
 
 # ------------------------------------------------------- candidates, by bucket
 
-_SENT = ("bucket long, sig binary, cls binary, many binary, fsig binary, fcls binary, "
-         "flead binary, key binary, doc binary, n binary, s1 binary, s2 binary")
+_SENT = ("bucket long, sig binary, cls binary, fcls binary, flead binary, "
+         "key binary, doc binary, n binary, s1 binary, s2 binary")
 _COLS = [c.split()[0] for c in _SENT.split(", ")][1:]
 
 
+def _pairs(a: np.ndarray, b: np.ndarray):
+    """The distinct pairs of two columns."""
+    order, first, _ = groups(a, b)
+    return a[order[first]], b[order[first]]
+
+
 def _settle(sig, cls, n_buckets):
-    """A task's signatures: one lead per signature with the flag that others
-    follow it here, and the followers with their lead."""
-    order, first, run = groups(sig, cls)
-    sig, cls = sig[order[first]], cls[order[first]]      # distinct (signature, class)
+    """A task's signatures: one lead per signature, and the distinct (class,
+    lead) pairs of the classes that share one with a lead here."""
+    sig, cls = _pairs(sig, cls)
     new = np.ones(len(sig), dtype=bool)
     new[1:] = sig[1:] != sig[:-1]
     lead = np.flatnonzero(new)
-    size = np.diff(np.append(lead, len(sig)))
-    follow = np.flatnonzero(~new)
     yield packed_rows(sig[lead] % U(n_buckets), {
-        "sig": (sig[lead] // U(n_buckets)).astype(np.uint32), "cls": cls[lead],
-        "many": (size > 1).astype(np.uint8)})
+        "sig": (sig[lead] // U(n_buckets)).astype(np.uint32), "cls": cls[lead]})
+    follow = np.flatnonzero(~new)
     if len(follow):
-        led = lead[np.cumsum(new) - 1][follow]
-        yield packed_rows(cls[follow].view(U) % U(n_buckets), {
-            "fsig": sig[follow], "fcls": cls[follow], "flead": cls[led]})
+        c, l = _pairs(cls[follow], cls[lead[np.cumsum(new) - 1][follow]])
+        yield packed_rows(c.view(U) % U(n_buckets), {"fcls": c, "flead": l})
 
 
 def _complete(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -225,38 +227,25 @@ def _sign(k: int, sim: Similarity, n_buckets: int):
 _FOUND = "kind int, a long, b long, c long, d long, e long"
 
 
-def _meet(n_buckets: int):
-    """Kind 0: (signature, class, lead) of signatures with two classes or
-    more; kind 1: (key, id, n, digest) of the documents, passed on."""
-    def run(key, table):
-        sig, cls = unpacked(table, "sig", np.uint32), unpacked(table, "cls", np.int64)
-        many = unpacked(table, "many", np.uint8)
-        order = np.lexsort((cls, sig))
-        sig, cls, many = sig[order], cls[order], many[order]
-        new = np.ones(len(sig), dtype=bool)
-        new[1:] = sig[1:] != sig[:-1]
-        first = np.flatnonzero(new)
-        run_of = np.cumsum(new) - 1
-        last = np.append(first[1:], len(sig)) - 1
-        multi = cls[first] != cls[last] if len(first) else np.zeros(0, bool)
-        multi[run_of[many == 1]] = True
-        keep = multi[run_of]
-        once = keep.copy()
-        once[1:] &= new[1:] | (cls[1:] != cls[:-1])
-        full = sig[once].astype(U) * U(n_buckets) + U(key[0].as_py())
-        fs = unpacked(table, "fsig", U) // U(n_buckets)
-        f_sig = (fs & U(0xFFFFFFFF)) * U(n_buckets) + unpacked(table, "fsig", U) % U(n_buckets)
-        a = np.concatenate([full, f_sig]).view(np.int64)
-        b = np.concatenate([cls[once], unpacked(table, "fcls", np.int64)])
-        c = np.concatenate([cls[first][run_of[once]] if len(first) else cls[once],
-                            unpacked(table, "flead", np.int64)])
-        docs = [unpacked(table, x, np.int64) for x in ("key", "doc", "n", "s1", "s2")]
-        m, d = len(a), len(docs[0])
-        zero = np.zeros(m, np.int64)
-        cols = [np.concatenate(x) for x in zip((a, b, c, zero, zero), docs)]
-        return pa.table([pa.array(np.repeat(np.array([0, 1], np.int32), [m, d])),
-                         *(pa.array(x) for x in cols)], ["kind", "a", "b", "c", "d", "e"])
-    return run
+def _meet(table: pa.Table) -> pa.Table:
+    """Kind 0: the distinct (class, lead) pairs of classes that share a
+    signature with its lead; kind 1: (key, id, n, digest) of the documents,
+    passed on."""
+    sig, cls = unpacked(table, "sig", np.uint32), unpacked(table, "cls", np.int64)
+    order = np.lexsort((cls, sig))
+    sig, cls = sig[order], cls[order]
+    new = np.ones(len(sig), dtype=bool)
+    new[1:] = sig[1:] != sig[:-1]
+    lead = cls[np.flatnonzero(new)][np.cumsum(new) - 1] if len(sig) else cls
+    other = cls != lead
+    a, b = _pairs(np.concatenate([cls[other], unpacked(table, "fcls", np.int64)]),
+                  np.concatenate([lead[other], unpacked(table, "flead", np.int64)]))
+    docs = [unpacked(table, x, np.int64) for x in ("key", "doc", "n", "s1", "s2")]
+    m, d = len(a), len(docs[0])
+    zero = np.zeros(m, np.int64)
+    cols = [np.concatenate(x) for x in zip((a, b, zero, zero, zero), docs)]
+    return pa.table([pa.array(np.repeat(np.array([0, 1], np.int32), [m, d])),
+                     *(pa.array(x) for x in cols)], ["kind", "a", "b", "c", "d", "e"])
 
 
 def _sets(k: int):
@@ -351,35 +340,25 @@ class _Links:
         if got.head(1):
             self.links = got if self.links is None else self.links.unionByName(got)
 
+    def open_families(self, family: DataFrame) -> DataFrame:
+        """(cid, root, comp, m) of the families that still hold more than one
+        component, m being the family's size."""
+        rows = family.select(F.col("node").alias("cid"), F.col("comp").alias("root"))
+        if self.comp is None:
+            rows = rows.withColumn("comp", F.col("cid"))
+        else:
+            rows = rows.join(self.comp, F.col("cid") == F.col("node"), "left").select(
+                "cid", "root", F.coalesce("comp", "cid").alias("comp"))
+        rows = staged(rows, "family")
+        size = rows.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"),
+                                        F.max("comp").alias("hi")).where("lo < hi")
+        return staged(rows.join(size.select("root", "m"), "root"), "open")
+
     def settle(self) -> None:
         """The components of the links so far."""
         if self.links is not None:
             self.comp = components(self.links)
 
-    def label(self, members: DataFrame) -> DataFrame:
-        """(signature, cid, comp) of the signatures that still hold more than
-        one component."""
-        if self.comp is None:
-            out = members.withColumn("comp", F.col("cid"))
-        else:
-            out = members.join(self.comp, F.col("cid") == F.col("node"), "left").select(
-                "sig", "cid", F.coalesce("comp", "cid").alias("comp"))
-        open_ = out.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-            .where("lo < hi").select("sig")
-        return out.join(open_, "sig", "left_semi")
-
-
-def distinct_groups(members: DataFrame) -> DataFrame:
-    """(sig, cid) without signatures whose members another signature has as
-    well: near copies share many signatures, one of them says it all.  Groups
-    are told apart by size, least, largest and two sums of hashed members."""
-    group = members.groupBy("sig").agg(
-        F.count(F.lit(1)).alias("m"), F.min("cid").alias("lo"), F.max("cid").alias("hi"),
-        F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("h1"),
-        F.sum(F.xxhash64(F.lit(1), F.col("cid")).cast("decimal(38,0)")).alias("h2"))
-    one = group.where("lo < hi").groupBy("m", "lo", "hi", "h1", "h2").agg(F.min("sig").alias("sig"))
-    return members.join(one.select("sig"), "sig", "left_semi")
-
 
 #: families up to that size are compared in full
 SMALL_FAMILY = 8
@@ -419,8 +398,7 @@ def _changes(sim: Similarity, prefix: bool):
     return run
 
 
-def cross_pairs(open_: DataFrame, family: DataFrame, sets: DataFrame,
-                sim: Similarity) -> DataFrame:
+def cross_pairs(rows: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
     """(u, v) that may still be linked: members of one family in different
     components.  Small families pair up in full.  In a larger one all members
     have been compared with the root, so of two that are linked but in
@@ -431,11 +409,6 @@ def cross_pairs(open_: DataFrame, family: DataFrame, sets: DataFrame,
     comes first in that order and changes that a sample of the family shares
     last, the most frequent at the end, so copies of one text with different
     changes do not meet."""
-    rows = open_.join(family, F.col("cid") == F.col("node")).select(
-        "cid", open_["comp"], family["comp"].alias("root"))
-    rows = staged(rows, "family")
-    size = rows.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    rows = rows.join(size, "root")
     small = rows.where(F.col("m") <= SMALL_FAMILY)
     pairs = (small.select("root", F.col("cid").alias("u"), F.col("comp").alias("cu"))
              .join(small.select("root", F.col("cid").alias("v"), F.col("comp").alias("cv")), "root")
@@ -487,9 +460,8 @@ def components_of_similar(docs: DataFrame, *, num: int, den: int, shingle: int,
                        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n_buckets = bucket_count(spark, text_bytes(docs, text_col), bucket_bytes)
     found = staged(rows.mapInArrow(_sign(shingle, sim, n_buckets), _SENT)
-                   .groupBy("bucket").applyInArrow(_meet(n_buckets), _FOUND), "candidates")
-    members = found.where("kind = 0").select(F.col("a").alias("sig"), F.col("b").alias("s1"),
-                                             F.col("c").alias("lead"))
+                   .groupBy("bucket").applyInArrow(_meet, _FOUND), "candidates")
+    met = found.where("kind = 0").select(F.col("a").alias("s1"), F.col("b").alias("lead")).distinct()
     each = found.where("kind = 1").select(
         F.col("a").alias("key"), F.col("b").alias("id"), F.col("c").alias("n_shingles"),
         F.col("d").alias("s1"), F.col("e").alias("s2"))
@@ -498,22 +470,20 @@ def components_of_similar(docs: DataFrame, *, num: int, den: int, shingle: int,
     classes = each.where("n_shingles > 0").groupBy("s1", "s2").agg(
         first["id"].alias("low"), first["key"].alias("cid"))
     links = None
-    if members.head(1):
-        some = members.select("s1").union(members.select(F.col("lead").alias("s1"))).distinct()
+    if met.head(1):
+        met = staged(met, "met")
+        some = met.select("s1").union(met.select(F.col("lead").alias("s1"))).distinct()
         near = staged(classes.join(some, "s1", "left_semi"), "classes")
         text = rows.join(near.select(F.col("cid").alias("key"), "s1", "s2"), "key")
         sets = staged(text.select("key", "s1", "s2", "text").mapInArrow(
             _sets(shingle), "cid long, n long, sketch binary, shingles binary"), "sets")
-        members = staged(
-            members.join(near.select("s1", "cid"), "s1")
-            .join(near.select(F.col("s1").alias("lead"), F.col("cid").alias("lead_cid")), "lead")
-            .select("sig", "cid", "lead_cid").distinct(), "members")
         links = _Links(sets, sim)
         # classes that signatures connect are a family; all are compared with
         # its root, then with the member closest to the root, which for copies
         # of one text is that text or a copy with few changes
-        family = components(members.where("cid != lead_cid").select(
-            F.col("lead_cid").alias("u"), F.col("cid").alias("v")))
+        family = components(
+            met.join(near.select("s1", F.col("cid").alias("v")), "s1")
+            .join(near.select(F.col("s1").alias("lead"), F.col("cid").alias("u")), "lead"))
         star = family.where("node != comp").select(F.col("comp").alias("u"), F.col("node").alias("v"))
         links.test(star)
         far = links.sketched(star).mapInArrow(_apart(sim, False), "u long, v long, apart long")
@@ -523,11 +493,8 @@ def components_of_similar(docs: DataFrame, *, num: int, den: int, shingle: int,
         links.test(star.join(centre, "u").where("v != centre")
                    .select(F.col("centre").alias("u"), "v"))
         links.settle()
-        members = staged(distinct_groups(members.select("sig", "cid").distinct()), "groups")
-        open_ = staged(links.label(members).select("cid", "comp").distinct(), "open")
-        if open_.head(1):
-            links.test(cross_pairs(open_, family, sets, sim))
-            links.settle()
+        links.test(cross_pairs(links.open_families(family), sets, sim))
+        links.settle()
     if links is None or links.comp is None:
         joined = classes.withColumn("component", F.col("low"))
     else:

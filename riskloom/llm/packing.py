@@ -45,6 +45,9 @@ _RUN = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
 _MARKS = ".,!*%$&#"
 #: segments whose ids a Python worker remembers
 _CACHE_MAX = 2_000_000
+#: bytes of text tokenised at a time, and words in one call of the tokenizer
+SLICE = 5 << 20
+CALL = 50_000
 _STATE: dict[str, "_State"] = {}
 
 
@@ -84,7 +87,11 @@ class _State:
         j = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[j] != h) if len(self.keys) else np.arange(len(h))
         if len(new):
-            ids, ends = self._encode_words(segments.take(pa.array(new)).to_pylist())
+            words = segments.take(pa.array(new)).to_pylist()
+            parts = [self._encode_words(words[i:i + CALL]) for i in range(0, len(words), CALL)]
+            ids = np.concatenate([p[0].astype(self.kind) for p in parts])
+            base = np.cumsum([0, *(len(p[0]) for p in parts)])
+            ends = np.concatenate([p[1][:-1] + at for p, at in zip(parts, base)] + [base[-1:]])
             keys = np.concatenate([self.keys, h[new]])
             order = np.argsort(keys, kind="stable")
             self.keys = keys[order]
@@ -164,8 +171,8 @@ def encode_texts(texts: pa.Array, path: str):
     tail_of = np.full(len(seen), -1)
     tail_of[at] = [own[t] for t in tails]
     seg = of[codes]
-    start = np.zeros((len(codes), 2), np.int64)
-    size = np.zeros((len(codes), 2), np.int64)
+    start = np.zeros((len(codes), 2), np.int32)
+    size = np.zeros((len(codes), 2), np.int32)
     if len(seen):
         b = base.indices.to_numpy()[seg]
         start[:, 0], size[:, 0] = b_start[b], b_size[b]
@@ -175,15 +182,17 @@ def encode_texts(texts: pa.Array, path: str):
     size[first, 1] = 0
     start = np.insert(start.reshape(-1), 2 * ends[1:], len(pool) - 1)
     size = np.insert(size.reshape(-1), 2 * ends[1:], 1)
-    to = np.concatenate([[0], np.cumsum(size)])
-    ids = pool[np.repeat(start - to[:-1], size) + np.arange(int(to[-1]))]
+    to = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    at = np.repeat((start - to[:-1]).astype(np.int32), size)
+    at += np.arange(int(to[-1]), dtype=np.int32)
+    ids = pool[at]
     return ids, to[2 * ends + np.arange(n + 1)]
 
 
 def _pieces(path: str, capacity: int, keep_ids: bool):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1, 12 << 20):
+            for part in slices(batch, 1, SLICE):
                 key, rows = column(part, 0), []
                 ids, at = encode_texts(column(part, 1), path)
                 ids = memoryview(ids.astype("<u4").tobytes())
