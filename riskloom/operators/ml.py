@@ -524,8 +524,8 @@ def local_surrogate_batch(model: PipelineModel, df: DataFrame, feature_cols: lis
     """Perturb each row ``n_samples`` times around its value (normal noise
     scaled by the column std), score the perturbations with the ensemble's
     tree arrays, weight by an exponential kernel and fit a weighted linear
-    model.  All of it happens where the row is: nothing is shuffled, and a
-    task holds one row's perturbations at a time.  One row per kept weight
+    model.  All of it happens where the row is: only the rows themselves are
+    dealt out, and a task holds one row's perturbations at a time.  One row per kept weight
     (``top`` by magnitude) with the surrogate's intercept, its prediction at
     the row, the model's probability of either class and the weighted R2; a
     row whose solve fails is kept with its error text."""
@@ -566,8 +566,10 @@ def local_surrogate_batch(model: PipelineModel, df: DataFrame, feature_cols: lis
                                         "prob_negativa": None, "prob_positiva": None,
                                         "r2_local": None, "erro": [str(exc)]})
     ktype = dict(df.dtypes)[key]
+    # a narrow row is a second of work: deal the rows over all shuffle partitions
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(key, F.xxhash64(key).alias("_h"),
-                     *[F.col(c).cast("double").alias(c) for c in cols])
+                     *[F.col(c).cast("double").alias(c) for c in cols]).repartition(parts, key)
     return rows.mapInPandas(run, f"{key} {ktype}, feature string, peso double, intercepto double, "
                                  "predicao_local double, prob_negativa double, "
                                  "prob_positiva double, r2_local double, erro string")
