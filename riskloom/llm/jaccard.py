@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import column, slices, staged
+from .frames import arrow_rows, column, slices, staged
 from .packed import bucket_count, groups, packed_rows, text_bytes, unpacked
 from .tokens import LOWER, mix, split_words, window_hashes, word_hashes
 
@@ -49,6 +49,8 @@ FLUSH = 500_000
 SLICE = 4 << 20
 #: cells of a sketch, as a power of two
 SKETCH_BITS = 12
+#: rows with whole sets that go to Python at a time
+SET_ROWS = 256
 
 
 # ------------------------------------------------------------ sets of shingles
@@ -335,8 +337,10 @@ class _Links:
             _apart(self.sim, True), "u long, v long, apart long"), "near")
         whole = [self.sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"set_{c}"))
                  for c in ("u", "v")]
-        got = staged(near.join(whole[0], "u").join(whole[1], "v").select("u", "v", "set_u", "set_v")
-                     .mapInArrow(_verify(self.sim), "u long, v long"), "linked")
+        with arrow_rows(pairs.sparkSession, SET_ROWS):
+            got = staged(near.join(whole[0], "u").join(whole[1], "v")
+                         .select("u", "v", "set_u", "set_v")
+                         .mapInArrow(_verify(self.sim), "u long, v long"), "linked")
         if got.head(1):
             self.links = got if self.links is None else self.links.unionByName(got)
 
@@ -422,14 +426,16 @@ def cross_pairs(rows: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
     sample = (large.where(drawn).join(own, "cid").join(roots, "root")
               .select("cid", "root", "shingles", "root_set", F.lit(None).cast("binary").alias("c"))
               .mapInArrow(_changes(sim, False), "cid long, root long, e long"))
-    # at most SAMPLE members' changes per family
-    common = (sample.groupBy("root", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-              .groupBy("root").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("e"))
-              .select("root", _packed(F.transform("e", lambda x: x["e"])).alias("common")))
-    first = staged(
-        large.join(own, "cid").join(roots, "root").join(common, "root", "left")
-        .select("cid", "root", "shingles", "root_set", "common")
-        .mapInArrow(_changes(sim, True), "cid long, root long, e long"), "changes")
+    with arrow_rows(rows.sparkSession, SET_ROWS):
+        # at most SAMPLE members' changes per family
+        common = staged(
+            sample.groupBy("root", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            .groupBy("root").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("e"))
+            .select("root", _packed(F.transform("e", lambda x: x["e"])).alias("common")), "common")
+        first = staged(
+            large.join(own, "cid").join(roots, "root").join(common, "root", "left")
+            .select("cid", "root", "shingles", "root_set", "common")
+            .mapInArrow(_changes(sim, True), "cid long, root long, e long"), "changes")
     shared = first.groupBy("root", "e").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")) \
         .where("lo < hi").select("root", "e")
     met = first.join(shared, ["root", "e"], "left_semi").join(large.select("cid", "comp"), "cid")
@@ -450,7 +456,7 @@ def _packed(longs):
 
 def components_of_similar(docs: DataFrame, *, num: int, den: int, shingle: int,
                           id_col: str = "doc_id", text_col: str = "text",
-                          bucket_bytes: int = 16 << 20) -> DataFrame:
+                          bucket_bytes: int = 8 << 20) -> DataFrame:
     """(key, id, n_shingles, component_id) of every row, where ``key`` is
     ``row_key`` of the row and ``component_id`` the smallest id reachable over
     links of similarity num / den or more."""
