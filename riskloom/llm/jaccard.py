@@ -378,11 +378,12 @@ def _changes(sim: Similarity, prefix: bool):
     common elements in their given order."""
     def run(batches):
         for batch in batches:
-            cid, root, out = [], [], []
+            cid, root, out, size, apart = [], [], [], [], []
             for i in range(batch.num_rows):
                 x, y, c = (np.frombuffer(batch.column(j)[i].as_buffer(), dtype=U)
                            if batch.column(j)[i].is_valid else np.zeros(0, U) for j in (2, 3, 4))
                 d = np.setxor1d(x, y, assume_unique=True)
+                far = len(d)
                 if prefix:
                     n = len(x)
                     most = (n + n * sim.den // sim.num) * (sim.den - sim.num) // (sim.den + sim.num)
@@ -396,12 +397,18 @@ def _changes(sim: Similarity, prefix: bool):
                 cid.append(np.full(len(d), batch.column(0)[i].as_py()))
                 root.append(np.full(len(d), batch.column(1)[i].as_py()))
                 out.append(d.view(np.int64))
+                size.append(np.full(len(d), len(x)))
+                apart.append(np.full(len(d), far))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64())
-                 for c in (cid, root, out)], ["cid", "root", "e"])
+                 for c in (cid, root, out, size, apart)], _CHANGE_COLS)
     return run
 
 
+_CHANGE_COLS = ["cid", "root", "e", "n", "far"]
+_CHANGES = ", ".join(f"{c} long" for c in _CHANGE_COLS)
+
+
 def cross_pairs(rows: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
     """(u, v) that may still be linked: members of one family in different
     components.  Small families pair up in full.  In a larger one all members
@@ -425,7 +432,7 @@ def cross_pairs(rows: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
     drawn = (F.xxhash64(F.lit(5), F.col("cid")) / float(1 << 63) + 1) / 2 * F.col("m") < SAMPLE
     sample = (large.where(drawn).join(own, "cid").join(roots, "root")
               .select("cid", "root", "shingles", "root_set", F.lit(None).cast("binary").alias("c"))
-              .mapInArrow(_changes(sim, False), "cid long, root long, e long"))
+              .mapInArrow(_changes(sim, False), _CHANGES))
     with arrow_rows(rows.sparkSession, SET_ROWS):
         # at most SAMPLE members' changes per family
         common = staged(
@@ -435,14 +442,19 @@ def cross_pairs(rows: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
         first = staged(
             large.join(own, "cid").join(roots, "root").join(common, "root", "left")
             .select("cid", "root", "shingles", "root_set", "common")
-            .mapInArrow(_changes(sim, True), "cid long, root long, e long"), "changes")
+            .mapInArrow(_changes(sim, True), _CHANGES), "changes")
     shared = first.groupBy("root", "e").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")) \
         .where("lo < hi").select("root", "e")
     met = first.join(shared, ["root", "e"], "left_semi").join(large.select("cid", "comp"), "cid")
-    return pairs.union(
-        met.select("root", "e", F.col("cid").alias("u"), F.col("comp").alias("cu"))
-        .join(met.select("root", "e", F.col("cid").alias("v"), F.col("comp").alias("cv")),
-              ["root", "e"]).where("u < v and cu != cv").select("u", "v"))
+    side = [met.select("root", "e", F.col("cid").alias(c), F.col("comp").alias(f"c{c}"),
+                       F.col("n").alias(f"n{c}"), F.col("far").alias(f"far{c}"))
+            for c in ("u", "v")]
+    # length bounds: of the sets, and of their distances to the root
+    most = F.floor((F.col("nu") + F.col("nv")) * (sim.den - sim.num) / (sim.den + sim.num))
+    near = ((F.least("nu", "nv") * sim.den >= F.greatest("nu", "nv") * sim.num)
+            & (F.abs(F.col("faru") - F.col("farv")) <= most))
+    return pairs.union(side[0].join(side[1], ["root", "e"])
+                       .where(F.expr("u < v and cu != cv") & near).select("u", "v"))
 
 
 def _packed(longs):
