@@ -12,7 +12,10 @@ that "Anna Schmidt" and "Frau Schmidt" keep the same surname.
 Distinctness is checked over the whole corpus: all distinct entities propose a
 surrogate, and a proposal is accepted if no other entity of its type has it
 and it is itself no entity of the corpus; the others propose again with the
-next attempt number.  Only entities with an attempt above 0 have to be known
+next attempt number.  What may be proposed widens with the attempt for every type
+(more letters or digits, letters for a secret's symbols, in the end an IPv6
+address for an IP address), so the rounds end whatever the entities are.  Only
+entities with an attempt above 0 have to be known
 when texts are rewritten: up to ``broadcast_rows`` of them are broadcast, more
 are joined.
 
@@ -151,6 +154,14 @@ def _letter(c: str, r: _Stream) -> str:
     return r.pick(_ALPHABETS[_script(c) + c.isupper()])
 
 
+#: every so many attempts a value gets one more character
+LONGER = 8
+#: from this attempt on the symbols of a secret turn into letters
+SYMBOLS = 4
+#: from this attempt on an IP address becomes one of the IPv6 examples' range
+IPV6 = 32
+
+
 def _shaped(value: str, r: _Stream) -> str:
     """Digits for digits, letters for letters of one script and case; a value
     of hexadecimal digits stays one."""
@@ -164,9 +175,9 @@ def _luhn(digits: list[int]) -> int:
                for i, d in enumerate(reversed(digits))) % 10
 
 
-def _number(value: str, r: _Stream) -> str:
+def _number(value: str, r: _Stream, attempt: int) -> str:
     out, kept = [], False
-    for c in value:
+    for c in value + "0" * (attempt // LONGER):
         if c.isdigit() and not kept:  # the issuer's digit stays
             out.append(c)
             kept = True
@@ -181,24 +192,36 @@ def _number(value: str, r: _Stream) -> str:
 
 
 def _ip(value: str, r: _Stream, attempt: int) -> str:
+    if attempt >= IPV6:
+        return "2001:db8:" + ":".join(f"{r.below(1 << 16):x}" for _ in range(6))
     low_high = {1: (1, 9), 2: (10, 99), 3: (100, 254)}
     out = []
     for part in value.split("."):
-        lo, hi = low_high[len(part)] if attempt < 8 else (1, 254)
+        lo, hi = low_high[len(part)] if attempt < LONGER else (1, 254)
         out.append(str(lo + r.below(hi - lo + 1)))
     return ".".join(out)
 
 
-def _phone(value: str, r: _Stream) -> str:
+def _phone(value: str, r: _Stream, attempt: int) -> str:
     country = re.match(r"\+\d{1,3}(?=[ .(-])", value)
     head = country[0] if country else "+" if value[0] == "+" else ""
-    return head + _shaped(value[len(head):], r)
+    return head + _shaped(value[len(head):] + "0" * (attempt // LONGER), r)
+
+
+def _secret(value: str, r: _Stream, attempt: int) -> str:
+    known = re.match(r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-", value)
+    head = known[0] if known else ""
+    body = value[len(head):]
+    kept = [c.isdigit() or c.isalpha() for c in body]
+    if attempt >= (SYMBOLS if any(kept) else 1):
+        body = "".join(c if k else "x" for c, k in zip(body, kept))
+    return head + _shaped(body + "a" * (attempt // LONGER), r)
 
 
 def _email(value: str, r: _Stream, attempt: int) -> str:
     local, domain = value.rsplit("@", 1)
     host, _, top = domain.rpartition(".")
-    extra = "".join(r.pick(_ALPHABETS[0]) for _ in range(attempt // 8))
+    extra = "".join(r.pick(_ALPHABETS[0]) for _ in range(attempt // LONGER))
     reserved = re.fullmatch(r"(?i)(.*?\.)?example\.(com|org|net)", domain)
     new = _shaped(reserved[1] or "", r) + domain[len(reserved[1] or ""):] if reserved \
         else _shaped(host, r) + "." + top
@@ -237,20 +260,18 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "ip":
         return _ip(value, r, attempt)
     if kind == "phone":
-        return _phone(value, r)
+        return _phone(value, r, attempt)
     if kind == "number":
-        return _number(value, r)
+        return _number(value, r, attempt)
     if kind == "iban":
-        return value[:2] + _shaped(value[2:], r)
+        return value[:2] + _shaped(value[2:] + "0" * (attempt // LONGER), r)
     if kind == "surname":
         return _built(value, r, attempt)
     if kind.startswith("given_"):
         return _given(value, kind[-1], r, attempt)
     if kind == "secret":
-        known = re.match(r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-", value)
-        head = known[0] if known else ""
-        return head + _shaped(value[len(head):], r)
-    return _shaped(value, r)
+        return _secret(value, r, attempt)
+    return _shaped(value + "0" * (attempt // LONGER), r)
 
 
 # ------------------------------------------------------------------ Spark side
