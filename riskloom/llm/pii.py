@@ -7,7 +7,8 @@ their script and case, an IP address stays one, a number that passes the Luhn
 check still does, a given name keeps gender and script.  A surrogate is a
 function of a secret key, the type and the entity (HMAC-SHA-256), so an entity
 has the same surrogate wherever it occurs; names are replaced part by part, so
-that "Anna Schmidt" and "Frau Schmidt" keep the same surname.
+that "Anna Schmidt" and "Frau Schmidt" keep the same surname; a surname found
+once in a text is replaced wherever that text has it, also alone.
 
 Distinctness is checked over the whole corpus: all distinct entities propose a
 surrogate, and a proposal is accepted if no other entity of its type has it
@@ -29,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -58,7 +60,21 @@ TITLES = {"f": "Mrs Ms Miss Frau Mme Mlle Madame Señora Sra Госпожа Κυ
 
 _GENDER_OF = {n: g for (_, g), names in GIVEN.items() for n in names}
 _TITLE_OF = {t: g for g, ts in TITLES.items() for t in ts}
-_CAP = r"[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ][a-zß-öø-ÿά-ώа-яё]+"
+
+
+def _chars(*categories: str, end: int = 0x10000) -> str:
+    """The characters of some Unicode categories, as the inside of a class."""
+    codes = [c for c in range(end) if unicodedata.category(chr(c)) in categories]
+    starts = [c for c, before in zip(codes, [-2, *codes]) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -2]) if c + 1 != after]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
+_UPPER, _LOWER = _chars("Lu", "Lt"), _chars("Ll") + "\u0300-\u036f"
+#: one word of a name: McDonald, O'Neil, Wałęsa; names may be joined by hyphens
+_HUMPS = rf"[{_UPPER}](?:['’][{_UPPER}])?[{_LOWER}]+(?:[{_UPPER}][{_LOWER}]+)*"
+_HYPHENS = "-‐‑"
+_CAP = rf"{_HUMPS}(?:[{_HYPHENS}]{_HUMPS})*"
 _NAMES = "|".join(sorted(_GENDER_OF, key=len, reverse=True))
 _TITLE = "|".join(sorted(_TITLE_OF, key=len, reverse=True))
 
@@ -82,14 +98,20 @@ PATTERNS = (
 )
 _PERSON = re.compile(rf"\b(?:(?P<t>{_TITLE})\.?\s+(?P<a>{_CAP})(?:[  ](?P<b>{_CAP}))?"
                      rf"|(?P<g>{_NAMES})[  ](?P<s>{_CAP}))\b")
-#: any text with an entity matches this (a cheap test over whole batches)
-_MAYBE = (r"@|[0-9][0-9 .()-]{5,}[0-9]|[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|"
-          r"[Pp][Aa][Ss][Ss][Ww]|[Pp][Ww][Dd]|[Kk][Ee][Yy]|A[KS]IA|gh[pousr]_|xox|sk-|"
-          r"[0-9a-f]{32}|[A-Z]{2}[0-9]{2}|" + _TITLE + "|" + _NAMES)
+_WORD, _PART = re.compile(rf"\b{_CAP}\b"), re.compile(rf"\b{_HUMPS}\b")
+#: the digits of the patterns: \d is any script's
+_DIGIT = _chars("Nd", end=0x110000)
+#: any text with an entity matches this (a cheap test over whole batches): the
+#: shortest of the numbers, a phone number like +123456, has six digits, and
+#: (?i) folds the letters that it folds in the patterns
+_MAYBE = (rf"@|[{_DIGIT}][{_DIGIT} .()-]{{4,}}[{_DIGIT}]|(?i:token|secret|passw|pwd|key)|"
+          r"A[KS]IA|gh[pousr]_|xox|sk-|"
+          rf"[0-9a-f]{{32}}|[A-Z]{{2}}[{_DIGIT}]{{2}}|" + _TITLE + "|" + _NAMES)
 
 
 def detect(text: str) -> list[tuple[int, int, str]]:
-    """Disjoint (start, end, type) of the entities, in order."""
+    """Disjoint (start, end, type) of the entities, in order.  A surname that
+    a title or a given name announces is one wherever the text has it."""
     taken: list[tuple[int, int, str]] = []
     for kind, pattern in PATTERNS:
         for m in pattern.finditer(text):
@@ -107,6 +129,12 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         else:
             taken.append((*m.span("g"), "given_" + _GENDER_OF[m["g"]]))
             taken.append((*m.span("s"), "surname"))
+    surnames = {text[a:b] for a, b, kind in taken if kind == "surname"}
+    if surnames:
+        for m in _WORD.finditer(text):
+            whole = m[0] in surnames
+            taken += [(*p.span(), "surname") for p in ([m] if whole else _PART.finditer(
+                text, *m.span())) if p[0] in surnames]
     out: list[tuple[int, int, str]] = []
     for order, span in sorted(enumerate(taken), key=lambda x: (x[1][0], x[0])):
         if out and span[0] < out[-1][1]:  # spans overlap: the earlier pattern's stays
@@ -166,10 +194,15 @@ def _shaped(value: str, r: _Stream) -> str:
     """Digits for digits, letters for letters of one script and case; a value
     of hexadecimal digits stays one."""
     hexa = re.fullmatch(r"[0-9a-f]{8,}", value) and not value.isdigit()
-    return "".join(r.pick("0123456789abcdef") if hexa else str(r.below(10)) if c.isdigit()
+    return "".join(r.pick("0123456789abcdef") if hexa else _digit(c, r.below(10)) if c.isdigit()
                    else _letter(c, r) if c.isalpha() else c for c in value)
 
 
+def _digit(c: str, n: int) -> str:
+    """The digit ``n`` in the script of the digit ``c``."""
+    return chr(ord(c) - int(c) + n) if c.isdecimal() else str(n)
+
+
 def _luhn(digits: list[int]) -> int:
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4)
                for i, d in enumerate(reversed(digits))) % 10
@@ -182,12 +215,12 @@ def _number(value: str, r: _Stream, attempt: int) -> str:
             out.append(c)
             kept = True
         else:
-            out.append(str(r.below(10)) if c.isdigit() else c)
+            out.append(_digit(c, r.below(10)) if c.isdigit() else c)
     old = [int(c) for c in value if c.isdigit()]
     if _luhn(old) == 0:
         new = [int(c) for c in out if c.isdigit()]
         last = max(i for i, c in enumerate(out) if c.isdigit())
-        out[last] = str((new[-1] - _luhn(new)) % 10)
+        out[last] = _digit(out[last], (new[-1] - _luhn(new)) % 10)
     return "".join(out)
 
 
@@ -266,7 +299,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "iban":
         return value[:2] + _shaped(value[2:] + "0" * (attempt // LONGER), r)
     if kind == "surname":
-        return _built(value, r, attempt)
+        return "".join(p if p in _HYPHENS else _built(p, r, attempt)
+                       for p in re.split(f"([{_HYPHENS}])", value))
     if kind.startswith("given_"):
         return _given(value, kind[-1], r, attempt)
     if kind == "secret":

@@ -30,3 +30,46 @@ def test_a_starred_password_ends(spark):
     got = dict(private_documents(df, b"k").collect())
     assert got[2] == "none" and got[1].startswith("Password: ")
     assert "********" not in got[1] and "______" not in got[1]
+
+
+def test_names_and_digits_of_all_scripts(spark):
+    from riskloom.llm.pii import _candidates, detect, private_documents
+    import pyarrow as pa
+
+    def found(text):
+        return [(text[a:b], k) for a, b, k in detect(text)]
+    assert found("Mr McDonald left") == [("McDonald", "surname")]
+    assert found("Mr O'Neil's and Mr D’Angelo") == [("O'Neil", "surname"), ("D’Angelo", "surname")]
+    assert found("Anna Wałęsa") == [("Anna", "given_f"), ("Wałęsa", "surname")]
+    assert found("Frau Müller-Lüdenscheidt.") == [("Müller-Lüdenscheidt", "surname")]
+    # bare mentions, before and after, alone and as a part
+    assert found("Schmidt and Frau Schmidt; Schmidt-Bau, Schmidts, PeterSchmidt") == \
+        [("Schmidt", "surname")] * 3
+    assert found("Schmidt and Bau") == []
+    texts = ["+٩٧١ ٥٠ ١٢٣ ٤٥٦٧", "+123456", "１２３４５６７８９", "GB८२ WEST 1234 5698 7654", "१.१.१.१",
+             "paſſword: abcdefg", "toKen=abcdefg", "Mr Łoś", "x@y.zz", "123-45-6789"]
+    assert all(detect(t) for t in texts)
+    assert _candidates(pa.array(texts)) == list(range(len(texts)))
+    df = spark.createDataFrame([(0, texts[0]), (1, f"x@y.zz {texts[0]}"),
+                                (2, "Frau Müller-Lüdenscheidt, Müller-Lüdenscheidt")],
+                               "doc_id long, text string")
+    got = dict(private_documents(df, b"k").collect())
+    assert got[0] != texts[0] and got[1].endswith(" " + got[0])
+    assert all(c.isdecimal() == d.isdecimal() and c.isascii() == d.isascii()
+               for c, d in zip(got[0], texts[0]))
+    a, b = got[2].removeprefix("Frau ").split(", ")
+    assert a == b and a.count("-") == 1 and "Müller" not in a
+
+
+def test_prefilter_rejects_no_entity():
+    """Texts drawn from the patterns' alphabets: no hit is rejected."""
+    import random
+    from riskloom.llm.pii import _candidates, detect
+    import pyarrow as pa
+    r = random.Random(1)
+    bits = ["+", "1", "23", "4567", " ", ".", "-", "(", ")", "٣", "٤٥", "७८", "@", "a.b", "x.de",
+            "token", "PASSWD", "Api-Key", "=", ": ", "Mr", "Anna", "Łoś", "O'Neil", "DE", "AB12"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(2, 14))) for _ in range(60_000)]
+    kept = set(_candidates(pa.array(texts)))
+    hits = [i for i, t in enumerate(texts) if detect(t)]
+    assert len(hits) > 3000 and kept.issuperset(hits)
