@@ -20,6 +20,9 @@ at the same distance from their starts.
 4. Covered words are removed from the text.
 
 The texts are shuffled once, by row key; steps 2 to 4 read the same exchange.
+Between the steps a row goes by its number within its bucket, which rows share
+only if key, order and text are equal, so no two documents are mistaken for
+each other, however many there are.
 
 Defined cases: a null or empty text has no words; documents shorter than the
 window keep all; rows that repeat an id and text are both kept (neither is
@@ -33,6 +36,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +46,8 @@ from .tokens import row_of, split_words, window_hashes, word_hashes
 
 #: perfect difference sets: every residue is a difference of two members
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18)}
-#: row keys are that many bits of a hash of id and text
-KEY_BITS = 48
+#: row keys are a 63-bit hash of id and text; row numbers have to fit into 48 bits
+KEY_BITS, NUMBER_BITS = 63, 48
 #: documents without an id are ordered behind this
 NO_ID = 1 << 62
 
@@ -89,21 +93,55 @@ def _rows(schema: str, batches) -> pa.Table:
 
 # --------------------------------------------------------------- documents
 
-def _by_key(table: pa.Table):
-    """{row key: places} of a document bucket; whole documents have -1."""
-    key, pos = _wide_key(table), unpacked(table, "pos", np.int32)
-    order, first, _ = groups(key)
+def _numbers(docs: pa.Table, n_docs: int) -> np.ndarray:
+    """The number of every row of a document bucket, the same in every step:
+    the place of its (key, order, text) among the bucket's, times ``n_docs``,
+    plus the bucket."""
+    key, doc = (docs[c].to_numpy() for c in ("key", "ord"))
+    order, first, run_of = groups(key, doc)
+    new = np.zeros(len(order), dtype=bool)
+    new[first] = True
+    if len(first) < len(order):
+        text = docs["text"].combine_chunks()
+        kind = pc.dictionary_encode(text, null_encoding="encode").indices.to_numpy()[order]
+        apart = np.flatnonzero(~new[1:] & (kind[1:] != kind[:-1])) + 1
+        for run in np.unique(run_of[apart]):  # one key and order, different texts
+            at = np.flatnonzero(run_of == run)
+            texts = [text[i].as_py() for i in order[at].tolist()]
+            by = sorted(range(len(at)), key=lambda i: (texts[i] is not None, texts[i] or ""))
+            order[at] = order[at][by]
+            new[at[1:]] = [texts[a] != texts[b] for a, b in zip(by[:-1], by[1:])]
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = (np.cumsum(new) - 1) * n_docs + key[order] % n_docs
+    if len(out) and out.max() >> NUMBER_BITS:
+        raise OverflowError(f"row numbers over {NUMBER_BITS} bits: more, smaller buckets are needed")
+    return out
+
+
+def _found(docs: pa.Table, numbers: np.ndarray, table: pa.Table):
+    """{row number: places} of a document bucket; whole documents have -1."""
+    number, pos = _wide_key(table), unpacked(table, "pos", np.int32)
+    order, first, _ = groups(number)
     ends = np.append(first, len(order))
-    return {int(key[order[a]]): pos[order[a:b]] for a, b in zip(ends[:-1], ends[1:])}
-
-
-def _doc_parts(docs: pa.Table):
-    """Slices of a document bucket: (id, order, key, words, offsets)."""
+    out = {int(number[order[a]]): pos[order[a:b]] for a, b in zip(ends[:-1], ends[1:])}
+    whole = set(zip(unpacked(table, "wkey", np.int64).tolist(),
+                    unpacked(table, "word", np.int64).tolist()))
+    if whole:
+        rows = zip(docs["key"].to_numpy().tolist(), docs["ord"].to_numpy().tolist())
+        out.update((n, np.array([-1], dtype=np.int32)) for n, row in zip(numbers.tolist(), rows)
+                   if row in whole)
+    return out
+
+
+def _doc_parts(docs: pa.Table, numbers: np.ndarray):
+    """Slices of a document bucket: (id, order, number, words, offsets)."""
+    at = 0
     for batch in docs.combine_chunks().to_batches():
         for part in slices(batch, 4):
             words, offsets = split_words(part.column(4))
             yield (part.column(1), part.column(2).to_numpy(zero_copy_only=False),
-                   part.column(3).to_numpy(zero_copy_only=False), words, offsets)
+                   numbers[at:at + part.num_rows], words, offsets)
+            at += part.num_rows
 
 
 def _marks(found: dict, key, offsets, n: int):
@@ -117,19 +155,23 @@ def _marks(found: dict, key, offsets, n: int):
     return out, whole
 
 
-_PLACE_ROW = "bucket long, klo binary, khi binary, pos binary"
+_PLACE_ROW = "bucket long, klo binary, khi binary, pos binary, wkey binary, word binary"
 
 
-def _places(key, pos, n_docs: int):
-    return packed_rows(key % n_docs, {**_narrow_key(key), "pos": pos.astype(np.int32)})
+def _places(number, pos, n_docs: int) -> pa.Table:
+    return _rows(_PLACE_ROW, [packed_rows(number % n_docs, {
+        **_narrow_key(number), "pos": pos.astype(np.int32)})])
 
 
 def _whole(n_docs: int):
-    """Arrow kernel: the keys of documents covered whole, dealt by document."""
+    """Arrow kernel: (key, order) of documents covered whole, dealt by
+    document; their numbers are only known there."""
     def run(batches):
         for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield _places(key, np.full(len(key), -1), n_docs)
+            key, doc = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)
+                        for i in (0, 1))
+            yield from _rows(_PLACE_ROW, [packed_rows(
+                key % n_docs, {"wkey": key, "word": doc})]).to_batches()
     return run
 
 
@@ -139,13 +181,14 @@ _ANCHOR_ROW = ("bucket long, h binary, klo binary, khi binary, pos binary, rep b
                "kklo binary, kkhi binary, kpos binary")
 
 
-def _emit_anchors(window: int, n_buckets: int):
+def _emit_anchors(window: int, n_buckets: int, n_docs: int):
     """Anchors of a document bucket, settled within it: single anchors, one
     representative of each repeated one, and (dealt by document) the places
     already known to repeat."""
     def run(docs: pa.Table, covered: pa.Table) -> pa.Table:
-        found, held = _by_key(covered), []
-        for _, _, key, words, offsets in _doc_parts(docs):
+        numbers, held = _numbers(docs, n_docs), []
+        found = _found(docs, numbers, covered)
+        for _, _, key, words, offsets in _doc_parts(docs, numbers):
             h, rows, pos = _anchors(word_hashes(words), offsets, window)
             live = ~_marks(found, key, offsets, len(words))[1][rows]
             held.append((h[live], key[rows[live]], pos[live]))
@@ -181,7 +224,7 @@ def _repeated_anchors(n_docs: int):
         hit &= rep == 0
         key = np.concatenate([key[hit], _wide_key(table, "k")])
         pos = np.concatenate([pos[hit], unpacked(table, "kpos", np.int32)])
-        return pa.Table.from_batches([_places(key, pos, n_docs)])
+        return _places(key, pos, n_docs)
     return run
 
 
@@ -191,14 +234,15 @@ _WINDOW_ROW = ("bucket long, h1 binary, h2 binary, doc binary, klo binary, khi b
                "pos binary, kklo binary, kkhi binary, kpos binary")
 
 
-def _windows(window: int, n_windows: int):
+def _windows(window: int, n_windows: int, n_docs: int):
     """Windows around repeated anchors, one representative of each, and the
     starts this bucket already knows to be covered."""
     period, _, _ = cover_for(window)
 
     def run(docs: pa.Table, places: pa.Table) -> pa.Table:
-        found, held = _by_key(places), []
-        for _, doc, key, words, offsets in _doc_parts(docs):
+        numbers, held = _numbers(docs, n_docs), []
+        found = _found(docs, numbers, places)
+        for _, doc, key, words, offsets in _doc_parts(docs, numbers):
             n, rows = len(words), row_of(offsets)
             mark, whole = _marks(found, key, offsets, n)
             if n < window or not mark.any():
@@ -245,16 +289,16 @@ def _covered(n_docs: int):
         pos = unpacked(table, "pos", np.int32)
         order = np.lexsort((pos, doc, h2, h1))
         hit = order[_lead(h1, h2, doc, pos, order)[1]]
-        return pa.Table.from_batches([_places(
-            np.concatenate([key[hit], _wide_key(table, "k")]),
-            np.concatenate([pos[hit], unpacked(table, "kpos", np.int32)]), n_docs)])
+        return _places(np.concatenate([key[hit], _wide_key(table, "k")]),
+                       np.concatenate([pos[hit], unpacked(table, "kpos", np.int32)]), n_docs)
     return run
 
 
-def _strip(window: int, id_col: str, with_text: bool):
+def _strip(window: int, id_col: str, with_text: bool, n_docs: int):
     def run(docs: pa.Table, places: pa.Table) -> pa.Table:
-        found, out = _by_key(places), []
-        for ids, _, key, words, offsets in _doc_parts(docs):
+        numbers, out = _numbers(docs, n_docs), []
+        found = _found(docs, numbers, places)
+        for ids, _, key, words, offsets in _doc_parts(docs, numbers):
             n, rows = len(words), row_of(offsets)
             start, whole = _marks(found, key, offsets, n)
             ends = np.concatenate([[0], np.cumsum(start)])
@@ -276,14 +320,14 @@ def _strip(window: int, id_col: str, with_text: bool):
 
 
 def later_copies(docs: DataFrame) -> DataFrame:
-    """(key) of the rows whose text an earlier document has: only digests are
+    """(key, ord) of the rows whose text an earlier document has: only digests are
     grouped and joined."""
     narrow = docs.select("ord", "key", F.xxhash64("text").alias("t1"),
                          F.xxhash64(F.lit(1), F.col("text")).alias("t2"))
     first = (narrow.groupBy("t1", "t2").agg(F.min("ord").alias("first"),
                                             F.count(F.lit(1)).alias("n"))
              .where("n > 1").select("t1", "t2", "first"))
-    return narrow.join(first, ["t1", "t2"]).where("ord > first").select("key")
+    return narrow.join(first, ["t1", "t2"]).where("ord > first").select("key", "ord")
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -307,12 +351,12 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     dealt = base.select((F.col("key") % F.lit(n_docs)).alias("bucket"), "id", "ord", "key",
                         "text").groupBy("bucket")
     anchors = dealt.cogroup(whole.groupBy("bucket")).applyInArrow(
-        _emit_anchors(window, n_hash), _ANCHOR_ROW)
+        _emit_anchors(window, n_hash, n_docs), _ANCHOR_ROW)
     places = anchors.groupBy("bucket").applyInArrow(_repeated_anchors(n_docs), _PLACE_ROW)
     windows = dealt.cogroup(places.unionByName(whole).groupBy("bucket")).applyInArrow(
-        _windows(window, n_hash), _WINDOW_ROW)
+        _windows(window, n_hash, n_docs), _WINDOW_ROW)
     covered = windows.groupBy("bucket").applyInArrow(_covered(n_docs), _PLACE_ROW)
     schema = (f"`{id_col}` {field.dataType.simpleString()}, n_words long, n_removed long, "
               "kept_sha256 string" + (", kept_text string" if with_text else ""))
     return dealt.cogroup(covered.unionByName(whole).groupBy("bucket")).applyInArrow(
-        _strip(window, id_col, with_text), schema)
+        _strip(window, id_col, with_text, n_docs), schema)

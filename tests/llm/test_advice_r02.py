@@ -73,3 +73,32 @@ def test_prefilter_rejects_no_entity():
     kept = set(_candidates(pa.array(texts)))
     hits = [i for i, t in enumerate(texts) if detect(t)]
     assert len(hits) > 3000 and kept.issuperset(hits)
+
+
+def test_rows_with_one_narrow_key_stay_apart(spark):
+    """Two ids whose 48-bit hashes with this text are equal: the second is a
+    copy of the first, which keeps its words."""
+    from riskloom.llm.substring import without_repeats
+    text = " ".join(f"w{i}" for i in range(25))
+    df = spark.createDataFrame([(1730911, text), (38680842, text)], "doc_id long, text string")
+    low = df.select(F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 48) - 1)).alias("k"))
+    assert low.distinct().count() == 1
+    got = {r["doc_id"]: r["n_removed"] for r in without_repeats(df).collect()}
+    assert got == {1730911: 0, 38680842: 25}
+
+
+def test_row_numbers():
+    """One number for equal rows, another for all others, in any order."""
+    import pyarrow as pa
+    from riskloom.llm.substring import _numbers
+    rows = [(7, 1, "a"), (7, 1, "a"), (7, 1, "b"), (7, 1, None), (7, 2, "a"), (17, 1, "a"), (7, 1, "")]
+    want = None
+    for turn in range(len(rows)):
+        mine = rows[turn:] + rows[:turn]
+        key, doc, text = zip(*mine)
+        got = _numbers(pa.table({"key": pa.array(key, pa.int64()), "ord": pa.array(doc, pa.int64()),
+                                 "text": pa.array(text, pa.string())}), 10)
+        assert (got % 10 == 7).all()
+        pairs = dict(zip(mine, got.tolist()))
+        assert len(set(pairs.values())) == len(set(rows)) and want in (None, pairs)
+        want = pairs
