@@ -472,6 +472,14 @@ def components_of_similar(docs: DataFrame, *, num: int, den: int, shingle: int,
     """(key, id, n_shingles, component_id) of every row, where ``key`` is
     ``row_key`` of the row and ``component_id`` the smallest id reachable over
     links of similarity num / den or more."""
+    return _components_and_first(docs, num=num, den=den, shingle=shingle, id_col=id_col,
+                                 text_col=text_col, bucket_bytes=bucket_bytes).drop("first")
+
+
+def _components_and_first(docs: DataFrame, *, num: int, den: int, shingle: int, id_col: str,
+                          text_col: str, bucket_bytes: int = 8 << 20) -> DataFrame:
+    """``components_of_similar`` and ``first``, the key of the component's
+    first row by (id, nulls last, key); a row without words is its own."""
     sim = Similarity(num, den)
     spark = docs.sparkSession
     rows = docs.select(row_key(id_col, text_col).alias("key"),
@@ -514,17 +522,20 @@ def components_of_similar(docs: DataFrame, *, num: int, den: int, shingle: int,
         links.test(cross_pairs(links.open_families(family), sets, sim))
         links.settle()
     if links is None or links.comp is None:
-        joined = classes.withColumn("component", F.col("low"))
+        joined = classes.select("s1", "s2", F.col("low").alias("component"),
+                                F.col("cid").alias("first"))
     else:
         comp = classes.join(links.comp, F.col("cid") == F.col("node"))
-        least = comp.groupBy("comp").agg(F.min("low").alias("least"))
+        least = comp.groupBy("comp").agg(F.min(F.struct("low", "cid")).alias("least"))
         own = comp.join(least, "comp").select("s1", "s2", "least")
-        joined = classes.join(own, ["s1", "s2"], "left").withColumn(
-            "component", F.coalesce("least", "low"))
-    out = each.join(joined.select("s1", "s2", "component"), ["s1", "s2"], "left")
+        joined = classes.join(own, ["s1", "s2"], "left").select(
+            "s1", "s2", F.coalesce("least.low", "low").alias("component"),
+            F.coalesce("least.cid", "cid").alias("first"))
+    out = each.join(joined, ["s1", "s2"], "left")
     known = lambda c: F.when(F.col(c) != LAST, F.col(c))
     return out.select("key", known("id").alias("id"), "n_shingles", F.when(
-        F.col("n_shingles") > 0, known("component")).otherwise(known("id")).alias("component_id"))
+        F.col("n_shingles") > 0, known("component")).otherwise(known("id")).alias("component_id"),
+        F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("key")).alias("first"))
 
 
 def row_key(id_col: str, text_col: str):
@@ -534,12 +545,21 @@ def row_key(id_col: str, text_col: str):
 
 def one_of_each(docs: DataFrame, *, num: int = 4, den: int = 5, shingle: int = 5,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those whose component has a smaller id, columns
-    as they were.  Rows that repeat an id and text stay or go together."""
-    got = components_of_similar(docs, num=num, den=den, shingle=shingle, id_col=id_col,
+    """One document of every component, columns as they were: the first by
+    (id, nulls last, row key).  Of rows that repeat its id and text one stays,
+    the first by a hash of all columns; so it is for rows without words, which
+    are linked to nothing else."""
+    got = _components_and_first(docs, num=num, den=den, shingle=shingle, id_col=id_col,
                                 text_col=text_col)
-    gone = staged(got.where("component_id < id or (id is null and component_id is not null)")
-                  .select("key").distinct(), "gone")
+    # rows that go, and the rows to choose from where a first row is repeated
+    rest = staged(got.groupBy("key").agg(F.max(F.col("key") != F.col("first")).alias("gone"),
+                                         F.count(F.lit(1)).alias("n"))
+                  .where("gone or n > 1").select(F.col("key").alias("__key"), "gone"), "rest")
     key = row_key(id_col, text_col)
-    return docs.join(gone.withColumnRenamed("key", "__gone"),
-                     key == F.col("__gone"), "left_anti")
+    single = docs.join(rest.select("__key"), key == F.col("__key"), "left_anti")
+    if not rest.where("not gone").head(1):
+        return single
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    again = (docs.join(rest.where("not gone"), key == F.col("__key"))
+             .groupBy("__key").agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("__row")))
+    return single.unionByName(again.select("__row.*"))

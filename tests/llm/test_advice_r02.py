@@ -102,3 +102,24 @@ def test_row_numbers():
         pairs = dict(zip(mine, got.tolist()))
         assert len(set(pairs.values())) == len(set(rows)) and want in (None, pairs)
         want = pairs
+
+
+def test_one_row_of_each_component(spark):
+    """Repeated rows, one id with linked or unlinked texts, null ids."""
+    from riskloom.llm.jaccard import one_of_each
+
+    def text(c, n=40):
+        return " ".join(f"{c}{i}" for i in range(n))
+    rows = ([(1, text("a"))] * 5 + [(2, text("a"))] * 3 + [(None, text("a"))]  # one component
+            + [(3, text("b")), (3, text("b") + " x"), (3, text("c"))]  # two of one id
+            + [(None, text("d"))] * 4 + [(None, text("d") + " x")]  # no id at all
+            + [(4, ""), (4, ""), (5, "")] + [(6, text("e"))] * 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns(
+        {"row": F.monotonically_increasing_id(), "first": F.lit(1), "n": F.lit(2)}).repartition(4)
+    got = one_of_each(df)
+    assert got.columns == df.columns
+    got = got.collect()
+    groups = sorted((r["doc_id"] or 0, (r["text"] or "-")[:1]) for r in got)
+    assert groups == [(0, "d"), (1, "a"), (3, "b"), (3, "c"), (4, "-"), (5, "-"), (6, "e")]
+    given = {(r["row"], r["doc_id"], r["text"]) for r in df.collect()}
+    assert {(r["row"], r["doc_id"], r["text"]) for r in got} <= given
