@@ -1,9 +1,8 @@
-"""Boosted trees on one bounded sample, for parallel tuning trials.
+"""Boosted trees on rows that fit in one task.
 
-A trial fits in one task: features are binned once by quantiles, every level
-of a tree is grown with one histogram over all its nodes, and the loss is the
-logistic loss in margin space.  The tuned parameters then train the real model
-on all rows with Spark ML.
+Features are binned once by quantiles, every level of a tree is grown with one
+histogram over all its nodes, and the loss is the logistic loss in margin
+space.  No operator uses it: tuning (M11) fits with Spark ML.
 """
 
 from __future__ import annotations
