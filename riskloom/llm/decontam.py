@@ -16,7 +16,8 @@ never shuffled.
 
 Defined cases: a null or empty text has no words; a null or empty item has no
 windows; repeated rows give a result each; items that share an id count once;
-input columns other than the id and the text are dropped unless named in
+items without an id count as one item more, a null at the end of the list of
+items; input columns other than the id and the text are dropped unless named in
 ``carry``.
 """
 
@@ -60,7 +61,7 @@ class Windows:
         return flat[at]
 
 
-def item_windows(ids: list[str], texts: list[str | None], window: int, shingle: int):
+def item_windows(ids: list[str | None], texts: list[str | None], window: int, shingle: int):
     """The windows of a block of items, grouped by length."""
     words, offsets = split_words(pa.array(texts, pa.string()), ALNUM)
     h, n = word_hashes(words), np.diff(offsets)
@@ -77,11 +78,16 @@ def item_windows(ids: list[str], texts: list[str | None], window: int, shingle:
     return out
 
 
+def _in_order(items) -> list:
+    """Item ids sorted, null last."""
+    return sorted(items, key=lambda i: (i is None, i or ""))
+
+
 class Index:
     """Prefix index of one block: for each window its rarest shingle, where in
     the window it stands, and the window's words."""
 
-    def __init__(self, ids: list[str], groups: list[Windows], counts: dict[int, dict[int, int]]):
+    def __init__(self, ids: list[str | None], groups: list[Windows], counts: dict[int, dict[int, int]]):
         self.ids, self.parts = ids, []
         for g in groups:
             sh = g.shingles()
@@ -132,7 +138,7 @@ def _hits(index: Index, h, offsets, rows):
         for d, items in found.items():
             x = np.diff(np.concatenate([[0], hit[offsets[d]:offsets[d + 1]], [0]]).astype(np.int8))
             out[d] = (list(zip(np.flatnonzero(x == 1).tolist(), np.flatnonzero(x == -1).tolist())),
-                      sorted({index.ids[i] for i in items}))
+                      _in_order({index.ids[i] for i in items}))
     return out
 
 
@@ -144,7 +150,7 @@ def _merge(a, b):
             spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
         else:
             spans.append((s, e))
-    return spans, sorted(set(a[1]) | set(b[1]))
+    return spans, _in_order(set(a[1]) | set(b[1]))
 
 
 def _mark(index_of, text: int, first: bool):
@@ -199,11 +205,11 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_w
     """Items in blocks of about ``block_words`` words: the driver only ever
     holds one block.  An item longer than that is a block of its own."""
     items = benchmark.select(F.col(item_col).cast("string").alias("i"),
-                             F.col(text_col).alias("t")).where("i is not null and t is not null")
+                             F.col(text_col).alias("t")).where("t is not null")
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-chars // (4 * block_words)))
     for b in range(n):
-        got = items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b).collect()
+        got = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()
         if got or b == 0:
             yield [r["i"] for r in got], [r["t"] for r in got]
 

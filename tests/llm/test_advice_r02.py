@@ -123,3 +123,32 @@ def test_one_row_of_each_component(spark):
     assert groups == [(0, "d"), (1, "a"), (3, "b"), (3, "c"), (4, "-"), (5, "-"), (6, "e")]
     given = {(r["row"], r["doc_id"], r["text"]) for r in df.collect()}
     assert {(r["row"], r["doc_id"], r["text"]) for r in got} <= given
+
+
+def test_items_without_an_id_count(spark):
+    """Against the registered SQL: a null id is one more item without a name."""
+    import duckdb
+    import pandas as pd
+    from riskloom.llm.decontam import contamination, decontaminated
+    from riskloom.llm.queries import oracle_sql
+    a, b = (" ".join(f"{c}{i}" for i in range(14)) for c in "ab")
+    rows = [(1, f"x {a} y"), (2, f"{b} {a}"), (3, b), (4, "clean"), (5, None)]
+    items = [(None, a), (7, b), (None, "clean not"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    benchmark = pd.DataFrame({"item_id": pd.array([i for i, _ in items], "Int64"),  # noqa: F841
+                              "text": [t for _, t in items]})
+    con.register("documents", documents)
+    con.register("benchmark", benchmark)
+    want = sorted(con.execute(oracle_sql()["op9_benchmark_decontamination"]).fetchall())
+    for block_words in (1_000_000, 2):
+        got, name = contamination(docs, bench, block_words=block_words)
+        r = F.col(name)
+        n_hit = F.aggregate(r["spans"], F.lit(0).cast("long"), lambda x, s: x + s["end"] - s["start"])
+        got = got.select("doc_id", r["n_words"], n_hit, F.size(r["items"]), F.sha2(
+            F.array_join(r["items"], ",").cast("binary"), 256), F.size(r["spans"]) > 0)
+        assert sorted(map(tuple, got.collect())) == want
+    assert [r[5] for r in want] == [True, True, True, False, False]
+    assert sorted(r["doc_id"] for r in decontaminated(docs, bench).collect()) == [4, 5]
