@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import column, slices, staged
+from .frames import column, fresh_name, slices, staged
 from .tokens import word_hashes
 
 # ---------------------------------------------------------------- tokenising
@@ -306,9 +306,13 @@ def _pack_round(pieces: DataFrame, n: int, part_pieces: int, capacity: int, roun
 def pack(pieces: DataFrame, *, capacity: int = 2048, part_pieces: int = 50_000) -> DataFrame:
     """``pieces`` (any columns with a ``length`` of 1 to ``capacity``) plus
     ``sequence_id`` and ``offset``: no sequence holds more than ``capacity``
-    tokens and its pieces stand gapless from 0."""
+    tokens and its pieces stand gapless from 0.  Every piece has a stored row
+    number; only numbers and lengths are packed, and the other columns (the
+    ids) join the layout once it is fixed."""
     cols = pieces.columns
-    pieces = staged(pieces, "pieces")
+    row = fresh_name([*cols, "part", "sequence_id", "offset", "loose", "gap"], "row")
+    whole = staged(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces", "zstd")
+    pieces = whole.select(row, "length")
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for r in pieces.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[r["length"]] = r["count"]
@@ -322,7 +326,7 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, part_pieces: int = 50_000)
         if pool["bins"] < 2:
             break
         round_no += 1
-        again = _pack_round(loose.select(*cols), pool["n"], part_pieces, capacity, round_no)
+        again = _pack_round(loose.select(row, "length"), pool["n"], part_pieces, capacity, round_no)
         saved = pool["bins"] - again.where("offset = 0").count()
         if saved <= 0:
             break
@@ -330,7 +334,8 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, part_pieces: int = 50_000)
         packed, total = again, total - saved
     for d in done:
         packed = packed.unionByName(d)
-    return packed.select(*cols, "sequence_id", "offset")
+    layout = packed.select(row, "sequence_id", "offset").hint("shuffle_hash")
+    return whole.join(layout, row).select(*cols, "sequence_id", "offset")
 
 
 def packed_sequences(packed: DataFrame) -> DataFrame:

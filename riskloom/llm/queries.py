@@ -272,9 +272,9 @@ TOKENIZER = "byte_bpe_50k.json"
 
 @_register()
 def op10_best_fit_packing(spark, sf_dir):
-    """All documents packed into sequences of at most 2048 tokens."""
+    """All documents packed into sequences of at most 2048 tokens, with the
+    token ids of every piece."""
     import public_tokenizers
     from .packing import pack, token_pieces
-    pieces = token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER),
-                          keep_ids=False)
-    return pack(pieces)
+    return pack(token_pieces(_table(spark, sf_dir, "documents"),
+                             public_tokenizers.path(TOKENIZER)))

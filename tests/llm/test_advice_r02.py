@@ -152,3 +152,28 @@ def test_items_without_an_id_count(spark):
         assert sorted(map(tuple, got.collect())) == want
     assert [r[5] for r in want] == [True, True, True, False, False]
     assert sorted(r["doc_id"] for r in decontaminated(docs, bench).collect()) == [4, 5]
+
+
+def test_pipeline_ends_with_token_ids(spark):
+    """The last stage's result gives the sequences without tokenising again."""
+    import corpus_pipeline as P
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    from riskloom.llm.packing import packed_sequences
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(i, f"document {i} " + "some words here " * (i * 17 % 900)) for i in range(60)]
+    rows += [(7, rows[7][1]), (60, None)]
+    out = P.packing(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").persist()
+    got = {}
+    for r in out.collect():
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert len(ids) == r["length"]
+        got.setdefault(r["doc_id"], []).append((r["start"], ids))
+    for i, t in rows:
+        want = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        mine = sorted(got[i])[::2 if i == 7 else 1]
+        assert [x for _, ids in mine for x in ids] == want
+    seqs = [len(r["ids"]) // 4 for r in packed_sequences(out).collect()]
+    assert max(seqs) <= 2048 and sum(seqs) == sum(r["length"] for r in out.collect())
+    out.unpersist()
