@@ -195,8 +195,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col:
            .orderBy(F.xxhash64("i"), "i").limit(max_rows).select("i", "y"))
     got = (docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
            .where(F.length("t") <= max_chars)
-           .join(F.broadcast(one), F.col("d") == F.col("i"))  # at most max_rows rows
-           .select("i", "t", "y").toPandas().sort_values(["i", "t"]).head(max_rows))
+           .join(F.broadcast(one), F.col("d") == F.col("i"))  # at most max_rows ids
+           .select("i", "t", "y").orderBy("i", "t").limit(max_rows).toPandas())
     return got["t"].tolist(), got["y"].tolist()
 
 

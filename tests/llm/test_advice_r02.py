@@ -177,3 +177,36 @@ def test_pipeline_ends_with_token_ids(spark):
     seqs = [len(r["ids"]) // 4 for r in packed_sequences(out).collect()]
     assert max(seqs) <= 2048 and sum(seqs) == sum(r["length"] for r in out.collect())
     out.unpersist()
+
+
+def test_identical_pieces_are_dealt_over_parts(spark):
+    """A third of the rows being one row makes no part larger."""
+    from riskloom.llm.packing import pack
+    rows = [(1, 700)] * 3000 + [(i, 300 + i % 900) for i in range(2, 6002)]
+    out = pack(spark.createDataFrame(rows, "id long, length long"), part_pieces=500).collect()
+    assert sorted((r["id"], r["length"]) for r in out) == sorted(rows)
+    parts = {}
+    for r in out:
+        at = r["sequence_id"] >> 24
+        parts[at] = parts.get(at, 0) + 1
+    assert max(parts.values()) < 1000
+
+
+def test_training_rows_are_cut_before_the_driver(spark, monkeypatch):
+    """A labelled id in many document rows: the driver gets ``max_rows``."""
+    from pyspark.sql import DataFrame
+    from riskloom.llm.quality import held_out, training_rows
+    sent, was = [], type(spark.range(1)).toPandas
+
+    def counted(df: DataFrame):
+        got = was(df)
+        sent.append(len(got))
+        return got
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", counted)
+    ids = [r["id"] for r in spark.range(40).where(~held_out("id")).collect()][:4]
+    docs = spark.createDataFrame([(ids[0], f"text {i:03}") for i in range(300)]
+                                 + [(i, "one") for i in ids[1:]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "doc_id long, quality int")
+    how = dict(id_col="doc_id", text_col="text", label_col="quality", max_chars=100)
+    texts, y = training_rows(docs, labels, max_rows=10, **how)
+    assert texts == [f"text {i:03}" for i in range(10)] and y == [0] * 10 and sent == [10]

@@ -31,3 +31,23 @@ def test_tuning_judges_on_all_rows(spark, monkeypatch):
         want.append((rank[y == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(y) - pos)))
     assert abs(best["auc"] - max(want)) < 1e-9
     assert best["params"] == trials[int(np.argmax(want))]
+
+
+def test_json_documents_do_not_grow_with_the_table(spark, monkeypatch):
+    """Rows of far more orders than 64 documents should hold."""
+    from types import SimpleNamespace
+    from riskloom.plans import q_io
+    sizes, read = [], q_io.io.read_transactions_json
+
+    def counted(session, path):
+        sizes.extend(r["n"] for r in session.read.text(path).select(
+            F.size(F.from_json("value", "transactions array<struct<id: long>>")["transactions"])
+            .alias("n")).collect())
+        return read(session, path)
+    monkeypatch.setattr(q_io.io, "read_transactions_json", counted)
+    n = 400_000
+    lines = spark.range(n).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"),
+                                  F.lit(2.5).alias("l_extendedprice"))
+    out = q_io.q_read_transactions_json(SimpleNamespace(spark=spark, lineitem=lines))
+    assert out.count() == n and sum(sizes) == n
+    assert max(sizes) <= 4096
