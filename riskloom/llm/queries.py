@@ -278,3 +278,185 @@ def op10_best_fit_packing(spark, sf_dir):
     from .packing import pack, token_pieces
     return pack(token_pieces(_table(spark, sf_dir, "documents"),
                              public_tokenizers.path(TOKENIZER)))
+
+
+def _op11_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    def assigned(c):
+        return f"""SELECT i, id, v, least_of.c AS cluster, least_of.d AS distance FROM (
+  SELECT r.i, any_value(r.id) AS id, any_value(r.v) AS v, min({{'d': list_sum(list_transform(
+           range(1, {dims + 1}), lambda j: (r.v[j] - {c}.v[j]) * (r.v[j] - {c}.v[j]))),
+           'c': {c}.c}}) AS least_of
+  FROM kept r, {c} GROUP BY r.i)"""
+
+    steps = [f"""WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id AS id, list_transform(embedding,
+    lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dims}
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || id) NULLS LAST, v) - 1 AS c, v FROM kept
+  QUALIFY c < {k})"""]
+    for r in range(rounds):
+        steps.append(f"""a{r} AS MATERIALIZED ({assigned(f'c{r}')}),
+s{r} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS v FROM (
+  SELECT cluster, j, sum(x) AS s, count(*) AS n FROM (
+    SELECT cluster, unnest(range(1, {dims + 1})) AS j, unnest(v) AS x FROM a{r}) GROUP BY ALL)
+  GROUP BY cluster),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(s{r}.v, c{r}.v) AS v FROM c{r}
+  LEFT JOIN s{r} ON cluster = c)""")
+    steps.append(f"last AS MATERIALIZED ({assigned(f'c{rounds}')})")
+    return ",\n".join(steps) + f"""
+SELECT id AS vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+       CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM last JOIN c{rounds} ON c = cluster
+"""
+
+
+@_register(_op11_sql())
+def op11_centroid_clustering(spark, sf_dir):
+    """Every vector's cluster after five rounds from 40 hashed seeds."""
+    from .centroids import cluster, with_inertia
+    return with_inertia(cluster(_table(spark, sf_dir, "embeddings"))).select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia",
+        "centroid_sha256")
+
+
+#: CRC-32 of an ASCII text in DuckDB (reflected polynomial, bit by bit)
+_CRC32 = """xor(list_reduce(list_transform(string_split({0}, ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+    lambda c, b: list_reduce(range(8), lambda x, _: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)),
+    4294967295), 4294967295)"""
+
+
+def _op12_sql(fan: int = 16, depth: int = 6) -> str:
+    def fields(text):
+        parts = ["doc_id", "source", "lang", "n_chars", text]
+        return "sha256(" + " || ".join(
+            f"coalesce(strlen(CAST({p} AS VARCHAR)) || ':' || CAST({p} AS VARCHAR), '-')"
+            for p in parts) + ")"
+
+    lower = ("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    out = [f"""WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, doc_id, source, {fields('text')} AS leaf,
+         CASE WHEN {_CRC32.format('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN {fields(lower)}
+              ELSE {fields('text')} END AS other FROM documents),
+l0 AS MATERIALIZED (
+  SELECT i, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, leaf AS h,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, i) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n FROM d)"""]
+
+    def levels(name):
+        # level t + 1 from level t; groups of one node stay
+        for t in range(depth):
+            out.append(f"""{name}{t + 1} AS MATERIALIZED (
+  SELECT g, pos // {fan} AS pos, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY pos))
+         ELSE any_value(h) END AS h, (any_value(n) + {fan - 1}) // {fan} AS n
+  FROM {name}{t} GROUP BY g, pos // {fan})""")
+
+    levels("l")
+    out.append(f"""u0 AS MATERIALIZED (SELECT 0 AS g, g AS pos, h, count(*) OVER () AS n,
+    g AS i FROM l{depth})""")
+    levels("u")
+    steps = []
+    for name, group, start in (("l", "l0.g", "l0.pos"), ("u", "0", "l0.g")):
+        for t in range(depth):
+            at = f"({start} // {fan ** t})"
+            out.append(f"""{name}s{t} AS MATERIALIZED (
+  SELECT a.g, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r,
+         any_value(a.n) AS n
+  FROM {name}{t} a JOIN {name}{t} b ON a.g = b.g AND a.pos // {fan} = b.pos // {fan}
+  GROUP BY a.g, a.pos)""")
+            steps.append((f"{name}s{t}", group, at))
+    joins = "\n".join(f"JOIN {s} ON {s}.g = {g} AND {s}.pos = {at}" for s, g, at in steps)
+    proof = " || ".join(f"{s}.l || {s}.r" for s, _, _ in steps)
+    prev = "d.other"
+    for k, (s, _, _) in enumerate(steps):
+        out.append(f"""f{k} AS MATERIALIZED (SELECT d.i, CASE WHEN {s}.n > 1
+    THEN sha256({s}.l || {prev} || {s}.r) ELSE {prev} END AS x
+  FROM d JOIN l0 USING (i) JOIN {s} ON {s}.g = {steps[k][1]} AND {s}.pos = {steps[k][2]}""" + (
+            f" JOIN f{k - 1} ON f{k - 1}.i = d.i)" if k else ")"))
+        prev = f"f{k}.x"
+    return ",\n".join(out) + f"""
+SELECT d.doc_id, d.leaf, l{depth}.h AS subroot, u{depth}.h AS root,
+       sha256({proof}) AS proof_sha256, x AS folded_root, x = u{depth}.h AS verified
+FROM d JOIN l0 USING (i) JOIN f{len(steps) - 1} USING (i)
+JOIN l{depth} ON l{depth}.g = l0.g JOIN u{depth} ON true
+{joins}
+"""
+
+
+@_register(_op12_sql())
+def op12_merkle_manifest(spark, sf_dir):
+    """Every document's proof to the root, a fifth of them tampered with."""
+    from .merkle import folded, leaf_hash, manifest, sha, siblings
+    docs = _table(spark, sf_dir, "documents")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rest = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    m = manifest(docs.select("doc_id", "source", leaf_hash(*rest, F.col("text")).alias("leaf"),
+                             F.when(hit, leaf_hash(*rest, lower)).alias("other")),
+                 group="source", key="doc_id")
+    up = folded(F.coalesce("other", "leaf"), F.col("segments"))
+    return m.proofs.select(
+        "doc_id", "leaf", "subroot", F.lit(m.root).cast("string").alias("root"),
+        sha(siblings(F.col("segments"))).alias("proof_sha256"), up.alias("folded_root")) \
+        .withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _op13_sql(alpha: float = 0.02, delta: float = 0.05) -> str:
+    from .rules import RULES
+    share = lambda r: f"CASE WHEN {r.whole} > 0 THEN {r.part} / {r.whole} ELSE 0 END"
+    tests = " UNION ALL ".join(
+        f"SELECT lang, {i} AS rule, {j} AS j, CAST({c} AS DOUBLE) AS c, count(*) AS n, "
+        f"count(*) FILTER (s{i} > {c}) AS x FROM good GROUP BY lang"
+        for i, r in enumerate(RULES) for j, c in enumerate(r.cutoffs))
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS i, doc_id, lang, coalesce(text, '') AS text,
+  {_SPACE_WORDS} AS w FROM documents),
+rep AS (SELECT i, count(DISTINCT p) AS n FROM (
+    SELECT i, unnest(range(s, s + 3)) AS p FROM (
+      SELECT i, s, count(*) OVER (PARTITION BY i, k) AS m FROM (
+        SELECT i, s, w[s:s + 2] AS k FROM (
+          SELECT i, w, unnest(range(1, len(w) - 1)) AS s FROM d WHERE len(w) > 2))) WHERE m > 1)
+  GROUP BY i),
+ln AS (SELECT i, count(*) AS n, count(*) - count(DISTINCT l) AS dup FROM (
+    SELECT i, unnest(string_split(text, chr(10))) AS l FROM d)
+  WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY i),
+m AS MATERIALIZED (SELECT d.i, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(ln.n, 0) AS n_lines,
+    length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals
+  FROM d LEFT JOIN rep ON rep.i = d.i LEFT JOIN ln ON ln.i = d.i),
+b AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    {", ".join(f"{share(r)} AS s{i}" for i, r in enumerate(RULES))} FROM m),
+good AS MATERIALIZED (SELECT doc_id, lang, {", ".join(f"max(s{i}) AS s{i}" for i in range(len(RULES)))}
+  FROM b SEMI JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1) USING (doc_id)
+  WHERE NOT base_failed GROUP BY doc_id, lang),
+t AS ({tests}),
+p AS (SELECT *, list_sum(list_transform(range(0, x + 1), lambda i: exp(
+        lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha / len(RULES)!r})
+        + (n - i) * ln(1 - {alpha / len(RULES)!r})))) > {delta / len(RULES)!r} / (
+          SELECT count(*) FROM (SELECT DISTINCT lang FROM documents)) AS bad FROM t),
+cut AS (SELECT lang, rule, min(c) AS c FROM (SELECT *, max(CAST(bad AS INTEGER)) OVER (
+    PARTITION BY lang, rule ORDER BY j) AS fails FROM p) WHERE fails = 0 GROUP BY lang, rule),
+hit AS (SELECT DISTINCT i FROM b JOIN cut ON b.lang IS NOT DISTINCT FROM cut.lang
+  AND CASE rule {" ".join(f"WHEN {i} THEN s{i}" for i in range(len(RULES)))} END > c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND hit.i IS NULL AS kept
+FROM b LEFT JOIN hit ON hit.i = b.i
+"""
+
+
+@_register(_op13_sql())
+def op13_quality_rules(spark, sf_dir):
+    """Base rules and rules with certified cutoffs over every document."""
+    from .rules import MEASURES, base_failed, judged
+    got, m, why = judged(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"),
+                         _table(spark, sf_dir, "labels"))
+    bad = base_failed(F.col(m))
+    return got.select("doc_id", *[F.col(m)[c].alias(c) for c in MEASURES[:5]],
+                      bad.alias("base_failed"), (~bad & (F.size(why) == 0)).alias("kept"))
