@@ -17,7 +17,8 @@ window over a group.
 Defined cases: a null value hashes as ``-``; a null group is a group of its
 own and comes first; leaves without a key come first in their group; rows of
 one key are ordered by leaf (equal leaves are interchangeable); an empty table
-has no root and no rows; names of other columns do not matter.
+has no root and no rows; other columns are carried, and those named like a
+result push it to a fresh name.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import staged
+from .frames import fresh_name, staged
 
 _HEX = 64
 SEGMENTS = "array<struct<left:string,right:string>>"
@@ -155,10 +156,13 @@ def siblings(segments: Column) -> Column:
 
 @dataclass
 class Manifest:
-    """``proofs``: per leaf its carried columns, ``leaf``, ``subroot`` and
-    ``segments``; ``root``: of the whole table, null if it is empty."""
+    """``proofs``: per leaf its carried columns, its digest and, under the names
+    ``subroot`` and ``segments``, its group's root and its siblings; ``root``:
+    of the whole table, null if it is empty."""
     proofs: DataFrame
     root: str | None
+    subroot: str
+    segments: str
 
 
 def manifest(leaves: DataFrame, *, group: str, key: str, leaf: str = "leaf",
@@ -183,5 +187,7 @@ def manifest(leaves: DataFrame, *, group: str, key: str, leaf: str = "leaf",
                               F.col("h").alias("subroot")), "subroots")
     down = handed_down(tree, tops, carry, ["subroot"])
     back = F.when(F.col("grp") != "0", F.substring(F.col("grp"), 2, 1 << 30)).alias(group)
+    sub, seg = (fresh_name(leaves.columns, c) for c in ("subroot", "segments"))
     return Manifest(down.select(back, *[F.col(n).alias(c) for c, n in names.items()],
-                                F.col("h").alias(leaf), "subroot", "segments"), root)
+                                F.col("h").alias(leaf), F.col("subroot").alias(sub),
+                                F.col("segments").alias(seg)), root, sub, seg)

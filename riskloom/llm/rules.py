@@ -244,7 +244,7 @@ def with_cutoffs(measured: DataFrame, m: str, labels: DataFrame, *, id_col: str
 
 def rejected_by(m: Column, cutoffs: Column, rules=RULES) -> Column:
     """Names of the rules whose certified cutoff a document exceeds."""
-    hits = [F.when(rule.share(m) > cutoffs[i], F.lit(rule.name)) for i, rule in enumerate(rules)]
+    hits = [F.when(rule.share(m) > F.get(cutoffs, i), F.lit(rule.name)) for i, rule in enumerate(rules)]
     return F.array_compact(F.array(*hits))
 
 
