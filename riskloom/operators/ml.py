@@ -3,7 +3,7 @@
 Training, scoring and evaluation are Spark jobs: estimators from
 ``pyspark.ml``, metrics from :mod:`riskloom.operators.stats` (exact AUC / KS
 through distributed running sums).  Only fitted parameters (scaler moments,
-tree arrays, metrics) reach the driver.  Randomness is hash-derived
+trees, metrics) reach the driver.  Randomness is hash-derived
 (``xxhash64(id, seed)``), so splits do not depend on partitioning.
 """
 
@@ -32,6 +32,8 @@ from ..functions.scoring import risk_band, to_score
 from ..session import ensure_checkpoint_dir
 from . import stats as st
 from .ordered import exact_quantiles
+from .trees import (Forest, TreeEnsemble, attribute_batch, ensemble_from, ensemble_from_rows,  # noqa: F401
+                    local_surrogates, margin_batch)
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's (hyper-parameters, gate).
@@ -392,181 +394,22 @@ def score_batch(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFra
                        to_score("p").alias("score"), risk_band("p").alias("nivel_risco"))
 
 
-# --- M13 tree attributions --------------------------------------------------------
-def _tree_arrays(java_tree) -> list:
-    """Flatten a Spark ML decision tree (JVM) into node rows
-    (feature, threshold, left, right, value, is_categorical_left_set)."""
-    nodes: list = []
-
-    def walk(node) -> int:
-        idx = len(nodes)
-        nodes.append(None)
-        value = float(node.prediction())
-        if node.getClass().getSimpleName() == "InternalNode":
-            split = node.split()
-            feat = int(split.featureIndex())
-            if split.getClass().getSimpleName() == "ContinuousSplit":
-                thr, cats = float(split.threshold()), None
-            else:
-                thr, cats = 0.0, [float(c) for c in split.leftCategories()]
-            left = walk(node.leftChild())
-            right = walk(node.rightChild())
-            nodes[idx] = [feat, thr, left, right, value, cats]
-        else:
-            nodes[idx] = [-1, 0.0, -1, -1, value, None]
-        return idx
-    walk(java_tree.rootNode())
-    return nodes
-
-
-@dataclass
-class TreeEnsemble:
-    trees: list
-    weights: list
-    n_features: int
-    base: float = field(default=0.0)
-
-
-def ensemble_from(model: PipelineModel) -> TreeEnsemble:
-    """Tree arrays of a fitted GBT stage (driver side: the model, not data)."""
-    gbt = model.stages[-1]
-    trees = [_tree_arrays(t._java_obj) for t in gbt.trees]
-    weights = [float(w) for w in gbt.treeWeights]
-    base = sum(w * t[0][4] for w, t in zip(weights, trees))
-    return TreeEnsemble(trees, weights, gbt.numFeatures, base)
-
-
-def _flat_trees(ens: TreeEnsemble) -> list:
-    """Per tree: (feature, threshold, left, right, value) arrays and the
-    categorical left sets by node (empty for continuous splits)."""
-    out = []
-    for w, t in zip(ens.weights, ens.trees):
-        cols = [np.array([r[i] for r in t], dtype=float) for i in range(5)]
-        cats = {i: np.array(r[5]) for i, r in enumerate(t) if r[5] is not None}
-        out.append((w, cols[0].astype(np.int64), cols[1], cols[2].astype(np.int64),
-                    cols[3].astype(np.int64), cols[4], cats))
-    return out
-
-
-def _step(x, rows, node, tree):
-    """The next node of every row; rows at a leaf stay."""
-    _, feat, thr, left, right, _, cats = tree
-    f = feat[node]
-    xv = x[rows, np.maximum(f, 0)]
-    go = xv <= thr[node]
-    for i, allowed in cats.items():  # categorical splits, by node
-        here = node == i
-        go[here] = np.isin(xv[here], allowed)
-    return np.where(f < 0, node, np.where(go, left[node], right[node])), f
-
-
-def ensemble_margin(x: np.ndarray, trees: list) -> np.ndarray:
-    """Margin of every row: all rows descend a tree together."""
-    rows, out = np.arange(len(x)), np.zeros(len(x))
-    for tree in trees:
-        node = np.zeros(len(x), dtype=np.int64)
-        while (tree[1][node] >= 0).any():
-            node, _ = _step(x, rows, node, tree)
-        out += tree[0] * tree[5][node]
-    return out
-
-
-def attribute_batch(ens: TreeEnsemble, df: DataFrame, feature_cols: list[str],
-                    key: str, batch_rows: int = 4096) -> DataFrame:
-    """Per-row path attributions in margin space, not Shapley values: each
-    split credits its feature with the change of node value along the row's
-    path, so base + sum(contributions) = margin.  Long output (key, feature,
-    valor) feeds A16 / K1.  An Arrow ``mapInPandas`` over partitions in
-    batches of ``batch_rows``."""
-    trees = _flat_trees(ens)
-    cols = list(feature_cols)
-
-    def run(batches):
-        for pdf in batches:
-            for lo in range(0, len(pdf), batch_rows):
-                yield one(pdf.iloc[lo:lo + batch_rows])
-
-    def one(pdf):
-        x = np.nan_to_num(pdf[cols].to_numpy(dtype=float))
-        n = len(x)
-        rows, contrib, margin = np.arange(n), np.zeros((n, len(cols))), np.zeros(n)
-        for tree in trees:
-            w, value = tree[0], tree[5]
-            node = np.zeros(n, dtype=np.int64)
-            margin += w * value[0]
-            while True:
-                nxt, f = _step(x, rows, node, tree)
-                moved = f >= 0
-                if not moved.any():
-                    break
-                delta = w * (value[nxt] - value[node])
-                contrib[rows[moved], f[moved]] += delta[moved]
-                margin += delta
-                node = nxt
-        return pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), len(cols)),
-                             "feature": np.tile(cols, n), "valor": contrib.reshape(-1),
-                             "margin": np.repeat(margin, len(cols))})
-    ktype = dict(df.dtypes)[key]
-    return df.select(key, *cols).mapInPandas(
-        run, f"{key} {ktype}, feature string, valor double, margin double")
+def score_trees(ens: TreeEnsemble, df: DataFrame, feature_cols: list[str], key: str) -> DataFrame:
+    """M12 for an ensemble given as trees: its margin is half the log-odds."""
+    p = margin_batch(ens, df, feature_cols, key).withColumn(
+        "p", 1 / (1 + F.exp(-2 * F.col("margin"))))
+    return p.select(key, F.col("p").alias("probabilidade"), to_score("p").alias("score"),
+                    risk_band("p").alias("nivel_risco"))
 
 
 # --- M14 local surrogate -------------------------------------------------------
 def local_surrogate_batch(model: PipelineModel, df: DataFrame, feature_cols: list[str],
                           key: str, n_samples: int = 5000, top: int = 10, seed: int = 42,
                           kernel_width: float | None = None) -> DataFrame:
-    """Perturb each row ``n_samples`` times around its value (normal noise
-    scaled by the column std), score the perturbations with the ensemble's
-    tree arrays, weight by an exponential kernel and fit a weighted linear
-    model.  All of it happens where the row is: only the rows themselves are
-    dealt out, and a task holds one row's perturbations at a time.  One row per kept weight
-    (``top`` by magnitude) with the surrogate's intercept, its prediction at
-    the row, the model's probability of either class and the weighted R2; a
-    row whose solve fails is kept with its error text."""
-    scaler = fit_scaler(df, feature_cols)
-    width = kernel_width or math.sqrt(len(feature_cols)) * 0.75
-    trees, cols = _flat_trees(ensemble_from(model)), list(feature_cols)
-    std = np.array([s if s > 0 else 1.0 for s in scaler.std])
-
-    def explain(key_hash, x0):
-        z = np.random.default_rng([seed, key_hash % (1 << 64)]).standard_normal(
-            (n_samples, len(cols)))
-        z[0] = 0.0
-        p = 1.0 / (1.0 + np.exp(-2.0 * ensemble_margin(x0 + z * std, trees)))
-        w = np.exp(-(z ** 2).sum(axis=1) / width ** 2)
-        a = np.hstack([np.ones((n_samples, 1)), z])
-        root = np.sqrt(w)
-        coef, *_ = np.linalg.lstsq(a * root[:, None], p * root, rcond=None)
-        mean = np.average(p, weights=w)
-        rest, all_ = (w * (p - a @ coef) ** 2).sum(), (w * (p - mean) ** 2).sum()
-        return coef, p[0], 1.0 - rest / all_ if all_ > 1e-12 else 0.0
-
-    def run(batches):
-        for pdf in batches:
-            xs = np.nan_to_num(pdf[cols].to_numpy(dtype=float))
-            for k, h, x0 in zip(pdf[key], pdf["_h"], xs):
-                try:
-                    coef, p, r2 = explain(int(h), x0)
-                    order = np.argsort(-np.abs(coef[1:]), kind="stable")[:top]
-                    yield pd.DataFrame({
-                        key: k, "feature": [cols[j] for j in order],
-                        "peso": [float(round(coef[1 + j], 6)) for j in order],
-                        "intercepto": float(coef[0]), "predicao_local": float(coef[0]),
-                        "prob_negativa": float(1 - p), "prob_positiva": float(p),
-                        "r2_local": float(r2), "erro": None})
-                except Exception as exc:  # noqa: BLE001 - failures are kept as rows
-                    yield pd.DataFrame({key: [k], "feature": None, "peso": None,
-                                        "intercepto": None, "predicao_local": None,
-                                        "prob_negativa": None, "prob_positiva": None,
-                                        "r2_local": None, "erro": [str(exc)]})
-    ktype = dict(df.dtypes)[key]
-    # a narrow row is a second of work: deal the rows over all shuffle partitions
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(key, F.xxhash64(key).alias("_h"),
-                     *[F.col(c).cast("double").alias(c) for c in cols]).repartition(parts, key)
-    return rows.mapInPandas(run, f"{key} {ktype}, feature string, peso double, intercepto double, "
-                                 "predicao_local double, prob_negativa double, "
-                                 "prob_positiva double, r2_local double, erro string")
+    """Local linear surrogates of a fitted booster at every row, with noise of
+    the columns' own std (:func:`riskloom.operators.trees.local_surrogates`)."""
+    return local_surrogates(ensemble_from(model), df, feature_cols, key,
+                            fit_scaler(df, feature_cols).std, n_samples, top, seed, kernel_width)
 
 
 # --- J6 -------------------------------------------------------------------------

@@ -127,14 +127,115 @@ def q_importance_ranking(t):
                                                          prep.V2_FEATURES)))
 
 
+#: a given ensemble (tree, node, feature, threshold, left, right, value, cover)
+#: that SQL can spell out; the fitted model goes through the same code
+GIVEN_TREES = (
+    (0, 0, "score_bureau", 520.0, 1, 2, 0.0, 1000.0),
+    (0, 1, "saldo_atual", 2000.0, 3, 4, 0.0, 271.0),
+    (0, 2, "total_dividas", 30000.0, 5, 6, 0.0, 729.0),
+    (0, 3, None, None, None, None, 0.9131, 121.0),
+    (0, 4, "score_bureau", 400.0, 7, 8, 0.0, 150.0),
+    (0, 5, None, None, None, None, -0.4177, 499.0),
+    (0, 6, None, None, None, None, 0.1093, 230.0),
+    (0, 7, None, None, None, None, 0.5537, 61.0),
+    (0, 8, None, None, None, None, 0.2039, 89.0),
+    (1, 0, "renda_mensal", 5000.0, 1, 2, 0.0, 1000.0),
+    (1, 1, "total_dividas", 12000.0, 3, 4, 0.0, 401.0),
+    (1, 2, "idade", 45.0, 5, 6, 0.0, 599.0),
+    (1, 3, None, None, None, None, -0.1013, 221.0),
+    (1, 4, "saldo_atual", 3500.0, 7, 8, 0.0, 180.0),
+    (1, 5, None, None, None, None, -0.2071, 341.0),
+    (1, 6, "renda_mensal", 9000.0, 9, 10, 0.0, 258.0),
+    (1, 7, None, None, None, None, 0.7113, 97.0),
+    (1, 8, None, None, None, None, 0.0517, 83.0),
+    (1, 9, None, None, None, None, -0.0531, 149.0),
+    (1, 10, None, None, None, None, -0.6089, 109.0),
+    (2, 0, "saldo_atual", 5000.0, 1, 2, 0.0, 1000.0),
+    (2, 1, None, None, None, None, 0.1571, 611.0),
+    (2, 2, None, None, None, None, -0.1597, 389.0))
+GIVEN_COLS = ["score_bureau", "saldo_atual", "total_dividas", "renda_mensal", "idade"]
+
+
+def _given_leaves():
+    """Per leaf of the given trees: value, and per feature of its path the SQL
+    condition of its splits and the share of the covers that meets them."""
+    for tree in sorted({r[0] for r in GIVEN_TREES}):
+        nodes = {r[1]: r for r in GIVEN_TREES if r[0] == tree}
+        todo = [(0, {})]
+        while todo:
+            at, path = todo.pop()
+            _, _, f, threshold, left, right, value, cover = nodes[at]
+            if f is None:
+                yield value, path
+                continue
+            for child, op in ((left, "<="), (right, ">")):
+                cond, share = path.get(f, ("true", 1.0))
+                todo.append((child, {**path, f: (f"{cond} AND {f} {op} {threshold!r}",
+                                                 share * nodes[child][7] / cover)}))
+
+
+def _given_sql():
+    """Attributions by the definition: over all subsets of a leaf's features."""
+    import itertools
+    import math
+    num = lambda v: f"CAST({v!r} AS DOUBLE)"  # noqa: E731 - decimals would overflow
+    terms, margin, base = {c: ["0"] for c in GIVEN_COLS}, [], 0.0
+    for value, path in _given_leaves():
+        o = {f: f"CASE WHEN {cond} THEN 1.0 ELSE 0.0 END" for f, (cond, _) in path.items()}
+        z = {f: num(share) for f, (_, share) in path.items()}
+        base += value * math.prod(share for _, share in path.values())
+        margin.append(f"{num(value)} * " + " * ".join(f"({o[f]})" for f in path))
+        for f in path:
+            rest = [g for g in path if g != f]
+            sets = []
+            for k in range(len(rest) + 1):
+                w = math.factorial(k) * math.factorial(len(rest) - k) / math.factorial(len(path))
+                sets += [" * ".join([num(w), *[f"({o[g] if g in on else z[g]})" for g in rest]])
+                         for on in itertools.combinations(rest, k)]
+            terms[f].append(f"{num(value)} * (({o[f]}) - {z[f]}) * ({' + '.join(sets)})")
+    x = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0) AS {c}" for c in GIVEN_COLS)
+    return (f"WITH x AS (SELECT id_cliente, {x} FROM ({_JOINED_SQL}) j), "
+            f"m AS (SELECT *, CAST({' + '.join(margin)} AS DOUBLE) AS margin FROM x)", base, terms)
+
+
+_GIVEN_SQL, _GIVEN_BASE, _GIVEN_TERMS = _given_sql()
+
+
+def given_ensemble():
+    return ml.ensemble_from_rows(GIVEN_TREES, GIVEN_COLS)
+
+
+@register("attribute_batch", _GIVEN_SQL + " UNION ALL ".join(
+    f" SELECT id_cliente, '{c}' AS feature, round(CAST({' + '.join(_GIVEN_TERMS[c])} AS DOUBLE), 6) AS valor, "
+    f"round(margin, 6) AS margin, round(CAST({_GIVEN_BASE!r} AS DOUBLE), 6) AS base FROM m"
+    for c in GIVEN_COLS))
+def q_attribute_batch(t):
+    """Shapley values of the given trees for every client; base + sum =
+    margin."""
+    ens = given_ensemble()
+    a = ml.attribute_batch(ens, credit_features_df(t), GIVEN_COLS, "id_cliente")
+    return finish(a.withColumn("base", F.lit(ens.base)))
+
+
+@register("score_trees", _GIVEN_SQL + """, p AS (
+SELECT id_cliente, 1 / (1 + exp(-2 * margin)) AS p FROM m)
+SELECT id_cliente, round(p, 6) AS probabilidade,
+       CAST(greatest(300, least(850, CAST(trunc(300 + (1 - p) * 550) AS INTEGER))) AS INTEGER) AS score,
+       CASE WHEN p < 0.15 THEN 'A' WHEN p < 0.35 THEN 'B' WHEN p < 0.60 THEN 'C' ELSE 'D' END
+         AS nivel_risco FROM p""")
+def q_score_trees(t):
+    """M12 on the given trees: probability, score and band of every client."""
+    return finish(ml.score_trees(given_ensemble(), credit_features_df(t), GIVEN_COLS, "id_cliente"))
+
+
 def _attributions(t):
     ens = ml.ensemble_from(_credit_model(t))
     return ml.attribute_batch(ens, credit_training_table(t), prep.V2_FEATURES, "id_cliente"), ens
 
 
-@register("attribute_batch")
-def q_attribute_batch(t):
-    """Per-row tree path attributions (base + sum = margin)."""
+@register("attribute_model")
+def q_attribute_model(t):
+    """M13 on the fitted credit model: Shapley values (base + sum = margin)."""
     a, ens = _attributions(t)
     return finish(a.withColumn("base", F.lit(ens.base)))
 
@@ -166,7 +267,7 @@ def q_mean_abs_attribution(t):
 
 @register("model_attribution")
 def q_model_attribution(t):
-    """M13 + A16: mean |path attribution| per feature of the credit model."""
+    """M13 + A16: mean |Shapley value| per feature of the credit model."""
     a, _ = _attributions(t)
     return finish(st.mean_abs_attribution(a))
 
@@ -200,7 +301,7 @@ SELECT feature, round(shap_value, 6) AS shap_value, round(lime_value, 6) AS lime
        round(greatest(abs(coalesce(shap_value, 0.0)), abs(coalesce(lime_value, 0.0))), 6) AS peso_absoluto
 FROM c FULL JOIN p USING (feature) FULL JOIN l USING (feature)""")
 def q_merge_attributions(t):
-    """Full outer merge of mean path attributions, mean surrogate weights
+    """Full outer merge of mean attributions, mean surrogate weights
     and a column list (given tables); weight = the larger magnitude."""
     a = attribution_table(t)
     path = st.mean_abs_attribution(a.filter("feature <> 'idade'"))

@@ -108,15 +108,10 @@ def test_codes_are_those_of_the_fit(spark, tables_small):
     assert {r[0] for r in new.select("status_encoded").collect()} == {-1.0}
 
 
-def test_booster_and_tuning(spark):
-    from riskloom.operators.boosting import auc, fit_booster, margins
+def test_tuning(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 6))
     y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=1500) * 0.3 > 0).astype(float)
-    m = fit_booster(x[:1000], y[:1000], rounds=80, depth=4, rate=0.1, rows=0.9, features=0.8,
-                    min_rows=3, seed=1)
-    assert auc(y[1000:], margins(m, x[1000:])) > 0.9
-    assert auc(np.array([1, 1]), np.array([0.1, 0.2])) == 0.0
     cols = [f"c{i}" for i in range(6)]
     df = spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y)],
                                ", ".join(f"{c} double" for c in cols) + ", y int")
