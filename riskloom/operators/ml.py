@@ -13,7 +13,9 @@ import json
 import math
 import random
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass, field
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,11 +31,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import risk_band, to_score
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch_table
 from . import stats as st
 from .ordered import exact_quantiles
-from .trees import (Forest, TreeEnsemble, attribute_batch, ensemble_from, ensemble_from_rows,  # noqa: F401
-                    local_surrogates, margin_batch)
+from .trees import (TreeEnsemble, attribute_batch, ensemble_from, ensemble_from_rows,  # noqa: F401
+                    local_surrogates, margin_batch, staged_margins)
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's (hyper-parameters, gate).
@@ -138,18 +140,32 @@ def evaluate(pred: DataFrame, y: str = "label", p: str = "p") -> dict:
 
 
 # --- M3 / M4 / M8 ---------------------------------------------------------------
+#: bytes of feature values per partition of a boosted fit's rows
+FIT_PARTITION_BYTES = 16 << 20
+
+
+@contextmanager
+def fit_rows(train: DataFrame, feature_cols: list[str], label: str):
+    """The rows of a fit, kept for all its rounds, in partitions by their size:
+    a round runs a handful of jobs, and a task that holds a few rows costs as
+    much to start as one that holds many."""
+    rows = train.select(label, *feature_cols).persist()
+    try:
+        parts = max(1, -(-rows.count() * len(feature_cols) * 8 // FIT_PARTITION_BYTES))
+        yield rows.coalesce(parts)
+    finally:
+        rows.unpersist()
+
+
 def train_gbt(train: DataFrame, feature_cols: list[str], label: str = "label",
               params: dict | None = None, seed: int = 42) -> PipelineModel:
-    """One boosted fit.  The training rows are assembled once and kept for all
-    rounds; lineage is cut every 10 rounds in the shared checkpoint folder."""
+    """One boosted fit.  The training rows are kept for all rounds; lineage is
+    cut every 10 rounds in the shared checkpoint folder."""
     params = dict(params or CREDIT_GBT)
     ensure_checkpoint_dir(train.sparkSession)
-    rows = train.select(label, *feature_cols).persist()
     gbt = GBTClassifier(featuresCol="features", labelCol=label, seed=seed, **params)
-    try:
+    with fit_rows(train, feature_cols, label) as rows:
         return Pipeline(stages=[assemble(feature_cols), gbt]).fit(rows)
-    finally:
-        rows.unpersist()
 
 
 def train_credit(train: DataFrame, feature_cols: list[str], label: str = "inadimplente",
@@ -341,49 +357,65 @@ def fraud_combine(iso_score, iso_pred, rf_prob, rf_pred, normalised: bool = Fals
 
 
 # --- M11 ------------------------------------------------------------------------
-def trial_params(n_trials: int, seed: int) -> list[dict]:
-    """The seeded random draws over the six ranges."""
+def trial_params(n_trials: int, seed: int, per_fit: int = 5) -> list[dict]:
+    """The seeded random draws over the six ranges: the number of rounds anew
+    for every trial, the other five for every ``per_fit`` trials, so that those
+    differ in rounds only and are read off one fit."""
     rnd = random.Random(seed)
-    out = []
-    for _ in range(n_trials):
-        lo, hi = TUNE_SPACE["stepSize"]
-        out.append({
-            "maxIter": rnd.randint(*TUNE_SPACE["maxIter"]),
-            "maxDepth": rnd.randint(*TUNE_SPACE["maxDepth"]),
-            "stepSize": math.exp(rnd.uniform(math.log(lo), math.log(hi))),
-            "subsamplingRate": rnd.uniform(*TUNE_SPACE["subsamplingRate"]),
-            "featureSubsetStrategy": str(round(rnd.uniform(*TUNE_SPACE["featureSubsetStrategy"]), 3)),
-            "minInstancesPerNode": rnd.randint(*TUNE_SPACE["minInstancesPerNode"])})
+    out: list = []
+    for i in range(n_trials):
+        if i % per_fit == 0:
+            lo, hi = TUNE_SPACE["stepSize"]
+            setting = {
+                "maxDepth": rnd.randint(*TUNE_SPACE["maxDepth"]),
+                "stepSize": math.exp(rnd.uniform(math.log(lo), math.log(hi))),
+                "subsamplingRate": rnd.uniform(*TUNE_SPACE["subsamplingRate"]),
+                "featureSubsetStrategy": str(round(
+                    rnd.uniform(*TUNE_SPACE["featureSubsetStrategy"]), 3)),
+                "minInstancesPerNode": rnd.randint(*TUNE_SPACE["minInstancesPerNode"])}
+        out.append({"maxIter": rnd.randint(*TUNE_SPACE["maxIter"]), **setting})
     return out
 
 
 def tune(train: DataFrame, val: DataFrame, feature_cols: list[str], label: str,
          n_trials: int = 20, seed: int = 42, parallel: int = 4) -> dict:
     """Seeded random search over the six ranges; maximise validation AUC
-    (``auc_exact``, ties at half weight).  Every trial fits the trees that the
-    final model has (Spark ML, its full number of rounds) on all labelled
-    training rows and is judged on all labelled validation rows; ``parallel``
-    trials run at a time over the cached rows."""
+    (``auc_exact``, ties at half weight).  Trials that differ in their number of
+    rounds only share one fit to the largest of them: a boosted fit's first r
+    trees are those of a fit of r rounds, so every trial's margins are read off
+    the staged sums.  Fits take all labelled training rows (assembled once, kept
+    for all), ``parallel`` at a time; all trials are judged on all labelled
+    validation rows by one grouped aggregate."""
     spark = train.sparkSession
     ensure_checkpoint_dir(spark)
     known = F.col(label).isNotNull()
-    rows, held = (df.filter(known).select(label, *feature_cols).persist() for df in (train, val))
+    held = scratch_table(val.filter(known).select(label, *feature_cols), "validation")
+    trials = trial_params(n_trials, seed)
+    fits: dict = {}
+    for i, params in enumerate(trials):
+        rest = tuple(sorted((k, v) for k, v in params.items() if k != "maxIter"))
+        fits.setdefault(rest, {})[i] = params["maxIter"]
 
-    def run(params: dict) -> float:
+    def run(item) -> DataFrame:
+        setting, rounds = item
         gbt = GBTClassifier(featuresCol="features", labelCol=label, seed=seed,
-                            **{**CREDIT_GBT, **params})
-        model = Pipeline(stages=[assemble(feature_cols), gbt]).fit(rows)
-        scored = positive_prob(model.transform(held)).select(F.col(label).alias("y"), "p")
-        return float(st.auc_exact(scored, "y", "p").first()["auc"] or 0.0)
-    trials = trial_params(n_trials, seed)
-    try:
-        with ThreadPoolExecutor(parallel) as pool:
-            aucs = list(pool.map(inheritable_thread_target(spark)(run), trials))
-    finally:
-        rows.unpersist()
-        held.unpersist()
-    best = min(range(n_trials), key=lambda i: (-aucs[i], i))
-    return {"params": trials[best], "auc": aucs[best]}
+                            **{**CREDIT_GBT, **dict(setting), "maxIter": max(rounds.values())})
+        ens = ensemble_from(PipelineModel([gbt.fit(rows)]))
+        return staged_margins(ens, held, feature_cols, label, rounds)
+
+    with fit_rows(train.filter(known), feature_cols, label) as kept:
+        rows = assemble(feature_cols).transform(kept).select(label, "features").persist()
+        try:
+            with ThreadPoolExecutor(parallel) as pool:
+                scored = list(pool.map(inheritable_thread_target(spark)(run), fits.items()))
+        finally:
+            rows.unpersist()
+    p = reduce(DataFrame.unionByName, scored).select(
+        "trial", "y", (1 / (1 + F.exp(-2 * F.col("margin")))).alias("p"))
+    aucs = {r["trial"]: float(r["auc"] or 0.0)
+            for r in st.auc_exact(p, "y", "p", ["trial"]).collect()}  # one row per trial
+    best = min(range(n_trials), key=lambda i: (-aucs.get(i, 0.0), i))
+    return {"params": trials[best], "auc": aucs.get(best, 0.0)}
 
 
 # --- M12 ------------------------------------------------------------------------
@@ -487,7 +519,7 @@ def training_run(df: DataFrame, feature_cols: list[str], key: str, label: str,
     """M1 split -> M11 tune (optional) -> M3 fit -> A10/A12/A13 on held-out
     rows -> M15 gate -> A16 mean |attribution| over all held-out rows -> S11
     save."""
-    sp = stratified_split(df, key, label, seed).cache()
+    sp = scratch_table(stratified_split(df, key, label, seed), "split")
     train = sp.filter(F.col("split") == "train")
     val = sp.filter(F.col("split") == "val")
     test = sp.filter(F.col("split") == "test")
@@ -504,7 +536,6 @@ def training_run(df: DataFrame, feature_cols: list[str], key: str, label: str,
     if model_path:
         save_model(model, model_path, feature_cols, {"metrics": metrics, "params": p})
     counts = {r["split"]: r["n"] for r in sp.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sp.unpersist()
     res = TrainingResult(metrics, {"aprovado": gate_row["g"]["aprovado"],
                                    "violacoes": list(gate_row["g"]["violacoes"])},
                          p, [(f, float(v)) for f, v in zip(

@@ -19,6 +19,7 @@ from ..functions.scoring import label_fraud_rule, legacy_score_target, segment_n
 from ..operators import ml, prep
 from ..operators import stats as st
 from ..operators.windows import importance_ranking, top_attributions
+from ..session import scratch_table
 from .catalog import finish, register
 from .q_features import _JOINED_SQL, credit_features_df
 
@@ -39,13 +40,16 @@ def credit_training_table(t):
 
 
 def _credit_split(t):
-    return ml.stratified_split(credit_training_table(t), "id_cliente", "inadimplente")
+    """The split training table, stored: its readers do not build it again."""
+    return scratch_table(ml.stratified_split(credit_training_table(t), "id_cliente",
+                                             "inadimplente"), "split")
 
 
-def _credit_model(t):
+def _credit_model(t, split=None):
     k = ("credit", t.sf_dir, t.spark.sparkContext.applicationId)
     if k not in _CACHE:
-        _CACHE[k] = ml.train_credit(_credit_split(t).filter(F.col("split") == "train"),
+        sp = _credit_split(t) if split is None else split
+        _CACHE[k] = ml.train_credit(sp.filter(F.col("split") == "train"),
                                     prep.V2_FEATURES, "inadimplente")
     return _CACHE[k]
 
@@ -98,8 +102,8 @@ def q_scale(t):
 @register("train_credit")
 def q_train_credit(t):
     """M3 + A10/A12/A13: held-out metrics of the credit booster."""
-    pred = ml.positive_prob(_credit_model(t).transform(
-        _credit_split(t).filter(F.col("split") == "test")))
+    sp = _credit_split(t)
+    pred = ml.positive_prob(_credit_model(t, sp).transform(sp.filter(F.col("split") == "test")))
     metrics = ml.evaluate(pred, "inadimplente", "p")
     return t.spark.createDataFrame([metrics]).select(
         "*", ml.validate_gate(None).alias("gate"))

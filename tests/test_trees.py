@@ -152,3 +152,33 @@ def test_a_row_that_fails_keeps_its_error(spark):
     out = trees.local_surrogates(ens, df, ["a"], "id", [1.0], n_samples=50).collect()
     assert sorted(r["id"] for r in out) == [1, 2]
     assert all(r["erro"] and r["feature"] is None for r in out)
+
+
+def test_trials_read_off_one_fit_equal_their_own_fits(spark):
+    """Trials that differ in rounds only: same trees, same AUC, same best."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(900, 4))
+    y = x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=900) * .7 > 0
+    df = spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y)],
+                               "a double, b double, c double, d double, y int").repartition(3)
+    cols, trials = list("abcd"), [dict(maxIter=r, maxDepth=d) for d in (2, 4) for r in (3, 14, 8)]
+    held = df.limit(300)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ml, "trial_params", lambda n, seed: trials)
+        best = ml.tune(df, held, cols, "y", n_trials=6)
+    aucs = []
+    for params in trials:
+        model = ml.train_gbt(df, cols, "y", {**ml.CREDIT_GBT, **params})
+        p = ml.positive_prob(model.transform(held)).select(F.col("y").cast("double").alias("y"), "p")
+        from riskloom.operators import stats as st
+        aucs.append(st.auc_exact(p, "y", "p").first()["auc"])
+    assert best["params"] == trials[int(np.argmax(aucs))] and abs(best["auc"] - max(aucs)) < 1e-9
+
+
+def test_trials_share_settings_by_five():
+    t = ml.trial_params(20, 42)
+    rest = [{k: v for k, v in p.items() if k != "maxIter"} for p in t]
+    assert all(rest[i] == rest[i - i % 5] for i in range(20))
+    assert len({str(r) for r in rest}) == 4 and len({p["maxIter"] for p in t}) > 12
+    for k, (lo, hi) in ml.TUNE_SPACE.items():
+        assert all(lo <= float(p[k]) <= hi for p in t)
