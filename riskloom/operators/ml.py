@@ -357,7 +357,7 @@ def fraud_combine(iso_score, iso_pred, rf_prob, rf_pred, normalised: bool = Fals
 
 
 # --- M11 ------------------------------------------------------------------------
-def trial_params(n_trials: int, seed: int, per_fit: int = 5) -> list[dict]:
+def trial_params(n_trials: int, seed: int, per_fit: int = 7) -> list[dict]:
     """The seeded random draws over the six ranges: the number of rounds anew
     for every trial, the other five for every ``per_fit`` trials, so that those
     differ in rounds only and are read off one fit."""
@@ -400,7 +400,7 @@ def tune(train: DataFrame, val: DataFrame, feature_cols: list[str], label: str,
         setting, rounds = item
         gbt = GBTClassifier(featuresCol="features", labelCol=label, seed=seed,
                             **{**CREDIT_GBT, **dict(setting), "maxIter": max(rounds.values())})
-        ens = ensemble_from(PipelineModel([gbt.fit(rows)]))
+        ens = ensemble_from(PipelineModel([gbt.fit(rows)]), spark)
         return staged_margins(ens, held, feature_cols, label, rounds)
 
     with fit_rows(train.filter(known), feature_cols, label) as kept:

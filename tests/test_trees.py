@@ -175,10 +175,10 @@ def test_trials_read_off_one_fit_equal_their_own_fits(spark):
     assert best["params"] == trials[int(np.argmax(aucs))] and abs(best["auc"] - max(aucs)) < 1e-9
 
 
-def test_trials_share_settings_by_five():
+def test_trials_share_settings():
     t = ml.trial_params(20, 42)
     rest = [{k: v for k, v in p.items() if k != "maxIter"} for p in t]
-    assert all(rest[i] == rest[i - i % 5] for i in range(20))
-    assert len({str(r) for r in rest}) == 4 and len({p["maxIter"] for p in t}) > 12
+    assert all(rest[i] == rest[i - i % 7] for i in range(20))
+    assert len({str(r) for r in rest}) == 3 and len({p["maxIter"] for p in t}) > 12
     for k, (lo, hi) in ml.TUNE_SPACE.items():
         assert all(lo <= float(p[k]) <= hi for p in t)
