@@ -30,6 +30,8 @@ class DriftThresholds:
     min_count: int = 10
     baseline_threshold: float = 0.15
     decay_threshold: float = 0.1
+    #: samples up to this size get an exact KS p-value, larger ones the limit
+    ks_exact_rows: int = st.EXACT_KS_ROWS
 
 
 DEFAULT = DriftThresholds()
@@ -65,7 +67,7 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, numeric: list[str],
     out = st.ks_of(st.two_sample(prof, th.n_bins)).filter(
         (F.col("n_ref") >= th.min_count) & (F.col("n_cur") >= th.min_count))
     if with_p:
-        out = st.with_ks_pvalue(out).withColumn("nivel", drift_level("psi", "ks_p_value", th))
+        out = st.with_ks_pvalue(out, th.ks_exact_rows).withColumn("nivel", drift_level("psi", "ks_p_value", th))
     return out.drop("n_ref", "n_cur", "_small")
 
 
@@ -127,7 +129,7 @@ def _one_feature_drift(ref: DataFrame, cur: DataFrame, c: str, th: DriftThreshol
     out = st.ks_of(st.two_sample(prof, th.n_bins))
     sel = [F.round("psi", 6).alias("psi"), F.round("ks_statistic", 6).alias("ks_statistic")]
     if with_p:
-        out = st.with_ks_pvalue(out)
+        out = st.with_ks_pvalue(out, th.ks_exact_rows)
         sel += [F.round("ks_p_value", 6).alias("ks_p_value"),
                 drift_level("psi", "ks_p_value", th).alias("nivel")]
     sel.append(F.coalesce(F.col("psi") > th.psi_alerta, F.lit(False)).alias("drift_detectado"))

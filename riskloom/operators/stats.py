@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -334,10 +335,54 @@ def ks_pvalue_col(d, n, m, tol: float = 1e-17) -> Column:
             .otherwise(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))))
 
 
-def with_ks_pvalue(ks: DataFrame) -> DataFrame:
-    """Adds ``ks_p_value`` on the one-row-per-feature result."""
-    return ks.withColumn("ks_p_value", F.when(F.col("_small"), F.lit(1.0)).otherwise(
-        ks_pvalue_col("ks_statistic", "n_ref", "n_cur"))).drop("_small")
+#: both samples up to this size: exact p-value; beyond it the limit form
+EXACT_KS_ROWS = 10_000
+
+
+def exact_ks_pvalue(d: float, n: int, m: int) -> float:
+    """P(D >= d) of two samples of ``n`` and ``m`` values without ties: of all
+    orders of the pooled values, equally likely, those whose path leaves the
+    band |i / n - j / m| < d.  The paths that stay inside are counted row by
+    row, one running sum over the band per row; the counts' scale is kept as a
+    logarithm, as they outgrow a double."""
+    h = round(d * n * m)
+    if h <= 0:
+        return 1.0
+    u, scale = np.zeros(m + 1), 0.0
+    u[:min(m, (h - 1) // n) + 1] = 1.0
+    for i in range(1, n + 1):
+        lo = max(0, (i * m - h) // n + 1)
+        hi = min(m, -((-i * m - h) // n) - 1)
+        if lo > hi:
+            return 1.0
+        u[lo:hi + 1] = np.cumsum(u[lo:hi + 1])
+        if u[hi] > 1e200:
+            scale += math.log(u[hi])
+            u[lo:hi + 1] /= u[hi]
+    if u[m] <= 0:
+        return 1.0
+    paths = math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1)
+    return float(min(1.0, max(0.0, -math.expm1(math.log(u[m]) + scale - paths))))
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_ks_udf(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(a) or pd.isna(b) or pd.isna(c)
+                      else exact_ks_pvalue(a, int(b), int(c)) for a, b, c in zip(d, n, m)],
+                     dtype="float64")
+
+
+def with_ks_pvalue(ks: DataFrame, exact_rows: int = EXACT_KS_ROWS) -> DataFrame:
+    """Adds ``ks_p_value`` on the one-row-per-feature result: exact where both
+    samples hold at most ``exact_rows`` values (0: never), else the limit."""
+    limit = ks_pvalue_col("ks_statistic", "n_ref", "n_cur")
+    p = limit
+    if exact_rows > 0:
+        small = F.greatest("n_ref", "n_cur") <= exact_rows
+        size = lambda c: F.when(small & ~F.col("_small"), F.col(c))  # noqa: E731  null: not counted
+        p = F.coalesce(_exact_ks_udf("ks_statistic", size("n_ref"), size("n_cur")), limit)
+    return ks.withColumn("ks_p_value", F.when(F.col("_small"), F.lit(1.0)).otherwise(p)) \
+        .drop("_small")
 
 
 # --- A9 -----------------------------------------------------------------------

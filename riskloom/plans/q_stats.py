@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import drift as dr
 from ..operators import stats as st
 from ..operators.windows import metric_decay
+from ..session import scratch_path
 from ..sources.fixtures import AS_OF_FRAUDE
 from .catalog import finish, register
 
@@ -95,6 +96,10 @@ def _ks_p(d: str, n: str, m: str) -> str:
             f"ELSE least(greatest({high}, 0.0), 1.0) END")
 
 
+#: the reports whose SQL states the limit form at every size
+LIMIT_P = dr.DriftThresholds(ks_exact_rows=0)
+
+
 def _level(psi: str, p: str) -> str:
     return (f"CASE WHEN {psi} IS NULL OR {psi} > 0.5 THEN 'critico' WHEN {psi} > 0.2 THEN 'alerta' "
             f"WHEN {p} < 0.05 THEN 'atencao' ELSE 'ok' END")
@@ -224,7 +229,7 @@ def q_feature_drift(t):
 def q_feature_drift_report(t):
     """D1 + D2 + A18: full feature drift report with p-values and levels."""
     ref, cur = sides(t)
-    return dr.feature_drift(ref, cur, NUM, CAT)
+    return dr.feature_drift(ref, cur, NUM, CAT, LIMIT_P)
 
 
 @register("drift_summary", _with_long(f""",{_REPORT_SQL}
@@ -232,10 +237,92 @@ SELECT feature, psi, drift_detectado, nivel FROM report WHERE feature = '__resum
 def q_drift_summary(t):
     """A18 + D2: mean PSI over numeric features, drift flag, worst level."""
     ref, cur = sides(t)
-    rows = dr.numeric_drift(ref, cur, NUM).withColumn("psi", F.round("psi", 6))
+    rows = dr.numeric_drift(ref, cur, NUM, LIMIT_P).withColumn("psi", F.round("psi", 6))
     return dr.drift_summary(rows).select("feature", "psi", "drift_detectado", "nivel")
 
 
+# ---- A8 exact p-value, approximate A3 / A5 / A8 ------------------------------
+@register("ks_exact_p", """
+WITH RECURSIVE v AS (SELECT CAST(c_nationkey AS VARCHAR) AS feature, c_acctbal AS x,
+    CAST(c_mktsegment = 'BUILDING' AS INTEGER) AS a, CAST(c_mktsegment <> 'BUILDING' AS INTEGER) AS b
+  FROM customer WHERE c_mktsegment IN ('BUILDING', 'AUTOMOBILE') AND c_acctbal IS NOT NULL),
+g AS (SELECT feature, x, sum(a) AS a, sum(b) AS b FROM v GROUP BY ALL),
+c AS (SELECT feature, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER p AS n, sum(b) OVER p AS m
+  FROM g WINDOW w AS (PARTITION BY feature ORDER BY x ROWS UNBOUNDED PRECEDING),
+                p AS (PARTITION BY feature)),
+f AS (SELECT feature, CAST(max(n) AS BIGINT) AS n, CAST(max(m) AS BIGINT) AS m,
+        CAST(max(abs(ca * m - cb * n)) AS BIGINT) AS h FROM c GROUP BY feature
+      HAVING max(n) >= 5 AND max(m) >= 5),
+u AS (SELECT feature, n, m, h, CAST(0 AS BIGINT) AS i, list_transform(range(0, m + 1),
+        lambda j: CASE WHEN j * n < h THEN 1.0::DOUBLE ELSE 0 END) AS u FROM f
+  UNION ALL
+  SELECT feature, n, m, h, i + 1, list_transform(range(0, m + 1), lambda j:
+    CASE WHEN abs((i + 1) * m - j * n) >= h THEN 0.0::DOUBLE ELSE (i + 1) / (i + 1 + m) *
+      list_sum(list_transform(range(0, j + 1), lambda k:
+        CASE WHEN abs((i + 1) * m - k * n) < h THEN u[k + 1] ELSE 0 END)) END)
+  FROM u WHERE i < n)
+SELECT feature, n AS n_ref, m AS n_cur, round(h / (n * m), 6) AS ks_statistic,
+       round(1 - u[m + 1], 6) AS ks_p_value, 1 - u[m + 1] < 0.05 AS drift
+FROM u WHERE i = n""")
+def q_ks_exact_p(t):
+    """A8 with exact p-values: account balances of two market segments, one
+    test per nation, samples small enough for the lattice count."""
+    c = t.customer.select(F.col("c_nationkey").cast("string").alias("feature"),
+                          F.col("c_acctbal").cast("double").alias("value"), "c_mktsegment")
+    side = lambda s: c.filter(F.col("c_mktsegment") == s).drop("c_mktsegment")
+    ks = st.ks_two_sample(side("BUILDING"), side("AUTOMOBILE")).filter(~F.col("_small"))
+    out = st.with_ks_pvalue(ks)
+    return finish(out.select("feature", "n_ref", "n_cur", "ks_statistic", "ks_p_value",
+                             (F.col("ks_p_value") < 0.05).alias("drift")))
+
+
+_SKETCH_PROBS = [i / 10 for i in range(11)]
+
+
+@register("sketch_quantiles", _with_long("""
+SELECT feature, p AS prob, count(*) AS n, true AS dentro_do_erro
+FROM lng, (SELECT unnest([0.0::DOUBLE, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS p) q
+WHERE is_ref GROUP BY feature, p"""))
+def q_sketch_quantiles(t):
+    """A3 / A5, approximate: deciles of a baseline merged from the sketches of
+    its years, each within the stated rank error of the exact one."""
+    from ..operators import sketches as sk
+    ref, _ = sides(t)
+    ref = ref.withColumn("_y", F.year("l_shipdate"))
+    base = scratch_path(t.spark, "sketches")
+    (sk.sketched(st.to_long(ref, NUM, ["_y"]).withColumn(
+        "feature", F.struct("feature", "_y"))).select("feature.*", "n", "lo", "hi", "sketch")
+     .write.partitionBy("_y").parquet(base))  # one snapshot per year
+    q = sk.quantiles(sk.stored_baseline(t.spark, base), _SKETCH_PROBS)
+    at = st.to_long(ref, NUM).join(q.select("feature", "quantiles"), "feature")
+    exact = at.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.array(*[F.count_if(F.col("value") < F.col("quantiles")[i]) for i in range(11)]).alias("lt"),
+        F.array(*[F.count_if(F.col("value") <= F.col("quantiles")[i]) for i in range(11)]).alias("le"))
+    rows = q.join(exact, "feature").select("feature", "n", "rows", F.posexplode(F.arrays_zip(
+        "lt", "le")).alias("i", "c"))
+    p, e = F.col("i") / 10, 2 * sk.rank_error()
+    inside = (F.col("c.lt") / F.col("rows") <= p + e) & (F.col("c.le") / F.col("rows") >= p - e)
+    return rows.select("feature", p.alias("prob"), "n",
+                       (inside & (F.col("n") == F.col("rows"))).alias("dentro_do_erro"))
+
+
+@register("sketch_ks", _with_long("""
+SELECT feature, count(*) FILTER (is_ref) AS n_ref, count(*) FILTER (NOT is_ref) AS n_cur,
+       true AS dentro_do_erro FROM lng GROUP BY feature"""))
+def q_sketch_ks(t):
+    """A8, approximate: the KS statistic of two sketches is within its stated
+    error of the exact one."""
+    from ..operators import sketches as sk
+    ref, cur = sides(t)
+    a, b = st.to_long(ref, NUM), st.to_long(cur, NUM)
+    near = sk.ks_two_sample(sk.sketched(a), sk.sketched(b))
+    exact = st.ks_two_sample(a, b).select("feature", F.col("ks_statistic").alias("exact"))
+    return near.join(exact, "feature").select(
+        "feature", "n_ref", "n_cur",
+        (F.abs(F.col("ks_statistic") - F.col("exact")) <= F.col("erro")).alias("dentro_do_erro"))
+
+
 # ---- D6 / A7 / J5 ------------------------------------------------------------
 _BASE_SQL = """
 base_num AS (SELECT feature, e, list(CAST(n_ref AS DOUBLE) / t ORDER BY bin) AS p
@@ -526,10 +613,11 @@ UNION ALL SELECT 'geral', ['ok', 'atencao', 'alerta', 'critico'][r + 1], r >= 2
 def q_full_drift_report(t):
     """Feature + prediction + concept drift and the overall level."""
     ref, cur = sides(t)
-    fr = dr.feature_drift(ref, cur, NUM, CAT)
+    fr = dr.feature_drift(ref, cur, NUM, CAT, LIMIT_P)
     pr, pc = _pred_sides(t)
     er, ec = _eval_sides(t)
-    return dr.full_drift_report(fr, dr.prediction_drift(pr, pc), dr.concept_drift(er, ec))
+    return dr.full_drift_report(fr, dr.prediction_drift(pr, pc, th=LIMIT_P),
+                                dr.concept_drift(er, ec, th=LIMIT_P))
 
 
 def _window_metrics(df):
