@@ -341,28 +341,25 @@ EXACT_KS_ROWS = 10_000
 
 def exact_ks_pvalue(d: float, n: int, m: int) -> float:
     """P(D >= d) of two samples of ``n`` and ``m`` values without ties: of all
-    orders of the pooled values, equally likely, those whose path leaves the
-    band |i / n - j / m| < d.  The paths that stay inside are counted row by
-    row, one running sum over the band per row; the counts' scale is kept as a
-    logarithm, as they outgrow a double."""
-    h = round(d * n * m)
+    orders of the pooled values, equally likely, those whose path of (i, j)
+    leaves the band |i / n - j / m| < d.  A random path to (i, j) came over
+    (i - 1, j) with probability i / (i + j), so the share that left the band
+    follows diagonal by diagonal: sums of shares only, exact for tiny values
+    as well."""
+    h, both = round(d * n * m), n + m
     if h <= 0:
         return 1.0
-    u, scale = np.zeros(m + 1), 0.0
-    u[:min(m, (h - 1) // n) + 1] = 1.0
-    for i in range(1, n + 1):
-        lo = max(0, (i * m - h) // n + 1)
-        hi = min(m, -((-i * m - h) // n) - 1)
+    out = np.ones(n + 2)  # out[i + 1]: share of the paths to (i, s - i)
+    out[1] = 0.0
+    for s in range(1, both + 1):
+        lo = max(0, s - m, (s * n - h) // both + 1)
+        hi = min(n, s, -((-s * n - h) // both) - 1)
         if lo > hi:
             return 1.0
-        u[lo:hi + 1] = np.cumsum(u[lo:hi + 1])
-        if u[hi] > 1e200:
-            scale += math.log(u[hi])
-            u[lo:hi + 1] /= u[hi]
-    if u[m] <= 0:
-        return 1.0
-    paths = math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1)
-    return float(min(1.0, max(0.0, -math.expm1(math.log(u[m]) + scale - paths))))
+        i = np.arange(lo, hi + 1)
+        out[lo + 1:hi + 2] = (out[lo:hi + 1] * i + out[lo + 1:hi + 2] * (s - i)) / s
+        out[lo] = 1.0
+    return float(out[n + 1])
 
 
 @F.pandas_udf(T.DoubleType())
