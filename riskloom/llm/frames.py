@@ -34,13 +34,30 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """``key`` set to ``value`` in this block."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
+#: shuffle files of a finished write go at once, not when the driver's garbage
+#: collector finds their plan: the written table is what later readers need
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the
     lineage ends there and a lost executor costs a re-read, not a re-run.
     ``codec`` is for wide tables: the session's unless given."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path, compression=codec)
+    with setting(spark, _DROP_SHUFFLES, "true"):
+        df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,13 +65,8 @@ def staged(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
 def arrow_rows(spark: SparkSession, rows: int):
     """Plans made and run in this block hand at most ``rows`` rows at a time
     to Python: for wide cells (whole sets), whose batches would else be large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)):
         yield
-    finally:
-        spark.conf.set(key, old)
 
 
 def fresh_name(columns, base: str) -> str:

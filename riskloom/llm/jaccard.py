@@ -14,13 +14,14 @@ partitions that could give an empty projection leaves empty signatures out,
 any other set keeps them.  A similar pair loses at most that many matches, so
 it still shares a signature; no link is lost.
 
-Equal sets are one class (128-bit digest) before anything is compared.  The
-members of a signature are compared with its lead first; then components are
-built and only pairs of one signature that are still in different components
-are compared: with one representative of each component, and at the end with
-all, so that every pair sharing a signature is either in one component or has
-been verified on the whole sets.  A task settles what meets within itself and
-sends one representative of each signature on.
+Equal sets are one class (128-bit digest) before anything is compared.  A task
+settles what meets within itself and sends one lead of each signature on; the
+classes that signatures connect are a family, so linked sets are in one family.
+All members are compared with the family's root and with the member closest
+to it, then components are built.  What is still in different components is
+decided exactly: small families pair up, in larger ones members meet in cells
+(:func:`cross_links`), where every pair is in one component, cannot be linked,
+or has been measured on the whole lists of its changes against the root.
 
 Defined cases: a text with fewer words than a shingle is one shingle; without
 words (or null) its set is empty, it is linked with nothing and is its own
@@ -341,6 +342,10 @@ class _Links:
             got = staged(near.join(whole[0], "u").join(whole[1], "v")
                          .select("u", "v", "set_u", "set_v")
                          .mapInArrow(_verify(self.sim), "u long, v long"), "linked")
+        self.add(got)
+
+    def add(self, got: DataFrame) -> None:
+        """Verified links."""
         if got.head(1):
             self.links = got if self.links is None else self.links.unionByName(got)
 
@@ -370,91 +375,188 @@ SMALL_FAMILY = 8
 SAMPLE = 128
 
 
-def _changes(sim: Similarity, prefix: bool):
-    """Arrow kernel over (cid, root, set, set of the root, common elements):
-    the elements in which the set differs from its root's.  With ``prefix``
-    only the first, as many as linked sets can differ in and one more: what is
-    new against the root, then what is gone from it, each by hash, then the
-    common elements in their given order."""
+def _changes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The elements in which a set differs from its root's, sorted."""
+    return np.setxor1d(x, y, assume_unique=True)
+
+
+def _each_change(batches):
+    """Arrow kernel over (cid, root, set, set of the root): a row per change."""
+    for batch in batches:
+        root, out = [], []
+        for r, x, y in zip(*(batch.column(i) for i in (1, 2, 3))):
+            d = _changes(*(np.frombuffer(v.as_buffer(), dtype=U) for v in (x, y)))
+            root.append(np.full(len(d), r.as_py()))
+            out.append(d.view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64())
+             for c in (root, out)], ["root", "e"])
+
+
+_MEMBER = "cid long, root long, comp long, n long, changes binary, prefix array<long>"
+
+
+def _members(sim: Similarity):
+    """Arrow kernel over (cid, root, comp, set, set of the root, common
+    elements): a member's size and changes, and which come first: as many as
+    linked sets can differ in and one more, what is new against the root, then
+    what is gone from it, each by hash, then the common elements in their given
+    order."""
     def run(batches):
         for batch in batches:
-            cid, root, out, size, apart = [], [], [], [], []
+            n, changes, prefix = [], [], []
             for i in range(batch.num_rows):
                 x, y, c = (np.frombuffer(batch.column(j)[i].as_buffer(), dtype=U)
-                           if batch.column(j)[i].is_valid else np.zeros(0, U) for j in (2, 3, 4))
-                d = np.setxor1d(x, y, assume_unique=True)
-                far = len(d)
-                if prefix:
-                    n = len(x)
-                    most = (n + n * sim.den // sim.num) * (sim.den - sim.num) // (sim.den + sim.num)
-                    late = np.isin(d, y, assume_unique=True).astype(np.int64)
-                    if len(c):
-                        by = np.argsort(c)
-                        j = np.minimum(np.searchsorted(c, d, sorter=by), len(c) - 1)
-                        known = c[by[j]] == d
-                        late[known] = 2 + by[j[known]]
-                    d = d[np.argsort(late, kind="stable")][:most + 1]
-                cid.append(np.full(len(d), batch.column(0)[i].as_py()))
-                root.append(np.full(len(d), batch.column(1)[i].as_py()))
-                out.append(d.view(np.int64))
-                size.append(np.full(len(d), len(x)))
-                apart.append(np.full(len(d), far))
+                           if batch.column(j)[i].is_valid else np.zeros(0, U) for j in (3, 4, 5))
+                d, size = _changes(x, y), len(x)
+                most = (size + size * sim.den // sim.num) * (sim.den - sim.num) \
+                    // (sim.den + sim.num)
+                late = np.isin(d, y, assume_unique=True).astype(np.int64)
+                if len(c):
+                    by = np.argsort(c)
+                    j = np.minimum(np.searchsorted(c, d, sorter=by), len(c) - 1)
+                    known = c[by[j]] == d
+                    late[known] = 2 + by[j[known]]
+                n.append(size)
+                changes.append(d.tobytes())
+                prefix.append(d[np.argsort(late, kind="stable")][:most + 1].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64())
-                 for c in (cid, root, out, size, apart)], _CHANGE_COLS)
+                [*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()),
+                 pa.array(changes, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                ["cid", "root", "comp", "n", "changes", "prefix"])
     return run
 
 
-_CHANGE_COLS = ["cid", "root", "e", "n", "far"]
-_CHANGES = ", ".join(f"{c} long" for c in _CHANGE_COLS)
+def family_pairs(rows: DataFrame) -> DataFrame:
+    """(u, v) of families of at most SMALL_FAMILY members: those in different
+    components."""
+    small = rows.where(F.col("m") <= SMALL_FAMILY)
+    return (small.select("root", F.col("cid").alias("u"), F.col("comp").alias("cu"))
+            .join(small.select("root", F.col("cid").alias("v"), F.col("comp").alias("cv")), "root")
+            .where("u < v and cu != cv").select("u", "v"))
+
+
+#: members of a cell that are compared in one task; a larger cell is cut into
+#: slices, and every two slices meet
+CELL = 1024
+
+
+def _near_in_cells(sim: Similarity):
+    """Arrow kernel over a bucket of cells (see :func:`cross_links`): links
+    that connect all members of a cell that links connect."""
+    def cell(cid, comp, side, n, lists):
+        g = len(cid)
+        size = np.array([len(x) for x in lists])
+        flat, who = np.concatenate(lists), np.repeat(np.arange(g), size)
+        order = np.argsort(flat, kind="stable")
+        flat, who = flat[order], who[order]
+        new = np.ones(len(flat), dtype=bool)
+        new[1:] = flat[1:] != flat[:-1]
+        code = np.cumsum(new) - 1
+        twice = np.bincount(code)[code] > 1  # elements of one member meet nothing
+        code, who = np.unique(code[twice], return_inverse=True)[1], who[twice]
+        shared = np.zeros((g, g))
+        for lo in range(0, int(code.max(initial=-1)) + 1, 4096):
+            at = (code >= lo) & (code < lo + 4096)
+            m = np.zeros((g, min(4096, int(code.max()) + 1 - lo)), dtype=np.float32)
+            m[who[at], code[at] - lo] = 1
+            shared += m @ m.T
+        # |u xor v| from both sets' changes against one root: exact
+        apart = size[:, None] + size - 2 * shared.astype(np.int64)
+        both = n[:, None] + n
+        common = (both - apart) // 2
+        linked = (common > 0) & (sim.den * common >= sim.num * (both - common))
+        linked &= comp[:, None] != comp
+        if side.min() != side.max():
+            linked &= side[:, None] != side
+        seen = np.zeros(g, dtype=bool)
+        for s in range(g):
+            if seen[s]:
+                continue
+            seen[s], todo = True, [s]
+            while todo:
+                u = todo.pop()
+                for v in np.flatnonzero(linked[u] & ~seen).tolist():
+                    seen[v] = True
+                    todo.append(v)
+                    yield int(cid[u]), int(cid[v])
+
+    def run(table: pa.Table) -> pa.Table:
+        key = [table[c].to_numpy() for c in ("y", "x", "e", "root")]
+        order = np.lexsort(key)
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in key], axis=0)
+        starts = np.append(np.flatnonzero(new), len(order))
+        cid, comp, side, n = (table[c].to_numpy() for c in ("cid", "comp", "side", "n"))
+        changes = table["changes"].combine_chunks()
+        u, v = [], []
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            at = order[lo:hi]
+            if len(at) > 1 and (comp[at] != comp[at[0]]).any():
+                lists = [np.frombuffer(changes[i].as_buffer(), dtype=U) for i in at.tolist()]
+                for a, b in cell(cid[at], comp[at], side[at], n[at], lists):
+                    u.append(a)
+                    v.append(b)
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+    return run
 
 
-def cross_pairs(rows: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
-    """(u, v) that may still be linked: members of one family in different
-    components.  Small families pair up in full.  In a larger one all members
-    have been compared with the root, so of two that are linked but in
-    different components at least one differs from the root in more elements
-    than linked sets do; their changes against the root then share an element
-    among the first of each (the prefix filter on sets a bounded Hamming
-    distance apart, in any order common to the family).  What a member has new
-    comes first in that order and changes that a sample of the family shares
-    last, the most frequent at the end, so copies of one text with different
-    changes do not meet."""
-    small = rows.where(F.col("m") <= SMALL_FAMILY)
-    pairs = (small.select("root", F.col("cid").alias("u"), F.col("comp").alias("cu"))
-             .join(small.select("root", F.col("cid").alias("v"), F.col("comp").alias("cv")), "root")
-             .where("u < v and cu != cv").select("u", "v"))
+def cross_links(rows: DataFrame, sets: DataFrame, sim: Similarity, bucket_bytes: int) -> DataFrame:
+    """(u, v): links between different components of a large family, enough of
+    them to connect all that links connect.
+
+    All members have been compared with the root, so of two that are linked
+    but in different components at least one differs from the root in more
+    elements than linked sets do; their changes against the root then share an
+    element among the first of each (the prefix filter on sets a bounded
+    Hamming distance apart, in any order common to the family).  What a member
+    has new comes first in that order and changes that a sample of the family
+    shares last, the most frequent at the end, so copies of one text with
+    different changes do not meet.
+
+    The members with one such element are a cell; cells within one component
+    are done.  The others go, whole lists of changes with them, to tasks of
+    bounded size, where two lists give the two sets' exact distance: no pair
+    leaves its task but the links that are needed.  A cell of more than CELL
+    members is cut into slices, and each two slices meet in a task."""
+    spark = rows.sparkSession
     large = staged(rows.where((F.col("m") > SMALL_FAMILY) & (F.col("cid") != F.col("root"))), "large")
     if not large.head(1):
-        return pairs
+        return spark.createDataFrame([], "u long, v long")
     own = sets.select("cid", "shingles")
     roots = sets.select(F.col("cid").alias("root"), F.col("shingles").alias("root_set"))
     drawn = (F.xxhash64(F.lit(5), F.col("cid")) / float(1 << 63) + 1) / 2 * F.col("m") < SAMPLE
     sample = (large.where(drawn).join(own, "cid").join(roots, "root")
-              .select("cid", "root", "shingles", "root_set", F.lit(None).cast("binary").alias("c"))
-              .mapInArrow(_changes(sim, False), _CHANGES))
-    with arrow_rows(rows.sparkSession, SET_ROWS):
+              .select("cid", "root", "shingles", "root_set")
+              .mapInArrow(_each_change, "root long, e long"))
+    with arrow_rows(spark, SET_ROWS):
         # at most SAMPLE members' changes per family
         common = staged(
             sample.groupBy("root", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
             .groupBy("root").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("e"))
             .select("root", _packed(F.transform("e", lambda x: x["e"])).alias("common")), "common")
-        first = staged(
+        member = staged(
             large.join(own, "cid").join(roots, "root").join(common, "root", "left")
-            .select("cid", "root", "shingles", "root_set", "common")
-            .mapInArrow(_changes(sim, True), _CHANGES), "changes")
-    shared = first.groupBy("root", "e").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")) \
-        .where("lo < hi").select("root", "e")
-    met = first.join(shared, ["root", "e"], "left_semi").join(large.select("cid", "comp"), "cid")
-    side = [met.select("root", "e", F.col("cid").alias(c), F.col("comp").alias(f"c{c}"),
-                       F.col("n").alias(f"n{c}"), F.col("far").alias(f"far{c}"))
-            for c in ("u", "v")]
-    # length bounds: of the sets, and of their distances to the root
-    most = F.floor((F.col("nu") + F.col("nv")) * (sim.den - sim.num) / (sim.den + sim.num))
-    near = ((F.least("nu", "nv") * sim.den >= F.greatest("nu", "nv") * sim.num)
-            & (F.abs(F.col("faru") - F.col("farv")) <= most))
-    return pairs.union(side[0].join(side[1], ["root", "e"])
-                       .where(F.expr("u < v and cu != cv") & near).select("u", "v"))
+            .select("cid", "root", "comp", "shingles", "root_set", "common")
+            .mapInArrow(_members(sim), _MEMBER), "members")
+    first = member.select("root", "cid", "comp", F.explode("prefix").alias("e"))
+    cells = first.groupBy("root", "e").agg(
+        F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
+        .where("lo < hi").select("root", "e", F.ceil(F.col("g") / CELL).cast("int").alias("parts"))
+    side = F.pmod(F.xxhash64(F.lit(9), F.col("cid")), F.col("parts")).cast("int")
+    met = staged(first.join(cells, ["root", "e"]).select(
+        "root", "e", "cid", side.alias("side"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with")).select(
+        "root", "e", "cid", "side", F.least("side", "with").alias("x"),
+        F.greatest("side", "with").alias("y")), "cells")
+    sent = met.join(member.select("cid", "comp", "n", "changes"), "cid")
+    size = met.join(member.select("cid", F.length("changes").alias("b")), "cid").agg(
+        F.sum(F.col("b") + 64)).first()[0]
+    if not size:
+        return spark.createDataFrame([], "u long, v long")
+    n_buckets = bucket_count(spark, int(size), bucket_bytes)
+    sent = sent.withColumn("bucket", F.pmod(F.xxhash64("root", "e", "x", "y"), F.lit(n_buckets)))
+    return staged(sent.groupBy("bucket").applyInArrow(_near_in_cells(sim), "u long, v long"), "met")
 
 
 def _packed(longs):
@@ -519,7 +621,9 @@ def _components_and_first(docs: DataFrame, *, num: int, den: int, shingle: int,
         links.test(star.join(centre, "u").where("v != centre")
                    .select(F.col("centre").alias("u"), "v"))
         links.settle()
-        links.test(cross_pairs(links.open_families(family), sets, sim))
+        open_ = links.open_families(family)
+        links.test(family_pairs(open_))
+        links.add(cross_links(open_, sets, sim, bucket_bytes))
         links.settle()
     if links is None or links.comp is None:
         joined = classes.select("s1", "s2", F.col("low").alias("component"),
