@@ -380,50 +380,60 @@ def _changes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.setxor1d(x, y, assume_unique=True)
 
 
-def _each_change(batches):
-    """Arrow kernel over (cid, root, set, set of the root): a row per change."""
+_CHANGED = "cid long, root long, comp long, n long, changes binary, gone binary"
+
+
+def _changed(batches):
+    """Arrow kernel over (cid, root, comp, set, set of the root): a member's
+    size, its changes and, a byte each, whether the element is gone."""
     for batch in batches:
-        root, out = [], []
-        for r, x, y in zip(*(batch.column(i) for i in (1, 2, 3))):
-            d = _changes(*(np.frombuffer(v.as_buffer(), dtype=U) for v in (x, y)))
-            root.append(np.full(len(d), r.as_py()))
-            out.append(d.view(np.int64))
+        n, changes, gone = [], [], []
+        for i in range(batch.num_rows):
+            x, y = (np.frombuffer(batch.column(j)[i].as_buffer(), dtype=U) for j in (3, 4))
+            d = _changes(x, y)
+            n.append(len(x))
+            changes.append(d.tobytes())
+            gone.append(np.isin(d, y, assume_unique=True).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64())
-             for c in (root, out)], ["root", "e"])
+            [*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()),
+             pa.array(changes, pa.binary()), pa.array(gone, pa.binary())],
+            ["cid", "root", "comp", "n", "changes", "gone"])
 
 
-_MEMBER = "cid long, root long, comp long, n long, changes binary, prefix array<long>"
+def _each_change(batches):
+    """Arrow kernel over (root, changes): a row per change."""
+    for batch in batches:
+        for r, d in zip(*(batch.column(i) for i in (0, 1))):
+            e = np.frombuffer(d.as_buffer(), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), r.as_py())), pa.array(e)],
+                                             ["root", "e"])
 
 
-def _members(sim: Similarity):
-    """Arrow kernel over (cid, root, comp, set, set of the root, common
-    elements): a member's size and changes, and which come first: as many as
-    linked sets can differ in and one more, what is new against the root, then
-    what is gone from it, each by hash, then the common elements in their given
-    order."""
+def _first_changes(sim: Similarity):
+    """Arrow kernel over (cid, root, comp, n, changes, gone, common elements):
+    the changes that come first, as many as linked sets can differ in and one
+    more: what is new against the root, then what is gone from it, each by
+    hash, then the common elements in their given order."""
     def run(batches):
         for batch in batches:
-            n, changes, prefix = [], [], []
+            prefix = []
             for i in range(batch.num_rows):
-                x, y, c = (np.frombuffer(batch.column(j)[i].as_buffer(), dtype=U)
-                           if batch.column(j)[i].is_valid else np.zeros(0, U) for j in (3, 4, 5))
-                d, size = _changes(x, y), len(x)
+                d = np.frombuffer(batch.column(4)[i].as_buffer(), dtype=U)
+                late = np.frombuffer(batch.column(5)[i].as_buffer(), dtype=np.uint8).astype(np.int64)
+                c = (np.frombuffer(batch.column(6)[i].as_buffer(), dtype=U)
+                     if batch.column(6)[i].is_valid else np.zeros(0, U))
+                size = batch.column(3)[i].as_py()
                 most = (size + size * sim.den // sim.num) * (sim.den - sim.num) \
                     // (sim.den + sim.num)
-                late = np.isin(d, y, assume_unique=True).astype(np.int64)
                 if len(c):
                     by = np.argsort(c)
                     j = np.minimum(np.searchsorted(c, d, sorter=by), len(c) - 1)
                     known = c[by[j]] == d
                     late[known] = 2 + by[j[known]]
-                n.append(size)
-                changes.append(d.tobytes())
                 prefix.append(d[np.argsort(late, kind="stable")][:most + 1].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()),
-                 pa.array(changes, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["cid", "root", "comp", "n", "changes", "prefix"])
+                [*(batch.column(i) for i in range(3)), pa.array(prefix, pa.list_(pa.int64()))],
+                ["cid", "root", "comp", "prefix"])
     return run
 
 
@@ -525,24 +535,31 @@ def cross_links(rows: DataFrame, sets: DataFrame, sim: Similarity, bucket_bytes:
         return spark.createDataFrame([], "u long, v long")
     own = sets.select("cid", "shingles")
     roots = sets.select(F.col("cid").alias("root"), F.col("shingles").alias("root_set"))
-    drawn = (F.xxhash64(F.lit(5), F.col("cid")) / float(1 << 63) + 1) / 2 * F.col("m") < SAMPLE
-    sample = (large.where(drawn).join(own, "cid").join(roots, "root")
-              .select("cid", "root", "shingles", "root_set")
-              .mapInArrow(_each_change, "root long, e long"))
     with arrow_rows(spark, SET_ROWS):
-        # at most SAMPLE members' changes per family
-        common = staged(
-            sample.groupBy("root", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-            .groupBy("root").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("e"))
-            .select("root", _packed(F.transform("e", lambda x: x["e"])).alias("common")), "common")
-        member = staged(
-            large.join(own, "cid").join(roots, "root").join(common, "root", "left")
-            .select("cid", "root", "comp", "shingles", "root_set", "common")
-            .mapInArrow(_members(sim), _MEMBER), "members")
-    first = member.select("root", "cid", "comp", F.explode("prefix").alias("e"))
+        # the only read of whole sets
+        member = staged(large.join(own, "cid").join(roots, "root")
+                        .select("cid", "root", "comp", "shingles", "root_set")
+                        .mapInArrow(_changed, _CHANGED), "members")
+    drawn = (F.xxhash64(F.lit(5), F.col("cid")) / float(1 << 63) + 1) / 2 * F.col("m") < SAMPLE
+    sample = (member.join(large.where(drawn).select("cid"), "cid", "left_semi")
+              .select("root", "changes").mapInArrow(_each_change, "root long, e long"))
+    # at most SAMPLE members' changes per family
+    common = staged(
+        sample.groupBy("root", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        .groupBy("root").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("e"))
+        .select("root", _packed(F.transform("e", lambda x: x["e"])).alias("common")), "common")
+    first = staged(member.join(common, "root", "left")
+                   .select("cid", "root", "comp", "n", "changes", "gone", "common")
+                   .mapInArrow(_first_changes(sim), "cid long, root long, comp long, "
+                                                    "prefix array<long>")
+                   .select("root", "cid", "comp", F.explode("prefix").alias("e")), "first")
+    each = lambda i: F.bit_xor(F.xxhash64(F.lit(i), F.col("cid")))
     cells = first.groupBy("root", "e").agg(
-        F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-        .where("lo < hi").select("root", "e", F.ceil(F.col("g") / CELL).cast("int").alias("parts"))
+        F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+        each(1).alias("s1"), each(2).alias("s2")).where("lo < hi")
+    # of cells with the same members (128-bit digest) one is enough
+    cells = cells.groupBy("root", "g", "s1", "s2").agg(F.min("e").alias("e")) \
+        .select("root", "e", F.ceil(F.col("g") / CELL).cast("int").alias("parts"))
     side = F.pmod(F.xxhash64(F.lit(9), F.col("cid")), F.col("parts")).cast("int")
     met = staged(first.join(cells, ["root", "e"]).select(
         "root", "e", "cid", side.alias("side"),

@@ -307,3 +307,54 @@ def test_many_strata_take_the_joined_path(spark, monkeypatch):
     monkeypatch.setattr(rules, "BROADCAST_STRATA", 0)
     got = sorted((x["doc_id"], x["rejected_by"]) for x in rules.judged(df, lab, alpha=.1)[0].collect())
     assert got == want and any(h for _, h in got) and got[-1][1] == []
+
+
+# --------------------------------------------- open families of the Jaccard join
+
+@pytest.mark.parametrize("cell,num,den", [(1024, 9, 10), (4, 9, 10), (5, 4, 5)])
+def test_open_families_are_decided_in_cells(spark, monkeypatch, cell, num, den):
+    """Copies of one text with changes around the threshold: every family is
+    large, cells are cut into slices, and the components are brute force's."""
+    from riskloom.llm import jaccard
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    monkeypatch.setattr(jaccard, "SMALL_FAMILY", 2)
+    met = []
+    whole = jaccard.cross_links
+
+    def counted(*a, **k):
+        out = whole(*a, **k)
+        met.append(out.count())
+        return out
+    monkeypatch.setattr(jaccard, "cross_links", counted)
+    r, rows = random.Random(num), []
+    for t in range(2):
+        base = [f"t{t}w{i}" for i in range(90)]
+        forks = []
+        for f in range(4):  # far from each other, with copies of their own
+            fork = list(base)
+            for at in r.sample(range(90), 5):
+                fork[at] = f"f{f}x{at}"
+            forks.append(fork)
+        for i in range(45):
+            text = list(r.choice(forks))
+            for at in r.sample(range(90), r.choice([0, 1, 1, 2, 3])):
+                text[at] = f"y{r.randrange(6)}"
+            rows.append((1000 * t + i, " ".join(text)))
+    sets = {i: {tuple(x.split()[k:k + 3]) for k in range(88)} for i, x in rows}
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] | sets[b])
+            if a < b and den * len(sets[a] & sets[b]) >= num * both:
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard.components_of_similar(df, num=num, den=den, shingle=3)
+    assert {x["id"]: x["component_id"] for x in got.collect()} == {i: root(i) for i in sets}
+    if num == 9:
+        assert met and met[0] > 0
