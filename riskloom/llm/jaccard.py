@@ -585,6 +585,26 @@ def _packed(longs):
     return F.unhex(swap)
 
 
+#: bits of the map that tells texts without a partner from the rest: 8 MB
+MAP_BITS = 1 << 26
+
+
+def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``wanted``: a bit
+    per hash value, in at most MAP_BITS / 32768 rows of 4 KB whatever the size
+    of ``wanted``, so texts that no join needs are not shuffled.  A shared bit
+    lets a row pass; the join that follows decides."""
+    at = lambda c: F.pmod(F.col(c), F.lit(MAP_BITS)) + 1
+    bits = staged(wanted.groupBy(F.bitmap_bucket_number(at(key)).alias("_block"))
+                  .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at(key))).alias("_bits")), "map")
+    place = F.bitmap_bit_position(at(key)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    found = rows.withColumn("_block", F.bitmap_bucket_number(at(key))).join(
+        F.broadcast(bits), "_block")
+    set_ = F.floor(byte.cast("int") / F.pow(F.lit(2), place % 8)).cast("int") % 2 == 1
+    return found.where(set_).drop("_block", "_bits")
+
+
 def components_of_similar(docs: DataFrame, *, num: int, den: int, shingle: int,
                           id_col: str = "doc_id", text_col: str = "text",
                           bucket_bytes: int = 8 << 20) -> DataFrame:
@@ -619,7 +639,8 @@ def _components_and_first(docs: DataFrame, *, num: int, den: int, shingle: int,
         met = staged(met, "met")
         some = met.select("s1").union(met.select(F.col("lead").alias("s1"))).distinct()
         near = staged(classes.join(some, "s1", "left_semi"), "classes")
-        text = rows.join(near.select(F.col("cid").alias("key"), "s1", "s2"), "key")
+        text = likely(rows, "key", near.select(F.col("cid").alias("key"))).join(
+            near.select(F.col("cid").alias("key"), "s1", "s2"), "key")
         sets = staged(text.select("key", "s1", "s2", "text").mapInArrow(
             _sets(shingle), "cid long, n long, sketch binary, shingles binary"), "sets")
         links = _Links(sets, sim)

@@ -358,3 +358,17 @@ def test_open_families_are_decided_in_cells(spark, monkeypatch, cell, num, den):
     assert {x["id"]: x["component_id"] for x in got.collect()} == {i: root(i) for i in sets}
     if num == 9:
         assert met and met[0] > 0
+
+
+def test_likely_rows_keep_every_wanted_one(spark, monkeypatch):
+    from riskloom.llm import jaccard
+    rows = spark.range(4000).select((F.col("id") * 7919).alias("key"), F.lit("t").alias("text"))
+    wanted = rows.where("key % 37 = 0").select("key")
+    want = {r["key"] for r in wanted.collect()}
+    for size in (1 << 26, 1 << 16, 1 << 8):
+        monkeypatch.setattr(jaccard, "MAP_BITS", size)
+        got = jaccard.likely(rows, "key", wanted)
+        assert got.columns == rows.columns
+        keys = {r["key"] for r in got.collect()}
+        assert want <= keys and (size < 1 << 20 or keys == want)
+        assert jaccard.likely(rows, "key", wanted.limit(0)).count() == 0
