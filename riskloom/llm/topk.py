@@ -14,7 +14,7 @@ meet in one small shuffle by query.
 Defined cases: vectors that are null or hold null or non-finite components,
 and rows without an id, take no part; only vectors of one length are compared;
 a query's own id is never its answer; of rows that repeat a query's id the
-least vector asks; every repeated candidate row counts; other columns are
+least valid vector asks; every repeated candidate row counts; other columns are
 ignored.
 """
 
@@ -125,7 +125,10 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embeddi
     query being each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v"))
-    asked = rows.where((F.col("i") % every == 0) & F.col("v").isNotNull()) \
+    # an invalid vector must not stand for the valid ones of its id
+    valid = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)
+                     & (F.abs(x) < F.lit(float("inf"))))
+    asked = rows.where((F.col("i") % every == 0) & F.col("v").isNotNull() & valid) \
         .groupBy("i").agg(F.min("v").alias("v"))
     n_blocks = max(1, -(-asked.count() // block))
     sample = rows.where("i is not null and v is not null").orderBy(

@@ -372,3 +372,15 @@ def test_likely_rows_keep_every_wanted_one(spark, monkeypatch):
         keys = {r["key"] for r in got.collect()}
         assert want <= keys and (size < 1 << 20 or keys == want)
         assert jaccard.likely(rows, "key", wanted.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------------ top-k
+
+def test_an_invalid_row_does_not_silence_its_query(spark):
+    from riskloom.llm.topk import top_k
+    rows = [(50, [None, 1.0]), (50, [1.0, 0.5]), (50, [float("nan"), 0.0]), (1, [1.0, 1.0]),
+            (2, [0.5, 0.0]), (100, [-math.inf, 1.0]), (150, None)]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        got = [tuple(r) for r in top_k(df).orderBy("query_id", "rank").collect()]
+        assert got == [(50, 1, 1, 256 * 256 + 128 * 256), (50, 2, 2, 128 * 256)]
