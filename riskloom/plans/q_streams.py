@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stats as st
 from ..sources import fixtures as fx
-from ..streaming import jobs
+from ..streaming import jobs, sinks, trailing
 from . import catalog
 from .catalog import finish, register
 from .q_stats import CAT, NUM, SPLIT
@@ -61,6 +61,19 @@ def q_stream_velocity(t):
     return _ntz(jobs.drain(jobs.velocity(s, watermark=LATENESS), ["conta_id", "inicio", "fim"], "x3"), ["inicio", "fim"])
 
 
+@register("stream_trailing_counts", """
+SELECT id, conta_id,
+  COUNT(*) OVER (PARTITION BY conta_id ORDER BY data_transacao RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS transactions_last_hour,
+  COUNT(*) OVER (PARTITION BY conta_id ORDER BY data_transacao RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS transactions_last_day
+FROM fx_fraude""")
+def q_stream_trailing_counts(t):
+    """X3 with W2: exact 1 h / 24 h trailing counts per account, kept in keyed
+    state with event-time timers over the event stream."""
+    s = fx.fx_fraude(_StreamTables(t))
+    return jobs.drain(trailing.trailing_counts_stream(s, watermark=LATENESS),
+                      ["id", "conta_id"], "x3-trailing")
+
+
 @register("stream_metrics_hourly", """
 SELECT date_trunc('hour', ts) AS hora, count(*) AS predictions_count,
        count(*) FILTER (WHERE event_type = 'error') AS error_count,
@@ -97,4 +110,4 @@ def q_stream_baseline_drift(t):
               .filter(F.col("l_shipdate") >= cut).select(*NUM, *CAT))
     d = jobs.scratch_dir(t.spark, "x5")
     jobs.baseline_drift_stream(stream, base, f"{d}/out", f"{d}/ck", drain=True).awaitTermination()
-    return finish(t.spark.read.parquet(f"{d}/out"))
+    return finish(sinks.read_batches(t.spark, f"{d}/out"))

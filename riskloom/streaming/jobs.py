@@ -8,7 +8,7 @@ the shared folder the cluster names in ``spark.checkpoint.dir``: a restarted or
 re-scheduled query resumes from its offsets.
 
 ``drain`` runs a query with ``trigger(availableNow=True)`` and keeps, per
-result key, the last version written (an upsert log in ``foreachBatch``).  The
+result key, the last version written (a log of updates by batch, see ``sinks``).  The
 drained result equals the batch computation over the same rows if the lateness
 covers the disorder of the input across its micro-batches.
 """
@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.scoring import risk_band
 from ..operators import drift as dr
 from ..session import scratch_path, scratch_table
+from . import sinks
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -90,7 +91,8 @@ def prediction_distribution(events: DataFrame, ts: str = "momento", prob: str =
 # --- X3 -----------------------------------------------------------------------
 def velocity(events: DataFrame, key: str = "conta_id", ts: str = "data_transacao",
              window: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
-    """Transactions per account per tumbling window."""
+    """Transactions per account per tumbling window (the exact trailing counts
+    of every row are :func:`trailing.trailing_counts_stream`)."""
     events = _event_time(events, ts, watermark)
     return (events.groupBy(F.window(F.col(ts), window).alias("w"), key)
             .agg(F.count(F.lit(1)).alias("n"))
@@ -114,35 +116,31 @@ def metrics_hourly(events: DataFrame, ts: str = "ts", is_error=None,
 def baseline_drift_stream(stream: DataFrame, baseline: DataFrame, out_path: str,
                           checkpoint: str, drain: bool = False) -> StreamingQuery:
     """Per micro-batch, D6 against the stored baseline (one row per bin or
-    category); rows appended with the batch id.  The batch is kept while the
-    report reads it."""
+    category), kept under the batch id: a replayed batch takes the place of its
+    first attempt (:func:`sinks.read_batches` reads the reports)."""
     base = scratch_table(baseline, "baseline")
-
-    def per_batch(batch: DataFrame, batch_id: int):
-        batch = batch.persist()
-        if not batch.isEmpty():
-            rep = dr.baseline_drift(base, batch).withColumn("batch_id", F.lit(batch_id))
-            rep.write.mode("append").parquet(out_path)
-        batch.unpersist()
-    w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    w = stream.writeStream.foreachBatch(
+        sinks.batch_writer(out_path, lambda batch: dr.baseline_drift(base, batch))) \
+        .option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if drain else w).start()
 
 
 # --- drain helper ---------------------------------------------------------------
 def drain(agg: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Run a streaming aggregation to the end of its input (availableNow) in
-    update mode; every micro-batch appends its updated rows with the batch
-    id; the result keeps the newest version of each key."""
+    update mode; every micro-batch keeps its updated rows under the batch id,
+    once however often it is replayed; the result keeps the newest version of
+    each key."""
     spark = agg.sparkSession
     base = scratch_dir(spark, name)
-    out, ck = f"{base}/out", f"{base}/checkpoint"
-
-    def upsert(batch: DataFrame, batch_id: int):
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
-    q = (agg.writeStream.outputMode("update").foreachBatch(upsert)
-         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q = (agg.writeStream.outputMode("update").foreachBatch(sinks.batch_writer(f"{base}/out"))
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    res = spark.read.parquet(out)
-    cols = [c for c in res.columns if c not in keys and c != "_batch"]
-    return (res.groupBy(*keys).agg(F.max_by(F.struct(*cols), "_batch").alias("_r"))
+    return newest(sinks.read_batches(spark, f"{base}/out"), keys)
+
+
+def newest(log: DataFrame, keys: list[str]) -> DataFrame:
+    """The last version of each key in a log of updates by batch."""
+    cols = [c for c in log.columns if c not in keys and c != "batch_id"]
+    return (log.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch_id").alias("_r"))
             .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols]))
