@@ -349,22 +349,26 @@ def r1_decide(cases: DataFrame, answers: DataFrame, key: str = "case_key") -> Da
     -> DEFER; rationale falls back to the raw text.  ``provider_failed`` marks
     the cases whose call raised."""
     j = with_dti(cases).join(answers.select(key, "c0"), key, "left")
+    return j.select("*", *[c.alias(n) for n, c in _r1_columns().items()]).drop("c0")
+
+
+def _r1_columns() -> dict[str, Column]:
+    """R1's decision from ``c0``."""
     c0 = F.col("c0")
     p = c0["p"]
-    return j.select(
-        "*",
-        F.lit("R1").alias("regime"),
-        _valid_decision(p["decision"]).alias("decision"),
-        F.coalesce(p["rationale"], c0["raw"]).alias("rationale"),
-        F.coalesce(p["pro_arguments"], _empty_arr()).alias("pro_arguments"),
-        F.coalesce(p["con_arguments"], _empty_arr()).alias("con_arguments"),
-        _empty_arr().alias("gates_triggered"),
-        F.lit(True).alias("i6q_passed"),
-        F.lit(None).cast("string").alias("entropy_nonce"),
-        F.coalesce(c0["tokens"], F.lit(0)).cast("long").alias("tokens_used"),
-        F.lit(0).alias("i6q_retries"),
-        F.lit(False).alias("hard_gate_override"),
-        F.coalesce(c0["failed"], F.lit(False)).alias("provider_failed")).drop("c0")
+    return {
+        "regime": F.lit("R1"),
+        "decision": _valid_decision(p["decision"]),
+        "rationale": F.coalesce(p["rationale"], c0["raw"]),
+        "pro_arguments": F.coalesce(p["pro_arguments"], _empty_arr()),
+        "con_arguments": F.coalesce(p["con_arguments"], _empty_arr()),
+        "gates_triggered": _empty_arr(),
+        "i6q_passed": F.lit(True),
+        "entropy_nonce": F.lit(None).cast("string"),
+        "tokens_used": F.coalesce(c0["tokens"], F.lit(0)).cast("long"),
+        "i6q_retries": F.lit(0),
+        "hard_gate_override": F.lit(False),
+        "provider_failed": F.coalesce(c0["failed"], F.lit(False))}
 
 
 # --- G11 / G12 ----------------------------------------------------------------
@@ -416,6 +420,17 @@ def r2_decide(cases: DataFrame, answers: DataFrame, key: str = "case_key",
     ESCALATE, ambiguity gate override, prefixes on the rationale, seeded
     nonce.  A failed call is an empty answer."""
     j = _r2_fold(cases, answers, key, th, th.max_i6q_retries).withColumn("_gate", hard_gates())
+    return j.select(*_case_columns(j, th), *[c.alias(n) for n, c in _r2_columns(th).items()])
+
+
+def _case_columns(j: DataFrame, th: GovernanceThresholds) -> list[str]:
+    """Columns of the cases in a joined table of cases and answers."""
+    answers = {"c0", "best", "tok", *(f"a{r}" for r in range(1, th.max_i6q_retries + 1))}
+    return [c for c in j.columns if not c.startswith("_") and c not in answers]
+
+
+def _r2_columns(th: GovernanceThresholds) -> dict[str, Column]:
+    """R2's decision from the fold's columns and ``_gate``."""
     failed_dec = F.when(F.col("_passed"), F.col("_dec")).otherwise(F.lit("ESCALATE"))
     failed_rat = F.when(F.col("_passed"), F.col("_rat")).otherwise(
         F.concat(F.lit(PREFIX_I6Q), F.col("_rat")))
@@ -424,25 +439,22 @@ def r2_decide(cases: DataFrame, answers: DataFrame, key: str = "case_key",
     rat = F.when(amb.isNotNull(), F.concat(F.format_string(PREFIX_AMBIGUITY, amb), failed_rat)) \
         .otherwise(failed_rat)
     gated = F.col("_gate").isNotNull()
-    drop = {"c0", "best", "tok", *(f"a{r}" for r in range(1, th.max_i6q_retries + 1))}
-    return j.select(
-        *[c for c in j.columns if not c.startswith("_") and c not in drop],
-        F.lit("R2").alias("regime"),
-        F.when(gated, F.col("_gate.forced_decision")).otherwise(dec).alias("decision"),
-        F.when(gated, F.col("_gate.rationale")).otherwise(rat).alias("rationale"),
-        F.when(gated, _empty_arr()).otherwise(F.col("_pro")).alias("pro_arguments"),
-        F.when(gated, _empty_arr()).otherwise(F.col("_con")).alias("con_arguments"),
-        F.when(gated, F.array(F.col("_gate.gate_id")))
-        .when(amb.isNotNull(), F.array(F.lit(GATE_AMBIGUITY))).otherwise(_empty_arr())
-        .alias("gates_triggered"),
-        F.when(gated, F.lit(True)).otherwise(F.col("_passed")).alias("i6q_passed"),
-        F.when(gated, F.lit(None).cast("string")).otherwise(commit_nonce(th.nonce_seed))
-        .alias("entropy_nonce"),
-        F.when(gated, F.lit(0).cast("long")).otherwise(F.col("_tok")).alias("tokens_used"),
-        F.when(gated, F.lit(0)).otherwise(F.col("_retries")).alias("i6q_retries"),
-        gated.alias("hard_gate_override"),
-        F.when(gated, F.lit(None).cast("string")).otherwise(F.col("_details")).alias("i6q_details"),
-        F.lit(False).alias("provider_failed"))
+    free = lambda out: F.when(~gated, out)  # noqa: E731  null where a gate decides
+    return {
+        "regime": F.lit("R2"),
+        "decision": F.when(gated, F.col("_gate.forced_decision")).otherwise(dec),
+        "rationale": F.when(gated, F.col("_gate.rationale")).otherwise(rat),
+        "pro_arguments": F.when(gated, _empty_arr()).otherwise(F.col("_pro")),
+        "con_arguments": F.when(gated, _empty_arr()).otherwise(F.col("_con")),
+        "gates_triggered": F.when(gated, F.array(F.col("_gate.gate_id")))
+        .when(amb.isNotNull(), F.array(F.lit(GATE_AMBIGUITY))).otherwise(_empty_arr()),
+        "i6q_passed": gated | F.col("_passed"),
+        "entropy_nonce": free(commit_nonce(th.nonce_seed)),
+        "tokens_used": F.when(gated, F.lit(0).cast("long")).otherwise(F.col("_tok")),
+        "i6q_retries": F.when(gated, F.lit(0)).otherwise(F.col("_retries")),
+        "hard_gate_override": gated,
+        "i6q_details": free(F.col("_details")),
+        "provider_failed": F.lit(False)}
 
 
 # --- G14 ----------------------------------------------------------------------
@@ -475,10 +487,19 @@ def r3_merge(r2: DataFrame, r1: DataFrame) -> DataFrame:
 
 def r3_decide(cases: DataFrame, answers: DataFrame, key: str = "case_key",
               th: GovernanceThresholds = DEFAULT) -> DataFrame:
-    """Each case goes through R2 or R1, one plan each over its own
-    subset; the result is relabelled R3 with the routing reasons."""
-    to_r2, to_r1 = r3_split(cases, th)
-    return r3_merge(r2_decide(to_r2, answers, key, th), r1_decide(to_r1, answers, key))
+    """Each case goes through R2 or R1; the result is relabelled R3 with
+    the routing reasons.  One plan over one table of answers (parsed once):
+    every output column is R2's or R1's, as the reasons tell."""
+    j = _r2_fold(cases, answers, key, th, th.max_i6q_retries).withColumns(
+        {"_gate": hard_gates(), "adaptive_reasons": r3_reasons(th)})
+    to_r2 = F.size("adaptive_reasons") > 0
+    r1, r2 = _r1_columns(), _r2_columns(th)
+    cols = {n: F.when(to_r2, c).otherwise(r1[n] if n in r1 else F.lit(None))
+            for n, c in r2.items() if n != "regime"}
+    return j.select(
+        *_case_columns(j, th), *[c.alias(n) for n, c in cols.items()],
+        F.when(to_r2, "R2").otherwise("R1").alias("adaptive_routed_to"),
+        F.lit("R3").alias("regime"))
 
 
 # --- G15 / G16 ----------------------------------------------------------------

@@ -250,3 +250,11 @@ def test_register_regime(spark):
     assert out["decision"] == "DEFER"
     with _pt.raises(ValueError):
         gv.decide("R_NONE", cases_df(spark, [case()]), _cands(spark, {1: [GOOD]}))
+
+
+def test_r3_parses_the_answers_once(tables_check):
+    """One plan for both routes: the answers are aggregated once."""
+    from riskloom.plans import q_governance as qg
+    plan = qg._r3(tables_check)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("max_by(") > 0 and plan.count("Aggregate [") == 1
+    assert "Union" not in plan
