@@ -221,7 +221,10 @@ def _clean(s: Column) -> Column:
 
 
 def _parsed_struct(text: Column, nonempty: Column) -> Column:
-    p = F.from_json(text, CANDIDATE_SCHEMA)
+    return _candidate_struct(F.from_json(text, CANDIDATE_SCHEMA), nonempty)
+
+
+def _candidate_struct(p: Column, nonempty: Column) -> Column:
     return F.struct(nonempty.alias("nonempty"), p["decision"].alias("decision"),
                     p["rationale"].alias("rationale"), p["pro_arguments"].alias("pro_arguments"),
                     p["con_arguments"].alias("con_arguments"), p["confidence"].alias("confidence"))
@@ -238,8 +241,11 @@ def parse_candidates(cands: DataFrame, raw: str = "raw", out: str = "p") -> Data
     d = d.withColumn("_text", F.when(F.col("_k1").isNotNull(), F.col("_s"))
                      .when(F.col("_k2").isNotNull(), F.col("_blk")))
     nonempty = F.coalesce(F.size(F.coalesce("_k1", "_k2")) > 0, F.lit(False))
-    d = d.withColumn(out, _parsed_struct(F.col("_text"), nonempty))
-    return d.drop("_s", "_k1", "_blk", "_k2", "_text")
+    # a column of its own: field access right on from_json is split by the
+    # optimizer into one parse per field
+    d = d.withColumn("_j", F.from_json("_text", CANDIDATE_SCHEMA))
+    d = d.withColumn(out, _candidate_struct(F.col("_j"), nonempty))
+    return d.drop("_s", "_k1", "_blk", "_k2", "_text", "_j")
 
 
 def _all_words(arr: Column, n: int) -> Column:
