@@ -4,21 +4,27 @@ Detected entities (e-mail addresses, phone numbers, IP addresses, card and
 account numbers, national ids, IBANs, secrets, and names of persons) get
 replacements of the same type and format: digits stay digits, letters stay in
 their script and case, an IP address stays one, a number that passes the Luhn
-check still does, a given name keeps gender and script.  A surrogate is a
-function of a secret key, the type and the entity (HMAC-SHA-256), so an entity
-has the same surrogate wherever it occurs; names are replaced part by part, so
-that "Anna Schmidt" and "Frau Schmidt" keep the same surname; a surname found
-once in a text is replaced wherever that text has it, also alone.
-
-Distinctness is checked over the whole corpus: all distinct entities propose a
-surrogate, and a proposal is accepted if no other entity of its type has it
-and it is itself no entity of the corpus; the others propose again with the
-next attempt number.  What may be proposed widens with the attempt for every type
-(more letters or digits, letters for a secret's symbols, in the end an IPv6
-address for an IP address), so the rounds end whatever the entities are.  Only
-entities with an attempt above 0 have to be known
-when texts are rewritten: up to ``broadcast_rows`` of them are broadcast, more
-are joined.
+check still does, a given name keeps gender and script, a name its capitals.
+
+Coreference: a surrogate is a function of a secret key, the type and the
+entity's identity (HMAC-SHA-256), laid over the format at hand.  The identity
+(:func:`identity`) leaves out what only formats a value: the case of names and
+e-mail addresses, the separators of numbers, IBANs and phone numbers.  Names
+are replaced part by part, so that "Anna Schmidt" and "Frau Schmidt" keep the
+same surname; a surname found once in a text is replaced wherever that text has
+it, also alone.  A given name has one gender in the whole corpus, that of most
+of its mentions (title or listed name; none where they tie), so "Dr Chris
+Miller" and "Mr Chris Miller" stay one person.
+
+Distinctness is checked over the whole corpus: all identities propose a
+surrogate, and a proposal is accepted if no other of its type has it and it is
+itself no entity of the corpus; the others propose again with the next attempt
+number.  Given names and surnames are checked together.  What may be proposed
+widens with the attempt for every type (more letters or digits, letters for a
+secret's symbols, in the end an IPv6 address for an IP address), so the rounds
+end whatever the entities are.  Only entities with an attempt above 0, or with
+another gender than their mention says, have to be known when texts are
+rewritten: up to ``broadcast_rows`` of them are broadcast, more are joined.
 
 Defined cases: a null text stays null; texts without entities stay as they
 are, to the byte; repeated rows are rewritten alike; other columns pass
@@ -29,8 +35,10 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import itertools
 import re
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -75,6 +83,9 @@ _UPPER, _LOWER = _chars("Lu", "Lt"), _chars("Ll") + "\u0300-\u036f"
 _HUMPS = rf"[{_UPPER}](?:['’][{_UPPER}])?[{_LOWER}]+(?:[{_UPPER}][{_LOWER}]+)*"
 _HYPHENS = "-‐‑"
 _CAP = rf"{_HUMPS}(?:[{_HYPHENS}]{_HUMPS})*"
+#: a surname in capitals only: MÜLLER, O'NEIL
+_CAPITALS = rf"[{_UPPER}]['’]?[{_UPPER}]{{2,}}(?:[{_HYPHENS}][{_UPPER}]{{2,}})*"
+_SURNAME = rf"(?:{_CAP}|{_CAPITALS})"
 _NAMES = "|".join(sorted(_GENDER_OF, key=len, reverse=True))
 _TITLE = "|".join(sorted(_TITLE_OF, key=len, reverse=True))
 
@@ -90,15 +101,22 @@ PATTERNS = (
                         r"(?![0-9A-Za-z])")),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}"
                       r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)")),
+    # the first group of an IPv6 address has three digits or more, one of them decimal
+    ("ip", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?=[0-9A-Fa-f]{3})(?:"
+                      r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+                      r"|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}"
+                      r"|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![\w:])")),
     ("phone", re.compile(r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)")),
     ("phone", re.compile(r"(?<![\d.+-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])")),
+    ("phone", re.compile(r"(?<![\w.+])\(0\d{1,4}\) ?\d{3,8}(?:[ -]\d{2,6}){0,2}(?![\d-])")),
+    ("phone", re.compile(r"(?<![\w.+-])0\d{2,4}(?:[ -]\d{5,8}|/\d{6,8})(?![\d-])")),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("number", re.compile(r"(?<![\d.])\d{4}(?:[ -]\d{4}){2,3}[ -]\d{1,7}(?![\d-])")),
     ("number", re.compile(r"(?<!\d)\d{9,}(?!\d)")),
 )
-_PERSON = re.compile(rf"\b(?:(?P<t>{_TITLE})\.?\s+(?P<a>{_CAP})(?:[  ](?P<b>{_CAP}))?"
-                     rf"|(?P<g>{_NAMES})[  ](?P<s>{_CAP}))\b")
-_WORD, _PART = re.compile(rf"\b{_CAP}\b"), re.compile(rf"\b{_HUMPS}\b")
+_PERSON = re.compile(rf"\b(?:(?P<t>{_TITLE})\.?\s+(?P<a>{_SURNAME})(?:[  ](?P<b>{_SURNAME}))?"
+                     rf"|(?P<g>{_NAMES})[  ](?P<s>{_SURNAME}))\b")
+_WORD, _PART = re.compile(rf"\b{_SURNAME}\b"), re.compile(rf"\b{_HUMPS}\b")
 #: the digits of the patterns: \d is any script's
 _DIGIT = _chars("Nd", end=0x110000)
 #: any text with an entity matches this (a cheap test over whole batches): the
@@ -106,12 +124,14 @@ _DIGIT = _chars("Nd", end=0x110000)
 #: (?i) folds the letters that it folds in the patterns
 _MAYBE = (rf"@|[{_DIGIT}][{_DIGIT} .()-]{{4,}}[{_DIGIT}]|(?i:token|secret|passw|pwd|key)|"
           r"A[KS]IA|gh[pousr]_|xox|sk-|"
+          r"[0-9A-Fa-f]{3}:[0-9A-Fa-f:]*:|"
           rf"[0-9a-f]{{32}}|[A-Z]{{2}}[{_DIGIT}]{{2}}|" + _TITLE + "|" + _NAMES)
 
 
 def detect(text: str) -> list[tuple[int, int, str]]:
     """Disjoint (start, end, type) of the entities, in order.  A surname that
-    a title or a given name announces is one wherever the text has it."""
+    a title or a given name announces is one wherever the text has it, also in
+    capitals; the type of a given name tells the gender of this mention."""
     taken: list[tuple[int, int, str]] = []
     for kind, pattern in PATTERNS:
         for m in pattern.finditer(text):
@@ -129,12 +149,12 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         else:
             taken.append((*m.span("g"), "given_" + _GENDER_OF[m["g"]]))
             taken.append((*m.span("s"), "surname"))
-    surnames = {text[a:b] for a, b, kind in taken if kind == "surname"}
+    surnames = {text[a:b].lower() for a, b, kind in taken if kind == "surname"}
     if surnames:
         for m in _WORD.finditer(text):
-            whole = m[0] in surnames
+            whole = m[0].lower() in surnames
             taken += [(*p.span(), "surname") for p in ([m] if whole else _PART.finditer(
-                text, *m.span())) if p[0] in surnames]
+                text, *m.span())) if p[0].lower() in surnames]
     out: list[tuple[int, int, str]] = []
     for order, span in sorted(enumerate(taken), key=lambda x: (x[1][0], x[0])):
         if out and span[0] < out[-1][1]:  # spans overlap: the earlier pattern's stays
@@ -148,11 +168,37 @@ def detect(text: str) -> list[tuple[int, int, str]]:
 
 # ----------------------------------------------------------------- surrogates
 
+def part_of(kind: str) -> str:
+    """The type without a mention's gender."""
+    return kind.partition("_")[0]
+
+
+def _head(phone: str) -> str:
+    """The country code of a phone number, if something sets it off."""
+    country = re.match(r"\+\d{1,3}(?=[ .(-])", phone)
+    return country[0] if country else "+" if phone[0] == "+" else ""
+
+
+def identity(kind: str, value: str) -> str:
+    """What formats of one entity have in common."""
+    if part_of(kind) in ("given", "surname", "email"):
+        low = value.lower()
+        low = low if len(low) == len(value) else value  # few capitals are two small letters
+        return low if kind == "email" else re.sub(f"[{_HYPHENS}]", "-", low.replace("’", "'"))
+    if kind in ("iban", "number"):
+        return re.sub("[ -]", "", value)
+    if kind == "phone":
+        head = _head(value)
+        return head + re.sub(r"[ .()/-]", "", value[len(head):])
+    return value.lower() if kind == "ip" else value
+
+
 class _Stream:
     """Numbers below a bound from HMAC-SHA-256 in counter mode."""
 
     def __init__(self, key: bytes, kind: str, value: str, attempt: int):
-        self.mac = hmac.new(key, f"{kind}\0{attempt}\0{value}".encode(), hashlib.sha256)
+        self.mac = hmac.new(key, f"{part_of(kind)}\0{attempt}\0{identity(kind, value)}".encode(),
+                            hashlib.sha256)
         self.seed, self.n, self.pool = self.mac.digest(), 0, b""
 
     def below(self, n: int) -> int:
@@ -190,10 +236,10 @@ SYMBOLS = 4
 IPV6 = 32
 
 
-def _shaped(value: str, r: _Stream) -> str:
+def _shaped(value: str, r: _Stream, hexa: bool = True) -> str:
     """Digits for digits, letters for letters of one script and case; a value
-    of hexadecimal digits stays one."""
-    hexa = re.fullmatch(r"[0-9a-f]{8,}", value) and not value.isdigit()
+    of hexadecimal digits stays one if ``hexa``."""
+    hexa = hexa and re.fullmatch(r"[0-9a-f]{8,}", value) and not value.isdigit()
     return "".join(r.pick("0123456789abcdef") if hexa else _digit(c, r.below(10)) if c.isdigit()
                    else _letter(c, r) if c.isalpha() else c for c in value)
 
@@ -224,8 +270,16 @@ def _number(value: str, r: _Stream, attempt: int) -> str:
     return "".join(out)
 
 
+def _hex_digit(c: str, before: str, r: _Stream) -> str:
+    """A digit for one of an IPv6 address; groups start with none but 1 to f."""
+    return c if c == ":" else r.pick("123456789abcdef" if before == ":" else "0123456789abcdef")
+
+
 def _ip(value: str, r: _Stream, attempt: int) -> str:
-    if attempt >= IPV6:
+    if ":" in value and attempt < LONGER:
+        new = "".join(_hex_digit(c, before, r) for before, c in zip(":" + value, value))
+        return new.upper() if value != value.lower() else new
+    if ":" in value or attempt >= IPV6:
         return "2001:db8:" + ":".join(f"{r.below(1 << 16):x}" for _ in range(6))
     low_high = {1: (1, 9), 2: (10, 99), 3: (100, 254)}
     out = []
@@ -236,8 +290,7 @@ def _ip(value: str, r: _Stream, attempt: int) -> str:
 
 
 def _phone(value: str, r: _Stream, attempt: int) -> str:
-    country = re.match(r"\+\d{1,3}(?=[ .(-])", value)
-    head = country[0] if country else "+" if value[0] == "+" else ""
+    head = _head(value)
     return head + _shaped(value[len(head):] + "0" * (attempt // LONGER), r)
 
 
@@ -256,9 +309,9 @@ def _email(value: str, r: _Stream, attempt: int) -> str:
     host, _, top = domain.rpartition(".")
     extra = "".join(r.pick(_ALPHABETS[0]) for _ in range(attempt // LONGER))
     reserved = re.fullmatch(r"(?i)(.*?\.)?example\.(com|org|net)", domain)
-    new = _shaped(reserved[1] or "", r) + domain[len(reserved[1] or ""):] if reserved \
-        else _shaped(host, r) + "." + top
-    return f"{_shaped(local, r)}{extra}@{new}"
+    new = _shaped(reserved[1] or "", r, False) + domain[len(reserved[1] or ""):] if reserved \
+        else _shaped(host, r, False) + "." + top
+    return f"{_shaped(local, r, False)}{extra}@{new}"
 
 
 _SYLLABLES = ({0: ("ba be bi bo da de di do fa fe ga go ha he ka ke ko la le li lo ma me mi mo na ne "
@@ -268,21 +321,47 @@ _SYLLABLES = ({0: ("ba be bi bo da de di do fa fe ga go ha he ka ke ko la le li
 _ENDS = {0: "n r s ll rt nd".split(), 2: "нов рин ков ров".split(), 4: "ς κης δης λος".split()}
 
 
+#: stems and, by gender, ends of given names
+_STEMS = {0: "al bel cor dor el fel gal hel ir jos kal lor mar nor ol pet ros sel tam ur val wil".split(),
+          2: "ал бор вал гал дар ел зор ил кир лад мил ник ол рад свет тих".split(),
+          4: "αλ βασ γαλ δαμ ελ ζην θαλ καλ λυδ μελ νικ ξεν παν ρομ σελ φιλ".split()}
+_GIVEN_ENDS = {0: {"f": "ina ela ia ana isa inda etta ora".split(),
+                   "m": "an o in ard us bert win mund".split(), "u": "e is y ori en il".split()},
+               2: {"f": "ина ана ея ила ислава".split(), "m": "ий ан ислав имир ей".split(),
+                   "u": "я и о е".split()},
+               4: {"f": "ινα ια ανη ιδα ονη".split(), "m": "ος ης ων ανος ιππος".split(),
+                   "u": "ι ο ε".split()}}
+#: given names to choose from at first, listed ones and regular ones
+_POOL = {(s, g): [*itertools.chain(*(GIVEN[name, x] for x in ("fm" if g == "u" else g))),
+                  *(a + b for a in _STEMS[s] for b in _GIVEN_ENDS[s][g])]
+         for s, name in ((0, "latin"), (2, "cyrillic"), (4, "greek")) for g in "fmu"}
+
+
+def _like(value: str, word: str) -> str:
+    """``word`` with the capitals of ``value``."""
+    if len(value) > 1 and value.isupper():
+        return word.upper()
+    word = word.lower()
+    return "".join(c.upper() if value[i:i + 1].isupper() else c for i, c in enumerate(word))
+
+
 def _built(value: str, r: _Stream, attempt: int) -> str:
     s = _script(value[0])
+    particle = r.pick(_ALPHABETS[s]) + value[1] if value[1:2] in ("'", "’") else ""
     n = 2 + r.below(2) + attempt // 3
     word = "".join(r.pick(_SYLLABLES[s]) for _ in range(n)) + r.pick(_ENDS[s])
-    return word.capitalize()
+    return _like(value, particle + word)
 
 
 def _given(value: str, gender: str, r: _Stream, attempt: int) -> str:
-    script = {0: "latin", 2: "cyrillic", 4: "greek"}[_script(value[0])]
-    if attempt >= 3:
-        end = {"latin": {"f": "a", "m": "o", "u": "e"}, "cyrillic": {"f": "а", "m": "й", "u": "я"},
-               "greek": {"f": "α", "m": "ος", "u": "ι"}}[script][gender]
-        return _built(value, r, attempt).rstrip("nrsςновлк") + end
-    pool = GIVEN[script, gender] if gender != "u" else GIVEN[script, "f"] + GIVEN[script, "m"]
-    return r.pick(pool)
+    s = _script(value[0])
+    more = attempt // 3
+    if more:
+        name = r.pick(_STEMS[s]) + "".join(r.pick(_SYLLABLES[s]) for _ in range(more)) \
+            + r.pick(_GIVEN_ENDS[s][gender])
+    else:
+        name = r.pick(_POOL[s, gender])
+    return _like(value, name)
 
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
@@ -317,49 +396,98 @@ def _candidates(texts: pa.Array):
 
 
 def _entities():
-    """Arrow kernel: the distinct (type, value) of a batch."""
+    """Arrow kernel: the distinct (type, value) of a batch and how often it has
+    them."""
     def run(batches):
         for batch in batches:
-            found = set()
+            found = Counter()
             for part in slices(batch, 0):
                 texts = column(part, 0)
                 for i in _candidates(texts):
                     t = texts[i].as_py()
                     found.update((k, t[a:b]) for a, b, k in detect(t))
             if found:
+                rows = [(k, v, n) for (k, v), n in sorted(found.items())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.string()) for c in zip(*sorted(found))], ["kind", "value"])
+                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(),
+                                                                 pa.int64()))],
+                    ["kind", "value", "n"])
     return run
 
 
-def _propose(key: bytes):
+def _with_column(schema: str, of):
+    """Arrow kernel: ``of(row)`` as one more string column."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def run(batches):
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(3)))
-            made = [surrogate(key, k, v, n) for k, v, n in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.string())],
-                                             ["kind", "value", "attempt", "made"])
+            rows = zip(*(batch.column(c).to_pylist() for c in names[:-1]))
+            cols = [batch.column(c) for c in names[:-1]]
+            yield pa.RecordBatch.from_arrays(
+                [*cols, pa.array([of(*row) for row in rows], pa.string())], names)
     return run
 
 
-def surrogate_attempts(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, value, attempt, made) for distinct (kind, value): distinct
-    surrogates, none of them an entity."""
-    entities = staged(entities.select("kind", "value").distinct(), "entities")
-    taken = entities.select("kind", F.col("value").alias("made"))
-    left, done = entities.withColumn("attempt", F.lit(0)), None
+def _identified(entities: DataFrame) -> DataFrame:
+    schema = "kind string, value string, n long, ident string"
+    return entities.mapInArrow(_with_column(schema, lambda k, v, n: identity(k, v)), schema)
+
+
+def _proposals(left: DataFrame, key: bytes) -> DataFrame:
+    """What every identity proposes, and the identity of that."""
+    schema = "part string, ident string, as_kind string, value string, attempt int, made string"
+    return left.select("part", "ident", "as_kind", "value", "attempt").mapInArrow(
+        _with_column(schema, lambda p, i, k, v, n: identity(k, surrogate(key, k, v, n))), schema)
+
+
+def _in_group(*columns: str) -> list:
+    """Those columns and the types whose surrogates must differ: all parts of
+    names are one."""
+    name = F.when(F.col("part").isin("given", "surname"), "name").otherwise(F.col("part"))
+    return [name.alias("among"), *columns]
+
+
+def resolved(entities: DataFrame, key: bytes) -> DataFrame:
+    """(kind, value, as_kind, attempt) for every (kind, value, n): the type
+    with the gender of the name in the whole corpus, and the attempt whose
+    surrogate no other identity has and that is no entity itself."""
+    entities = staged(_identified(entities.groupBy("kind", "value").agg(F.sum("n").alias("n")))
+                      .withColumn("part", F.substring_index("kind", "_", 1)), "entities")
+    votes = lambda g: F.sum(F.when(F.col("kind") == "given_" + g, F.col("n"))
+                            .otherwise(0))
+    people = staged(
+        entities.groupBy("part", "ident").agg(
+            F.min("value").alias("value"), F.min("kind").alias("as_kind"),
+            votes("f").alias("f"), votes("m").alias("m"))
+        .withColumn("as_kind", F.when(F.col("part") != "given", F.col("as_kind"))
+                    .when(F.col("f") > F.col("m"), "given_f")
+                    .when(F.col("m") > F.col("f"), "given_m").otherwise("given_u"))
+        .drop("f", "m"), "identities")
+    taken = people.select(*_in_group(F.col("ident").alias("made")))
+    left, done = people.withColumn("attempt", F.lit(0)), None
     while True:
-        made = staged(left.select("kind", "value", "attempt").mapInArrow(
-            _propose(key), "kind string, value string, attempt int, made string"), "proposals")
-        first = made.groupBy("kind", "made").agg(F.min("value").alias("value"))
-        good = first.join(taken, ["kind", "made"], "left_anti")
-        good = staged(made.join(good, ["kind", "value", "made"], "left_semi"), "surrogates")
+        made = staged(_proposals(left, key).select("*", _in_group()[0]), "proposals")
+        first = made.groupBy("among", "made").agg(
+            F.min(F.struct("part", "ident")).alias("first")).select("among", "made", "first.*")
+        free = first.join(taken, ["among", "made"], "left_anti")
+        good = staged(made.join(free, ["among", "made", "part", "ident"], "left_semi"),
+                      "surrogates")
         done = good if done is None else done.unionByName(good)
-        left = made.join(good.select("kind", "value"), ["kind", "value"], "left_anti") \
+        left = made.join(good.select("part", "ident"), ["part", "ident"], "left_anti") \
             .withColumn("attempt", F.col("attempt") + 1)
         if not left.head(1):
-            return done
-        taken = taken.unionByName(good.select("kind", "made"))
+            break
+        taken = taken.unionByName(good.select("among", "made"))
+    return entities.join(done.select("part", "ident", "as_kind", "attempt"), ["part", "ident"]) \
+        .select("kind", "value", "as_kind", "attempt")
+
+
+def surrogate_attempts(entities: DataFrame, key: bytes) -> DataFrame:
+    """(kind, value, as_kind, attempt, made) for distinct (kind, value) that
+    count as one mention each: distinct surrogates, none of them an entity."""
+    schema = "kind string, value string, as_kind string, attempt int, made string"
+    got = resolved(entities.select("kind", "value").distinct().withColumn("n", F.lit(1)), key)
+    return got.mapInArrow(_with_column(schema, lambda k, v, a, n: surrogate(key, a, v, n)), schema)
 
 
 _REPLACED = T.ArrayType(T.StructType([T.StructField("start", T.LongType()),
@@ -383,11 +511,12 @@ def _rewrite(key: bytes, text: int, attempts_of, own: int | None):
                     if t is None:
                         continue
                     mine = later if own is None else {
-                        (x["kind"], x["value"]): x["attempt"]
+                        (x["kind"], x["value"]): (x["as_kind"], x["attempt"])
                         for x in column(part, own)[i].as_py() or ()}
                     out, end, size = [], 0, 0
                     for a, b, kind in detect(t):
-                        s = surrogate(key, kind, t[a:b], mine.get((kind, t[a:b]), 0))
+                        as_kind, attempt = mine.get((kind, t[a:b]), (kind, 0))
+                        s = surrogate(key, as_kind, t[a:b], attempt)
                         out += [t[end:a], s]
                         size += a - end
                         spans[i].append({"start": size, "end": size + len(s), "kind": kind})
@@ -413,13 +542,12 @@ def pseudonymised(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     keep = list(dict.fromkeys([id_col, text_col, *carry]))
     base, text = docs.select(*keep), keep.index(text_col)
-    entities = docs.select(text_col).mapInArrow(_entities(), "kind string, value string")
-    later = staged(surrogate_attempts(entities, key).where("attempt > 0")
-                   .select("kind", "value", "attempt"), "attempts")
+    entities = docs.select(text_col).mapInArrow(_entities(), "kind string, value string, n long")
+    later = staged(resolved(entities, key).where("attempt > 0 or as_kind <> kind"), "attempts")
     name = fresh_name(keep, "surrogates")
     schema = T.StructType([*base.schema.fields, T.StructField(name, _REPLACED)])
     if later.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        sent = spark.sparkContext.broadcast({(r["kind"], r["value"]): r["attempt"]
+        sent = spark.sparkContext.broadcast({(r["kind"], r["value"]): (r["as_kind"], r["attempt"])
                                              for r in later.collect()})
         return base.mapInArrow(_rewrite(key, text, sent, None), schema), name
     row, own = fresh_name(keep, "row"), fresh_name(keep, "attempts")
@@ -427,7 +555,7 @@ def pseudonymised(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_c
     per_row = (keyed.select(text_col, row).mapInArrow(
         _entities_by_row(), "kind string, value string, row long")
         .join(later, ["kind", "value"]).groupBy("row")
-        .agg(F.collect_set(F.struct("kind", "value", "attempt")).alias(own))
+        .agg(F.collect_set(F.struct("kind", "value", "as_kind", "attempt")).alias(own))
         .withColumnRenamed("row", row))
     joined = keyed.join(per_row, row, "left").select(*keep, own)
     return joined.mapInArrow(_rewrite(key, text, None, len(keep)), schema), name
