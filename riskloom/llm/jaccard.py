@@ -20,8 +20,9 @@ classes that signatures connect are a family, so linked sets are in one family.
 All members are compared with the family's root and with the member closest
 to it, then components are built.  What is still in different components is
 decided exactly: small families pair up, in larger ones members meet in cells
-(:func:`cross_links`), where every pair is in one component, cannot be linked,
-or has been measured on the whole lists of its changes against the root.
+(:func:`cross_links`), where every pair is in one component, cannot be linked
+(by its sketches, or measured on the whole lists of its changes against the
+root), or is linked.
 
 Defined cases: a text with fewer words than a shingle is one shingle; without
 words (or null) its set is empty, it is linked with nothing and is its own
@@ -325,9 +326,10 @@ class _Links:
                 F.col("sketch").alias(f"sketch_{c}")), c)
         return pairs.select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v")
 
-    def test(self, pairs: DataFrame) -> None:
-        """Verify the pairs (u, v) not compared yet.  Sizes and sketches rule
-        out most that are not linked before whole sets are joined."""
+    def test(self, pairs: DataFrame) -> DataFrame:
+        """Verify the pairs (u, v) not compared yet; add and return those that
+        are linked.  Sizes and sketches rule out most that are not before whole
+        sets are joined."""
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["u", "v"], "left_anti")
@@ -336,13 +338,15 @@ class _Links:
         sizes = (F.least("n_u", "n_v") * self.sim.den >= F.greatest("n_u", "n_v") * self.sim.num)
         near = staged(self.sketched(pairs).where(sizes).mapInArrow(
             _apart(self.sim, True), "u long, v long, apart long"), "near")
-        whole = [self.sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"set_{c}"))
+        whole = [self.sets.join(near.select(F.col(c).alias("cid")), "cid", "left_semi")
+                 .select(F.col("cid").alias(c), F.col("shingles").alias(f"set_{c}"))
                  for c in ("u", "v")]
         with arrow_rows(pairs.sparkSession, SET_ROWS):
             got = staged(near.join(whole[0], "u").join(whole[1], "v")
                          .select("u", "v", "set_u", "set_v")
                          .mapInArrow(_verify(self.sim), "u long, v long"), "linked")
         self.add(got)
+        return got
 
     def add(self, got: DataFrame) -> None:
         """Verified links."""
@@ -380,24 +384,25 @@ def _changes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.setxor1d(x, y, assume_unique=True)
 
 
-_CHANGED = "cid long, root long, comp long, n long, changes binary, gone binary"
+def _set(cell) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), dtype=U) if cell.is_valid else np.zeros(0, U)
+
+
+_CHANGED = "root long, cid long, n long, changes binary"
 
 
 def _changed(batches):
-    """Arrow kernel over (cid, root, comp, set, set of the root): a member's
-    size, its changes and, a byte each, whether the element is gone."""
+    """Arrow kernel over (root, cid, set, set of the root): a member's size
+    and its changes."""
     for batch in batches:
-        n, changes, gone = [], [], []
+        n, changes = [], []
         for i in range(batch.num_rows):
-            x, y = (np.frombuffer(batch.column(j)[i].as_buffer(), dtype=U) for j in (3, 4))
-            d = _changes(x, y)
+            x, y = (_set(batch.column(j)[i]) for j in (2, 3))
             n.append(len(x))
-            changes.append(d.tobytes())
-            gone.append(np.isin(d, y, assume_unique=True).tobytes())
+            changes.append(_changes(x, y).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()),
-             pa.array(changes, pa.binary()), pa.array(gone, pa.binary())],
-            ["cid", "root", "comp", "n", "changes", "gone"])
+            [batch.column(0), batch.column(1), pa.array(n, pa.int64()),
+             pa.array(changes, pa.binary())], ["root", "cid", "n", "changes"])
 
 
 def _each_change(batches):
@@ -410,20 +415,18 @@ def _each_change(batches):
 
 
 def _first_changes(sim: Similarity):
-    """Arrow kernel over (cid, root, comp, n, changes, gone, common elements):
-    the changes that come first, as many as linked sets can differ in and one
-    more: what is new against the root, then what is gone from it, each by
-    hash, then the common elements in their given order."""
+    """Arrow kernel over (cid, root, comp, set, set of the root, common
+    elements): the changes that come first, as many as linked sets can differ
+    in and one more: what is new against the root, then what is gone from it,
+    each by hash, then the common elements in their given order."""
     def run(batches):
         for batch in batches:
             prefix = []
             for i in range(batch.num_rows):
-                d = np.frombuffer(batch.column(4)[i].as_buffer(), dtype=U)
-                late = np.frombuffer(batch.column(5)[i].as_buffer(), dtype=np.uint8).astype(np.int64)
-                c = (np.frombuffer(batch.column(6)[i].as_buffer(), dtype=U)
-                     if batch.column(6)[i].is_valid else np.zeros(0, U))
-                size = batch.column(3)[i].as_py()
-                most = (size + size * sim.den // sim.num) * (sim.den - sim.num) \
+                x, y, c = (_set(batch.column(j)[i]) for j in (3, 4, 5))
+                d = _changes(x, y)
+                late = np.isin(d, y, assume_unique=True).astype(np.int64)
+                most = (len(x) + len(x) * sim.den // sim.num) * (sim.den - sim.num) \
                     // (sim.den + sim.num)
                 if len(c):
                     by = np.argsort(c)
@@ -451,11 +454,83 @@ def family_pairs(rows: DataFrame) -> DataFrame:
 CELL = 1024
 
 
+def _cells(table: pa.Table):
+    """The rows of each cell that holds more than one component."""
+    key = [table[c].to_numpy() for c in ("y", "x", "e", "root")]
+    comp = table["comp"].to_numpy()
+    order = np.lexsort(key)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in key], axis=0)
+    starts = np.append(np.flatnonzero(new), len(order))
+    for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        at = order[lo:hi]
+        if len(at) > 1 and (comp[at] != comp[at[0]]).any():
+            yield at
+
+
+def _to_decide(comp: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which pairs of a cell's members are open; of a cell in two slices, those
+    of one member of each."""
+    out = comp[:, None] != comp
+    if side.min() != side.max():
+        out &= side[:, None] != side
+    return out
+
+
+def _forest(linked: np.ndarray):
+    """Pairs that connect what the links connect."""
+    seen = np.zeros(len(linked), dtype=bool)
+    for s in np.flatnonzero(linked.any(axis=1)).tolist():
+        if seen[s]:
+            continue
+        seen[s], todo = True, [s]
+        while todo:
+            u = todo.pop()
+            for v in np.flatnonzero(linked[u] & ~seen).tolist():
+                seen[v] = True
+                todo.append(v)
+                yield u, v
+
+
+def _by_sketch(sim: Similarity, pairs: bool):
+    """Arrow kernel over a bucket of cells with sizes and sketches (see
+    :func:`cross_links`): open pairs that may be linked as far as those tell.
+    With ``pairs`` enough of them to connect what all would, else the members
+    of one, cell by cell."""
+    def run(table: pa.Table) -> pa.Table:
+        cid, comp, side, n = (table[c].to_numpy() for c in ("cid", "comp", "side", "n"))
+        sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(
+            table.num_rows, -1)
+        u, v, keep = [], [], []
+        for at in _cells(table):
+            odd = np.unpackbits(sketches[at], axis=1).astype(np.float32)
+            ones, size = odd.sum(axis=1), n[at]
+            apart = (ones[:, None] + ones - 2 * (odd @ odd.T)).astype(np.int64)
+            most = (size[:, None] + size) * (sim.den - sim.num) // (sim.den + sim.num)
+            near = (apart <= most) & _to_decide(comp[at], side[at])
+            near &= np.minimum(size[:, None], size) * sim.den >= np.maximum(size[:, None], size) * sim.num
+            if pairs:
+                for a, b in _forest(near):
+                    u.append(cid[at[a]])
+                    v.append(cid[at[b]])
+            else:
+                keep.append(at[near.any(axis=1)])
+        if pairs:
+            return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        rows = np.concatenate(keep) if keep else np.zeros(0, np.int64)
+        return table.select(_CELL_COLUMNS).take(pa.array(rows))
+    return run
+
+
+_CELL_ROW = "root long, e long, x int, y int, cid long, comp long, side int"
+_CELL_COLUMNS = [c.split()[0] for c in _CELL_ROW.split(", ")]
+
+
 def _near_in_cells(sim: Similarity):
-    """Arrow kernel over a bucket of cells (see :func:`cross_links`): links
+    """Arrow kernel over a bucket of cells with whole lists of changes: links
     that connect all members of a cell that links connect."""
-    def cell(cid, comp, side, n, lists):
-        g = len(cid)
+    def linked_in(comp, side, n, lists):
+        g = len(lists)
         size = np.array([len(x) for x in lists])
         flat, who = np.concatenate(lists), np.repeat(np.arange(g), size)
         order = np.argsort(flat, kind="stable")
@@ -475,45 +550,25 @@ def _near_in_cells(sim: Similarity):
         apart = size[:, None] + size - 2 * shared.astype(np.int64)
         both = n[:, None] + n
         common = (both - apart) // 2
-        linked = (common > 0) & (sim.den * common >= sim.num * (both - common))
-        linked &= comp[:, None] != comp
-        if side.min() != side.max():
-            linked &= side[:, None] != side
-        seen = np.zeros(g, dtype=bool)
-        for s in range(g):
-            if seen[s]:
-                continue
-            seen[s], todo = True, [s]
-            while todo:
-                u = todo.pop()
-                for v in np.flatnonzero(linked[u] & ~seen).tolist():
-                    seen[v] = True
-                    todo.append(v)
-                    yield int(cid[u]), int(cid[v])
+        return (common > 0) & (sim.den * common >= sim.num * (both - common)) \
+            & _to_decide(comp, side)
 
     def run(table: pa.Table) -> pa.Table:
-        key = [table[c].to_numpy() for c in ("y", "x", "e", "root")]
-        order = np.lexsort(key)
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in key], axis=0)
-        starts = np.append(np.flatnonzero(new), len(order))
         cid, comp, side, n = (table[c].to_numpy() for c in ("cid", "comp", "side", "n"))
         changes = table["changes"].combine_chunks()
         u, v = [], []
-        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            at = order[lo:hi]
-            if len(at) > 1 and (comp[at] != comp[at[0]]).any():
-                lists = [np.frombuffer(changes[i].as_buffer(), dtype=U) for i in at.tolist()]
-                for a, b in cell(cid[at], comp[at], side[at], n[at], lists):
-                    u.append(a)
-                    v.append(b)
+        for at in _cells(table):
+            lists = [_set(changes[i]) for i in at.tolist()]
+            for a, b in _forest(linked_in(comp[at], side[at], n[at], lists)):
+                u.append(cid[at[a]])
+                v.append(cid[at[b]])
         return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
     return run
 
 
-def cross_links(rows: DataFrame, sets: DataFrame, sim: Similarity, bucket_bytes: int) -> DataFrame:
+def cross_links(rows: DataFrame, links: _Links, bucket_bytes: int) -> DataFrame:
     """(u, v): links between different components of a large family, enough of
-    them to connect all that links connect.
+    them to connect all that links connect; they are added to ``links``.
 
     All members have been compared with the root, so of two that are linked
     but in different components at least one differs from the root in more
@@ -525,34 +580,41 @@ def cross_links(rows: DataFrame, sets: DataFrame, sim: Similarity, bucket_bytes:
     different changes do not meet.
 
     The members with one such element are a cell; cells within one component
-    are done.  The others go, whole lists of changes with them, to tasks of
-    bounded size, where two lists give the two sets' exact distance: no pair
-    leaves its task but the links that are needed.  A cell of more than CELL
-    members is cut into slices, and each two slices meet in a task."""
-    spark = rows.sparkSession
+    are done.  The others go, with sizes and sketches, to tasks of bounded
+    size: of the pairs that sketches leave open as many are verified as would
+    connect them all, and the components are built anew.  What is then still
+    apart in a cell and near by its sketch goes on once more, with its whole
+    list of changes, where two lists give the two sets' exact distance.  No
+    pair leaves its task but those that connect something.  A cell of more
+    than CELL members is cut into slices, and each two slices meet in a task."""
+    spark, sets, sim = rows.sparkSession, links.sets, links.sim
     large = staged(rows.where((F.col("m") > SMALL_FAMILY) & (F.col("cid") != F.col("root"))), "large")
     if not large.head(1):
         return spark.createDataFrame([], "u long, v long")
-    own = sets.select("cid", "shingles")
-    roots = sets.select(F.col("cid").alias("root"), F.col("shingles").alias("root_set"))
-    with arrow_rows(spark, SET_ROWS):
-        # the only read of whole sets
-        member = staged(large.join(own, "cid").join(roots, "root")
-                        .select("cid", "root", "comp", "shingles", "root_set")
-                        .mapInArrow(_changed, _CHANGED), "members")
+    roots = staged(sets.join(large.select(F.col("root").alias("cid")).distinct(), "cid", "left_semi")
+                   .select(F.col("cid").alias("root"), F.col("shingles").alias("root_set")), "roots")
+
+    def whole(some):
+        return some.join(sets.select("cid", "shingles"), "cid").join(roots, "root")
+
+    def changed(some):
+        with arrow_rows(spark, SET_ROWS):
+            return staged(whole(some).select("root", "cid", "shingles", "root_set")
+                          .mapInArrow(_changed, _CHANGED), "changed")
     drawn = (F.xxhash64(F.lit(5), F.col("cid")) / float(1 << 63) + 1) / 2 * F.col("m") < SAMPLE
-    sample = (member.join(large.where(drawn).select("cid"), "cid", "left_semi")
-              .select("root", "changes").mapInArrow(_each_change, "root long, e long"))
+    sample = changed(large.where(drawn).select("root", "cid")).select("root", "changes") \
+        .mapInArrow(_each_change, "root long, e long")
     # at most SAMPLE members' changes per family
     common = staged(
         sample.groupBy("root", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         .groupBy("root").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("e"))
         .select("root", _packed(F.transform("e", lambda x: x["e"])).alias("common")), "common")
-    first = staged(member.join(common, "root", "left")
-                   .select("cid", "root", "comp", "n", "changes", "gone", "common")
-                   .mapInArrow(_first_changes(sim), "cid long, root long, comp long, "
-                                                    "prefix array<long>")
-                   .select("root", "cid", "comp", F.explode("prefix").alias("e")), "first")
+    with arrow_rows(spark, SET_ROWS):
+        first = staged(whole(large).join(common, "root", "left")
+                       .select("cid", "root", "comp", "shingles", "root_set", "common")
+                       .mapInArrow(_first_changes(sim), "cid long, root long, comp long, "
+                                                        "prefix array<long>")
+                       .select("root", "cid", "comp", F.explode("prefix").alias("e")), "first")
     each = lambda i: F.bit_xor(F.xxhash64(F.lit(i), F.col("cid")))
     cells = first.groupBy("root", "e").agg(
         F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
@@ -562,18 +624,43 @@ def cross_links(rows: DataFrame, sets: DataFrame, sim: Similarity, bucket_bytes:
         .select("root", "e", F.ceil(F.col("g") / CELL).cast("int").alias("parts"))
     side = F.pmod(F.xxhash64(F.lit(9), F.col("cid")), F.col("parts")).cast("int")
     met = staged(first.join(cells, ["root", "e"]).select(
-        "root", "e", "cid", side.alias("side"),
+        "root", "e", "cid", "comp", side.alias("side"),
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with")).select(
-        "root", "e", "cid", "side", F.least("side", "with").alias("x"),
-        F.greatest("side", "with").alias("y")), "cells")
-    sent = met.join(member.select("cid", "comp", "n", "changes"), "cid")
-    size = met.join(member.select("cid", F.length("changes").alias("b")), "cid").agg(
+        "root", "e", F.least("side", "with").alias("x"), F.greatest("side", "with").alias("y"),
+        "cid", "comp", "side"), "cells")
+    key = ["root", "e", "x", "y"]
+
+    def dealt(some, size):
+        n = bucket_count(spark, int(size), bucket_bytes)
+        return some.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(n))).groupBy("bucket")
+
+    def sketched(some):
+        return dealt(some.join(sets.select("cid", "n", "sketch"), "cid"),
+                     some.count() * (64 + (1 << SKETCH_BITS - 3)))
+    found = links.test(sketched(met).applyInArrow(_by_sketch(sim, True), "u long, v long"))
+    links.settle()
+    if links.comp is not None:
+        met = met.drop("comp").join(links.comp, F.col("cid") == F.col("node"), "left").select(
+            *key, "cid", F.coalesce("comp", "cid").alias("comp"), "side")
+    apart = met.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
+        .where("lo < hi").select(*key)
+    left = staged(met.join(apart, key, "left_semi").select(*_CELL_COLUMNS), "apart")
+    left = staged(sketched(left).applyInArrow(_by_sketch(sim, False), _CELL_ROW), "left")
+    if not left.head(1):
+        return found
+    each = lambda i: F.bit_xor(F.xxhash64(F.lit(i), F.col("cid"), F.col("side")))
+    once = left.groupBy(*key).agg(F.count(F.lit(1)).alias("g"), each(1).alias("s1"),
+                                  each(2).alias("s2")) \
+        .groupBy("root", "g", "s1", "s2").agg(F.min(F.struct("e", "x", "y")).alias("cell")) \
+        .select("root", "cell.*")
+    left = staged(left.join(once, key, "left_semi"), "once")
+    lists = changed(left.select("root", "cid").distinct()).drop("root")
+    size = left.join(lists.select("cid", F.length("changes").alias("b")), "cid").agg(
         F.sum(F.col("b") + 64)).first()[0]
-    if not size:
-        return spark.createDataFrame([], "u long, v long")
-    n_buckets = bucket_count(spark, int(size), bucket_bytes)
-    sent = sent.withColumn("bucket", F.pmod(F.xxhash64("root", "e", "x", "y"), F.lit(n_buckets)))
-    return staged(sent.groupBy("bucket").applyInArrow(_near_in_cells(sim), "u long, v long"), "met")
+    last = staged(dealt(left.join(lists, "cid"), size).applyInArrow(
+        _near_in_cells(sim), "u long, v long"), "met")
+    links.add(last)
+    return found.unionByName(last)
 
 
 def _packed(longs):
@@ -661,7 +748,7 @@ def _components_and_first(docs: DataFrame, *, num: int, den: int, shingle: int,
         links.settle()
         open_ = links.open_families(family)
         links.test(family_pairs(open_))
-        links.add(cross_links(open_, sets, sim, bucket_bytes))
+        cross_links(open_, links, bucket_bytes)
         links.settle()
     if links is None or links.comp is None:
         joined = classes.select("s1", "s2", F.col("low").alias("component"),
