@@ -48,11 +48,11 @@ U = np.uint64
 LAST = np.iinfo(np.int64).max
 FLUSH = 500_000
 #: bytes of text a kernel holds as arrays at a time
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: cells of a sketch, as a power of two
 SKETCH_BITS = 12
 #: rows with whole sets that go to Python at a time
-SET_ROWS = 256
+SET_ROWS = 128
 
 
 # ------------------------------------------------------------ sets of shingles
