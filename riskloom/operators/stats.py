@@ -3,8 +3,9 @@
 Many features are handled at once: a wide frame is unpivoted once and every
 statistic groups by ``feature``.  Ordered statistics (quantiles, KS, AUC) go
 through :mod:`riskloom.operators.ordered`, never through a window over a whole
-feature.  Bin edges are one row per feature (a size bounded by the column
-list), so broadcasting them is safe.
+feature.  Bin edges and totals are one row per feature (a size bounded by the
+column list) and are broadcast: a join dealt by the feature would put all of a
+feature's values into one task.
 """
 
 from __future__ import annotations
@@ -116,7 +117,7 @@ def histogram(long: DataFrame, edges: DataFrame, clamp: bool = False) -> DataFra
     otherwise outside values are dropped.  Values are counted before they are
     binned, so the search runs once per distinct value."""
     counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    j = counts.join(edges.select("feature", "edges"), "feature")
+    j = counts.join(F.broadcast(edges.select("feature", "edges")), "feature")
     v = F.col("value")
     if clamp:
         v = F.least(F.greatest(v, F.try_element_at("edges", F.lit(1))),
@@ -160,7 +161,7 @@ def baseline_stats(ref: DataFrame, numeric: list[str], categorical: list[str],
         edges = edges.filter(F.col("_n") >= n_bins)
         moments = long.groupBy("feature").agg(F.avg("value").alias("mean"),
                                               F.stddev_samp("value").alias("sd"))
-        h = (rs.join(edges.select("feature", "edges"), "feature")
+        h = (rs.join(F.broadcast(edges.select("feature", "edges")), "feature")
              .select("feature", bin_of("value", "edges").alias("bin"), "n")
              .groupBy("feature", "bin").agg(F.sum("n").alias("c")))
         bins = all_bins(edges).join(h, ["feature", "bin"], "left").fillna(0, ["c"])
@@ -198,7 +199,7 @@ def two_sample(profile: DataFrame, n_bins: int = 10) -> DataFrame:
         *[rank_quantile(i, p, F.col("n_ref")) for i, p in enumerate(probs)]),
         lambda x: x.isNotNull())))
     per = per.select("feature", "n_ref", "n_cur", "d", edges.alias("edges"))
-    counts = (profile.join(per.select("feature", "edges"), "feature")
+    counts = (profile.join(F.broadcast(per.select("feature", "edges")), "feature")
               .select("feature", bin_of("value", "edges").alias("bin"), "a", "b")
               .filter(F.col("bin").isNotNull())
               .groupBy("feature", "bin").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
@@ -232,7 +233,7 @@ def psi_of_parts(parts: DataFrame) -> DataFrame:
     p = parts.select("feature", e.alias("e"), a.alias("a"))
     tot = p.groupBy("feature").agg(F.sum("e").alias("te"), F.sum("a").alias("ta"))
     en, an = F.col("e") / F.col("te"), F.col("a") / F.col("ta")
-    return p.join(tot, "feature").groupBy("feature").agg(
+    return p.join(F.broadcast(tot), "feature").groupBy("feature").agg(
         F.sum((an - en) * F.log(an / en)).alias("psi"))
 
 
@@ -281,7 +282,7 @@ def category_vs_baseline(cat_baseline: DataFrame, cur_long_cat: DataFrame) -> Da
             .select("feature", F.when(F.col("expected").isNotNull(), F.col("category")).alias("category"),
                     F.coalesce("expected", F.lit(0.0)).alias("expected"),
                     F.coalesce("actual", F.lit(0)).alias("actual"))
-            .join(exp.select("feature").distinct(), "feature", "left_semi"))
+            .join(F.broadcast(exp.select("feature").distinct()), "feature", "left_semi"))
     unseen = exp.select("feature").distinct().select(
         "feature", F.lit(None).cast("string").alias("category"), F.lit(0.0).alias("expected"),
         F.lit(0).cast("long").alias("actual"))
