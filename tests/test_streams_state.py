@@ -74,6 +74,26 @@ def test_trailing_state_expires(spark, tmp):
     assert len(last) == 192 and held[-1] <= max(held[:3])
 
 
+def test_state_follows_buckets_not_keys(spark, tmp):
+    """Many accounts share a state entry and the counts stay their own."""
+    rng = random.Random(5)
+    hour, start = 3_600_000_000, 1_704_067_200_000_000
+    rows = [(i, f"k{rng.randrange(120)}", start + rng.randrange(0, 96) * hour // 2) for i in range(600)]
+    src = _files(spark, tmp, [rows[:300], rows[300:]])
+    stream = jobs.file_stream(spark, src, SCHEMA, max_files_per_trigger=1)
+    q = (trailing.trailing_counts_stream(stream, watermark="10 days", buckets=4)
+         .writeStream.outputMode("update").foreachBatch(sinks.batch_writer(f"{tmp}/out"))
+         .option("checkpointLocation", f"{tmp}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    got = jobs.newest(sinks.read_batches(spark, f"{tmp}/out"), ["id", "conta_id"])
+    batch = trailing_counts(spark.read.parquet(src))
+    cols = ["id", "conta_id", "transactions_last_hour", "transactions_last_day"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == \
+        sorted(map(tuple, batch.select(*cols).collect()))
+    assert max(held) < 200  # of about 700 pairs of account and day
+
+
 def test_segment_hours_must_divide_a_day(spark, tmp):
     src = _files(spark, tmp, [[(1, "a", 0)]])
     with pytest.raises(ValueError):
