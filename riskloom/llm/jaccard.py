@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import arrow_rows, column, slices, staged
+from .frames import arrow_rows, column, slices, staged, text_batched
 from .packed import bucket_count, groups, packed_rows, text_bytes, unpacked
 from .tokens import LOWER, mix, split_words, window_hashes, word_hashes
 
@@ -711,8 +711,9 @@ def _components_and_first(docs: DataFrame, *, num: int, den: int, shingle: int,
     rows = docs.select(row_key(id_col, text_col).alias("key"),
                        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n_buckets = bucket_count(spark, text_bytes(docs, text_col), bucket_bytes)
-    found = staged(rows.mapInArrow(_sign(shingle, sim, n_buckets), _SENT)
-                   .groupBy("bucket").applyInArrow(_meet, _FOUND), "candidates")
+    with text_batched(spark):
+        found = staged(rows.mapInArrow(_sign(shingle, sim, n_buckets), _SENT)
+                       .groupBy("bucket").applyInArrow(_meet, _FOUND), "candidates")
     met = found.where("kind = 0").select(F.col("a").alias("s1"), F.col("b").alias("lead")).distinct()
     each = found.where("kind = 1").select(
         F.col("a").alias("key"), F.col("b").alias("id"), F.col("c").alias("n_shingles"),
@@ -728,8 +729,9 @@ def _components_and_first(docs: DataFrame, *, num: int, den: int, shingle: int,
         near = staged(classes.join(some, "s1", "left_semi"), "classes")
         text = likely(rows, "key", near.select(F.col("cid").alias("key"))).join(
             near.select(F.col("cid").alias("key"), "s1", "s2"), "key")
-        sets = staged(text.select("key", "s1", "s2", "text").mapInArrow(
-            _sets(shingle), "cid long, n long, sketch binary, shingles binary"), "sets")
+        with text_batched(spark):
+            sets = staged(text.select("key", "s1", "s2", "text").mapInArrow(
+                _sets(shingle), "cid long, n long, sketch binary, shingles binary"), "sets")
         links = _Links(sets, sim)
         # classes that signatures connect are a family; all are compared with
         # its root, then with the member closest to the root, which for copies
