@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import arrow_rows, column, slices, staged, text_batched
+from .frames import NARROW, arrow_rows, column, in_tasks, slices, staged, text_batched
 from .packed import bucket_count, groups, packed_rows, text_bytes, unpacked
 from .tokens import LOWER, mix, split_words, window_hashes, word_hashes
 
@@ -316,33 +316,51 @@ class _Links:
 
     def __init__(self, sets: DataFrame, sim: Similarity):
         self.sets, self.sim, self.tested, self.links = sets, sim, None, None
-        self.comp = None
+        self.comp, self.added = None, False
+        some = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        self.count, self.bytes = some[0], 8 * some[1]
 
-    def sketched(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) with sizes and sketches, a few hundred bytes each."""
+    def whole_bytes(self, rows: int) -> int:
+        """About the bytes of all sets and of ``rows`` of them."""
+        return self.bytes + rows * (self.bytes // max(1, self.count))
+
+    def sketch_bytes(self, rows: int) -> int:
+        """The bytes of all sketches and of ``rows`` pairs of them."""
+        return (self.count + 2 * rows) * (NARROW + (1 << SKETCH_BITS - 3))
+
+    def sketched(self, pairs: DataFrame, rows: int) -> DataFrame:
+        """The pairs (u, v), ``rows`` of them, with sizes and sketches, a few
+        hundred bytes each."""
         for c in ("u", "v"):
-            pairs = pairs.join(self.sets.select(
+            pairs = in_tasks(pairs.join(self.sets.select(
                 F.col("cid").alias(c), F.col("n").alias(f"n_{c}"),
-                F.col("sketch").alias(f"sketch_{c}")), c)
+                F.col("sketch").alias(f"sketch_{c}")), c), self.sketch_bytes(rows))
         return pairs.select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v")
 
-    def test(self, pairs: DataFrame) -> DataFrame:
-        """Verify the pairs (u, v) not compared yet; add and return those that
-        are linked.  Sizes and sketches rule out most that are not before whole
-        sets are joined."""
+    def test(self, pairs: DataFrame, rows: int) -> DataFrame:
+        """Verify the pairs (u, v), at most about ``rows``, not compared yet; add
+        and return those that are linked.  Sizes and sketches rule out most that
+        are not before whole sets are joined."""
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["u", "v"], "left_anti")
-        pairs = staged(pairs, "pairs")
+        pairs = staged(in_tasks(pairs, rows * NARROW), "pairs")
+        n = pairs.count()
+        if not n:
+            return pairs
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         sizes = (F.least("n_u", "n_v") * self.sim.den >= F.greatest("n_u", "n_v") * self.sim.num)
-        near = staged(self.sketched(pairs).where(sizes).mapInArrow(
+        near = staged(self.sketched(pairs, n).where(sizes).mapInArrow(
             _apart(self.sim, True), "u long, v long, apart long"), "near")
-        whole = [self.sets.join(near.select(F.col(c).alias("cid")), "cid", "left_semi")
+        n = near.count()
+        if not n:
+            return near.select("u", "v")
+        size = self.whole_bytes(2 * n)
+        whole = [in_tasks(self.sets.join(near.select(F.col(c).alias("cid")), "cid", "left_semi"), size)
                  .select(F.col("cid").alias(c), F.col("shingles").alias(f"set_{c}"))
                  for c in ("u", "v")]
         with arrow_rows(pairs.sparkSession, SET_ROWS):
-            got = staged(near.join(whole[0], "u").join(whole[1], "v")
+            got = staged(in_tasks(in_tasks(near.join(whole[0], "u"), size).join(whole[1], "v"), size)
                          .select("u", "v", "set_u", "set_v")
                          .mapInArrow(_verify(self.sim), "u long, v long"), "linked")
         self.add(got)
@@ -352,25 +370,29 @@ class _Links:
         """Verified links."""
         if got.head(1):
             self.links = got if self.links is None else self.links.unionByName(got)
+            self.added = True
 
-    def open_families(self, family: DataFrame) -> DataFrame:
-        """(cid, root, comp, m) of the families that still hold more than one
-        component, m being the family's size."""
+    def open_families(self, family: DataFrame, n: int) -> DataFrame:
+        """(cid, root, comp, m) of the families, ``n`` rows, that still hold more
+        than one component, m being the family's size."""
         rows = family.select(F.col("node").alias("cid"), F.col("comp").alias("root"))
         if self.comp is None:
             rows = rows.withColumn("comp", F.col("cid"))
         else:
-            rows = rows.join(self.comp, F.col("cid") == F.col("node"), "left").select(
+            rows = in_tasks(rows.join(self.comp, F.col("cid") == F.col("node"), "left"),
+                            2 * n * NARROW).select(
                 "cid", "root", F.coalesce("comp", "cid").alias("comp"))
         rows = staged(rows, "family")
         size = rows.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"),
                                         F.max("comp").alias("hi")).where("lo < hi")
-        return staged(rows.join(size.select("root", "m"), "root"), "open")
+        return staged(in_tasks(rows.join(size.select("root", "m"), "root"), 2 * n * NARROW), "open")
 
-    def settle(self) -> None:
-        """The components of the links so far."""
-        if self.links is not None:
-            self.comp = components(self.links)
+    def settle(self) -> bool:
+        """The components of the links so far; whether there are new links."""
+        new, self.added = self.added, False
+        if new:
+            self.comp = components(self.links, self.links.count())
+        return new
 
 
 #: families up to that size are compared in full
@@ -589,41 +611,46 @@ def cross_links(rows: DataFrame, links: _Links, bucket_bytes: int) -> DataFrame:
     than CELL members is cut into slices, and each two slices meet in a task."""
     spark, sets, sim = rows.sparkSession, links.sets, links.sim
     large = staged(rows.where((F.col("m") > SMALL_FAMILY) & (F.col("cid") != F.col("root"))), "large")
-    if not large.head(1):
+    n_large = large.count()
+    if not n_large:
         return spark.createDataFrame([], "u long, v long")
-    roots = staged(sets.join(large.select(F.col("root").alias("cid")).distinct(), "cid", "left_semi")
-                   .select(F.col("cid").alias("root"), F.col("shingles").alias("root_set")), "roots")
+    size = links.whole_bytes(2 * n_large)
+    roots = staged(in_tasks(sets.join(large.select(F.col("root").alias("cid")).distinct(), "cid",
+                                      "left_semi"), size).select(
+        F.col("cid").alias("root"), F.col("shingles").alias("root_set")), "roots")
 
     def whole(some):
-        return some.join(sets.select("cid", "shingles"), "cid").join(roots, "root")
+        return in_tasks(some.join(sets.select("cid", "shingles"), "cid"), size).join(roots, "root")
 
     def changed(some):
         with arrow_rows(spark, SET_ROWS):
-            return staged(whole(some).select("root", "cid", "shingles", "root_set")
+            return staged(in_tasks(whole(some), size).select("root", "cid", "shingles", "root_set")
                           .mapInArrow(_changed, _CHANGED), "changed")
     drawn = (F.xxhash64(F.lit(5), F.col("cid")) / float(1 << 63) + 1) / 2 * F.col("m") < SAMPLE
     sample = changed(large.where(drawn).select("root", "cid")).select("root", "changes") \
         .mapInArrow(_each_change, "root long, e long")
     # at most SAMPLE members' changes per family
     common = staged(
-        sample.groupBy("root", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        .groupBy("root").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("e"))
+        in_tasks(in_tasks(sample.groupBy("root", "e").agg(F.count(F.lit(1)).alias("n")), size)
+                 .where("n > 1").groupBy("root").agg(
+            F.array_sort(F.collect_list(F.struct("n", "e"))).alias("e")), size)
         .select("root", _packed(F.transform("e", lambda x: x["e"])).alias("common")), "common")
     with arrow_rows(spark, SET_ROWS):
-        first = staged(whole(large).join(common, "root", "left")
+        first = staged(in_tasks(whole(large).join(common, "root", "left"), size)
                        .select("cid", "root", "comp", "shingles", "root_set", "common")
                        .mapInArrow(_first_changes(sim), "cid long, root long, comp long, "
                                                         "prefix array<long>")
                        .select("root", "cid", "comp", F.explode("prefix").alias("e")), "first")
     each = lambda i: F.bit_xor(F.xxhash64(F.lit(i), F.col("cid")))
-    cells = first.groupBy("root", "e").agg(
+    narrow = first.count() * NARROW
+    cells = in_tasks(first.groupBy("root", "e").agg(
         F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-        each(1).alias("s1"), each(2).alias("s2")).where("lo < hi")
+        each(1).alias("s1"), each(2).alias("s2")), narrow).where("lo < hi")
     # of cells with the same members (128-bit digest) one is enough
-    cells = cells.groupBy("root", "g", "s1", "s2").agg(F.min("e").alias("e")) \
+    cells = in_tasks(cells.groupBy("root", "g", "s1", "s2").agg(F.min("e").alias("e")), narrow) \
         .select("root", "e", F.ceil(F.col("g") / CELL).cast("int").alias("parts"))
     side = F.pmod(F.xxhash64(F.lit(9), F.col("cid")), F.col("parts")).cast("int")
-    met = staged(first.join(cells, ["root", "e"]).select(
+    met = staged(in_tasks(first.join(cells, ["root", "e"]), 2 * narrow).select(
         "root", "e", "cid", "comp", side.alias("side"),
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with")).select(
         "root", "e", F.least("side", "with").alias("x"), F.greatest("side", "with").alias("y"),
@@ -635,25 +662,31 @@ def cross_links(rows: DataFrame, links: _Links, bucket_bytes: int) -> DataFrame:
         return some.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(n))).groupBy("bucket")
 
     def sketched(some):
-        return dealt(some.join(sets.select("cid", "n", "sketch"), "cid"),
-                     some.count() * (64 + (1 << SKETCH_BITS - 3)))
-    found = links.test(sketched(met).applyInArrow(_by_sketch(sim, True), "u long, v long"))
-    links.settle()
-    if links.comp is not None:
-        met = met.drop("comp").join(links.comp, F.col("cid") == F.col("node"), "left").select(
-            *key, "cid", F.coalesce("comp", "cid").alias("comp"), "side")
+        n = some.count()
+        return dealt(in_tasks(some.join(sets.select("cid", "n", "sketch"), "cid"),
+                              links.sketch_bytes(n)), n * (64 + (1 << SKETCH_BITS - 3)))
+    n_met = met.count()
+    found = links.test(sketched(met).applyInArrow(_by_sketch(sim, True), "u long, v long"), n_met)
+    if links.settle():
+        met = staged(in_tasks(met.drop("comp").join(
+            links.comp, F.col("cid") == F.col("node"), "left"), n_met * NARROW).select(
+            *key, "cid", F.coalesce("comp", "cid").alias("comp"), "side"), "settled")
     apart = met.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
         .where("lo < hi").select(*key)
-    left = staged(met.join(apart, key, "left_semi").select(*_CELL_COLUMNS), "apart")
-    left = staged(sketched(left).applyInArrow(_by_sketch(sim, False), _CELL_ROW), "left")
+    left = staged(in_tasks(met.join(apart, key, "left_semi"), n_met * NARROW)
+                  .select(*_CELL_COLUMNS), "apart")
     if not left.head(1):
         return found
+    left = staged(sketched(left).applyInArrow(_by_sketch(sim, False), _CELL_ROW), "left")
+    n_left = left.count()
+    if not n_left:
+        return found
     each = lambda i: F.bit_xor(F.xxhash64(F.lit(i), F.col("cid"), F.col("side")))
-    once = left.groupBy(*key).agg(F.count(F.lit(1)).alias("g"), each(1).alias("s1"),
-                                  each(2).alias("s2")) \
-        .groupBy("root", "g", "s1", "s2").agg(F.min(F.struct("e", "x", "y")).alias("cell")) \
-        .select("root", "cell.*")
-    left = staged(left.join(once, key, "left_semi"), "once")
+    once = in_tasks(left.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("g"), each(1).alias("s1"), each(2).alias("s2")), n_left * NARROW)
+    once = in_tasks(once.groupBy("root", "g", "s1", "s2").agg(
+        F.min(F.struct("e", "x", "y")).alias("cell")), n_left * NARROW).select("root", "cell.*")
+    left = staged(in_tasks(left.join(once, key, "left_semi"), n_left * NARROW), "once")
     lists = changed(left.select("root", "cid").distinct()).drop("root")
     size = left.join(lists.select("cid", F.length("changes").alias("b")), "cid").agg(
         F.sum(F.col("b") + 64)).first()[0]
@@ -682,8 +715,10 @@ def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     of ``wanted``, so texts that no join needs are not shuffled.  A shared bit
     lets a row pass; the join that follows decides."""
     at = lambda c: F.pmod(F.col(c), F.lit(MAP_BITS)) + 1
-    bits = staged(wanted.groupBy(F.bitmap_bucket_number(at(key)).alias("_block"))
-                  .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at(key))).alias("_bits")), "map")
+    bits = staged(in_tasks(
+        wanted.groupBy(F.bitmap_bucket_number(at(key)).alias("_block"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at(key))).alias("_bits")),
+        MAP_BITS // 8), "map")
     place = F.bitmap_bit_position(at(key)).cast("int")
     byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10)
     found = rows.withColumn("_block", F.bitmap_bucket_number(at(key))).join(
@@ -710,11 +745,16 @@ def _components_and_first(docs: DataFrame, *, num: int, den: int, shingle: int,
     spark = docs.sparkSession
     rows = docs.select(row_key(id_col, text_col).alias("key"),
                        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    n_buckets = bucket_count(spark, text_bytes(docs, text_col), bucket_bytes)
+    size = text_bytes(docs, text_col)
+    n_buckets = bucket_count(spark, size, bucket_bytes)
     with text_batched(spark):
         found = staged(rows.mapInArrow(_sign(shingle, sim, n_buckets), _SENT)
                        .groupBy("bucket").applyInArrow(_meet, _FOUND), "candidates")
-    met = found.where("kind = 0").select(F.col("a").alias("s1"), F.col("b").alias("lead")).distinct()
+    met = found.where("kind = 0")
+    n_met = met.count()
+    n_docs = found.where("kind = 1").count()
+    met = met.select(F.col("a").alias("s1"), F.col("b").alias("lead")).distinct()
+    few = lambda df: in_tasks(df, (n_docs + n_met) * NARROW)
     each = found.where("kind = 1").select(
         F.col("a").alias("key"), F.col("b").alias("id"), F.col("c").alias("n_shingles"),
         F.col("d").alias("s1"), F.col("e").alias("s2"))
@@ -723,12 +763,12 @@ def _components_and_first(docs: DataFrame, *, num: int, den: int, shingle: int,
     classes = each.where("n_shingles > 0").groupBy("s1", "s2").agg(
         first["id"].alias("low"), first["key"].alias("cid"))
     links = None
-    if met.head(1):
-        met = staged(met, "met")
+    if n_met:
+        met = staged(few(met), "met")
         some = met.select("s1").union(met.select(F.col("lead").alias("s1"))).distinct()
-        near = staged(classes.join(some, "s1", "left_semi"), "classes")
-        text = likely(rows, "key", near.select(F.col("cid").alias("key"))).join(
-            near.select(F.col("cid").alias("key"), "s1", "s2"), "key")
+        near = staged(few(few(classes).join(some, "s1", "left_semi")), "classes")
+        text = in_tasks(likely(rows, "key", near.select(F.col("cid").alias("key"))).join(
+            near.select(F.col("cid").alias("key"), "s1", "s2"), "key"), size)
         with text_batched(spark):
             sets = staged(text.select("key", "s1", "s2", "text").mapInArrow(
                 _sets(shingle), "cid long, n long, sketch binary, shingles binary"), "sets")
@@ -736,29 +776,31 @@ def _components_and_first(docs: DataFrame, *, num: int, den: int, shingle: int,
         # classes that signatures connect are a family; all are compared with
         # its root, then with the member closest to the root, which for copies
         # of one text is that text or a copy with few changes
-        family = components(
-            met.join(near.select("s1", F.col("cid").alias("v")), "s1")
-            .join(near.select(F.col("s1").alias("lead"), F.col("cid").alias("u")), "lead"))
+        met = few(met.join(near.select("s1", F.col("cid").alias("v")), "s1"))
+        family = components(few(met.join(
+            near.select(F.col("s1").alias("lead"), F.col("cid").alias("u")), "lead")), n_met)
+        n = family.count()
         star = family.where("node != comp").select(F.col("comp").alias("u"), F.col("node").alias("v"))
-        links.test(star)
-        far = links.sketched(star).mapInArrow(_apart(sim, False), "u long, v long, apart long")
-        centre = staged(far.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("x"),
-                                             F.count(F.lit(1)).alias("m"))
-                        .where("m > 1").select("u", F.col("x.v").alias("centre")), "centres")
-        links.test(star.join(centre, "u").where("v != centre")
-                   .select(F.col("centre").alias("u"), "v"))
+        far = links.sketched(star, n).mapInArrow(_apart(sim, False), "u long, v long, apart long")
+        centre = staged(in_tasks(far.groupBy("u").agg(
+            F.min(F.struct("apart", "v")).alias("x"), F.count(F.lit(1)).alias("m")), n * NARROW)
+            .where("m > 1").select("u", F.col("x.v").alias("centre")), "centres")
+        links.test(star.unionByName(
+            in_tasks(star.join(centre, "u"), n * NARROW).where("v != centre")
+            .select(F.col("centre").alias("u"), "v")), 2 * n)
         links.settle()
-        open_ = links.open_families(family)
-        links.test(family_pairs(open_))
+        open_ = links.open_families(family, n)
+        # members of a small family meet SMALL_FAMILY - 1 others
+        links.test(family_pairs(open_), open_.count() * SMALL_FAMILY // 2)
         cross_links(open_, links, bucket_bytes)
         links.settle()
     if links is None or links.comp is None:
         joined = classes.select("s1", "s2", F.col("low").alias("component"),
                                 F.col("cid").alias("first"))
     else:
-        comp = classes.join(links.comp, F.col("cid") == F.col("node"))
+        comp = few(classes.join(links.comp, F.col("cid") == F.col("node")))
         least = comp.groupBy("comp").agg(F.min(F.struct("low", "cid")).alias("least"))
-        own = comp.join(least, "comp").select("s1", "s2", "least")
+        own = few(comp.join(least, "comp")).select("s1", "s2", "least")
         joined = classes.join(own, ["s1", "s2"], "left").select(
             "s1", "s2", F.coalesce("least.low", "low").alias("component"),
             F.coalesce("least.cid", "cid").alias("first"))
