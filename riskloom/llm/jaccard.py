@@ -48,11 +48,11 @@ U = np.uint64
 LAST = np.iinfo(np.int64).max
 FLUSH = 500_000
 #: bytes of text a kernel holds as arrays at a time
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: cells of a sketch, as a power of two
 SKETCH_BITS = 12
 #: rows with whole sets that go to Python at a time
-SET_ROWS = 128
+SET_ROWS = 32
 
 
 # ------------------------------------------------------------ sets of shingles
@@ -729,7 +729,7 @@ def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 
 def components_of_similar(docs: DataFrame, *, num: int, den: int, shingle: int,
                           id_col: str = "doc_id", text_col: str = "text",
-                          bucket_bytes: int = 8 << 20) -> DataFrame:
+                          bucket_bytes: int = 4 << 20) -> DataFrame:
     """(key, id, n_shingles, component_id) of every row, where ``key`` is
     ``row_key`` of the row and ``component_id`` the smallest id reachable over
     links of similarity num / den or more."""
@@ -738,7 +738,7 @@ def components_of_similar(docs: DataFrame, *, num: int, den: int, shingle: int,
 
 
 def _components_and_first(docs: DataFrame, *, num: int, den: int, shingle: int, id_col: str,
-                          text_col: str, bucket_bytes: int = 8 << 20) -> DataFrame:
+                          text_col: str, bucket_bytes: int = 4 << 20) -> DataFrame:
     """``components_of_similar`` and ``first``, the key of the component's
     first row by (id, nulls last, key); a row without words is its own."""
     sim = Similarity(num, den)
