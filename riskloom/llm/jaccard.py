@@ -253,7 +253,7 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 def _sets(k: int):
-    """Arrow kernel over (cid, s1, s2, text): the packed set of each class."""
+    """Arrow kernel over (cid, s1, s2, text, root): the packed set of each class."""
     def run(batches):
         for batch in batches:
             for part in slices(batch, 3, SLICE):
@@ -263,10 +263,11 @@ def _sets(k: int):
                 rows = np.flatnonzero(same)
                 sets = [h[offsets[i]:offsets[i + 1]] for i in rows.tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [column(part, 0).take(pa.array(rows)), pa.array(np.diff(offsets)[rows]),
+                    [column(part, 0).take(pa.array(rows)), column(part, 4).take(pa.array(rows)),
+                     pa.array(np.diff(offsets)[rows]),
                      pa.array([sketch(x) for x in sets], pa.binary()),
                      pa.array([x.tobytes() for x in sets], pa.binary())],
-                    ["cid", "n", "sketch", "shingles"])
+                    ["cid", "root", "n", "sketch", "shingles"])
     return run
 
 
@@ -356,7 +357,8 @@ class _Links:
         if not n:
             return near.select("u", "v")
         size = self.whole_bytes(2 * n)
-        whole = [in_tasks(self.sets.join(near.select(F.col(c).alias("cid")), "cid", "left_semi"), size)
+        some = likely(self.sets, "cid", near.select(F.explode(F.array("u", "v")).alias("cid")))
+        whole = [in_tasks(some.join(near.select(F.col(c).alias("cid")), "cid", "left_semi"), size)
                  .select(F.col("cid").alias(c), F.col("shingles").alias(f"set_{c}"))
                  for c in ("u", "v")]
         with arrow_rows(pairs.sparkSession, SET_ROWS):
@@ -436,16 +438,22 @@ def _each_change(batches):
                                              ["root", "e"])
 
 
-def _first_changes(sim: Similarity):
-    """Arrow kernel over (cid, root, comp, set, set of the root, common
-    elements): the changes that come first, as many as linked sets can differ
-    in and one more: what is new against the root, then what is gone from it,
-    each by hash, then the common elements in their given order."""
+def _prefix_share(sim: Similarity) -> float:
+    """What :func:`_first_changes` takes of a set's elements, at most."""
+    return (1 + sim.den / sim.num) * (sim.den - sim.num) / (sim.den + sim.num)
+
+
+def _first_changes(sim: Similarity, n_buckets: int):
+    """Arrow kernel over (cid, root, set, set of the root, common elements): the
+    changes that come first, as many as linked sets can differ in and one more:
+    what is new against the root, then what is gone from it, each by hash, then
+    the common elements in their given order.  They leave packed, with their
+    member, by bucket of a hash of root and element."""
     def run(batches):
+        held, n = [], 0
         for batch in batches:
-            prefix = []
             for i in range(batch.num_rows):
-                x, y, c = (_set(batch.column(j)[i]) for j in (3, 4, 5))
+                x, y, c = (_set(batch.column(j)[i]) for j in (2, 3, 4))
                 d = _changes(x, y)
                 late = np.isin(d, y, assume_unique=True).astype(np.int64)
                 most = (len(x) + len(x) * sim.den // sim.num) * (sim.den - sim.num) \
@@ -455,10 +463,60 @@ def _first_changes(sim: Similarity):
                     j = np.minimum(np.searchsorted(c, d, sorter=by), len(c) - 1)
                     known = c[by[j]] == d
                     late[known] = 2 + by[j[known]]
-                prefix.append(d[np.argsort(late, kind="stable")][:most + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(3)), pa.array(prefix, pa.list_(pa.int64()))],
-                ["cid", "root", "comp", "prefix"])
+                root = np.array([batch.column(1)[i].as_py()], np.int64).view(U)
+                with np.errstate(over="ignore"):
+                    e = mix(d[np.argsort(late, kind="stable")][:most + 1] + mix(root))
+                held.append((e, np.full(len(e), batch.column(0)[i].as_py(), np.int64)))
+                n += len(e)
+            if n >= FLUSH:
+                yield _dealt_out(held, n_buckets)
+                held, n = [], 0
+        if n:
+            yield _dealt_out(held, n_buckets)
+    return run
+
+
+def _dealt_out(held, n_buckets: int) -> pa.RecordBatch:
+    e, cid = map(np.concatenate, zip(*held))
+    return packed_rows(e % U(n_buckets), {"e": (e // U(n_buckets)).astype(np.uint32), "cid": cid})
+
+
+_SHARED = "e long, g long, s1 long, s2 long, part int, cids array<long>"
+#: members in a row of a cell
+LIST = 4096
+
+
+def _shared(n_buckets: int):
+    """Arrow kernel over a bucket: the elements with two members or more, one
+    of those with the same members (128-bit digest), and the members, in rows
+    of at most LIST.  Two elements with one short hash are one cell."""
+    def run(table: pa.Table) -> pa.Table:
+        e, cid = _pairs(unpacked(table, "e", np.uint32), unpacked(table, "cid", np.int64))
+        new = np.ones(len(e), dtype=bool)
+        new[1:] = e[1:] != e[:-1]
+        g = np.diff(np.append(np.flatnonzero(new), len(e)))
+        many = np.repeat(g > 1, g)
+        e, cid, g = e[many], cid[many], g[g > 1]
+        starts = np.cumsum(g) - g
+        s1, s2 = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(g):
+            with np.errstate(over="ignore"):
+                s1, s2 = (np.add.reduceat(mix(cid.view(U) + U(k)), starts).view(np.int64)
+                          for k in (0xA24BAED4963EE407, 0x9FB21C651E98DF25))
+        order, first, _ = groups(g, s1, s2)
+        once = np.zeros(len(g), dtype=bool)
+        once[order[first]] = True
+        cell, place = np.repeat(np.arange(len(g)), g), np.arange(len(e)) - np.repeat(starts, g)
+        keep = once[cell]
+        e, cid, cell, place = e[keep], cid[keep], cell[keep], place[keep]
+        at = np.flatnonzero(place % LIST == 0)
+        bucket = table["bucket"][0].as_py()
+        return pa.table([
+            pa.array(e[at].astype(np.int64) * n_buckets + bucket), pa.array(g[cell[at]]),
+            pa.array(s1[cell[at]]), pa.array(s2[cell[at]]),
+            pa.array((place[at] // LIST).astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array(np.append(at, len(e)), pa.int32()), pa.array(cid))],
+            ["e", "g", "s1", "s2", "part", "cids"])
     return run
 
 
@@ -514,16 +572,16 @@ def _forest(linked: np.ndarray):
                 yield u, v
 
 
-def _by_sketch(sim: Similarity, pairs: bool):
+def _by_sketch(sim: Similarity):
     """Arrow kernel over a bucket of cells with sizes and sketches (see
-    :func:`cross_links`): open pairs that may be linked as far as those tell.
-    With ``pairs`` enough of them to connect what all would, else the members
-    of one, cell by cell."""
+    :func:`cross_links`): the members with an open pair that may be linked as
+    far as those tell.  ``near`` is such a partner, or the member itself; these
+    pairs connect, cell by cell, what all would."""
     def run(table: pa.Table) -> pa.Table:
         cid, comp, side, n = (table[c].to_numpy() for c in ("cid", "comp", "side", "n"))
         sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(
             table.num_rows, -1)
-        u, v, keep = [], [], []
+        keep, partners = [], []
         for at in _cells(table):
             odd = np.unpackbits(sketches[at], axis=1).astype(np.float32)
             ones, size = odd.sum(axis=1), n[at]
@@ -531,21 +589,21 @@ def _by_sketch(sim: Similarity, pairs: bool):
             most = (size[:, None] + size) * (sim.den - sim.num) // (sim.den + sim.num)
             near = (apart <= most) & _to_decide(comp[at], side[at])
             near &= np.minimum(size[:, None], size) * sim.den >= np.maximum(size[:, None], size) * sim.num
-            if pairs:
-                for a, b in _forest(near):
-                    u.append(cid[at[a]])
-                    v.append(cid[at[b]])
-            else:
-                keep.append(at[near.any(axis=1)])
-        if pairs:
-            return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-        rows = np.concatenate(keep) if keep else np.zeros(0, np.int64)
-        return table.select(_CELL_COLUMNS).take(pa.array(rows))
+            partner = cid[at].copy()
+            for a, b in _forest(near):
+                partner[b] = cid[at[a]]
+            some = near.any(axis=1)
+            keep.append(at[some])
+            partners.append(partner[some])
+        none = np.zeros(0, np.int64)
+        rows = table.select(_CELL_COLUMNS).take(pa.array(np.concatenate([none, *keep])))
+        return rows.append_column("near", pa.array(np.concatenate([none, *partners])))
     return run
 
 
 _CELL_ROW = "root long, e long, x int, y int, cid long, comp long, side int"
 _CELL_COLUMNS = [c.split()[0] for c in _CELL_ROW.split(", ")]
+_NEAR_ROW = _CELL_ROW + ", near long"
 
 
 def _near_in_cells(sim: Similarity):
@@ -605,29 +663,34 @@ def cross_links(rows: DataFrame, links: _Links, bucket_bytes: int) -> DataFrame:
     are done.  The others go, with sizes and sketches, to tasks of bounded
     size: of the pairs that sketches leave open as many are verified as would
     connect them all, and the components are built anew.  What is then still
-    apart in a cell and near by its sketch goes on once more, with its whole
-    list of changes, where two lists give the two sets' exact distance.  No
-    pair leaves its task but those that connect something.  A cell of more
-    than CELL members is cut into slices, and each two slices meet in a task."""
+    apart in a cell and near by its sketch goes on with its whole list of
+    changes, where two lists give the two sets' exact distance.  Members that
+    such pairs connect over all cells are one block, whose lists go to one task
+    once; only of a block of more than CELL members the cells go on instead.
+    No pair leaves its task but those that connect something.  A cell of more
+    than CELL members is cut into slices, and each two slices meet in a task.
+
+    Whole sets are read where they lie: the few roots are joined to them, and
+    of the sample's and the last members' only those are dealt out."""
     spark, sets, sim = rows.sparkSession, links.sets, links.sim
     large = staged(rows.where((F.col("m") > SMALL_FAMILY) & (F.col("cid") != F.col("root"))), "large")
     n_large = large.count()
     if not n_large:
         return spark.createDataFrame([], "u long, v long")
     size = links.whole_bytes(2 * n_large)
-    roots = staged(in_tasks(sets.join(large.select(F.col("root").alias("cid")).distinct(), "cid",
-                                      "left_semi"), size).select(
-        F.col("cid").alias("root"), F.col("shingles").alias("root_set")), "roots")
+    heads = staged(in_tasks(large.groupBy("root").agg(F.max("m").alias("m")), n_large * NARROW), "heads")
+    roots = staged(in_tasks(sets.where("cid = root").join(heads, "root"), size)
+                   .select("root", "m", F.col("shingles").alias("root_set")), "roots")
 
     def whole(some):
-        return in_tasks(some.join(sets.select("cid", "shingles"), "cid"), size).join(roots, "root")
+        return some.where("cid != root").select("cid", "root", "shingles").join(roots, "root")
 
     def changed(some):
         with arrow_rows(spark, SET_ROWS):
-            return staged(in_tasks(whole(some), size).select("root", "cid", "shingles", "root_set")
+            return staged(in_tasks(some, size).select("root", "cid", "shingles", "root_set")
                           .mapInArrow(_changed, _CHANGED), "changed")
     drawn = (F.xxhash64(F.lit(5), F.col("cid")) / float(1 << 63) + 1) / 2 * F.col("m") < SAMPLE
-    sample = changed(large.where(drawn).select("root", "cid")).select("root", "changes") \
+    sample = changed(whole(sets).where(drawn)).select("root", "changes") \
         .mapInArrow(_each_change, "root long, e long")
     # at most SAMPLE members' changes per family
     common = staged(
@@ -635,22 +698,26 @@ def cross_links(rows: DataFrame, links: _Links, bucket_bytes: int) -> DataFrame:
                  .where("n > 1").groupBy("root").agg(
             F.array_sort(F.collect_list(F.struct("n", "e"))).alias("e")), size)
         .select("root", _packed(F.transform("e", lambda x: x["e"])).alias("common")), "common")
+    # an element and its member take 12 bytes
+    prefixes = int(links.bytes * 1.5 * _prefix_share(sim)) + 12 * links.count
+    n_buckets = bucket_count(spark, prefixes, bucket_bytes)
     with arrow_rows(spark, SET_ROWS):
-        first = staged(in_tasks(whole(large).join(common, "root", "left"), size)
-                       .select("cid", "root", "comp", "shingles", "root_set", "common")
-                       .mapInArrow(_first_changes(sim), "cid long, root long, comp long, "
-                                                        "prefix array<long>")
-                       .select("root", "cid", "comp", F.explode("prefix").alias("e")), "first")
-    each = lambda i: F.bit_xor(F.xxhash64(F.lit(i), F.col("cid")))
-    narrow = first.count() * NARROW
-    cells = in_tasks(first.groupBy("root", "e").agg(
-        F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-        each(1).alias("s1"), each(2).alias("s2")), narrow).where("lo < hi")
-    # of cells with the same members (128-bit digest) one is enough
-    cells = in_tasks(cells.groupBy("root", "g", "s1", "s2").agg(F.min("e").alias("e")), narrow) \
-        .select("root", "e", F.ceil(F.col("g") / CELL).cast("int").alias("parts"))
+        shared = whole(sets).join(common, "root", "left").select(
+            "cid", "root", "shingles", "root_set", "common").mapInArrow(
+            _first_changes(sim, n_buckets), "bucket long, e binary, cid binary") \
+            .groupBy("bucket").applyInArrow(_shared(n_buckets), _SHARED)
+        # of cells with the same members one is enough
+        shared = in_tasks(shared.groupBy("g", "s1", "s2", "part").agg(
+            F.min(F.struct("e", "cids")).alias("cell")), prefixes).select(
+            F.col("cell.e").alias("e"), F.explode("cell.cids").alias("cid"))
+        members = staged(in_tasks(shared.join(large.select("root", "cid", "comp"), "cid"), prefixes),
+                         "members")
+    narrow = members.count() * NARROW
+    cells = in_tasks(members.groupBy("root", "e").agg(
+        F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")), narrow) \
+        .where("lo < hi").select("root", "e", F.ceil(F.col("g") / CELL).cast("int").alias("parts"))
     side = F.pmod(F.xxhash64(F.lit(9), F.col("cid")), F.col("parts")).cast("int")
-    met = staged(in_tasks(first.join(cells, ["root", "e"]), 2 * narrow).select(
+    met = staged(in_tasks(members.join(cells, ["root", "e"]), 2 * narrow).select(
         "root", "e", "cid", "comp", side.alias("side"),
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with")).select(
         "root", "e", F.least("side", "with").alias("x"), F.greatest("side", "with").alias("y"),
@@ -661,12 +728,15 @@ def cross_links(rows: DataFrame, links: _Links, bucket_bytes: int) -> DataFrame:
         n = bucket_count(spark, int(size), bucket_bytes)
         return some.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(n))).groupBy("bucket")
 
-    def sketched(some):
-        n = some.count()
-        return dealt(in_tasks(some.join(sets.select("cid", "n", "sketch"), "cid"),
-                              links.sketch_bytes(n)), n * (64 + (1 << SKETCH_BITS - 3)))
+    def near(some, n, tag):
+        by = in_tasks(some.join(sets.select("cid", "n", "sketch"), "cid"), links.sketch_bytes(n))
+        return staged(in_tasks(dealt(by, n * (NARROW + (1 << SKETCH_BITS - 3))).applyInArrow(
+            _by_sketch(sim), _NEAR_ROW), links.sketch_bytes(n)), tag)
+    met = near(met, met.count(), "nearby")
     n_met = met.count()
-    found = links.test(sketched(met).applyInArrow(_by_sketch(sim, True), "u long, v long"), n_met)
+    found = links.test(met.where("near != cid").select(F.col("near").alias("u"),
+                                                       F.col("cid").alias("v")), n_met)
+    met = met.drop("near")
     if links.settle():
         met = staged(in_tasks(met.drop("comp").join(
             links.comp, F.col("cid") == F.col("node"), "left"), n_met * NARROW).select(
@@ -675,19 +745,32 @@ def cross_links(rows: DataFrame, links: _Links, bucket_bytes: int) -> DataFrame:
         .where("lo < hi").select(*key)
     left = staged(in_tasks(met.join(apart, key, "left_semi"), n_met * NARROW)
                   .select(*_CELL_COLUMNS), "apart")
-    if not left.head(1):
+    n_left = left.count()
+    if not n_left:
         return found
-    left = staged(sketched(left).applyInArrow(_by_sketch(sim, False), _CELL_ROW), "left")
+    left = near(left, n_left, "left")
     n_left = left.count()
     if not n_left:
         return found
+    few = lambda df: in_tasks(df, n_left * NARROW)
+    block = components(left.select(F.col("near").alias("u"), F.col("cid").alias("v")), n_left).select(
+        F.col("node").alias("cid"), F.col("comp").alias("block"))
+    fits = block.groupBy("block").agg((F.count(F.lit(1)) <= CELL).alias("fits"))
+    left = staged(few(few(left.join(block, "cid")).join(fits, "block")), "blocks")
+    no = F.lit(-1)
+    blocks = left.where("fits").select("root", F.col("block").alias("e"), no.alias("x"), no.alias("y"),
+                                       "cid", "comp", F.lit(0).alias("side")).distinct()
+    rest = left.where("not fits").select(*_CELL_COLUMNS)
     each = lambda i: F.bit_xor(F.xxhash64(F.lit(i), F.col("cid"), F.col("side")))
-    once = in_tasks(left.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("g"), each(1).alias("s1"), each(2).alias("s2")), n_left * NARROW)
-    once = in_tasks(once.groupBy("root", "g", "s1", "s2").agg(
-        F.min(F.struct("e", "x", "y")).alias("cell")), n_left * NARROW).select("root", "cell.*")
-    left = staged(in_tasks(left.join(once, key, "left_semi"), n_left * NARROW), "once")
-    lists = changed(left.select("root", "cid").distinct()).drop("root")
+    once = few(rest.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("g"), each(1).alias("s1"), each(2).alias("s2")))
+    once = few(once.groupBy("root", "g", "s1", "s2").agg(
+        F.min(F.struct("e", "x", "y")).alias("cell"))).select("root", "cell.*")
+    left = staged(few(few(blocks).unionByName(few(rest.join(once, key, "left_semi"))
+                                              .select(*_CELL_COLUMNS))), "once")
+    some = staged(few(left.select("cid").distinct()), "some")
+    lists = changed(whole(in_tasks(likely(sets, "cid", some).join(some, "cid", "left_semi"), size))
+                    ).drop("root")
     size = left.join(lists.select("cid", F.length("changes").alias("b")), "cid").agg(
         F.sum(F.col("b") + 64)).first()[0]
     last = staged(dealt(left.join(lists, "cid"), size).applyInArrow(
@@ -767,18 +850,20 @@ def _components_and_first(docs: DataFrame, *, num: int, den: int, shingle: int,
         met = staged(few(met), "met")
         some = met.select("s1").union(met.select(F.col("lead").alias("s1"))).distinct()
         near = staged(few(few(classes).join(some, "s1", "left_semi")), "classes")
-        text = in_tasks(likely(rows, "key", near.select(F.col("cid").alias("key"))).join(
-            near.select(F.col("cid").alias("key"), "s1", "s2"), "key"), size)
-        with text_batched(spark):
-            sets = staged(text.select("key", "s1", "s2", "text").mapInArrow(
-                _sets(shingle), "cid long, n long, sketch binary, shingles binary"), "sets")
-        links = _Links(sets, sim)
         # classes that signatures connect are a family; all are compared with
         # its root, then with the member closest to the root, which for copies
         # of one text is that text or a copy with few changes
         met = few(met.join(near.select("s1", F.col("cid").alias("v")), "s1"))
         family = components(few(met.join(
             near.select(F.col("s1").alias("lead"), F.col("cid").alias("u")), "lead")), n_met)
+        key = few(near.join(family, F.col("cid") == F.col("node"), "left")).select(
+            F.col("cid").alias("key"), "s1", "s2", F.coalesce("comp", "cid").alias("root"))
+        text = in_tasks(likely(rows, "key", near.select(F.col("cid").alias("key"))).join(
+            key, "key"), size)
+        with text_batched(spark):
+            sets = staged(text.select("key", "s1", "s2", "text", "root").mapInArrow(
+                _sets(shingle), "cid long, root long, n long, sketch binary, shingles binary"), "sets")
+        links = _Links(sets, sim)
         n = family.count()
         star = family.where("node != comp").select(F.col("comp").alias("u"), F.col("node").alias("v"))
         far = links.sketched(star, n).mapInArrow(_apart(sim, False), "u long, v long, apart long")
