@@ -26,12 +26,12 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import risk_band, to_score
-from ..session import ensure_checkpoint_dir, scratch_table
+from ..session import ensure_checkpoint_dir, scratch_path, scratch_table
 from . import stats as st
 from .boost import search_margins
 from .ordered import exact_quantiles
@@ -221,15 +221,58 @@ def train_fraud(train: DataFrame, feature_cols: list[str], label: str = "is_frau
 
 
 # --- M10 ------------------------------------------------------------------------
+#: nodes of a forest that the driver may hold, and of a part of a larger one
+FOREST_NODES, FOREST_PART_NODES = 5_000_000, 600_000
+
+
+class PartedForest:
+    """A regression forest of more trees than the driver can hold at once: the
+    parts lie in the shared folder and score one after the other."""
+
+    def __init__(self, feature_cols: list[str], parts: list[tuple[str, int]]):
+        self.cols, self.parts = list(feature_cols), parts
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with the mean ``prediction`` of all trees, stored."""
+        out = df.withColumn("prediction", F.lit(0.0))
+        for path, trees in self.parts:
+            part = RandomForestRegressionModel.load(path).setPredictionCol("_part")
+            scored = part.transform(assemble(self.cols).transform(out))
+            out = scratch_table(scored.select(*df.columns, (
+                F.col("prediction") + F.col("_part") * trees).alias("prediction")), "scored")
+        return out.withColumn("prediction", F.col("prediction") / sum(n for _, n in self.parts))
+
+
+def forest_parts(trees: int, rows: int, depth: int) -> list[int]:
+    """Trees of every part of a forest's fit: one part as long as its nodes, two
+    a row and tree at most, are within what the driver may hold.  A part has at
+    least two trees: a single one would not draw its features."""
+    nodes = min(2 << depth, 2 * rows)
+    if trees * nodes <= FOREST_NODES or trees < 4:
+        return [trees]
+    n = min(trees // 2, -(-trees * nodes // FOREST_PART_NODES))
+    return [trees // n + (i < trees % n) for i in range(n)]
+
+
 def train_legacy_score(train: DataFrame, feature_cols: list[str], label: str = "score_credito",
                        params: dict | None = None, seed: int = 42):
     """Scaled input, 200-tree depth-15 regression forest on the integer
-    score (predictions rounded when scoring)."""
+    score (predictions rounded when scoring).  Returns the scaler and the model:
+    a forest whose nodes would fill the driver is fitted, stored and scored in
+    parts of a few trees, each with a seed of its own."""
     scaler = fit_scaler(train, feature_cols)
     scaled = forest_rows(scaler.transform(train, keep=[label]), len(feature_cols))
-    rf = RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed,
-                               **(params or LEGACY_FOREST))
-    return scaler, Pipeline(stages=[assemble(feature_cols), rf]).fit(scaled)
+    params = dict(params or LEGACY_FOREST)
+    sizes = forest_parts(params["numTrees"], scaled.count(), params["maxDepth"])
+    rf = RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed, **params)
+    if len(sizes) == 1:
+        return scaler, Pipeline(stages=[assemble(feature_cols), rf]).fit(scaled)
+    rows, parts = assemble(feature_cols).transform(scaled), []
+    for i, n in enumerate(sizes):
+        path = scratch_path(train.sparkSession, "forest-part")
+        rf.copy({rf.numTrees: n, rf.seed: seed + i}).fit(rows).write().save(path)
+        parts.append((path, n))
+    return scaler, PartedForest(feature_cols, parts)
 
 
 # --- M9 / A19 -------------------------------------------------------------------
